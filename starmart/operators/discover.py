@@ -34,10 +34,15 @@ def _col_type(df: DataFrame, c: str) -> T.DataType:
 
 
 def _tagged_distinct(tables, cols: Sequence[tuple[str, str]], family: str, tag: str) -> DataFrame:
+    """Distinct ``(v, tag)`` over the given columns: one scan per table."""
+    by_table: dict[str, list[str]] = {}
+    for t, c in cols:
+        by_table.setdefault(t, []).append(c)
     parts = [
-        tables[t].select(F.col(c).cast(family).alias("v")).where(F.col("v").isNotNull())
-        .select("v", F.lit(f"{t}.{c}").alias(tag))
-        for t, c in cols
+        tables[t].select(F.explode(F.array(*[
+            F.struct(F.col(c).cast(family).alias("v"), F.lit(f"{t}.{c}").alias(tag)) for c in cs
+        ])).alias("x")).select("x.*").where(F.col("v").isNotNull())
+        for t, cs in by_table.items()
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -128,27 +128,37 @@ def key_like_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, _KEY_TYPES)]
 
 
-def shortlist_keys(df: DataFrame, rsd: float = 0.02, pairs: bool = True) -> list[tuple[str, ...]]:
-    """Column sets that *may* be keys, from one HyperLogLog pass (driver gets
-    one row of counts).  Single columns first; column pairs only when no single
-    column qualifies.  Confirm with :func:`candidate_keys`."""
-    cols = key_like_columns(df)
-    sets: list[tuple[str, ...]] = [(c,) for c in cols]
-    if pairs:
-        sets += list(combinations(cols, 2))
-    if not sets:
-        return []
+def _hll_pass(df: DataFrame, sets: list[tuple[str, ...]], rsd: float):
     aggs = [F.count(F.lit(1)).alias("__rows")]
-    for i, s in enumerate(sets):
-        value = F.col(s[0]) if len(s) == 1 else F.struct(*s)
+    for i, cols in enumerate(sets):
+        value = F.col(cols[0]) if len(cols) == 1 else F.struct(*cols)
         nn = None
-        for c in s:
+        for c in cols:
             cond = F.col(c).isNotNull()
             nn = cond if nn is None else nn & cond
         aggs += [F.approx_count_distinct(value, rsd).alias(f"__d{i}"), F.count_if(~nn).alias(f"__z{i}")]
-    row = df.agg(*aggs).first()
-    n = row["__rows"]
+    return df.agg(*aggs).first()
+
+
+def shortlist_keys(df: DataFrame, rsd: float = 0.05, pairs: bool = True) -> list[tuple[str, ...]]:
+    """Column sets that *may* be keys, from HyperLogLog passes (the driver gets
+    one row of counts per pass).  Single columns first; column pairs only when
+    no single column qualifies.  Confirm with :func:`candidate_keys`.
+
+    The sketch only prunes: anything within 4 relative standard errors of the
+    row count stays a candidate, and the exact test decides.
+    """
+    cols = key_like_columns(df)
     slack = max(1.0 - 4 * rsd, 0.0)
-    ok = [s for i, s in enumerate(sets) if row[f"__z{i}"] == 0 and row[f"__d{i}"] >= n * slack]
-    singles = [s for s in ok if len(s) == 1]
-    return singles if singles else ok
+
+    def keep(sets):
+        if not sets:
+            return []
+        row = _hll_pass(df, sets, rsd)
+        n = row["__rows"]
+        return [s for i, s in enumerate(sets) if row[f"__z{i}"] == 0 and row[f"__d{i}"] >= n * slack]
+
+    singles = keep([(c,) for c in cols])
+    if singles or not pairs:
+        return singles
+    return keep(list(combinations(cols, 2)))
