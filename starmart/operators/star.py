@@ -85,7 +85,8 @@ def star_rollup(
         names = {a: (a if a not in rows.columns or a == fk else f"__a{i}_{a}") for a in attrs}
         cols = [dim.key_column] + [a for a in dict.fromkeys(attrs) if a != dim.key_column]
         side = dimension_rows(dim, tables, cols, broadcast_rows)
-        small = fits_broadcast(side, bound)
+        # Bounded by the dimension's source table (its rows bound the dimension's).
+        small = fits_broadcast(side, bound, upper_bound_of=tables[dim.source_table])
         side = unique_on(side, [dim.key_column], f"dimension '{dim.name}'")
         side = side.select(F.col(dim.key_column).alias(key_alias),
                            *[F.col(a).alias(names[a]) for a in cols if a != dim.key_column])

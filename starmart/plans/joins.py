@@ -14,25 +14,64 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Default bound on rows broadcast to every executor (overridable per session).
-DEFAULT_BROADCAST_ROWS = 2_000_000
+# Default bounds on what is broadcast to every executor (overridable per session).
+DEFAULT_BROADCAST_ROWS = 4_000_000
+DEFAULT_BROADCAST_BYTES = 128 * 1024 * 1024
 BROADCAST_ROWS_CONF = "spark.starmart.broadcast.maxRows"
+BROADCAST_BYTES_CONF = "spark.starmart.broadcast.maxBytes"
 
 _COUNT_COL = "__starmart_n"
 
 
 def broadcast_bound(spark: SparkSession, override: int | None = None) -> int:
+    """Row bound for a broadcast side (explicit override wins)."""
     if override is not None:
         return override
     return int(spark.conf.get(BROADCAST_ROWS_CONF, str(DEFAULT_BROADCAST_ROWS)))
 
 
-def fits_broadcast(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (bounded count)."""
-    if max_rows <= 0:
+def _width(t: T.DataType) -> int:
+    """Estimated bytes of one value (strings/binary: Spark's default estimate)."""
+    if isinstance(t, (T.BooleanType, T.ByteType)):
+        return 1
+    if isinstance(t, T.ShortType):
+        return 2
+    if isinstance(t, (T.IntegerType, T.FloatType, T.DateType)):
+        return 4
+    if isinstance(t, (T.LongType, T.DoubleType, T.TimestampType, T.TimestampNTZType)):
+        return 8
+    if isinstance(t, T.DecimalType):
+        return 8 if t.precision <= 18 else 16
+    if isinstance(t, T.StructType):
+        return sum(_width(f.dataType) for f in t.fields)
+    if isinstance(t, (T.ArrayType, T.MapType)):
+        return 100
+    return 20
+
+
+def row_bound_for(df: DataFrame, max_rows: int) -> int:
+    """``max_rows`` tightened by the byte bound and the width of ``df``'s rows."""
+    spark = df.sparkSession
+    max_bytes = int(spark.conf.get(BROADCAST_BYTES_CONF, str(DEFAULT_BROADCAST_BYTES)))
+    width = max(8, sum(_width(f.dataType) for f in df.schema.fields))
+    return min(max_rows, max_bytes // width)
+
+
+def fits_broadcast(df: DataFrame, max_rows: int, upper_bound_of: DataFrame | None = None) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows and fits the byte bound.
+
+    The rows are counted with ``limit(n + 1).count()`` on ``upper_bound_of``
+    when given - a relation with at least as many rows as ``df`` (e.g. the
+    source table of a projected dimension; counting it reads no column) - else
+    on ``df`` itself.
+    """
+    bound = row_bound_for(df, max_rows) if max_rows > 0 else 0
+    if bound <= 0:
         return False
-    return df.limit(max_rows + 1).count() <= max_rows
+    counted = (upper_bound_of if upper_bound_of is not None else df).select()
+    return counted.limit(bound + 1).count() <= bound
 
 
 def unique_on(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
