@@ -157,13 +157,30 @@ def decompose(metric: Metric, schema: T.StructType) -> Decomposition:
     )
 
 
-def merge_for_published(metric: Metric) -> Column:
-    """Re-aggregate an already conformed metric column (coarser grain)."""
+def merge_for_published(metric: Metric, rows=None) -> Column:
+    """Re-aggregate an already conformed (published) metric column.
+
+    sum/count add up, min/max take the extreme; avg and count_distinct raise.
+    When ``rows`` (any row-level input of the fact; used for types only, no
+    job) shows that the sum expression is DECIMAL(p, s), the published DOUBLE
+    values are merged as DECIMAL(38, s): a DOUBLE converted from a DECIMAL with
+    s digits converts back to the same DECIMAL, so the merge is exact.
+    """
     agg = metric.aggregation
-    if not metric.is_additive:
+    if agg in ("avg", "count_distinct") or not metric.is_additive:
         raise NonAdditiveMetricError(
             f"Metric '{metric.name}' ({agg}) is not additive; recompute it from the source "
-            f"instead of rolling up the fact."
+            f"instead of merging published values."
         )
-    fn = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}[agg]
-    return fn(F.col(metric.name)).alias(metric.name)
+    c = F.col(metric.name)
+    if agg == "sum":
+        exact = rows.agg(raw_aggregate(metric)).schema.fields[0].dataType if rows is not None else None
+        merged = F.sum(c.cast(T.DecimalType(38, exact.scale))) if isinstance(exact, T.DecimalType) else F.sum(c)
+    elif agg == "count":
+        merged = F.sum(c)
+    else:
+        merged = getattr(F, agg)(c)
+    t = target_type(metric, rows.schema) if rows is not None else AGGREGATION_TYPE.get(agg)
+    if agg in ("min", "max") and rows is None:
+        t = None
+    return (merged.cast(t) if t is not None else merged).alias(metric.name)

@@ -150,13 +150,15 @@ def rollup_states(
     return merged.select(*group, *[p.finish for p in parts])
 
 
-def rollup_fact(fact_df: DataFrame, fact: Fact, keys: Sequence[str], grain: str | None = None) -> DataFrame:
+def rollup_fact(fact_df: DataFrame, fact: Fact, keys: Sequence[str], grain: str | None = None,
+                rows: DataFrame | None = None) -> DataFrame:
     """Roll an already published (conformed) fact up to a coarser grain.
 
     Allowed for sum/count/min/max; avg and count_distinct are not re-aggregable
     and raise ``NonAdditiveMetricError`` (recompute them from the source).
+    ``rows`` (the fact's row-level input, types only) makes DECIMAL sums exact.
     """
-    merges = [merge_for_published(m) for m in fact.metrics]
+    merges = [merge_for_published(m, rows) for m in fact.metrics]
     group = list(keys)
     if grain is not None:
         _check_grain(fact, grain)

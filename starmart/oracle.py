@@ -198,3 +198,9 @@ WHERE EXTRACT(year FROM o.o_orderdate) >= 1997 GROUP BY c.c_mktsegment, CAST(dat
 ORACLE_SQL["mart_publish"] = """
 SELECT o_custkey, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total_revenue, COUNT(o_orderkey) AS order_count FROM orders GROUP BY o_custkey
 """
+
+ORACLE_SQL["mart_catalog_rollup"] = """
+SELECT r.r_name, CAST(date_trunc('quarter', o.o_orderdate) AS DATE) AS period, CAST(SUM(CAST(o.o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total_revenue, COUNT(o.o_orderkey) AS order_count
+FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
+GROUP BY r.r_name, CAST(date_trunc('quarter', o.o_orderdate) AS DATE)
+"""

@@ -7,6 +7,7 @@ names match the DuckDB oracle in :mod:`starmart.oracle`.
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from starmart.operators.facts import build_fact, build_fact_states
 from starmart.operators.star import answer, rollup_states, star_rollup
 from starmart.plans import tpch_mart as M
 from starmart.session import scratch_path
+from starmart.sinks.catalog import publish_to_catalog, rollup_published
 from starmart.sinks.publish import publish_mart, write_table
 from starmart.sources.tables import load_tables
 from starmart.spec import Fact, Intent, Join, MartSpec, Metric
@@ -344,6 +346,24 @@ def mart_publish(spark, sf_dir):
     return mart.read(spark)["fact_orders"]
 
 
+GEO_MART = MartSpec(
+    "geo",
+    facts=(Fact("fact_orders_monthly", ("orders",), (M.REVENUE, M.ORDER_COUNT), ("o_custkey",),
+                key_map={"o_custkey": "dim_customer_geo"}, time_column="o_orderdate", time_grain="monthly"),),
+    dimensions=(M.DIM_CUSTOMER_GEO,),
+)
+
+
+@query("mart_catalog_rollup")
+def mart_catalog_rollup(spark, sf_dir):
+    """Publish a monthly fact and its snowflaked dimension as bucketed catalog
+    tables, then answer quarterly revenue by region from the published mart."""
+    t = _tables(spark, sf_dir)
+    db = f"starmart_geo_{uuid.uuid4().hex[:8]}"
+    publish_to_catalog(GEO_MART, t, db, f"{scratch_path(spark, 'warehouse')}/{db}", buckets=16)
+    return rollup_published(spark, GEO_MART, db, "fact_orders_monthly", ["r_name"], grain="quarterly", tables=t)
+
+
 INCREMENTAL_SPLIT = "2024-01-16"
 
 

@@ -3,22 +3,25 @@
 Layout under ``root`` (a shared folder, e.g. under ``spark.checkpoint.dir``)::
 
     root/<run_id>/<table>/        one folder per table of one run (never reused)
-    root/_current/                one-row JSON table naming the published run
+    root/_published/              append-only JSON log: one row per published run
 
 A run writes every dimension, then every fact, reads them back (the written
 tables cut the lineage: checks do not recompute the build), runs the check
-report on the written tables, and only then moves ``_current`` to the run.  A
-failing check leaves the previous run published and raises.  Nothing is renamed
-or deleted, so a lost executor can only fail a write that is simply retried.
+report on the written tables, and only then appends the run to the log; the
+current mart is the latest logged run.  A failing check leaves the previous run
+current and raises.  Nothing is renamed, overwritten or deleted, so a lost
+executor can only fail a write that is simply retried.
 """
 
 from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from datetime import datetime, timezone
 from typing import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from starmart.errors import CheckFailedError
 from starmart.operators.checks import check_report, failures
@@ -26,7 +29,7 @@ from starmart.operators.dims import build_dimension
 from starmart.operators.facts import build_fact
 from starmart.spec import MartSpec, validate_spec
 
-CURRENT = "_current"
+PUBLISHED_LOG = "_published"
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "errorifexists") -> None:
@@ -82,12 +85,18 @@ def publish_mart(spec: MartSpec, tables: Mapping[str, DataFrame], root: str, run
                             for b in bad),
                 bad,
             )
-    pointer = spark.createDataFrame([(run_id, ",".join(mart.tables))], "run_id string, tables string")
-    pointer.coalesce(1).write.mode("overwrite").json(f"{root}/{CURRENT}")
+    stamp = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
+    entry = spark.createDataFrame([(stamp, run_id, ",".join(mart.tables))],
+                                  "published_at string, run_id string, tables string")
+    entry.coalesce(1).write.mode("append").json(f"{root}/{PUBLISHED_LOG}")
     return mart
 
 
 def current_mart(spark: SparkSession, root: str) -> PublishedMart:
-    """The published run under ``root``."""
-    row = spark.read.json(f"{root.rstrip('/')}/{CURRENT}").first()
+    """The latest published run under ``root``."""
+    log = spark.read.schema("published_at string, run_id string, tables string").json(
+        f"{root.rstrip('/')}/{PUBLISHED_LOG}")
+    row = log.orderBy(F.col("published_at").desc(), F.col("run_id").desc()).first()
+    if row is None:
+        raise FileNotFoundError(f"no mart has been published under {root}")
     return PublishedMart(root.rstrip("/"), row["run_id"], tuple(row["tables"].split(",")))

@@ -17,41 +17,19 @@ from __future__ import annotations
 from typing import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starmart.errors import NonAdditiveMetricError
-from starmart.functions.metrics import raw_aggregate, target_type
+from starmart.functions.metrics import merge_for_published
 from starmart.operators.facts import build_fact, fact_keys, fact_rows
 from starmart.sinks.publish import write_table
 from starmart.spec import Fact, MartSpec
 
 
-def _merge_column(metric, rows: DataFrame) -> F.Column:
-    agg = metric.aggregation
-    if agg in ("avg", "count_distinct") or not metric.is_additive:
-        raise NonAdditiveMetricError(
-            f"Metric '{metric.name}' ({agg}) cannot be merged incrementally; rebuild the fact.")
-    c = F.col(metric.name)
-    if agg == "sum":
-        exact = rows.agg(raw_aggregate(metric)).schema.fields[0].dataType
-        if isinstance(exact, T.DecimalType):
-            c = F.sum(c.cast(T.DecimalType(38, exact.scale)))
-        else:
-            c = F.sum(c)
-    elif agg == "count":
-        c = F.sum(c)
-    else:
-        c = getattr(F, agg)(c)
-    t = target_type(metric, rows.schema)
-    return (c.cast(t) if t is not None else c).alias(metric.name)
-
-
 def merge_fact(current: DataFrame, delta: DataFrame, fact: Fact, rows: DataFrame) -> DataFrame:
     """``current`` and ``delta`` are facts of ``fact`` (same columns); ``rows`` is
     any row-level input of the fact (used for types only, no job)."""
     keys = fact_keys(fact)
-    merges = [_merge_column(m, rows) for m in fact.metrics]
+    merges = [merge_for_published(m, rows) for m in fact.metrics]
     both = current.select(*delta.columns).unionByName(delta)
     return both.groupBy(*keys).agg(*merges) if keys else both.agg(*merges)
 
