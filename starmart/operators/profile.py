@@ -8,6 +8,7 @@ replication) at the caller's choice.
 
 from __future__ import annotations
 
+import re
 from itertools import combinations
 from typing import Iterable, Mapping, Sequence
 
@@ -162,3 +163,31 @@ def shortlist_keys(df: DataFrame, rsd: float = 0.05, pairs: bool = True) -> list
     if singles or not pairs:
         return singles
     return keep(list(combinations(cols, 2)))
+
+
+_STATS_ROWS = re.compile(r"(\d+)\s+rows")
+
+
+def stats_row_counts(spark, names: Sequence[str], database: str | None = None, analyze: bool = False) -> DataFrame:
+    """``(table_name, row_count)`` from catalog statistics, without scanning.
+
+    The count comes from the ``Statistics`` entry of ``DESCRIBE TABLE
+    EXTENDED``; a missing entry or *any* failure gives NULL for that table and
+    never aborts the others.  ``analyze=True`` first runs ``ANALYZE TABLE …
+    COMPUTE STATISTICS`` (that one does scan).
+    """
+    out = []
+    for n in names:
+        ident = f"`{database}`.`{n}`" if database else f"`{n}`"
+        count = None
+        try:
+            if analyze:
+                spark.sql(f"ANALYZE TABLE {ident} COMPUTE STATISTICS")
+            for r in spark.sql(f"DESCRIBE TABLE EXTENDED {ident}").collect():
+                if r["col_name"] == "Statistics":
+                    m = _STATS_ROWS.search(r["data_type"] or "")
+                    count = int(m.group(1)) if m else None
+        except Exception:  # statistics are optional: report NULL, keep going
+            count = None
+        out.append((n, count))
+    return spark.createDataFrame(out, "table_name string, row_count bigint")
