@@ -10,7 +10,6 @@ types, and fact keys to the type of the dimension key they reference.
 
 from __future__ import annotations
 
-import datetime as _dt
 from typing import Mapping
 
 from pyspark.sql import DataFrame
@@ -38,10 +37,11 @@ def apply_filters(df: DataFrame, filters: Mapping[str, str], time_column: str |
             year = int(value)
             t = column_type(df.schema, time_column)
             col = F.col(time_column)
+            # String literals cast to the column type: independent of time zones.
             if isinstance(t, T.TimestampNTZType):
-                df = df.where(col >= F.lit(_dt.datetime(year, 1, 1)).cast("timestamp_ntz"))
+                df = df.where(col >= F.lit(f"{year:04d}-01-01 00:00:00").cast("timestamp_ntz"))
             elif isinstance(t, T.DateType):
-                df = df.where(col >= F.lit(_dt.date(year, 1, 1)))
+                df = df.where(col >= F.lit(f"{year:04d}-01-01").cast("date"))
             else:
                 df = df.where(F.year(col) >= year)
         else:
