@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starmart.operators.profile import candidate_keys, key_like_columns, shortlist_keys
+from starmart.operators.profile import candidate_keys, key_like_columns, shortlist_keys_many
 
 FK_SCHEMA = ("child_table string, child_column string, parent_table string, parent_column string")
 
@@ -99,10 +99,14 @@ def foreign_keys(tables: Mapping[str, DataFrame],
     )
 
 
-def discover_keys(tables: Mapping[str, DataFrame], names: Sequence[str] | None = None) -> DataFrame:
-    """Exact candidate keys of each table (HyperLogLog shortlist, exact confirm)."""
+def discover_keys(tables: Mapping[str, DataFrame], names: Sequence[str] | None = None,
+                  pairs: bool = True) -> DataFrame:
+    """Exact candidate keys of each table (HyperLogLog shortlist, exact confirm).
+
+    Column pairs are tried only for tables without a single-column key."""
     names = list(names if names is not None else tables)
-    candidates = [(t, list(s)) for t in names for s in shortlist_keys(tables[t])]
+    short = shortlist_keys_many(tables, names, pairs=pairs)
+    candidates = [(t, list(s)) for t in names for s in short[t]]
     return candidate_keys(tables, candidates)
 
 
@@ -158,7 +162,8 @@ def star_candidates(tables: Mapping[str, DataFrame], keys: DataFrame | None = No
     """
     names = list(names if names is not None else tables)
     if keys is None:
-        keys = discover_keys(tables, names)
+        # Parents of a star are single-column keys: no pair search needed here.
+        keys = discover_keys(tables, names, pairs=False)
     key_rows = [(r["table_name"], r["key_columns"]) for r in keys.where("is_key").collect()]
     single = [(t, k) for t, k in key_rows if "," not in k]
     cands = fk_candidates(tables, single, names)
@@ -182,3 +187,51 @@ def star_candidates(tables: Mapping[str, DataFrame], keys: DataFrame | None = No
             .select(F.col("child_table").alias("fact_table"), F.col("child_column").alias("fact_key"),
                     F.col("parent_table").alias("dimension_table"), F.col("parent_column").alias("dimension_key"),
                     "parent_coverage", "name_match", F.col("rank").cast("int").alias("rank"), "n_measures"))
+
+
+def propose_marts(tables: Mapping[str, DataFrame], names: Sequence[str] | None = None,
+                  min_coverage: float = 0.9, candidates: DataFrame | None = None) -> list:
+    """Buildable star proposals, best first.
+
+    Each fact-candidate table becomes a ``MartSpec``: its foreign keys are the
+    rank-1 links that either share a name suffix with the parent key or cover at
+    least ``min_coverage`` of the parent's values (dense integer keys include
+    each other by accident; such weak links are dropped); every numeric non-key
+    column becomes a SUM metric, plus a row count; each referenced parent
+    becomes a dimension with its other columns as attributes.  Only the ranked
+    report (one row per candidate link) reaches the driver.
+    """
+    from starmart.spec import Dimension, Fact, MartSpec, Metric
+
+    names = list(names if names is not None else tables)
+    cands = candidates if candidates is not None else star_candidates(tables, names=names)
+    links = [r.asDict() for r in cands.where(
+        (F.col("rank") == 1) & (F.col("name_match") | (F.col("parent_coverage") >= min_coverage))).collect()]
+    by_fact: dict[str, list[dict]] = {}
+    for r in links:
+        by_fact.setdefault(r["fact_table"], []).append(r)
+    own_keys = {(r["dimension_table"], r["dimension_key"]) for r in links}
+    specs = []
+    for fact_table, fks in by_fact.items():
+        fks.sort(key=lambda r: r["fact_key"])
+        schema = tables[fact_table].schema
+        fk_cols = {r["fact_key"] for r in fks}
+        measures = [f.name for f in schema.fields
+                    if isinstance(f.dataType, (T.FloatType, T.DoubleType, T.DecimalType, T.IntegralType))
+                    and f.name not in fk_cols and (fact_table, f.name) not in own_keys
+                    and not isinstance(f.dataType, T.IntegralType)]
+        metrics = [Metric(f"sum_{c}", "sum", c) for c in measures] + [Metric("row_count", "count")]
+        dims, key_map = [], {}
+        for r in fks:
+            parent, pkey = r["dimension_table"], r["dimension_key"]
+            dname = f"dim_{parent}"
+            if dname not in [d.name for d in dims]:
+                attrs = tuple(c for c in tables[parent].columns if c != pkey)
+                dims.append(Dimension(dname, parent, pkey, attrs))
+            key_map[r["fact_key"]] = dname
+        fact = Fact(f"fact_{fact_table}", (fact_table,), tuple(metrics), tuple(r["fact_key"] for r in fks),
+                    key_map=key_map)
+        specs.append(MartSpec(f"{fact_table}_mart", (fact,), tuple(dims),
+                              description=f"proposed from discovered keys of {fact_table}"))
+    specs.sort(key=lambda s: (-len(s.dimensions), -len(s.facts[0].metrics), s.mart_name))
+    return specs

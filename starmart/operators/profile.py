@@ -129,40 +129,63 @@ def key_like_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, _KEY_TYPES)]
 
 
-def _hll_pass(df: DataFrame, sets: list[tuple[str, ...]], rsd: float):
+def _hll_report(df: DataFrame, table: str, sets: list[tuple[str, ...]], rsd: float) -> DataFrame:
+    """One aggregate pass over ``df``: rows, and per column set its HLL distinct
+    estimate and the number of rows with a NULL in it, as long-format rows."""
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, cols in enumerate(sets):
-        value = F.col(cols[0]) if len(cols) == 1 else F.struct(*cols)
+        # A column set is sketched through one 64-bit hash of its values.
+        value = F.col(cols[0]) if len(cols) == 1 else F.xxhash64(*cols)
         nn = None
         for c in cols:
             cond = F.col(c).isNotNull()
             nn = cond if nn is None else nn & cond
         aggs += [F.approx_count_distinct(value, rsd).alias(f"__d{i}"), F.count_if(~nn).alias(f"__z{i}")]
-    return df.agg(*aggs).first()
+    return df.agg(*aggs).select(F.explode(F.array(*[
+        F.struct(F.lit(table).alias("t"), F.lit(i).alias("i"), F.col("__rows").alias("n"),
+                 F.col(f"__d{i}").alias("d"), F.col(f"__z{i}").alias("z"))
+        for i in range(len(sets))
+    ])).alias("x")).select("x.*")
+
+
+def _keep(tables, per_table: dict[str, list[tuple[str, ...]]], rsd: float) -> dict[str, list[tuple[str, ...]]]:
+    parts = [_hll_report(tables[t], t, sets, rsd) for t, sets in per_table.items() if sets]
+    out: dict[str, list[tuple[str, ...]]] = {t: [] for t in per_table}
+    if not parts:
+        return out
+    report = parts[0]
+    for p in parts[1:]:
+        report = report.unionByName(p)
+    slack = max(1.0 - 4 * rsd, 0.0)
+    for r in report.collect():  # one row per column set: a bounded report
+        if r["z"] == 0 and r["d"] >= r["n"] * slack:
+            out[r["t"]].append(per_table[r["t"]][r["i"]])
+    for t in out:
+        out[t].sort(key=per_table[t].index)
+    return out
 
 
-def shortlist_keys(df: DataFrame, rsd: float = 0.05, pairs: bool = True) -> list[tuple[str, ...]]:
-    """Column sets that *may* be keys, from HyperLogLog passes (the driver gets
-    one row of counts per pass).  Single columns first; column pairs only when
-    no single column qualifies.  Confirm with :func:`candidate_keys`.
+def shortlist_keys_many(tables: Mapping[str, DataFrame], names: Sequence[str], rsd: float = 0.05,
+                        pairs: bool = True) -> dict[str, list[tuple[str, ...]]]:
+    """Column sets that *may* be keys, per table, from HyperLogLog passes run
+    as one job for all tables (the driver gets one row per column set).
 
-    The sketch only prunes: anything within 4 relative standard errors of the
-    row count stays a candidate, and the exact test decides.
+    Single columns first; column pairs only for tables where no single column
+    qualifies.  The sketch only prunes: anything within 4 relative standard
+    errors of the row count stays a candidate, and :func:`candidate_keys`
+    decides exactly.
     """
-    cols = key_like_columns(df)
-    slack = max(1.0 - 4 * rsd, 0.0)
+    singles = _keep(tables, {t: [(c,) for c in key_like_columns(tables[t])] for t in names}, rsd)
+    if not pairs:
+        return singles
+    need = {t: list(combinations(key_like_columns(tables[t]), 2)) for t in names if not singles[t]}
+    found = _keep(tables, need, rsd) if need else {}
+    return {t: singles[t] or found.get(t, []) for t in names}
 
-    def keep(sets):
-        if not sets:
-            return []
-        row = _hll_pass(df, sets, rsd)
-        n = row["__rows"]
-        return [s for i, s in enumerate(sets) if row[f"__z{i}"] == 0 and row[f"__d{i}"] >= n * slack]
 
-    singles = keep([(c,) for c in cols])
-    if singles or not pairs:
-        return singles
-    return keep(list(combinations(cols, 2)))
+def shortlist_keys(df: DataFrame, rsd: float = 0.05, pairs: bool = True) -> list[tuple[str, ...]]:
+    """:func:`shortlist_keys_many` for one DataFrame."""
+    return shortlist_keys_many({"t": df}, ["t"], rsd, pairs)["t"]
 
 
 _STATS_ROWS = re.compile(r"(\d+)\s+rows")

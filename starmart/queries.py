@@ -93,6 +93,14 @@ def star_candidates(spark, sf_dir):
     return discover.star_candidates(t, names=["region", "nation", "customer", "supplier", "part", "orders", "lineitem"])
 
 
+@query("proposed_fact")
+def proposed_fact(spark, sf_dir):
+    """The best discovered proposal, built: the re-aim of a model-made proposal."""
+    t = _tables(spark, sf_dir)
+    best = discover.propose_marts(t, ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"])[0]
+    return build_fact(best.facts[0], t, best)
+
+
 # -- D: dimensions ---------------------------------------------------------------
 
 @query("dim_customer")
