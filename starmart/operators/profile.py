@@ -72,19 +72,44 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, table_n
     return wide.select(stacked).select(F.lit(table_name).cast("string").alias("table_name"), "p.*")
 
 
+def _k_smallest_per_partition(columns: Sequence[str], k: int):
+    """mapInPandas body: the k smallest distinct non-null strings of each column
+    in this partition (Python compares code points, i.e. UTF-8 byte order, the
+    same order Spark sorts strings in)."""
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        best = {c: np.array([], dtype=object) for c in columns}
+        for pdf in batches:
+            for i, c in enumerate(columns):
+                vals = pdf.iloc[:, i].dropna().to_numpy(dtype=object)
+                if len(best[c]) == k:
+                    vals = vals[vals < best[c][-1]]
+                if len(vals):
+                    best[c] = np.unique(np.concatenate([best[c], vals]))[:k]
+        out = [(c, v) for c in columns for v in best[c]]
+        if out:
+            yield pd.DataFrame(out, columns=["column_name", "sample_value"])
+
+    return run
+
+
 def sample_values(df: DataFrame, columns: Sequence[str], k: int = 5, table_name: str | None = None) -> DataFrame:
     """At most ``k`` distinct non-null values per column, as strings.
 
     The k smallest values (string order) are taken, so the result is
-    deterministic.  Values are de-duplicated per (column, value) before the
-    per-column top-k, and the top-k is a row_number filter Spark evaluates with
-    a partial per-partition limit, so no column's full domain meets in one task.
+    deterministic.  Each task first keeps only its own k smallest distinct
+    values per column (``mapInPandas`` over Arrow batches, values cast to
+    string in the JVM), so at most k x columns rows per partition are shuffled
+    however large or skewed the column is; the global k smallest are always
+    among them.  The final top-k is a row_number filter (partial per-partition
+    limit, then one small window).
     """
-    pairs = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("sample_value"))
-        for c in columns
-    ])).alias("s")).select("s.*")
-    distinct = pairs.where(F.col("sample_value").isNotNull()).distinct()
+    columns = list(columns)
+    strings = df.select(*[F.col(c).cast("string").alias(f"__v{i}") for i, c in enumerate(columns)])
+    local = strings.mapInPandas(_k_smallest_per_partition(columns, k), "column_name string, sample_value string")
+    distinct = local.distinct()
     w = Window.partitionBy("column_name").orderBy("sample_value")
     out = distinct.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k).drop("__rn")
     if table_name is not None:
