@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pyspark.errors import AnalysisException
+
 from starmart.errors import SpecError
 from starmart.functions.grain import PERIOD, period
-from starmart.functions.metrics import aggregate, column_type, decompose
-from starmart.plans.joins import many_to_one
+from starmart.functions.metrics import aggregate, column_type, decompose, decomposable, raw_aggregate
+from starmart.plans.joins import broadcast_bound, fits_broadcast, many_to_one
 from starmart.spec import YEAR_FROM, Fact, MartSpec, validate_fact
 
 
@@ -91,16 +93,71 @@ def _key_columns(fact: Fact, rows: DataFrame, tables: Mapping[str, DataFrame], s
     return cols
 
 
+def _only_primary(metric, primary: DataFrame) -> bool:
+    """Does the metric aggregate columns of the primary table only?  Decided by
+    Spark's analyzer on the schema (no job)."""
+    try:
+        primary.agg(raw_aggregate(metric))
+        return True
+    except AnalysisException:
+        return False
+
+
+def _preaggregated(fact: Fact, tables: Mapping[str, DataFrame], spec: MartSpec | None,
+                   broadcast_rows: int | None) -> DataFrame | None:
+    """Multi-source fact whose secondary side is too large to broadcast:
+    aggregate the primary rows to (primary keys, join keys) partial states
+    first - a hot join key becomes one row per group before any shuffle - then
+    join and merge.  ``None`` when the metrics do not allow it."""
+    primary = tables[fact.primary_table]
+    here = set(primary.columns)
+    if not fact.metrics or not all(decomposable(m) and _only_primary(m, primary) for m in fact.metrics):
+        return None
+    bound = broadcast_bound(primary.sparkSession, broadcast_rows)
+    if all(fits_broadcast(tables[j.table], bound) for j in fact.joins):
+        return None  # broadcast joins stream the rows; nothing to gain
+    rows = fact_rows(fact, tables, broadcast_rows)  # types of the full rows (analysis only)
+    parts = [decompose(m, rows.schema) for m in fact.metrics]
+    early = {k: v for k, v in fact.filters.items()
+             if (k == YEAR_FROM and fact.time_column in here) or k in here}
+    late = {k: v for k, v in fact.filters.items() if k not in early}
+    pre = apply_filters(primary, early, fact.time_column)
+    period_early = fact.time_grain is not None and fact.time_column in here
+    if period_early:
+        pre = pre.withColumn(PERIOD, period(fact.time_column, fact.time_grain))
+    group = [k for k in fact_keys(fact) if k in pre.columns]
+    group += [c for j in fact.joins for c in j.left_on if c in here and c not in group]
+    group += [c for p in parts for c in p.extra_keys if c not in group]
+    if fact.time_grain is not None and not period_early and fact.time_column in here:
+        group.append(fact.time_column)
+    pre = pre.groupBy(*group).agg(*[s for p in parts for s in p.states])
+    for j in fact.joins:
+        pre = many_to_one(pre, tables[j.table], j.left_on, j.right_on, j.how,
+                          what=f"fact '{fact.name}' source '{j.table}'", broadcast_rows=broadcast_rows)
+    pre = apply_filters(pre, late, fact.time_column)
+    if fact.time_grain is not None and not period_early:
+        pre = pre.withColumn(PERIOD, period(fact.time_column, fact.time_grain))
+    keys = _key_columns(fact, rows, tables, spec)
+    merges = [m for p in parts for m in p.merges]
+    merged = pre.groupBy(*keys).agg(*merges) if keys else pre.agg(*merges)
+    return merged.select(*fact_keys(fact), *[p.finish for p in parts])
+
+
 def build_fact(fact: Fact, tables: Mapping[str, DataFrame], spec: MartSpec | None = None,
                broadcast_rows: int | None = None) -> DataFrame:
     """Keys first, then metrics in order.
 
     No keys -> one grand-total row; no metrics -> distinct key combinations.
     NULL keys form their own group and NULL metric results stay NULL (the checks
-    report both; rows are never dropped).
+    report both; rows are never dropped).  A multi-source fact whose secondary
+    side exceeds the broadcast bound is aggregated before its shuffle join.
     """
     if spec is not None:
         validate_fact(fact, tables, spec)
+    if fact.joins:
+        pre = _preaggregated(fact, tables, spec, broadcast_rows)
+        if pre is not None:
+            return pre
     rows = fact_rows(fact, tables, broadcast_rows)
     keys = _key_columns(fact, rows, tables, spec)
     metrics = [aggregate(m, rows.schema) for m in fact.metrics]
