@@ -9,14 +9,18 @@ count_distinct cannot be merged this way and raise.
 
 Every refresh writes a *new* version folder (never the folder being read); the
 streaming variant names versions by micro-batch id, so a replayed batch
-rewrites the same version from the same immutable inputs (idempotent).
+rewrites the same version from the same immutable inputs (idempotent), and
+appends the version to a commit log only after its data is written; readers
+take the latest logged version (``read_current``).
 """
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
 from typing import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starmart.functions.metrics import merge_for_published
@@ -46,10 +50,33 @@ def refresh_fact(fact: Fact, current_path: str, delta_tables: Mapping[str, DataF
     return spark.read.parquet(new_path)
 
 
+VERSION_LOG = "_versions"
+
+
 def version_path(root: str, version: int) -> str:
     return f"{root.rstrip('/')}/v={version}"
 
 
+def log_version(spark: SparkSession, root: str, version: int) -> None:
+    """Append ``version`` to the root's commit log (after its data is written)."""
+    stamp = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
+    spark.createDataFrame([(version, stamp)], "version bigint, written_at string").coalesce(1) \
+        .write.mode("append").json(f"{root.rstrip('/')}/{VERSION_LOG}")
+
+
+def current_version(spark: SparkSession, root: str) -> int:
+    """Latest version whose write completed (a replayed batch may log twice)."""
+    log = spark.read.schema("version bigint, written_at string").json(f"{root.rstrip('/')}/{VERSION_LOG}")
+    row = log.agg(F.max("version").alias("v")).first()
+    if row is None or row["v"] is None:
+        raise FileNotFoundError(f"no version has been written under {root}")
+    return int(row["v"])
+
+
+def read_current(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.parquet(version_path(root, current_version(spark, root)))
+
+
 def start_fact_stream(
     spark: SparkSession,
     fact: Fact,
@@ -82,6 +109,7 @@ def start_fact_stream(
         else:
             merged = merge_fact(batch.sparkSession.read.parquet(prev), delta, fact, fact_rows(fact, tables))
         write_table(merged, out, mode="overwrite")
+        log_version(batch.sparkSession, mart_root, epoch_id)
         if on_version is not None:
             on_version(epoch_id, out)
 
