@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from starmart.functions.grain import PERIOD
 from starmart.operators.dims import build_dimension
 from starmart.operators.facts import build_fact, fact_keys
+from starmart.plans.joins import broadcast_bound, fits_broadcast
 from starmart.spec import MartSpec
 
 REPORT_SCHEMA = "table_name string, column_name string, check_name string, n_violations bigint, passed boolean"
@@ -88,27 +89,52 @@ def unique_violations(df: DataFrame, column: str | Sequence[str], table: str = "
     return _report(dup.agg(F.count(F.lit(1)).alias("n")), table, ",".join(cols), "unique")
 
 
-def _orphan_keys(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
+def _parent_keys(parent: DataFrame, pk: str, alias: str) -> DataFrame:
+    return parent.select(F.col(pk).alias(alias)).where(F.col(alias).isNotNull())
+
+
+def _orphan_keys(child: DataFrame, fk: str, parent: DataFrame, pk: str,
+                 broadcast_rows: int | None = None) -> DataFrame:
+    """``(__k, __rows)``: distinct orphan child keys with their row counts.
+
+    Parent keys within the broadcast bound: broadcast anti join (Catalyst then
+    anti-joins the raw child rows map-side and aggregates only the orphans).
+    Beyond it: child keys are aggregated first (a hot key becomes one row)
+    and left-joined to the distinct parent keys, so no raw child row is
+    shuffled for the join.
+    """
+    parent_keys = _parent_keys(parent, pk, "__k")
     keys = child.where(F.col(fk).isNotNull()).groupBy(F.col(fk).alias("__k")).agg(
         F.count(F.lit(1)).alias("__rows"))
-    parent_keys = parent.select(F.col(pk).alias("__k")).where(F.col("__k").isNotNull())
-    return keys.join(parent_keys, "__k", "left_anti")
+    if fits_broadcast(parent_keys, broadcast_bound(parent.sparkSession, broadcast_rows), upper_bound_of=parent):
+        return keys.join(F.broadcast(parent_keys), "__k", "left_anti")
+    found = parent_keys.distinct().select("__k", F.lit(True).alias("__found"))
+    return keys.join(found, "__k", "left").where(F.col("__found").isNull()).drop("__found")
 
 
 def relationship_violations(child: DataFrame, fk: str, parent: DataFrame, pk: str, table: str = "",
-                            distinct_keys: bool = False) -> DataFrame:
+                            distinct_keys: bool = False, broadcast_rows: int | None = None) -> DataFrame:
     """Child rows (or, with ``distinct_keys``, distinct child keys) whose
     non-null key is missing from the parent."""
-    orphans = _orphan_keys(child, fk, parent, pk)
+    orphans = _orphan_keys(child, fk, parent, pk, broadcast_rows)
     n = F.count(F.lit(1)) if distinct_keys else F.coalesce(F.sum("__rows"), F.lit(0))
     return _report(orphans.agg(n.alias("n")), table, fk, "relationships")
 
 
-def orphan_rows(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
-    """The child rows themselves whose non-null key has no parent."""
-    parent_keys = parent.select(F.col(pk).alias("__pk")).where(F.col("__pk").isNotNull())
-    return child.where(F.col(fk).isNotNull()).join(
-        parent_keys, child[fk] == parent_keys["__pk"], "left_anti")
+def orphan_rows(child: DataFrame, fk: str, parent: DataFrame, pk: str,
+                broadcast_rows: int | None = None) -> DataFrame:
+    """The child rows themselves whose non-null key has no parent.
+
+    Small parent: broadcast anti join.  Large parent: the orphan *keys* are
+    found on pre-aggregated keys first, then the child rows are semi-joined to
+    them (usually few, so AQE broadcasts them at run time)."""
+    rows = child.where(F.col(fk).isNotNull())
+    parent_keys = _parent_keys(parent, pk, "__pk")
+    if fits_broadcast(parent_keys, broadcast_bound(parent.sparkSession, broadcast_rows), upper_bound_of=parent):
+        pk_b = F.broadcast(parent_keys)
+        return rows.join(pk_b, rows[fk] == pk_b["__pk"], "left_anti")
+    orphan = _orphan_keys(child, fk, parent, pk, broadcast_rows).select(F.col("__k").alias("__ok"))
+    return rows.join(orphan, rows[fk] == orphan["__ok"], "left_semi")
 
 
 def _is_string(t: T.DataType) -> bool:

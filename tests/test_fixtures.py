@@ -208,3 +208,20 @@ def test_fixture9_nulls(spark):
                       ("f", "customer_id", "relationships"): 1}
     orphans = checks.orphan_rows(orders, "customer_id", parents, "customer_id").collect()
     assert [r.order_id for r in orphans] == [5]
+
+
+def test_relationship_strategies_agree(spark):
+    """Broadcast anti join and pre-aggregated left join give the same counts,
+    also when one orphan key holds a third of the child rows."""
+    rows = [(i, 999 if i % 3 == 0 else (i % 5) + 1) for i in range(300)] + [(1000, None)]
+    child = spark.createDataFrame(rows, "id int, fk int")
+    parent = spark.createDataFrame([(k,) for k in range(1, 5)], "pk int")
+    small = checks.relationship_violations(child, "fk", parent, "pk", broadcast_rows=10**6).first()
+    large = checks.relationship_violations(child, "fk", parent, "pk", broadcast_rows=0).first()
+    expect = sum(1 for _, fk in rows if fk is not None and fk not in (1, 2, 3, 4))
+    assert small.n_violations == large.n_violations == expect
+    keys_small = checks.relationship_violations(child, "fk", parent, "pk", distinct_keys=True).first()
+    assert keys_small.n_violations == 2  # 999 and 5
+    a = sorted(r.id for r in checks.orphan_rows(child, "fk", parent, "pk", broadcast_rows=10**6).collect())
+    b = sorted(r.id for r in checks.orphan_rows(child, "fk", parent, "pk", broadcast_rows=0).collect())
+    assert a == b and len(a) == expect
