@@ -143,6 +143,19 @@ def _preaggregated(fact: Fact, tables: Mapping[str, DataFrame], spec: MartSpec |
     return merged.select(*fact_keys(fact), *[p.finish for p in parts])
 
 
+def check_metric_expressions(fact: Fact, rows: DataFrame) -> None:
+    """Every metric must analyse against the fact's rows (schema only, no job);
+    the first failure raises ``SpecError`` naming fact, metric and expression."""
+    for m in fact.metrics:
+        try:
+            rows.agg(aggregate(m, rows.schema))
+        except AnalysisException as e:
+            raise SpecError(
+                f"Fact '{fact.name}' metric '{m.name}' ({m.expression or m.aggregation}) does not resolve "
+                f"against its rows: {str(e).splitlines()[0]} Available columns: {sorted(rows.columns)}."
+            ) from None
+
+
 def build_fact(fact: Fact, tables: Mapping[str, DataFrame], spec: MartSpec | None = None,
                broadcast_rows: int | None = None) -> DataFrame:
     """Keys first, then metrics in order.
@@ -154,6 +167,7 @@ def build_fact(fact: Fact, tables: Mapping[str, DataFrame], spec: MartSpec | Non
     """
     if spec is not None:
         validate_fact(fact, tables, spec)
+    check_metric_expressions(fact, fact_rows(fact, tables, broadcast_rows=0))
     if fact.joins:
         pre = _preaggregated(fact, tables, spec, broadcast_rows)
         if pre is not None:

@@ -89,3 +89,12 @@ def test_additivity():
     assert not Metric("a", "count_distinct", "x").is_additive
     assert not Metric("a", "sum", "x", expression="SUM(x)/COUNT(*)").is_additive
     assert Metric("a", "sum", "x", expression="SUM(x*2)", additive=True).is_additive
+
+
+def test_bad_expression_names_fact_and_metric(spark, fixture1):
+    from starmart.operators.facts import build_fact
+    fact = Fact("f", ("orders",), (Metric("m", "sum", "total_amount", expression="SUM(no_such_col)"),),
+                ("customer_id",))
+    with pytest.raises(SpecError) as e:
+        build_fact(fact, fixture1)
+    assert "'f'" in str(e.value) and "'m'" in str(e.value) and "total_amount" in str(e.value)
