@@ -19,7 +19,8 @@ from starmart.spec import Dimension, MartSpec, validate_dimension
 
 def dimension_rows(dim: Dimension, tables: Mapping[str, DataFrame], columns: Sequence[str] | None = None,
                    broadcast_rows: int | None = None) -> DataFrame:
-    """Source rows of ``dim`` with its snowflake arms joined, projected to ``columns``."""
+    """Source rows of ``dim`` with its snowflake arms joined, projected to
+    ``columns`` (identical projected rows collapsed when ``dim.dedupe``)."""
     validate_dimension(dim, tables)
     wanted = list(columns) if columns is not None else list(dim.columns)
     df = tables[dim.source_table]
@@ -27,12 +28,12 @@ def dimension_rows(dim: Dimension, tables: Mapping[str, DataFrame], columns: Seq
         right = tables[j.table]
         df = many_to_one(df, right, j.left_on, j.right_on, j.how,
                          what=f"dimension '{dim.name}' arm '{j.table}'", broadcast_rows=broadcast_rows)
-    return df.select(*wanted)
+    df = df.select(*wanted)
+    return df.distinct() if dim.dedupe else df
 
 
 def build_dimension(dim: Dimension, tables: Mapping[str, DataFrame], broadcast_rows: int | None = None) -> DataFrame:
-    df = dimension_rows(dim, tables, broadcast_rows=broadcast_rows)
-    return df.distinct() if dim.dedupe else df
+    return dimension_rows(dim, tables, broadcast_rows=broadcast_rows)
 
 
 def build_all_dimensions(spec: MartSpec, tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:

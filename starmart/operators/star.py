@@ -23,9 +23,13 @@ from starmart.errors import IntentError, NonAdditiveMetricError, SpecError
 from starmart.functions.grain import PERIOD, coarser_or_equal, period
 from starmart.functions.metrics import aggregate, decompose, decomposable, merge_for_published
 from starmart.operators.dims import dimension_rows
-from starmart.operators.facts import fact_rows
+from starmart.operators.facts import apply_filters, fact_rows
 from starmart.plans.joins import broadcast_bound, fits_broadcast, unique_on
-from starmart.spec import Dimension, Fact, Intent, MartSpec, validate_intent
+from starmart.spec import YEAR_FROM, Dimension, Fact, Intent, MartSpec, fact_reachable_columns, validate_intent
+
+
+def fact_row_columns(fact: Fact, tables: Mapping[str, DataFrame]) -> list[str]:
+    return fact_reachable_columns(fact, tables)
 
 
 def _resolve_attributes(by: Sequence[str], fact: Fact, spec: MartSpec, row_columns: Sequence[str]):
@@ -64,17 +68,35 @@ def star_rollup(
     metrics: Sequence[str] | None = None,
     broadcast_rows: int | None = None,
 ) -> DataFrame:
-    """``by`` attributes (+ ``period``) and the chosen metrics of ``fact``."""
+    """``by`` attributes (+ ``period``) and the chosen metrics of ``fact``.
+
+    ``filters`` may name columns of the fact's rows (applied to the rows, before
+    any join) or attributes of its dimensions (applied to the dimension side
+    before the join, which then becomes an inner join).
+    """
     if metrics is not None:
         fact = replace(fact, metrics=tuple(fact.metric(m) for m in metrics))
     if grain is not None:
         fact = replace(fact, time_grain=grain)
+    dim_filters: dict[str, str] = {}
     if filters:
-        fact = replace(fact, filters={**fact.filters, **filters})
+        row_cols = set(fact_row_columns(fact, tables))
+        links = spec.dimensions_of(fact)
+        own = {k: v for k, v in filters.items() if k in row_cols or k == YEAR_FROM}
+        for k, v in filters.items():
+            if k in own:
+                continue
+            if not any(k in d.attribute_columns for _, d in links):
+                raise IntentError(
+                    f"filter '{k}' is neither a column of fact '{fact.name}' nor an attribute of its "
+                    f"dimensions {sorted(d.name for _, d in links)}.")
+            dim_filters[k] = v
+        fact = replace(fact, filters={**fact.filters, **own})
     if not fact.metrics:
         raise IntentError(f"star query on '{fact.name}' needs at least one metric.")
     rows = fact_rows(fact, tables, broadcast_rows)
-    arms, degenerate = _resolve_attributes(by, fact, spec, rows.columns)
+    arms, degenerate = _resolve_attributes(list(by) + [k for k in dim_filters if k not in by], fact, spec,
+                                           rows.columns)
     periods = [PERIOD] if fact.time_grain is not None else []
     bound = broadcast_bound(rows.sparkSession, broadcast_rows)
 
@@ -85,6 +107,8 @@ def star_rollup(
         names = {a: (a if a not in rows.columns or a == fk else f"__a{i}_{a}") for a in attrs}
         cols = [dim.key_column] + [a for a in dict.fromkeys(attrs) if a != dim.key_column]
         side = dimension_rows(dim, tables, cols, broadcast_rows)
+        here = {a: v for a, v in dim_filters.items() if a in attrs}
+        side = apply_filters(side, here, None)
         # Bounded by the dimension's source table (its rows bound the dimension's).
         small = fits_broadcast(side, bound, upper_bound_of=tables[dim.source_table])
         side = unique_on(side, [dim.key_column], f"dimension '{dim.name}'")
@@ -92,12 +116,12 @@ def star_rollup(
                            *[F.col(a).alias(names[a]) for a in cols if a != dim.key_column])
         if dim.key_column in attrs:
             names[dim.key_column] = key_alias
-        sides.append((fk, key_alias, side, small, names))
+        sides.append((fk, key_alias, side, small, names, "inner" if here else "left"))
 
     out_keys = periods + list(by)
 
     def out_col(attr):
-        for _, _, _, _, names in sides:
+        for _, _, _, _, names, _ in sides:
             if attr in names:
                 return F.col(names[attr]).alias(attr)
         return F.col(attr)
@@ -121,9 +145,9 @@ def star_rollup(
 
 
 def _join_sides(df: DataFrame, sides) -> DataFrame:
-    for fk, key_alias, side, small, _ in sides:
+    for fk, key_alias, side, small, _, how in sides:
         rhs = F.broadcast(side) if small else side
-        df = df.join(rhs, df[fk] == rhs[key_alias], "left")
+        df = df.join(rhs, df[fk] == rhs[key_alias], how)
     return df
 
 

@@ -271,6 +271,15 @@ def intent_segment_quarterly(spark, sf_dir):
     return answer(intent, M.SALES_MART, _tables(spark, sf_dir), fact_name="fact_orders")
 
 
+@query("intent_region_filter")
+def intent_region_filter(spark, sf_dir):
+    """Yearly revenue by market segment for customers in ASIA: the filter names a
+    dimension attribute, so it is applied to the dimension before the join."""
+    intent = Intent(("total_revenue", "order_count"), ("c_mktsegment",), filters={"r_name": "ASIA"},
+                    time_granularity="yearly")
+    return answer(intent, M.SALES_MART, _tables(spark, sf_dir), fact_name="fact_orders")
+
+
 @query("rollup_from_fact")
 def rollup_from_fact(spark, sf_dir):
     monthly = _orders_fact("fact_orders_monthly", (

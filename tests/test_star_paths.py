@@ -99,3 +99,24 @@ def test_multi_source_preaggregation_matches(spark, skewed):
         filters={"o_orderpriority": "1-URGENT"})
     assert _sorted(build_fact(grained, tables, broadcast_rows=10**9)) == _sorted(
         build_fact(grained, tables, broadcast_rows=0))
+
+
+def test_dimension_filter_paths_agree(spark, skewed):
+    fact = _fact(M.REVENUE, M.ORDER_COUNT)
+    a = star_rollup(fact, skewed, M.SALES_MART, ["c_mktsegment"], grain="yearly",
+                    filters={"r_name": "ASIA", "o_orderstatus": "F"}, broadcast_rows=10**9)
+    b = star_rollup(fact, skewed, M.SALES_MART, ["c_mktsegment"], grain="yearly",
+                    filters={"r_name": "ASIA", "o_orderstatus": "F"}, broadcast_rows=0)
+    assert _sorted(a) == _sorted(b) and len(_sorted(a)) > 0
+    from starmart.errors import IntentError
+    with pytest.raises(IntentError):
+        star_rollup(fact, skewed, M.SALES_MART, ["c_mktsegment"], filters={"nope": "x"})
+
+
+def test_dedupe_dimension_in_star(spark):
+    ev = spark.createDataFrame([(1, "a", 1.0), (1, "a", 2.0), (2, "b", 3.0)], "uid int, seg string, v double")
+    from starmart.spec import Dimension, MartSpec
+    dim = Dimension("d", "ev", "uid", ("seg",), dedupe=True)
+    f = Fact("f", ("ev",), (Metric("s", "sum", "v"),), ("uid",), key_map={"uid": "d"})
+    spec = MartSpec("m", (f,), (dim,))
+    assert _sorted(star_rollup(f, {"ev": ev}, spec, ["seg"])) == [(3.0, "a"), (3.0, "b")]
