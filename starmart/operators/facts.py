@@ -128,8 +128,6 @@ def _preaggregated(fact: Fact, tables: Mapping[str, DataFrame], spec: MartSpec |
     group = [k for k in fact_keys(fact) if k in pre.columns]
     group += [c for j in fact.joins for c in j.left_on if c in here and c not in group]
     group += [c for p in parts for c in p.extra_keys if c not in group]
-    if fact.time_grain is not None and not period_early and fact.time_column in here:
-        group.append(fact.time_column)
     pre = pre.groupBy(*group).agg(*[s for p in parts for s in p.states])
     for j in fact.joins:
         pre = many_to_one(pre, tables[j.table], j.left_on, j.right_on, j.how,

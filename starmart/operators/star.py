@@ -104,7 +104,8 @@ def star_rollup(
     sides = []
     for i, (fk, dim, attrs) in enumerate(arms):
         key_alias = f"__k{i}"
-        names = {a: (a if a not in rows.columns or a == fk else f"__a{i}_{a}") for a in attrs}
+        # Attributes named like a column of the fact rows get an internal alias.
+        names = {a: (a if a not in rows.columns else f"__a{i}_{a}") for a in attrs}
         cols = [dim.key_column] + [a for a in dict.fromkeys(attrs) if a != dim.key_column]
         side = dimension_rows(dim, tables, cols, broadcast_rows)
         here = {a: v for a, v in dim_filters.items() if a in attrs}

@@ -120,3 +120,16 @@ def test_dedupe_dimension_in_star(spark):
     f = Fact("f", ("ev",), (Metric("s", "sum", "v"),), ("uid",), key_map={"uid": "d"})
     spec = MartSpec("m", (f,), (dim,))
     assert _sorted(star_rollup(f, {"ev": ev}, spec, ["seg"])) == [(3.0, "a"), (3.0, "b")]
+
+
+def test_attribute_named_like_fact_column(spark):
+    """A dimension attribute with the same name as a fact column is resolved
+    from the dimension (both plans)."""
+    from starmart.spec import Dimension, MartSpec
+    sales = spark.createDataFrame([(1, "x", 2.0), (1, "y", 3.0), (2, "x", 4.0)], "cid int, label string, v double")
+    cust = spark.createDataFrame([(1, "gold"), (2, "basic")], "cid int, label string")
+    f = Fact("f", ("sales",), (Metric("s", "sum", "v"),), ("cid",), key_map={"cid": "d"})
+    spec = MartSpec("m", (f,), (Dimension("d", "cust", "cid", ("label",)),))
+    t = {"sales": sales, "cust": cust}
+    for b in (10**9, 0):
+        assert _sorted(star_rollup(f, t, spec, ["label"], broadcast_rows=b)) == [("basic", 4.0), ("gold", 5.0)]
