@@ -42,7 +42,9 @@ def _report(df: DataFrame, table: str, column: str, check: str) -> DataFrame:
     )
 
 
-def _union(parts: Sequence[DataFrame]) -> DataFrame:
+def _union(parts: Sequence[DataFrame], spark=None) -> DataFrame:
+    if not parts:
+        return spark.createDataFrame([], REPORT_SCHEMA)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -215,7 +217,7 @@ def check_report(spec: MartSpec, tables: Mapping[str, DataFrame], built: Mapping
             parts.append(cc)
         for key, d in spec.dimensions_of(f):
             parts.append(relationship_violations(df, key, dims[d.name], d.key_column, f.name))
-    return _union(parts)
+    return _union(parts, next(iter(tables.values())).sparkSession if tables else None)
 
 
 def failures(report: DataFrame) -> list[dict]:

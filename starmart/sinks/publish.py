@@ -33,6 +33,11 @@ PUBLISHED_LOG = "_published"
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "errorifexists") -> None:
+    """Write Parquet.  A partitioned write is first rebalanced on the partition
+    columns (few files per partition value), and AQE splits a partition value
+    that is too large for one task instead of sending it all to one writer."""
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     w = df.write.mode(mode).format("parquet")
     if partition_by:
         w = w.partitionBy(*partition_by)
