@@ -44,7 +44,8 @@ def _report(df: DataFrame, table: str, column: str, check: str) -> DataFrame:
 
 def _union(parts: Sequence[DataFrame], spark=None) -> DataFrame:
     if not parts:
-        return spark.createDataFrame([], REPORT_SCHEMA)
+        from pyspark.sql import SparkSession
+        return (spark or SparkSession.getActiveSession()).createDataFrame([], REPORT_SCHEMA)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
