@@ -210,3 +210,9 @@ SELECT c.c_mktsegment, CAST(date_trunc('year', o.o_orderdate) AS DATE) AS period
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
 WHERE r.r_name = 'ASIA' GROUP BY c.c_mktsegment, CAST(date_trunc('year', o.o_orderdate) AS DATE)
 """
+
+# The same results, planned for sides beyond the broadcast bound.
+ORACLE_SQL["star_rollup_large_dims"] = ORACLE_SQL["star_rollup"]
+ORACLE_SQL["fact_multi_source_large_side"] = ORACLE_SQL["fact_multi_source"]
+ORACLE_SQL["check_relationships_large_parent"] = ORACLE_SQL["check_relationships"]
+ORACLE_SQL["check_relationships_orphans_large_parent"] = ORACLE_SQL["check_relationships_orphans"]

@@ -200,6 +200,13 @@ def fact_multi_source(spark, sf_dir):
     return build_fact(FACT_MULTI_SOURCE, _tables(spark, sf_dir))
 
 
+@query("fact_multi_source_large_side")
+def fact_multi_source_large_side(spark, sf_dir):
+    """J1 planned as when orders exceeds the broadcast bound: line items are
+    aggregated to (l_orderkey, l_suppkey) states before the shuffle join."""
+    return build_fact(FACT_MULTI_SOURCE, _tables(spark, sf_dir), broadcast_rows=0)
+
+
 # -- Q: filters, T: grains --------------------------------------------------------
 
 ORDER_COUNT_ALL = Metric("order_count", "count")
@@ -263,6 +270,14 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 query("star_rollup")(flagship)
 
 
+@query("star_rollup_large_dims")
+def star_rollup_large_dims(spark, sf_dir):
+    """The flagship planned as when no dimension fits the broadcast bound: the
+    fact is pre-aggregated to (period, o_custkey) states before the joins."""
+    return star_rollup(M.FACT_ORDERS, _tables(spark, sf_dir), M.SALES_MART, ["r_name"],
+                       grain="monthly", filters={"o_orderstatus": "F"}, broadcast_rows=0)
+
+
 @query("intent_segment_quarterly")
 def intent_segment_quarterly(spark, sf_dir):
     """The same path driven by an intent: quarterly revenue by market segment from 1997."""
@@ -314,6 +329,25 @@ def check_relationships(spark, sf_dir):
     return a.unionByName(b).select("column_name", "n_violations")
 
 
+@query("check_relationships_large_parent")
+def check_relationships_large_parent(spark, sf_dir):
+    """C3 planned as when the parent keys exceed the broadcast bound: child keys
+    are aggregated, then left-joined to the distinct parent keys."""
+    t = _tables(spark, sf_dir)
+    a = checks.relationship_violations(t["orders"], "o_custkey", t["customer"], "c_custkey", "orders",
+                                       broadcast_rows=0)
+    b = checks.relationship_violations(t["lineitem"], "l_partkey", t["part"], "p_partkey", "lineitem",
+                                       broadcast_rows=0)
+    return a.unionByName(b).select("column_name", "n_violations")
+
+
+@query("check_relationships_orphans_large_parent")
+def check_relationships_orphans_large_parent(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return checks.orphan_rows(t["documents"].select("doc_id", "lang"), "doc_id", t["labels"], "doc_id",
+                              broadcast_rows=0).select("doc_id", "lang")
+
+
 @query("check_relationships_orphans")
 def check_relationships_orphans(spark, sf_dir):
     t = _tables(spark, sf_dir)
