@@ -239,3 +239,47 @@ def stats_row_counts(spark, names: Sequence[str], database: str | None = None, a
             count = None
         out.append((n, count))
     return spark.createDataFrame(out, "table_name string, row_count bigint")
+
+
+def describe_sources(tables: Mapping[str, DataFrame], names: Sequence[str] | None = None,
+                     include_row_counts: bool = True, include_sample_values: bool = False,
+                     detect_keys: bool = False, k: int = 5) -> DataFrame:
+    """Source metadata, one row per column: ``table_name, ordinal, column_name,
+    data_type, is_nullable, is_primary_key, row_count[, sample_values]``.
+
+    Row counts (one job for all tables), samples (k smallest distinct values
+    as strings, off by default) and key detection (single columns: HyperLogLog
+    shortlist, exact confirm) are opt-in like the catalog reader they replace;
+    with a flag off the column is NULL / FALSE.  Every join here is between
+    metadata frames of at most one row per column, so they are broadcast.
+    """
+    names = sorted(names if names is not None else tables)
+    spark = _spark(tables)
+    out = catalog_columns(tables, names)
+    if include_row_counts:
+        out = out.join(F.broadcast(row_counts(tables, names)), "table_name", "left")
+    else:
+        out = out.withColumn("row_count", F.lit(None).cast("bigint"))
+    if detect_keys:
+        short = shortlist_keys_many(tables, names, pairs=False)
+        cands = [(t, [c]) for t in names for (c,) in short[t]]
+        if cands:
+            keys = candidate_keys(tables, cands).where("is_key").select(
+                "table_name", F.col("key_columns").alias("column_name"), F.lit(True).alias("is_primary_key"))
+        else:
+            keys = spark.createDataFrame([], "table_name string, column_name string, is_primary_key boolean")
+        out = out.join(F.broadcast(keys), ["table_name", "column_name"], "left").withColumn(
+            "is_primary_key", F.coalesce("is_primary_key", F.lit(False)))
+    else:
+        out = out.withColumn("is_primary_key", F.lit(False))
+    cols = ["table_name", "ordinal", "column_name", "data_type", "is_nullable", "is_primary_key", "row_count"]
+    if include_sample_values:
+        parts = [sample_values(tables[t], tables[t].columns, k, table_name=t) for t in names]
+        samples = parts[0]
+        for p in parts[1:]:
+            samples = samples.unionByName(p)
+        per_col = samples.groupBy("table_name", "column_name").agg(
+            F.array_sort(F.collect_list("sample_value")).alias("sample_values"))  # at most k each
+        out = out.join(F.broadcast(per_col), ["table_name", "column_name"], "left")
+        cols.append("sample_values")
+    return out.select(*cols).orderBy("table_name", "ordinal")

@@ -216,3 +216,23 @@ ORACLE_SQL["star_rollup_large_dims"] = ORACLE_SQL["star_rollup"]
 ORACLE_SQL["fact_multi_source_large_side"] = ORACLE_SQL["fact_multi_source"]
 ORACLE_SQL["check_relationships_large_parent"] = ORACLE_SQL["check_relationships"]
 ORACLE_SQL["check_relationships_orphans_large_parent"] = ORACLE_SQL["check_relationships_orphans"]
+
+ORACLE_SQL["source_catalog"] = """
+SELECT c.table_name, CAST(c.ordinal_position AS INTEGER) AS ordinal, c.column_name,
+       CASE c.data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(c.data_type) END AS data_type,
+       c.is_nullable = 'YES' AS is_nullable, k.column_name IS NOT NULL AS is_primary_key, r.row_count
+FROM information_schema.columns c
+LEFT JOIN (SELECT 'customer' AS table_name, COUNT(*) AS row_count FROM customer UNION ALL SELECT 'orders', COUNT(*) FROM orders) r ON r.table_name = c.table_name
+LEFT JOIN (
+  SELECT 'customer' AS table_name, 'c_custkey' AS column_name FROM customer HAVING COUNT(*) = COUNT(DISTINCT c_custkey) AND COUNT(*) = COUNT(c_custkey)
+  UNION ALL SELECT 'customer', 'c_name' FROM customer HAVING COUNT(*) = COUNT(DISTINCT c_name) AND COUNT(*) = COUNT(c_name)
+  UNION ALL SELECT 'customer', 'c_nationkey' FROM customer HAVING COUNT(*) = COUNT(DISTINCT c_nationkey) AND COUNT(*) = COUNT(c_nationkey)
+  UNION ALL SELECT 'customer', 'c_mktsegment' FROM customer HAVING COUNT(*) = COUNT(DISTINCT c_mktsegment) AND COUNT(*) = COUNT(c_mktsegment)
+  UNION ALL SELECT 'orders', 'o_orderkey' FROM orders HAVING COUNT(*) = COUNT(DISTINCT o_orderkey) AND COUNT(*) = COUNT(o_orderkey)
+  UNION ALL SELECT 'orders', 'o_custkey' FROM orders HAVING COUNT(*) = COUNT(DISTINCT o_custkey) AND COUNT(*) = COUNT(o_custkey)
+  UNION ALL SELECT 'orders', 'o_orderstatus' FROM orders HAVING COUNT(*) = COUNT(DISTINCT o_orderstatus) AND COUNT(*) = COUNT(o_orderstatus)
+  UNION ALL SELECT 'orders', 'o_orderdate' FROM orders HAVING COUNT(*) = COUNT(DISTINCT o_orderdate) AND COUNT(*) = COUNT(o_orderdate)
+  UNION ALL SELECT 'orders', 'o_orderpriority' FROM orders HAVING COUNT(*) = COUNT(DISTINCT o_orderpriority) AND COUNT(*) = COUNT(o_orderpriority)
+) k ON k.table_name = c.table_name AND k.column_name = c.column_name
+WHERE c.table_schema = 'main' AND c.table_name IN ('customer', 'orders')
+"""

@@ -51,6 +51,12 @@ def catalog_columns(spark, sf_dir):
     return profile.catalog_columns(_tables(spark, sf_dir), ["customer", "events", "orders"])
 
 
+@query("source_catalog")
+def source_catalog(spark, sf_dir):
+    """Per-column source metadata with row counts and discovered keys."""
+    return profile.describe_sources(_tables(spark, sf_dir), ["customer", "orders"], detect_keys=True)
+
+
 @query("catalog_row_counts")
 def catalog_row_counts(spark, sf_dir):
     return profile.row_counts(_tables(spark, sf_dir), ["customer", "orders", "lineitem"])

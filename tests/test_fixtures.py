@@ -225,3 +225,17 @@ def test_relationship_strategies_agree(spark):
     a = sorted(r.id for r in checks.orphan_rows(child, "fk", parent, "pk", broadcast_rows=10**6).collect())
     b = sorted(r.id for r in checks.orphan_rows(child, "fk", parent, "pk", broadcast_rows=0).collect())
     assert a == b and len(a) == expect
+
+
+def test_describe_sources_fixture1(spark, fixture1):
+    rows = {(r.table_name, r.column_name): r for r in profile.describe_sources(
+        fixture1, include_sample_values=True, detect_keys=True).collect()}
+    assert rows[("customers", "region")].sample_values == ["North", "South"]
+    assert rows[("customers", "region")].row_count == 2
+    assert rows[("orders", "order_id")].is_primary_key
+    assert rows[("customers", "customer_id")].is_primary_key
+    assert not rows[("orders", "customer_id")].is_primary_key
+    assert not rows[("orders", "total_amount")].is_primary_key  # floating point is never a key
+    off = profile.describe_sources(fixture1, include_row_counts=False).collect()
+    assert all(r.row_count is None and r.is_primary_key is False for r in off)
+    assert [(r.table_name, r.ordinal) for r in off] == sorted((r.table_name, r.ordinal) for r in off)
