@@ -53,6 +53,35 @@ def refresh_fact(fact: Fact, current_path: str, delta_tables: Mapping[str, DataF
 VERSION_LOG = "_versions"
 
 
+def refresh_partitioned_fact(fact: Fact, fact_path: str, delta_tables: Mapping[str, DataFrame], staging_path: str,
+                             spec: MartSpec | None = None) -> list:
+    """Merge new rows into a fact published partitioned by ``period``,
+    rewriting only the periods the new rows touch.
+
+    1. the delta is aggregated with the fact's own definition;
+    2. its periods (one row per period: a bounded list) select the affected
+       partitions of the current fact - a semi join on the partition column, so
+       Parquet partition pruning reads only those;
+    3. the exact merge is written to ``staging_path`` (a new folder);
+    4. the staged partitions replace the affected ones with a dynamic partition
+       overwrite, which reads the staging folder, never the folder it writes.
+    Returns the rewritten periods.
+    """
+    if fact.time_grain is None:
+        raise ValueError(f"fact '{fact.name}' has no time grain to partition by; use refresh_fact")
+    spark = next(iter(delta_tables.values())).sparkSession
+    delta = build_fact(fact, delta_tables, spec)
+    periods = delta.select("period").distinct()
+    current = spark.read.parquet(fact_path)
+    affected = current.join(F.broadcast(periods), "period", "left_semi")
+    merged = merge_fact(affected, delta, fact, fact_rows(fact, delta_tables))
+    write_table(merged, staging_path, partition_by=["period"])
+    staged = spark.read.parquet(staging_path)
+    (staged.select(*current.columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("period").format("parquet").save(fact_path))
+    return sorted(r["period"] for r in staged.select("period").distinct().collect())
+
+
 def version_path(root: str, version: int) -> str:
     return f"{root.rstrip('/')}/v={version}"
 
