@@ -2,6 +2,7 @@
 
     python -m starmart profile  --source DIR [--tables a,b]
     python -m starmart discover --source DIR [--tables a,b]
+    python -m starmart schema   --source DIR --spec SPEC.json
     python -m starmart check    --source DIR --spec SPEC.json
     python -m starmart publish  --source DIR --spec SPEC.json --out ROOT
     python -m starmart ask      --source DIR --spec SPEC.json --intent INTENT.json [--fact NAME]
@@ -40,7 +41,7 @@ def main(argv=None) -> int:
     from starmart.spec import Intent, MartSpec
 
     p = argparse.ArgumentParser(prog="starmart")
-    p.add_argument("command", choices=["profile", "discover", "check", "publish", "ask"])
+    p.add_argument("command", choices=["profile", "discover", "schema", "check", "publish", "ask"])
     p.add_argument("--source", required=True, help="folder of <table>.parquet")
     p.add_argument("--tables", help="comma-separated table names (default: all)")
     p.add_argument("--spec", help="MartSpec JSON file")
@@ -52,9 +53,9 @@ def main(argv=None) -> int:
     a = p.parse_args(argv)
 
     spark = _session()
-    tables = load_tables(spark, a.source)
-    names = a.tables.split(",") if a.tables else list(tables)
     spec = MartSpec.from_json(open(a.spec).read()) if a.spec else None
+    tables = load_tables(spark, a.source, spec.source_tables() if spec else None)
+    names = a.tables.split(",") if a.tables else list(tables)
 
     if a.command == "profile":
         for n in names:
@@ -67,6 +68,10 @@ def main(argv=None) -> int:
         return 0
     if spec is None:
         p.error("--spec is required for " + a.command)
+    if a.command == "schema":
+        from starmart.plans.schema import describe, target_schemas
+        print(describe(target_schemas(spec, tables)))
+        return 0
     if a.command == "check":
         rep = checks.check_report(spec, tables)
         rep.show(1000, truncate=False)

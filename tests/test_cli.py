@@ -34,3 +34,16 @@ def test_spec_json_roundtrip_matches_module_spec():
     from starmart.plans.tpch_mart import SALES_MART
     from starmart.spec import MartSpec
     assert MartSpec.from_json(open(SPEC).read()) == SALES_MART
+
+
+def test_cli_schema(capsys):
+    assert main(["schema", "--source", SF_SMALL, "--spec", SPEC]) == 0
+    out = capsys.readouterr().out
+    assert "c_custkey bigint PRIMARY KEY NOT NULL" in out
+    assert "o_custkey bigint NOT NULL REFERENCES dim_customer.c_custkey, dim_customer_geo.c_custkey" in out
+
+
+def test_spec_source_tables():
+    from starmart.plans.tpch_mart import SALES_MART
+    assert SALES_MART.source_tables() == ["customer", "events", "lineitem", "nation", "orders", "part",
+                                          "region", "supplier"]

@@ -239,3 +239,31 @@ def test_describe_sources_fixture1(spark, fixture1):
     off = profile.describe_sources(fixture1, include_row_counts=False).collect()
     assert all(r.row_count is None and r.is_primary_key is False for r in off)
     assert [(r.table_name, r.ordinal) for r in off] == sorted((r.table_name, r.ordinal) for r in off)
+
+
+def test_fixture3_target_schemas(spark):
+    """Target types and constraints (FIXTURES.md 3), from analysis only."""
+    import datetime as _dt
+    from starmart.plans.schema import describe, target_schemas
+    customers = spark.createDataFrame([(101, "Alice", "North")], T.StructType([
+        T.StructField("customer_id", T.IntegerType(), False), T.StructField("name", T.StringType(), False),
+        T.StructField("region", T.StringType(), True)]))
+    orders = spark.createDataFrame([(1, 101, _dt.date(2024, 1, 1), 150.0)],
+                                   "order_id int, customer_id int, order_date date, total_amount double")
+    fact = Fact("fact_orders", ("orders",), (REVENUE, COUNT, Metric("first", "min", "order_date"),
+                                             Metric("other", "min", None, expression="MIN(order_id) * 2")),
+                ("customer_id",))
+    spec = MartSpec("sales", (fact,), (DIM_CUSTOMER,))
+    s = target_schemas(spec, {"orders": orders, "customers": customers})
+    assert list(s) == ["dim_customer", "fact_orders"]  # dimensions first
+    dim = {f.name: f for f in s["dim_customer"].fields}
+    assert dim["customer_id"].dataType == T.IntegerType() and dim["customer_id"].metadata["primary_key"]
+    assert dim["name"].metadata.get("not_null") and not dim["region"].metadata.get("not_null")
+    f = {x.name: x for x in s["fact_orders"].fields}
+    assert [x.name for x in s["fact_orders"].fields][0] == "customer_id"
+    assert f["customer_id"].metadata["references"] == ["dim_customer.customer_id"]
+    assert (f["total_revenue"].dataType, f["order_count"].dataType, f["first"].dataType) == (
+        T.DoubleType(), T.LongType(), T.DateType())
+    assert f["other"].dataType == T.IntegerType()  # expression-only min stays as computed
+    text = describe(s)
+    assert "customer_id int PRIMARY KEY NOT NULL" in text and "REFERENCES dim_customer.customer_id" in text
