@@ -58,6 +58,37 @@ def _resolve_attributes(by: Sequence[str], fact: Fact, spec: MartSpec, row_colum
     return [(key, dims[(key, name)], attrs) for (key, name), attrs in arms.items()], degenerate
 
 
+def _merge_arms(arms):
+    """One dimension side per (fact key, source table, key column): dimensions
+    of the same entity (e.g. customer attributes and customer -> region arms)
+    become one scan, one uniqueness guard and one join.  Arms joining the same
+    table differently, or a different ``dedupe``, stay separate."""
+    merged: dict[tuple, tuple[Dimension, list[str]]] = {}
+    for fk, dim, attrs in arms:
+        k = (fk, dim.source_table, dim.key_column, dim.dedupe)
+        if k in merged:
+            have, have_attrs = merged[k]
+            joins = list(have.joins)
+            conflict = False
+            for j in dim.joins:
+                same = [x for x in joins if x.table == j.table]
+                if same and same[0] != j:
+                    conflict = True
+                    break
+                if not same:
+                    joins.append(j)
+            if not conflict:
+                merged[k] = (replace(have, name=f"{have.name}+{dim.name}",
+                                     attribute_columns=tuple(dict.fromkeys(have.attribute_columns
+                                                                           + dim.attribute_columns)),
+                                     joins=tuple(joins)),
+                             have_attrs + [a for a in attrs if a not in have_attrs])
+                continue
+            k = k + (dim.name,)
+        merged[k] = (dim, list(attrs))
+    return [(k[0], d, a) for k, (d, a) in merged.items()]
+
+
 def star_rollup(
     fact: Fact,
     tables: Mapping[str, DataFrame],
@@ -97,6 +128,7 @@ def star_rollup(
     rows = fact_rows(fact, tables, broadcast_rows)
     arms, degenerate = _resolve_attributes(list(by) + [k for k in dim_filters if k not in by], fact, spec,
                                            rows.columns)
+    arms = _merge_arms(arms)
     periods = [PERIOD] if fact.time_grain is not None else []
     bound = broadcast_bound(rows.sparkSession, broadcast_rows)
 

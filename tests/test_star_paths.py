@@ -133,3 +133,18 @@ def test_attribute_named_like_fact_column(spark):
     t = {"sales": sales, "cust": cust}
     for b in (10**9, 0):
         assert _sorted(star_rollup(f, t, spec, ["label"], broadcast_rows=b)) == [("basic", 4.0), ("gold", 5.0)]
+
+
+def test_same_entity_dimensions_share_one_side(spark):
+    """c_mktsegment (dim_customer) and r_name (dim_customer_geo) come from one
+    customer scan and one join; results equal both plans."""
+    t = load_tables(spark, SF_SMALL)
+    fact = _fact(M.REVENUE, M.ORDER_COUNT)
+    df = star_rollup(fact, t, M.SALES_MART, ["c_mktsegment", "r_name"], grain="yearly",
+                     filters={"r_name": "ASIA"})
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("c_custkey") > 0
+    assert df._jdf.queryExecution().executedPlan().toString().count("customer.parquet") == 1
+    b = star_rollup(fact, t, M.SALES_MART, ["c_mktsegment", "r_name"], grain="yearly",
+                    filters={"r_name": "ASIA"}, broadcast_rows=0)
+    assert _sorted(df) == _sorted(b) and {r.r_name for r in df.collect()} == {"ASIA"}
