@@ -1,6 +1,5 @@
 """Profiles (P6, P7) against brute force on the test tables, across many partitions."""
 
-import duckdb
 import pytest
 from pyspark.sql import functions as F
 
