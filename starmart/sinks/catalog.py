@@ -44,8 +44,14 @@ def _write_bucketed(df: DataFrame, table: str, key: str | None, buckets: int) ->
 
 
 def publish_to_catalog(spec: MartSpec, tables: Mapping[str, DataFrame], database: str, location: str,
-                       buckets: int = 64, run_id: str | None = None, check: bool = True) -> dict[str, str]:
-    """Build, write (bucketed), check and publish ``spec``; returns view -> table."""
+                       buckets: int = 64, run_id: str | None = None, check: bool = True,
+                       analyze: bool = True) -> dict[str, str]:
+    """Build, write (bucketed), check and publish ``spec``; returns view -> table.
+
+    With ``analyze`` every written table gets ``ANALYZE TABLE … COMPUTE
+    STATISTICS`` (Parquet row counts come mostly from file footers), so
+    Catalyst plans later joins on real sizes and row counts can be read from
+    the catalog without a scan."""
     validate_spec(spec, tables)
     spark = next(iter(tables.values())).sparkSession
     ensure_database(spark, database, location)
@@ -61,6 +67,9 @@ def publish_to_catalog(spec: MartSpec, tables: Mapping[str, DataFrame], database
         name = f"{_q(database)}.{_q(f.name + '__' + run_id)}"
         _write_bucketed(build_fact(f, tables, spec), name, key, buckets)
         written[f.name] = name
+    if analyze:
+        for physical in written.values():
+            spark.sql(f"ANALYZE TABLE {physical} COMPUTE STATISTICS")
     if check:
         report = check_report(spec, tables, built={k: spark.table(v) for k, v in written.items()})
         bad = failures(report)

@@ -65,3 +65,13 @@ def test_bucketed_join_has_no_shuffle_under_it(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert sum(got.values()) == t["orders"].count()
+
+
+def test_published_tables_have_statistics(spark):
+    t = load_tables(spark, SF_SMALL)
+    spec = MartSpec("m", (), (M.DIM_CUSTOMER,))
+    views = publish_to_catalog(spec, t, "starmart_stats", scratch_path(spark, "wh") + "/stats", buckets=2,
+                               run_id="r1")
+    physical = list(views.values())[0].split(".")[-1].strip("`")
+    counts = {r.table_name: r.row_count for r in profile.stats_row_counts(spark, [physical], "starmart_stats").collect()}
+    assert counts[physical] == t["customer"].count()
