@@ -33,8 +33,10 @@ def _col_type(df: DataFrame, c: str) -> T.DataType:
     return df.schema[c].dataType
 
 
-def _tagged_distinct(tables, cols: Sequence[tuple[str, str]], family: str, tag: str) -> DataFrame:
-    """Distinct ``(v, tag)`` over the given columns: one scan per table."""
+def _tagged_distinct(tables, cols: Sequence[tuple[str, str]], family: str, tag: str,
+                     distinct: bool = True) -> DataFrame:
+    """Distinct ``(v, tag)`` over the given columns: one scan per table
+    (``distinct=False`` when the columns are known keys: already distinct)."""
     by_table: dict[str, list[str]] = {}
     for t, c in cols:
         by_table.setdefault(t, []).append(c)
@@ -47,17 +49,18 @@ def _tagged_distinct(tables, cols: Sequence[tuple[str, str]], family: str, tag:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.distinct()
+    return out.distinct() if distinct else out
 
 
 def foreign_keys(tables: Mapping[str, DataFrame],
-                 candidates: Sequence[tuple[str, str, str, str]]) -> DataFrame:
+                 candidates: Sequence[tuple[str, str, str, str]], parents_unique: bool = False) -> DataFrame:
     """Coverage of each ``(child_table, child_column, parent_table, parent_column)``.
 
     Columns: child_table, child_column, parent_table, parent_column,
     child_distinct, matched_distinct, parent_distinct, parent_coverage
     (matched / parent distinct), child_coverage (matched / child distinct).
-    Candidates whose types are incompatible get no row.
+    Candidates whose types are incompatible get no row.  ``parents_unique``
+    (every parent column is a confirmed key) skips de-duplicating parent values.
     """
     spark = next(iter(tables[c[0]] for c in candidates)).sparkSession
     by_family: dict[str, list[tuple[str, str, str, str]]] = {}
@@ -70,7 +73,7 @@ def foreign_keys(tables: Mapping[str, DataFrame],
         children = list(dict.fromkeys((ct, cc) for ct, cc, _, _ in cands))
         parents = list(dict.fromkeys((pt, pc) for _, _, pt, pc in cands))
         cvals = _tagged_distinct(tables, children, family, "child")
-        pvals = _tagged_distinct(tables, parents, family, "parent")
+        pvals = _tagged_distinct(tables, parents, family, "parent", distinct=not parents_unique)
         csize = cvals.groupBy("child").agg(F.count(F.lit(1)).alias("child_distinct"))
         psize = pvals.groupBy("parent").agg(F.count(F.lit(1)).alias("parent_distinct"))
         matched = cvals.join(pvals, "v").groupBy("child", "parent").agg(
@@ -172,7 +175,7 @@ def star_candidates(tables: Mapping[str, DataFrame], keys: DataFrame | None = No
         return spark.createDataFrame([], "fact_table string, fact_key string, dimension_table string, "
                                          "dimension_key string, parent_coverage double, name_match boolean, "
                                          "rank int, n_measures int")
-    ranked = rank_foreign_keys(foreign_keys(tables, cands))
+    ranked = rank_foreign_keys(foreign_keys(tables, cands, parents_unique=True))
     own_keys = {(t, k) for t, k in single}
     measures = []
     for t in names:
