@@ -308,6 +308,12 @@ def validate_dimension(dim: Dimension, tables: Mapping[str, Any]) -> None:
             _require(c, reachable, f"{owner} join key")
         for c in j.right_on:
             _require(c, right, f"{owner} join key in '{j.table}'")
+        clash = sorted(set(right) & set(reachable) - (set(j.right_on) & set(j.left_on)))
+        if clash:
+            raise SpecError(
+                f"{owner}: joining arm '{j.table}' would duplicate columns {clash}; "
+                f"rename them in the source first."
+            )
         reachable += [c for c in right if c not in reachable]
     _require(dim.key_column, cols, f"{owner} key_column in '{dim.source_table}'")
     for attr in dim.attribute_columns:
@@ -326,7 +332,7 @@ def fact_reachable_columns(fact: Fact, tables: Mapping[str, Any]) -> list[str]:
             _require(c, reachable, f"{owner} join key")
         for c in j.right_on:
             _require(c, right, f"{owner} join key in '{j.table}'")
-        clash = sorted(set(right) & set(reachable) - set(j.right_on))
+        clash = sorted(set(right) & set(reachable) - (set(j.right_on) & set(j.left_on)))
         if clash:
             raise SpecError(
                 f"{owner}: joining '{j.table}' would duplicate columns {clash}; "

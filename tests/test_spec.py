@@ -98,3 +98,12 @@ def test_bad_expression_names_fact_and_metric(spark, fixture1):
     with pytest.raises(SpecError) as e:
         build_fact(fact, fixture1)
     assert "'f'" in str(e.value) and "'m'" in str(e.value) and "total_amount" in str(e.value)
+
+
+def test_arm_column_clash_is_reported(spark):
+    base = spark.createDataFrame([(1, 10, "x")], "id int, ref int, name string")
+    arm = spark.createDataFrame([(10, "y")], "ref_id int, name string")
+    dim = Dimension("d", "base", "id", ("name",), joins=(Join("arm", "ref", "ref_id"),))
+    with pytest.raises(SpecError) as e:
+        validate_spec(MartSpec("m", (), (dim,)), {"base": base, "arm": arm})
+    assert "name" in str(e.value)
