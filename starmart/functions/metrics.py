@@ -64,6 +64,8 @@ def raw_aggregate(metric: Metric) -> Column:
     if agg == "count":
         return F.count(F.lit(1)) if metric.source_column is None else F.count(F.col(metric.source_column))
     c = F.col(metric.source_column)
+    if metric.approximate:
+        return F.hll_sketch_estimate(F.hll_sketch_agg(c, metric.lg_config_k))
     return {
         "sum": F.sum,
         "count_distinct": F.count_distinct,
@@ -147,6 +149,14 @@ def decompose(metric: Metric, schema: T.StructType) -> Decomposition:
             merges=(F.sum(s).alias(s), F.sum(n).alias(n)),
             finish=conform(F.col(s) / F.col(n), metric, schema),
         )
+    if metric.approximate:
+        # a mergeable HLL sketch: states union, no extra key needed
+        h = state_name(metric, "hll")
+        return Decomposition(
+            states=(F.hll_sketch_agg(F.col(src), metric.lg_config_k).alias(h),),
+            merges=(F.hll_union_agg(h).alias(h),),
+            finish=conform(F.hll_sketch_estimate(F.col(h)), metric, schema),
+        )
     # count_distinct: keep the argument as a key; count it in the merge.
     d = state_name(metric, "d")
     return Decomposition(

@@ -50,8 +50,13 @@ class Metric:
     expression: str | None = None
     description: str = ""
     additive: bool | None = None
+    # count_distinct only: estimate with a mergeable HLL sketch of 2**lg_config_k buckets
+    approximate: bool = False
+    lg_config_k: int = 12
 
     def __post_init__(self):
+        if self.approximate and (self.aggregation != "count_distinct" or self.expression is not None):
+            raise SpecError(f"Metric '{self.name}': approximate applies to a count_distinct of a column only.")
         if self.aggregation not in AGGREGATIONS:
             raise SpecError(
                 f"Metric '{self.name}' aggregation '{self.aggregation}' is not one of "
@@ -68,6 +73,8 @@ class Metric:
         """Can a coarser grain be computed from this metric's values alone?"""
         if self.additive is not None:
             return self.additive
+        if self.approximate:
+            return True  # sketches merge
         # An opaque expression is not assumed to decompose.
         if self.expression is not None:
             return False

@@ -148,3 +148,22 @@ def test_same_entity_dimensions_share_one_side(spark):
     b = star_rollup(fact, t, M.SALES_MART, ["c_mktsegment", "r_name"], grain="yearly",
                     filters={"r_name": "ASIA"}, broadcast_rows=0)
     assert _sorted(df) == _sorted(b) and {r.r_name for r in df.collect()} == {"ASIA"}
+
+
+def test_approximate_distinct_sketches_merge(spark, skewed):
+    """HLL-sketch distinct counts: close to exact, and mergeable (pre-aggregated
+    star plan and roll-ups need no extra grouping key)."""
+    approx = Metric("n_cust", "count_distinct", "o_custkey", approximate=True)
+    exact = Metric("n_cust_exact", "count_distinct", "o_custkey")
+    fact = _fact(approx, exact)
+    for bound in (10**9, 0):
+        rows = star_rollup(fact, skewed, M.SALES_MART, ["r_name"], grain="yearly", broadcast_rows=bound).collect()
+        assert rows and all(abs(r.n_cust - r.n_cust_exact) <= max(2, 0.05 * r.n_cust_exact) for r in rows)
+    t = load_tables(spark, SF_SMALL)
+    monthly = Fact("m", ("orders",), (approx,), time_column="o_orderdate", time_grain="monthly")
+    states = build_fact_states(monthly, t)
+    assert "o_custkey" not in states.columns  # the sketch replaces the key
+    yearly = {r.period: r.n_cust for r in rollup_states(states, monthly, keys=(), grain="yearly").collect()}
+    direct = {r.period: r.n_cust for r in build_fact(
+        Fact("y", ("orders",), (approx,), time_column="o_orderdate", time_grain="yearly"), t).collect()}
+    assert yearly == direct
