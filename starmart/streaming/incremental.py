@@ -66,6 +66,24 @@ def _overwrite_periods(spark: SparkSession, staging_path: str, fact_path: str, c
         .partitionBy("period").format("parquet").save(fact_path))
 
 
+def _stage_and_overwrite(spark: SparkSession, fact: Fact, fact_path: str, tables: Mapping[str, DataFrame],
+                         stage: str, spec: MartSpec | None) -> None:
+    """Merge ``tables``' rows into the affected periods of the fact, staged in
+    ``stage`` with a completion marker, then overwrite those periods.  When the
+    stage is already complete (a rerun after a crash) only the overwrite is
+    repeated: it is idempotent, and the delta is never merged twice."""
+    marker = f"{stage}/_stage_complete"
+    current = spark.read.parquet(fact_path)
+    if not _marker_done(spark, marker):
+        delta = build_fact(fact, tables, spec)
+        periods = delta.select("period").distinct()  # one row per touched period
+        affected = current.join(F.broadcast(periods), "period", "left_semi")  # partition pruning
+        merged = merge_fact(affected, delta, fact, fact_rows(fact, tables))
+        write_table(merged, f"{stage}/data", partition_by=["period"], mode="overwrite")
+        spark.createDataFrame([(True,)], "done boolean").coalesce(1).write.mode("overwrite").json(marker)
+    _overwrite_periods(spark, f"{stage}/data", fact_path, current.columns)
+
+
 def refresh_partitioned_fact(fact: Fact, fact_path: str, delta_tables: Mapping[str, DataFrame], staging_path: str,
                              spec: MartSpec | None = None) -> list:
     """Merge new rows into a fact published partitioned by ``period``,
@@ -75,22 +93,19 @@ def refresh_partitioned_fact(fact: Fact, fact_path: str, delta_tables: Mapping[s
     2. its periods (one row per period: a bounded list) select the affected
        partitions of the current fact - a semi join on the partition column, so
        Parquet partition pruning reads only those;
-    3. the exact merge is written to ``staging_path`` (a new folder);
+    3. the exact merge is written to ``staging_path`` (a new folder, marked
+       complete once written);
     4. the staged partitions replace the affected ones with a dynamic partition
        overwrite, which reads the staging folder, never the folder it writes.
+    Rerunning with the same ``staging_path`` after a crash repeats only step 4.
     Returns the rewritten periods.
     """
     if fact.time_grain is None:
         raise ValueError(f"fact '{fact.name}' has no time grain to partition by; use refresh_fact")
     spark = next(iter(delta_tables.values())).sparkSession
-    delta = build_fact(fact, delta_tables, spec)
-    periods = delta.select("period").distinct()
-    current = spark.read.parquet(fact_path)
-    affected = current.join(F.broadcast(periods), "period", "left_semi")
-    merged = merge_fact(affected, delta, fact, fact_rows(fact, delta_tables))
-    write_table(merged, staging_path, partition_by=["period"])
-    _overwrite_periods(spark, staging_path, fact_path, current.columns)
-    return sorted(r["period"] for r in spark.read.parquet(staging_path).select("period").distinct().collect())
+    _stage_and_overwrite(spark, fact, fact_path, delta_tables, staging_path.rstrip("/"), spec)
+    return sorted(r["period"] for r in spark.read.parquet(f"{staging_path.rstrip('/')}/data")
+                  .select("period").distinct().collect())
 
 
 def apply_partitioned_batch(batch: DataFrame, epoch_id: int, fact: Fact, source_table: str, fact_path: str,
@@ -98,19 +113,8 @@ def apply_partitioned_batch(batch: DataFrame, epoch_id: int, fact: Fact, source_
                             spec: MartSpec | None = None) -> None:
     """One micro-batch of :func:`start_partitioned_fact_stream` (idempotent per
     ``epoch_id``)."""
-    session = batch.sparkSession
-    stage = f"{staging_root.rstrip('/')}/{epoch_id}"
-    marker = f"{stage}/_stage_complete"
-    current = session.read.parquet(fact_path)
-    if not _marker_done(session, marker):
-        tables = {**dict(other_tables or {}), source_table: batch}
-        delta = build_fact(fact, tables, spec)
-        periods = delta.select("period").distinct()
-        affected = current.join(F.broadcast(periods), "period", "left_semi")
-        merged = merge_fact(affected, delta, fact, fact_rows(fact, tables))
-        write_table(merged, f"{stage}/data", partition_by=["period"], mode="overwrite")
-        session.createDataFrame([(True,)], "done boolean").coalesce(1).write.mode("overwrite").json(marker)
-    _overwrite_periods(session, f"{stage}/data", fact_path, current.columns)
+    tables = {**dict(other_tables or {}), source_table: batch}
+    _stage_and_overwrite(batch.sparkSession, fact, fact_path, tables, f"{staging_root.rstrip('/')}/{epoch_id}", spec)
 
 
 def start_partitioned_fact_stream(

@@ -81,6 +81,11 @@ def test_partitioned_refresh_rewrites_only_touched_periods(spark):
     assert min(touched).isoformat() == "2024-01-20"
     got = spark.read.parquet(f"{root}/fact")
     assert _sorted(got) == _sorted(build_fact(FACT_EVENTS_DAILY, t))
+    # a rerun with the same staging folder (as after a crash) does not merge twice
+    refresh_partitioned_fact(FACT_EVENTS_DAILY, f"{root}/fact", {"events": ev.where(F.col("ts") >= cut)},
+                             f"{root}/staging")
+    got = spark.read.parquet(f"{root}/fact")
+    assert _sorted(got) == _sorted(build_fact(FACT_EVENTS_DAILY, t))
     # untouched periods keep their rows
     after = {r.period: r for r in got.where("period < '2024-01-20'").collect()}
     assert after == before
