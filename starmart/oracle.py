@@ -240,3 +240,5 @@ WHERE c.table_schema = 'main' AND c.table_name IN ('customer', 'orders')
 ORACLE_SQL["fact_incremental_partitioned"] = """
 SELECT CAST(date_trunc('day', ts) AS DATE) AS period, event_type, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total_value, COUNT(*) AS event_count, MIN(ts) AS first_ts, MAX(ts) AS last_ts FROM events GROUP BY CAST(date_trunc('day', ts) AS DATE), event_type
 """
+
+ORACLE_SQL["catalog_stats_row_counts"] = ORACLE_SQL["catalog_row_counts"]

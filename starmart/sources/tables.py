@@ -96,3 +96,15 @@ def load_tables(spark: SparkSession, root: str, names: Iterable[str] | None = No
 def from_frames(frames: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """Use already-built DataFrames (tests, fixtures) as a source."""
     return dict(frames)
+
+
+def register_external_tables(spark: SparkSession, database: str, root: str, names: Iterable[str],
+                             location: str) -> CatalogSource:
+    """Register ``<root>/<name>.parquet`` as external catalog tables of
+    ``database`` (created at ``location`` if missing).  Metadata only: the
+    files are neither copied nor written."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}` LOCATION '{location}'")
+    for n in names:
+        spark.sql(f"CREATE TABLE IF NOT EXISTS `{database}`.`{n}` USING parquet "
+                  f"LOCATION '{root.rstrip('/')}/{n}.parquet'")
+    return CatalogSource(spark, database)
