@@ -242,3 +242,7 @@ SELECT CAST(date_trunc('day', ts) AS DATE) AS period, event_type, CAST(SUM(CAST(
 """
 
 ORACLE_SQL["catalog_stats_row_counts"] = ORACLE_SQL["catalog_row_counts"]
+
+ORACLE_SQL["catalog_tables"] = """
+SELECT DISTINCT table_name FROM information_schema.columns WHERE table_schema = 'main' AND table_name IN ('benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier') ORDER BY table_name
+"""

@@ -21,7 +21,7 @@ from starmart.plans import tpch_mart as M
 from starmart.session import scratch_path
 from starmart.sinks.catalog import publish_to_catalog, rollup_published
 from starmart.sinks.publish import publish_mart, write_table
-from starmart.sources.tables import load_tables, register_external_tables
+from starmart.sources.tables import TEST_TABLES, list_tables, load_tables, register_external_tables
 from starmart.spec import Fact, Intent, Join, MartSpec, Metric
 from starmart.streaming.incremental import merge_fact, refresh_fact, refresh_partitioned_fact
 
@@ -62,6 +62,16 @@ def catalog_row_counts(spark, sf_dir):
     return profile.row_counts(_tables(spark, sf_dir), ["customer", "orders", "lineitem"])
 
 
+@query("catalog_tables")
+def catalog_tables(spark, sf_dir):
+    """P1: base tables of a catalog database (external tables over the given
+    files), sorted; a view in the same database is not listed."""
+    db = f"starmart_src_{uuid.uuid4().hex[:8]}"
+    register_external_tables(spark, db, sf_dir, TEST_TABLES, scratch_path(spark, "catalog") + "/" + db)
+    spark.sql(f"CREATE VIEW `{db}`.`recent_orders` AS SELECT * FROM `{db}`.`orders` WHERE o_orderdate >= '1998-01-01'")
+    return list_tables(spark, db)
+
+
 @query("catalog_stats_row_counts")
 def catalog_stats_row_counts(spark, sf_dir):
     """P4: row counts read from catalog statistics (external tables over the

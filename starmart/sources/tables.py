@@ -88,6 +88,13 @@ class CatalogSource(Mapping[str, DataFrame]):
         return len(self._names)
 
 
+def list_tables(spark: SparkSession, database: str | None = None) -> DataFrame:
+    """``(table_name)`` of the base tables of a catalog database, sorted; views
+    and temporary tables excluded; an empty database gives no rows."""
+    names = list(CatalogSource(spark, database))
+    return spark.createDataFrame([(n,) for n in names], "table_name string").orderBy("table_name")
+
+
 def load_tables(spark: SparkSession, root: str, names: Iterable[str] | None = None) -> ParquetSource:
     """``{name: DataFrame}`` over the parquet tables under ``root``."""
     return ParquetSource(spark, root, names)
