@@ -42,7 +42,20 @@ def shared_dir(spark: SparkSession) -> str:
     Read from the session (``spark.checkpoint.dir``).  Set our own only when it
     is unset and the session is local, as in tests.
     """
-    sc = spark.sparkContext
+    try:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+    except Exception:  # some sessions refuse reading static settings
+        configured = None
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a remote (Connect) session has no SparkContext
+        sc = None
+    if configured:
+        if sc is not None and sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(configured)
+        return configured.rstrip("/")
+    if sc is None:
+        raise RuntimeError("spark.checkpoint.dir is not set; a shared folder is needed for intermediate tables.")
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
         if sc.getCheckpointDir() is None:
