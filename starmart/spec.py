@@ -160,6 +160,12 @@ class Fact:
         names = [m.name for m in self.metrics]
         if len(set(names)) != len(names):
             raise SpecError(f"Fact '{self.name}' repeats a metric name: {names}.")
+        keys = list(self.dimension_keys) + (["period"] if self.time_grain is not None else [])
+        if len(set(keys)) != len(keys):
+            raise SpecError(f"Fact '{self.name}' repeats a key: {keys}.")
+        clash = sorted(set(names) & set(keys))
+        if clash:
+            raise SpecError(f"Fact '{self.name}' metric names {clash} collide with its keys {keys}.")
 
     @property
     def primary_table(self) -> str:

@@ -107,3 +107,12 @@ def test_arm_column_clash_is_reported(spark):
     with pytest.raises(SpecError) as e:
         validate_spec(MartSpec("m", (), (dim,)), {"base": base, "arm": arm})
     assert "name" in str(e.value)
+
+
+def test_metric_key_name_collisions():
+    with pytest.raises(SpecError):
+        Fact("f", ("t",), (Metric("customer_id", "count"),), ("customer_id",))
+    with pytest.raises(SpecError):
+        Fact("f", ("t",), (Metric("period", "count"),), (), time_column="ts", time_grain="daily")
+    with pytest.raises(SpecError):
+        Fact("f", ("t",), (Metric("n", "count"),), ("a", "a"))
