@@ -47,3 +47,12 @@ def test_spec_source_tables():
     from starmart.plans.tpch_mart import SALES_MART
     assert SALES_MART.source_tables() == ["customer", "events", "lineitem", "nation", "orders", "part",
                                           "region", "supplier"]
+
+
+def test_cli_profile_and_discover(capsys):
+    assert main(["profile", "--source", SF_SMALL, "--tables", "region,nation"]) == 0
+    out = capsys.readouterr().out
+    assert "r_regionkey" in out and "n_nationkey" in out
+    assert main(["discover", "--source", SF_SMALL, "--tables", "region,nation,customer,orders"]) == 0
+    out = capsys.readouterr().out
+    assert "o_custkey" in out and '"mart_name": "orders_mart"' in out
