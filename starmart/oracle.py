@@ -246,3 +246,10 @@ ORACLE_SQL["catalog_stats_row_counts"] = ORACLE_SQL["catalog_row_counts"]
 ORACLE_SQL["catalog_tables"] = """
 SELECT DISTINCT table_name FROM information_schema.columns WHERE table_schema = 'main' AND table_name IN ('benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier') ORDER BY table_name
 """
+
+ORACLE_SQL["intent_published"] = """
+SELECT r.r_name, CAST(date_trunc('quarter', o.o_orderdate) AS DATE) AS period, CAST(SUM(CAST(o.o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total_revenue, COUNT(o.o_orderkey) AS order_count
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
+WHERE c.c_mktsegment = 'AUTOMOBILE' AND EXTRACT(year FROM o.o_orderdate) >= 1996
+GROUP BY r.r_name, CAST(date_trunc('quarter', o.o_orderdate) AS DATE)
+"""

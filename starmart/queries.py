@@ -19,7 +19,7 @@ from starmart.operators.facts import build_fact, build_fact_states
 from starmart.operators.star import answer, rollup_states, star_rollup
 from starmart.plans import tpch_mart as M
 from starmart.session import scratch_path
-from starmart.sinks.catalog import publish_to_catalog, rollup_published
+from starmart.sinks.catalog import answer_published, publish_to_catalog, rollup_published
 from starmart.sinks.publish import publish_mart, write_table
 from starmart.sources.tables import TEST_TABLES, list_tables, load_tables, register_external_tables
 from starmart.spec import Fact, Intent, Join, MartSpec, Metric
@@ -441,6 +441,28 @@ def mart_catalog_rollup(spark, sf_dir):
     return rollup_published(spark, GEO_MART, db, "fact_orders_monthly", ["r_name"], grain="quarterly", tables=t)
 
 
+SEGMENT_GEO_MART = MartSpec(
+    "segment_geo",
+    facts=(Fact("fact_orders_monthly", ("orders",), (M.REVENUE, M.ORDER_COUNT), ("o_custkey",),
+                key_map={"o_custkey": ("dim_customer", "dim_customer_geo")},
+                time_column="o_orderdate", time_grain="monthly"),),
+    dimensions=(M.DIM_CUSTOMER, M.DIM_CUSTOMER_GEO),
+)
+
+
+@query("intent_published")
+def intent_published(spark, sf_dir):
+    """Publish once (bucketed catalog tables), then answer an intent from the
+    published mart: quarterly revenue by region for AUTOMOBILE customers from
+    1996 (one filter on a dimension attribute, one on the period)."""
+    t = _tables(spark, sf_dir)
+    db = f"starmart_seg_{uuid.uuid4().hex[:8]}"
+    publish_to_catalog(SEGMENT_GEO_MART, t, db, f"{scratch_path(spark, 'warehouse')}/{db}", buckets=16)
+    intent = Intent(("total_revenue", "order_count"), ("r_name",),
+                    filters={"c_mktsegment": "AUTOMOBILE", "year_from": "1996"}, time_granularity="quarterly")
+    return answer_published(spark, intent, SEGMENT_GEO_MART, db, "fact_orders_monthly", tables=t)
+
+
 INCREMENTAL_SPLIT = "2024-01-16"
 
 

@@ -11,19 +11,20 @@ never see a half-written mart.
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 from typing import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starmart.errors import CheckFailedError, SpecError
+from starmart.errors import CheckFailedError, IntentError, SpecError
 from starmart.functions.grain import PERIOD, period
 from starmart.functions.metrics import merge_for_published
 from starmart.operators.checks import check_report, failures
 from starmart.operators.dims import build_dimension
-from starmart.operators.facts import build_fact, fact_keys, fact_rows
+from starmart.operators.facts import apply_filters, build_fact, fact_keys, fact_rows
 from starmart.plans.joins import broadcast_bound, fits_broadcast, unique_on
-from starmart.spec import MartSpec, validate_spec
+from starmart.spec import YEAR_FROM, Intent, MartSpec, validate_intent, validate_spec
 
 
 def _q(name: str) -> str:
@@ -86,13 +87,17 @@ def publish_to_catalog(spec: MartSpec, tables: Mapping[str, DataFrame], database
 
 def rollup_published(spark: SparkSession, spec: MartSpec, database: str, fact_name: str, by: Sequence[str],
                      grain: str | None = None, broadcast_rows: int | None = None,
-                     tables: Mapping[str, DataFrame] | None = None) -> DataFrame:
+                     tables: Mapping[str, DataFrame] | None = None,
+                     filters: Mapping[str, str] | None = None) -> DataFrame:
     """Answer "metrics by dimension attributes per period" from a published mart.
 
     Additive metrics only (sum/count/min/max are re-aggregated from the fact;
     avg and count_distinct raise ``NonAdditiveMetricError``).  Dimensions that
     pass the size check are broadcast; larger ones join the fact bucket to
     bucket (no shuffle) when both were published with the same bucket count.
+    Each published dimension joins on its own (bucket to bucket).  ``filters``
+    may name fact keys, ``year_from`` (on the published period) or dimension
+    attributes (applied to the dimension side; the join becomes inner).
     ``tables`` (the sources, read for types only) makes DECIMAL sums exact.
     """
     fact = spec.fact(fact_name)
@@ -101,27 +106,56 @@ def rollup_published(spark: SparkSession, spec: MartSpec, database: str, fact_na
     fdf = spark.table(f"{_q(database)}.{_q(fact.name)}")
     links = spec.dimensions_of(fact)
     bound = broadcast_bound(spark, broadcast_rows)
+    keys = fact_keys(fact)
+    filters = dict(filters or {})
+    fact_filters = {k: v for k, v in filters.items() if k in keys}
+    if YEAR_FROM in filters:
+        if PERIOD not in fdf.columns or fact.time_grain == "weekly":
+            raise IntentError(f"'{YEAR_FROM}' needs a published period that starts every year "
+                              f"(fact '{fact.name}' grain: {fact.time_grain}).")
+        fact_filters[YEAR_FROM] = filters[YEAR_FROM]
+    fdf = apply_filters(fdf, fact_filters, PERIOD if YEAR_FROM in fact_filters else None)
+    dim_filters = {k: v for k, v in filters.items() if k not in fact_filters}
     group = []
     if grain is not None:
         if PERIOD not in fdf.columns:
             raise SpecError(f"Fact '{fact.name}' has no period to roll up.")
         fdf = fdf.withColumn(PERIOD, period(PERIOD, grain))
         group.append(F.col(PERIOD))
-    used: dict[str, tuple[str, object]] = {}
-    for attr in by:
+    # One side per published dimension: each joins bucket to bucket (merging
+    # dimensions here would replace the bucketed key by a derived one).
+    sides: dict[str, tuple[str, object, list[str]]] = {}
+    for attr in list(by) + [k for k in dim_filters if k not in by]:
         hit = next(((k, d) for k, d in links if attr in d.attribute_columns), None)
         if hit is None:
-            if attr in fact_keys(fact):
-                group.append(F.col(attr))
+            if attr in keys:
                 continue
-            raise SpecError(f"'{attr}' is not an attribute of a dimension of '{fact.name}'.")
-        used.setdefault(hit[1].name, (hit[0], hit[1]))
-    for i, (dname, (fk, dim)) in enumerate(used.items()):
-        attrs = [a for a in by if a in dim.attribute_columns]
-        ddf = spark.table(f"{_q(database)}.{_q(dname)}").select(dim.key_column, *attrs)
-        small = fits_broadcast(ddf, bound)
-        side = unique_on(ddf, [dim.key_column], f"dimension '{dname}'")
-        side = F.broadcast(side) if small else side
-        fdf = fdf.join(side, fdf[fk] == side[dim.key_column], "left")
-    group += [F.col(a) for a in by if a not in fact_keys(fact)]
+            raise SpecError(f"'{attr}' is neither a key of '{fact.name}' nor an attribute of its dimensions.")
+        fk, dim = hit
+        sides.setdefault(dim.name, (fk, dim, []))[2].append(attr)
+    for i, (dname, (fk, dim, attrs)) in enumerate(sides.items()):
+        key_alias = f"__k{i}"
+        frame = spark.table(f"{_q(database)}.{_q(dname)}").select(dim.key_column, *dict.fromkeys(attrs))
+        here = {a: v for a, v in dim_filters.items() if a in attrs}
+        frame = apply_filters(frame, here, None)
+        small = fits_broadcast(frame, bound)
+        frame = unique_on(frame, [dim.key_column], f"dimension '{dname}'")
+        frame = frame.withColumnRenamed(dim.key_column, key_alias)
+        frame = F.broadcast(frame) if small else frame
+        fdf = fdf.join(frame, fdf[fk] == frame[key_alias], "inner" if here else "left")
+    group += [F.col(a) for a in by]
     return fdf.groupBy(*group).agg(*merges)
+
+
+def answer_published(spark: SparkSession, intent: Intent, spec: MartSpec, database: str, fact_name: str,
+                     tables: Mapping[str, DataFrame] | None = None,
+                     broadcast_rows: int | None = None) -> DataFrame:
+    """An intent (metrics x attributes x grain x filters) answered from a
+    published mart; only the intent's metrics are merged."""
+    validate_intent(intent)
+    fact = spec.fact(fact_name)
+    sub = replace(fact, metrics=tuple(fact.metric(m) for m in intent.required_metrics))
+    spec = replace(spec, facts=tuple(sub if f.name == fact.name else f for f in spec.facts))
+    return rollup_published(spark, spec, database, fact_name, intent.required_dimensions,
+                            grain=intent.time_granularity, broadcast_rows=broadcast_rows, tables=tables,
+                            filters=intent.filters)

@@ -75,3 +75,34 @@ def test_published_tables_have_statistics(spark):
     physical = list(views.values())[0].split(".")[-1].strip("`")
     counts = {r.table_name: r.row_count for r in profile.stats_row_counts(spark, [physical], "starmart_stats").collect()}
     assert counts[physical] == t["customer"].count()
+
+
+def test_answer_published_bucketed_without_shuffle(spark):
+    from starmart.queries import SEGMENT_GEO_MART
+    from starmart.sinks.catalog import answer_published
+    from starmart.spec import Intent
+    t = load_tables(spark, SF_SMALL)
+    publish_to_catalog(SEGMENT_GEO_MART, t, "starmart_seg_test", scratch_path(spark, "wh") + "/seg", buckets=4)
+    intent = Intent(("total_revenue", "order_count"), ("r_name", "c_mktsegment"),
+                    filters={"c_mktsegment": "AUTOMOBILE"}, time_granularity="yearly")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = answer_published(spark, intent, SEGMENT_GEO_MART, "starmart_seg_test", "fact_orders_monthly",
+                              tables=t, broadcast_rows=0)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        rows = df.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    below_joins = plan[plan.index("SortMergeJoin"):]
+    assert "Exchange" not in below_joins and below_joins.count("Bucketed: true") >= 3
+    assert rows and {r.c_mktsegment for r in rows} == {"AUTOMOBILE"}
+    direct = star_rollup_direct(t, intent)
+    assert sorted(map(tuple, df.select(*sorted(df.columns)).collect())) == direct
+
+
+def star_rollup_direct(t, intent):
+    from starmart.operators.star import answer
+    from starmart.queries import SEGMENT_GEO_MART
+    df = answer(intent, SEGMENT_GEO_MART, t, fact_name="fact_orders_monthly")
+    return sorted(map(tuple, df.select(*sorted(df.columns)).collect()))
