@@ -92,6 +92,20 @@ def unique_violations(df: DataFrame, column: str | Sequence[str], table: str = "
     return _report(dup.agg(F.count(F.lit(1)).alias("n")), table, ",".join(cols), "unique")
 
 
+def duplicate_key_rows(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
+    """The rows behind a failed ``unique`` check: every row whose non-null key
+    occurs more than once (e.g. a dimension whose attributes conflict).  The
+    duplicated keys are found on aggregated keys first, then the rows are
+    semi-joined to them (usually few keys, so AQE broadcasts them)."""
+    cols = [key] if isinstance(key, str) else list(key)
+    nn = None
+    for c in cols:
+        cond = F.col(c).isNotNull()
+        nn = cond if nn is None else nn & cond
+    dups = df.where(nn).groupBy(*cols).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1).drop("__n")
+    return df.join(dups, cols, "left_semi")
+
+
 def _parent_keys(parent: DataFrame, pk: str, alias: str) -> DataFrame:
     return parent.select(F.col(pk).alias(alias)).where(F.col(alias).isNotNull())
 

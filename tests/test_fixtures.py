@@ -267,3 +267,10 @@ def test_fixture3_target_schemas(spark):
     assert f["other"].dataType == T.IntegerType()  # expression-only min stays as computed
     text = describe(s)
     assert "customer_id int PRIMARY KEY NOT NULL" in text and "REFERENCES dim_customer.customer_id" in text
+
+
+def test_duplicate_key_rows_show_conflicts(spark):
+    t = _fixture2(spark, [(3, 101, 1.0)])
+    dim = Dimension("d", "orders", "customer_id", ("amount",), dedupe=True)
+    rows = checks.duplicate_key_rows(build_dimension(dim, t), "customer_id").collect()
+    assert sorted((r.customer_id, r.amount) for r in rows) == [(101, 1.0), (101, 500.0)]
