@@ -253,3 +253,9 @@ FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey LEFT JOIN nation n ON
 WHERE c.c_mktsegment = 'AUTOMOBILE' AND EXTRACT(year FROM o.o_orderdate) >= 1996
 GROUP BY r.r_name, CAST(date_trunc('quarter', o.o_orderdate) AS DATE)
 """
+
+ORACLE_SQL["check_unique_rows"] = """
+SELECT l.l_orderkey, l.l_linenumber, l.l_partkey FROM lineitem l
+JOIN (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL GROUP BY l_orderkey, l_linenumber HAVING COUNT(*) > 1) d
+ON l.l_orderkey = d.l_orderkey AND l.l_linenumber = d.l_linenumber
+"""

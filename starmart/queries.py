@@ -347,6 +347,13 @@ def check_unique(spark, sf_dir):
         checks.unique_violations(t["lineitem"], "l_orderkey", "lineitem")).select("column_name", "n_violations")
 
 
+@query("check_unique_rows")
+def check_unique_rows(spark, sf_dir):
+    """The line items behind the failed uniqueness of (l_orderkey, l_linenumber)."""
+    li = _tables(spark, sf_dir)["lineitem"].select("l_orderkey", "l_linenumber", "l_partkey")
+    return checks.duplicate_key_rows(li, ["l_orderkey", "l_linenumber"])
+
+
 @query("check_relationships")
 def check_relationships(spark, sf_dir):
     t = _tables(spark, sf_dir)
