@@ -3,6 +3,7 @@
 Layout under ``root`` (a shared folder, e.g. under ``spark.checkpoint.dir``)::
 
     root/<run_id>/<table>/        one folder per table of one run (never reused)
+    root/<run_id>/_checks/        the run's check report (JSON, one row per check)
     root/_published/              append-only JSON log: one row per published run
 
 A run writes every dimension, then every fact, reads them back (the written
@@ -82,7 +83,9 @@ def publish_mart(spec: MartSpec, tables: Mapping[str, DataFrame], root: str, run
     mart = PublishedMart(root, run_id, tuple(written))
     if check:
         report = check_report(spec, tables, built=written, accepted=accepted)
-        bad = failures(report)
+        # The evidence of every run, passed or not (one row per check).
+        report.coalesce(1).write.mode("overwrite").json(f"{root}/{run_id}/_checks")
+        bad = failures(spark.read.schema(report.schema).json(f"{root}/{run_id}/_checks"))
         if bad:
             raise CheckFailedError(
                 f"mart '{spec.mart_name}' run {run_id}: {len(bad)} check(s) failed; not published: "

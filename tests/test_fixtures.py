@@ -115,8 +115,10 @@ def test_publish_refuses_failing_checks(spark):
     good = publish_mart(_spec2(), _fixture2(spark), root)
     assert current_mart(spark, root).run_id == good.run_id
     with pytest.raises(CheckFailedError) as e:
-        publish_mart(_spec2(), _fixture2(spark, [(3, 101, 1.0)]), root)
+        publish_mart(_spec2(), _fixture2(spark, [(3, 101, 1.0)]), root, run_id="bad")
     assert "unique" in str(e.value)
+    saved = spark.read.json(f"{root}/bad/_checks")
+    assert saved.where("not passed").count() == 1
     # the earlier run stays published
     assert current_mart(spark, root).run_id == good.run_id
     assert _rows(current_mart(spark, root).read(spark)["fact_orders"]) == [(101, 500.0), (102, 750.0)]
