@@ -73,7 +73,9 @@ def publish_to_catalog(spec: MartSpec, tables: Mapping[str, DataFrame], database
             spark.sql(f"ANALYZE TABLE {physical} COMPUTE STATISTICS")
     if check:
         report = check_report(spec, tables, built={k: spark.table(v) for k, v in written.items()})
-        bad = failures(report)
+        checks_table = f"{_q(database)}.{_q('checks__' + run_id)}"
+        report.coalesce(1).write.format("parquet").saveAsTable(checks_table)  # the run's evidence
+        bad = failures(spark.table(checks_table))
         if bad:
             raise CheckFailedError(f"mart '{spec.mart_name}' run {run_id}: {len(bad)} check(s) failed; "
                                    f"views not moved.", bad)
