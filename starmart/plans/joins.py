@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+import weakref
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +25,10 @@ BROADCAST_BYTES_CONF = "spark.starmart.broadcast.maxBytes"
 
 _COUNT_COL = "__starmart_n"
 
+# Bounded row counts already taken, per DataFrame object (held weakly: a query
+# that checks the same table twice counts it once).
+_COUNTS: "weakref.WeakKeyDictionary[DataFrame, dict[int, bool]]" = weakref.WeakKeyDictionary()
+
 
 def broadcast_bound(spark: SparkSession, override: int | None = None) -> int:
     """Row bound for a broadcast side (explicit override wins)."""
@@ -70,8 +75,11 @@ def fits_broadcast(df: DataFrame, max_rows: int, upper_bound_of: DataFrame | Non
     bound = row_bound_for(df, max_rows) if max_rows > 0 else 0
     if bound <= 0:
         return False
-    counted = (upper_bound_of if upper_bound_of is not None else df).select()
-    return counted.limit(bound + 1).count() <= bound
+    source = upper_bound_of if upper_bound_of is not None else df
+    memo = _COUNTS.setdefault(source, {})
+    if bound not in memo:
+        memo[bound] = source.select().limit(bound + 1).count() <= bound
+    return memo[bound]
 
 
 def unique_on(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
