@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from starmart.functions.grain import PERIOD
 from starmart.operators.dims import build_dimension
 from starmart.operators.facts import build_fact, fact_keys
-from starmart.plans.joins import broadcast_bound, fits_broadcast
+from starmart.plans.joins import broadcast_bound, fits_broadcast, skew_split_join
 from starmart.spec import MartSpec
 
 REPORT_SCHEMA = "table_name string, column_name string, check_name string, n_violations bigint, passed boolean"
@@ -151,7 +151,7 @@ def orphan_rows(child: DataFrame, fk: str, parent: DataFrame, pk: str,
         pk_b = F.broadcast(parent_keys)
         return rows.join(pk_b, rows[fk] == pk_b["__pk"], "left_anti")
     orphan = _orphan_keys(child, fk, parent, pk, broadcast_rows).select(F.col("__k").alias("__ok"))
-    return rows.join(orphan, rows[fk] == orphan["__ok"], "left_semi")
+    return skew_split_join(rows, orphan, [fk], ["__ok"], "left_semi")
 
 
 def _is_string(t: T.DataType) -> bool:

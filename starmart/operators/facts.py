@@ -54,8 +54,12 @@ def apply_filters(df: DataFrame, filters: Mapping[str, str], time_column: str |
     return df
 
 
-def fact_rows(fact: Fact, tables: Mapping[str, DataFrame], broadcast_rows: int | None = None) -> DataFrame:
-    """Filtered, joined source rows of ``fact``, with ``period`` if it has a grain."""
+def fact_rows(fact: Fact, tables: Mapping[str, DataFrame], broadcast_rows: int | None = None,
+              split_hot: bool = True) -> DataFrame:
+    """Filtered, joined source rows of ``fact``, with ``period`` if it has a grain.
+
+    ``split_hot=False`` builds the plan without the hot-key detection jobs
+    (for analysis only)."""
     validate_fact(fact, tables)
     primary = tables[fact.primary_table]
     here = set(primary.columns)
@@ -65,7 +69,8 @@ def fact_rows(fact: Fact, tables: Mapping[str, DataFrame], broadcast_rows: int |
     df = apply_filters(primary, early, fact.time_column)
     for j in fact.joins:
         df = many_to_one(df, tables[j.table], j.left_on, j.right_on, j.how,
-                         what=f"fact '{fact.name}' source '{j.table}'", broadcast_rows=broadcast_rows)
+                         what=f"fact '{fact.name}' source '{j.table}'", broadcast_rows=broadcast_rows,
+                         split_hot=split_hot)
     df = apply_filters(df, late, fact.time_column)
     if fact.time_grain is not None:
         df = df.withColumn(PERIOD, period(fact.time_column, fact.time_grain))
@@ -116,7 +121,7 @@ def _preaggregated(fact: Fact, tables: Mapping[str, DataFrame], spec: MartSpec |
     bound = broadcast_bound(primary.sparkSession, broadcast_rows)
     if all(fits_broadcast(tables[j.table], bound) for j in fact.joins):
         return None  # broadcast joins stream the rows; nothing to gain
-    rows = fact_rows(fact, tables, broadcast_rows)  # types of the full rows (analysis only)
+    rows = fact_rows(fact, tables, broadcast_rows, split_hot=False)  # types of the full rows (analysis only)
     parts = [decompose(m, rows.schema) for m in fact.metrics]
     early = {k: v for k, v in fact.filters.items()
              if (k == YEAR_FROM and fact.time_column in here) or k in here}
@@ -130,8 +135,10 @@ def _preaggregated(fact: Fact, tables: Mapping[str, DataFrame], spec: MartSpec |
     group += [c for p in parts for c in p.extra_keys if c not in group]
     pre = pre.groupBy(*group).agg(*[s for p in parts for s in p.states])
     for j in fact.joins:
+        # rows are aggregated on the join keys already: no hot key left to split
         pre = many_to_one(pre, tables[j.table], j.left_on, j.right_on, j.how,
-                          what=f"fact '{fact.name}' source '{j.table}'", broadcast_rows=broadcast_rows)
+                          what=f"fact '{fact.name}' source '{j.table}'", broadcast_rows=broadcast_rows,
+                          split_hot=False)
     pre = apply_filters(pre, late, fact.time_column)
     if fact.time_grain is not None and not period_early:
         pre = pre.withColumn(PERIOD, period(fact.time_column, fact.time_grain))
@@ -165,7 +172,7 @@ def build_fact(fact: Fact, tables: Mapping[str, DataFrame], spec: MartSpec | Non
     """
     if spec is not None:
         validate_fact(fact, tables, spec)
-    check_metric_expressions(fact, fact_rows(fact, tables, broadcast_rows=0))
+    check_metric_expressions(fact, fact_rows(fact, tables, broadcast_rows=0, split_hot=False))
     if fact.joins:
         pre = _preaggregated(fact, tables, spec, broadcast_rows)
         if pre is not None:

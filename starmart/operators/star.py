@@ -24,7 +24,7 @@ from starmart.functions.grain import PERIOD, coarser_or_equal, period
 from starmart.functions.metrics import aggregate, decompose, decomposable, merge_for_published
 from starmart.operators.dims import dimension_rows
 from starmart.operators.facts import apply_filters, fact_rows
-from starmart.plans.joins import broadcast_bound, fits_broadcast, unique_on
+from starmart.plans.joins import broadcast_bound, fits_broadcast, skew_split_join, unique_on
 from starmart.spec import YEAR_FROM, Dimension, Fact, Intent, MartSpec, fact_reachable_columns, validate_intent
 
 
@@ -172,15 +172,22 @@ def star_rollup(
             *[m for p in parts for m in p.merges] or [F.count(F.lit(1)).alias("__rows")])
         return merged.select(*out_keys, *[p.finish for p in parts])
 
-    joined = _join_sides(rows, sides)
+    joined = _join_sides(rows, sides, split_hot=True)
     return joined.groupBy(*[out_col(a) for a in out_keys]).agg(
         *[aggregate(m, rows.schema) for m in fact.metrics])
 
 
-def _join_sides(df: DataFrame, sides) -> DataFrame:
+def _join_sides(df: DataFrame, sides, split_hot: bool = False) -> DataFrame:
+    """Join the dimension sides: broadcast when small; otherwise a shuffle join,
+    with hot fact keys split off into a broadcast join when the rows are raw."""
     for fk, key_alias, side, small, _, how in sides:
-        rhs = F.broadcast(side) if small else side
-        df = df.join(rhs, df[fk] == rhs[key_alias], how)
+        if small:
+            rhs = F.broadcast(side)
+            df = df.join(rhs, df[fk] == rhs[key_alias], how)
+        elif split_hot:
+            df = skew_split_join(df, side, [fk], [key_alias], how)
+        else:
+            df = df.join(side, df[fk] == side[key_alias], how)
     return df
 
 

@@ -116,14 +116,21 @@ def many_to_one(
     what: str = "join",
     broadcast_rows: int | None = None,
     guard: bool = True,
+    split_hot: bool = True,
 ) -> DataFrame:
-    """Join each left row to at most one right row."""
+    """Join each left row to at most one right row.
+
+    Small right side: broadcast.  Otherwise a shuffle join whose hot left keys
+    are split off into a broadcast join (``split_hot``; pass ``False`` when the
+    left rows are already aggregated on the join keys)."""
     spark = left.sparkSession
     bound = broadcast_bound(spark, broadcast_rows)
     small = fits_broadcast(right, bound)
     rhs = unique_on(right, right_on, what) if guard else right
     if small:
         rhs = F.broadcast(rhs)
+    elif split_hot:
+        return skew_split_join(left, rhs, left_on, right_on, how)
     if list(left_on) == list(right_on):
         return left.join(rhs, list(left_on), how)
     cond: Column | None = None
@@ -131,3 +138,67 @@ def many_to_one(
         c = left[lk] == rhs[rk]
         cond = c if cond is None else cond & c
     return left.join(rhs, cond, how)
+
+
+# Share of the left rows above which a single key is "hot".
+DEFAULT_HOT_FRACTION = 0.01
+HOT_FRACTION_CONF = "spark.starmart.skew.hotFraction"
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], fraction: float) -> list[tuple]:
+    """Key values holding more than ``fraction`` of ``df``'s rows.
+
+    One aggregation (map-side partial counts, so a hot key is one row per task
+    before the shuffle) plus a row count; at most ``1 / fraction`` keys can
+    qualify, so the list reaching the driver is bounded."""
+    keys = list(keys)
+    total = df.count()
+    if total == 0:
+        return []
+    limit = int(1 / fraction) + 1
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(_COUNT_COL))
+    hot = counts.where(F.col(_COUNT_COL) > F.lit(total * fraction)).limit(limit).collect()
+    return [tuple(r[k] for k in keys) for r in hot if all(r[k] is not None for k in keys)]
+
+
+def skew_split_join(left: DataFrame, right: DataFrame, left_on: Sequence[str], right_on: Sequence[str],
+                    how: str = "left", fraction: float | None = None) -> DataFrame:
+    """Many-to-one equi-join that never sends a hot key's rows to one task.
+
+    ``right`` must be unique on ``right_on``.  Rows of hot left keys (see
+    :func:`hot_keys`) join the matching right rows - at most one per hot key,
+    broadcast - where they are; all other rows take the normal (shuffle) join.
+    Same result as ``left.join(right, ..., how)`` for ``how`` in inner / left /
+    left_semi / left_anti.  Works without AQE's skew-join splitting."""
+    spark = left.sparkSession
+    fraction = fraction or float(spark.conf.get(HOT_FRACTION_CONF, str(DEFAULT_HOT_FRACTION)))
+    left_on, right_on = list(left_on), list(right_on)
+    hot = hot_keys(left.select(*left_on), left_on, fraction)
+
+    def cond(lhs, rhs):
+        if left_on == right_on:
+            return left_on  # using-join: one copy of the key columns
+        c = None
+        for lk, rk in zip(left_on, right_on):
+            e = lhs[lk] == rhs[rk]
+            c = e if c is None else c & e
+        return c
+
+    if not hot:
+        return left.join(right, cond(left, right), how)
+    types = [left.schema[k].dataType.simpleString() for k in left_on]
+    hot_df = spark.createDataFrame(hot, ", ".join(f"`__h{i}` {t}" for i, t in enumerate(types)))
+    in_hot_l = None
+    for i, k in enumerate(left_on):
+        e = left[k] == hot_df[f"__h{i}"]
+        in_hot_l = e if in_hot_l is None else in_hot_l & e
+    hot_rows = left.join(F.broadcast(hot_df), in_hot_l, "left_semi")
+    cold_rows = left.join(F.broadcast(hot_df), in_hot_l, "left_anti")
+    in_hot_r = None
+    for i, k in enumerate(right_on):
+        e = right[k] == hot_df[f"__h{i}"]
+        in_hot_r = e if in_hot_r is None else in_hot_r & e
+    right_hot = right.join(F.broadcast(hot_df), in_hot_r, "left_semi")  # at most len(hot) keys' rows
+    hot_part = hot_rows.join(F.broadcast(right_hot), cond(hot_rows, right_hot), how)
+    cold_part = cold_rows.join(right, cond(cold_rows, right), how)
+    return hot_part.unionByName(cold_part)

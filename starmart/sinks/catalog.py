@@ -103,7 +103,7 @@ def rollup_published(spark: SparkSession, spec: MartSpec, database: str, fact_na
     ``tables`` (the sources, read for types only) makes DECIMAL sums exact.
     """
     fact = spec.fact(fact_name)
-    rows = fact_rows(fact, tables) if tables is not None else None
+    rows = fact_rows(fact, tables, split_hot=False) if tables is not None else None
     merges = [merge_for_published(m, rows) for m in fact.metrics]
     fdf = spark.table(f"{_q(database)}.{_q(fact.name)}")
     links = spec.dimensions_of(fact)

@@ -45,7 +45,7 @@ def refresh_fact(fact: Fact, current_path: str, delta_tables: Mapping[str, DataF
     spark = next(iter(delta_tables.values())).sparkSession
     current = spark.read.parquet(current_path)
     delta = build_fact(fact, delta_tables, spec)
-    merged = merge_fact(current, delta, fact, fact_rows(fact, delta_tables))
+    merged = merge_fact(current, delta, fact, fact_rows(fact, delta_tables, split_hot=False))
     write_table(merged, new_path)
     return spark.read.parquet(new_path)
 
@@ -78,7 +78,7 @@ def _stage_and_overwrite(spark: SparkSession, fact: Fact, fact_path: str, tables
         delta = build_fact(fact, tables, spec)
         periods = delta.select("period").distinct()  # one row per touched period
         affected = current.join(F.broadcast(periods), "period", "left_semi")  # partition pruning
-        merged = merge_fact(affected, delta, fact, fact_rows(fact, tables))
+        merged = merge_fact(affected, delta, fact, fact_rows(fact, tables, split_hot=False))
         write_table(merged, f"{stage}/data", partition_by=["period"], mode="overwrite")
         spark.createDataFrame([(True,)], "done boolean").coalesce(1).write.mode("overwrite").json(marker)
     _overwrite_periods(spark, f"{stage}/data", fact_path, current.columns)
@@ -207,7 +207,7 @@ def start_fact_stream(
         if prev is None:
             merged = delta
         else:
-            merged = merge_fact(batch.sparkSession.read.parquet(prev), delta, fact, fact_rows(fact, tables))
+            merged = merge_fact(batch.sparkSession.read.parquet(prev), delta, fact, fact_rows(fact, tables, split_hot=False))
         write_table(merged, out, mode="overwrite")
         log_version(batch.sparkSession, mart_root, epoch_id)
         if on_version is not None:
