@@ -18,7 +18,7 @@ from starmart.spec import Dimension, MartSpec, validate_dimension
 
 
 def dimension_rows(dim: Dimension, tables: Mapping[str, DataFrame], columns: Sequence[str] | None = None,
-                   broadcast_rows: int | None = None) -> DataFrame:
+                   broadcast_rows: int | None = None, split_hot: bool = True) -> DataFrame:
     """Source rows of ``dim`` with its snowflake arms joined, projected to
     ``columns`` (identical projected rows collapsed when ``dim.dedupe``)."""
     validate_dimension(dim, tables)
@@ -27,13 +27,15 @@ def dimension_rows(dim: Dimension, tables: Mapping[str, DataFrame], columns: Seq
     for j in dim.joins:
         right = tables[j.table]
         df = many_to_one(df, right, j.left_on, j.right_on, j.how,
-                         what=f"dimension '{dim.name}' arm '{j.table}'", broadcast_rows=broadcast_rows)
+                         what=f"dimension '{dim.name}' arm '{j.table}'", broadcast_rows=broadcast_rows,
+                         split_hot=split_hot)
     df = df.select(*wanted)
     return df.distinct() if dim.dedupe else df
 
 
-def build_dimension(dim: Dimension, tables: Mapping[str, DataFrame], broadcast_rows: int | None = None) -> DataFrame:
-    return dimension_rows(dim, tables, broadcast_rows=broadcast_rows)
+def build_dimension(dim: Dimension, tables: Mapping[str, DataFrame], broadcast_rows: int | None = None,
+                    split_hot: bool = True) -> DataFrame:
+    return dimension_rows(dim, tables, broadcast_rows=broadcast_rows, split_hot=split_hot)
 
 
 def build_all_dimensions(spec: MartSpec, tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:

@@ -162,7 +162,7 @@ def check_metric_expressions(fact: Fact, rows: DataFrame) -> None:
 
 
 def build_fact(fact: Fact, tables: Mapping[str, DataFrame], spec: MartSpec | None = None,
-               broadcast_rows: int | None = None) -> DataFrame:
+               broadcast_rows: int | None = None, split_hot: bool = True) -> DataFrame:
     """Keys first, then metrics in order.
 
     No keys -> one grand-total row; no metrics -> distinct key combinations.
@@ -177,7 +177,7 @@ def build_fact(fact: Fact, tables: Mapping[str, DataFrame], spec: MartSpec | Non
         pre = _preaggregated(fact, tables, spec, broadcast_rows)
         if pre is not None:
             return pre
-    rows = fact_rows(fact, tables, broadcast_rows)
+    rows = fact_rows(fact, tables, broadcast_rows, split_hot=split_hot)
     keys = _key_columns(fact, rows, tables, spec)
     metrics = [aggregate(m, rows.schema) for m in fact.metrics]
     if not metrics:

@@ -32,7 +32,7 @@ def target_schemas(spec: MartSpec, tables: Mapping[str, DataFrame]) -> dict[str,
     validate_spec(spec, tables)
     out: dict[str, T.StructType] = {}
     for d in spec.dimensions:
-        schema = build_dimension(d, tables, broadcast_rows=0).schema
+        schema = build_dimension(d, tables, broadcast_rows=0, split_hot=False).schema
         src = tables[d.source_table].schema
         fields = []
         for f in schema.fields:
@@ -44,7 +44,7 @@ def target_schemas(spec: MartSpec, tables: Mapping[str, DataFrame]) -> dict[str,
                 fields.append(f)
         out[d.name] = T.StructType(fields)
     for fact in spec.facts:
-        schema = build_fact(fact, tables, spec, broadcast_rows=0).schema
+        schema = build_fact(fact, tables, spec, broadcast_rows=0, split_hot=False).schema
         refs: dict[str, list[str]] = {}
         for key, d in spec.dimensions_of(fact):
             refs.setdefault(key, []).append(f"{d.name}.{d.key_column}")

@@ -76,3 +76,14 @@ def test_no_python_udf_in_fact_builds(spark):
     for name in ("fact_orders", "fact_lineitem_expr", "fact_multi_source", "grain_monthly", "check_report"):
         plan = _physical(E.queries()[name](spark, SF_SMALL))
         assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, name
+
+
+def test_target_schemas_run_no_job(spark, tables):
+    """Target schemas come from analysis only."""
+    from starmart.plans.schema import target_schemas
+    for n in M.SALES_MART.source_tables():
+        tables[n].schema  # Parquet schema inference reads footers with a job of its own
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup())
+    target_schemas(M.SALES_MART, tables)
+    assert len(tracker.getJobIdsForGroup()) == before
