@@ -190,3 +190,18 @@ def test_raw_star_join_with_hot_key_splits(spark, skewed):
     assert "Union" in df._jdf.queryExecution().optimizedPlan().toString()
     want = star_rollup(fact, skewed, M.SALES_MART, ["c_mktsegment"], broadcast_rows=10**9)
     assert [(a, round(b, 6)) for a, b in _sorted(df)] == [(a, round(b, 6)) for a, b in _sorted(want)]
+
+
+def test_hot_keys_bounded_and_null_safe(spark):
+    from starmart.plans.joins import hot_keys, many_to_one
+    # 200 equally frequent keys at 0.5 % each: with a 1 % threshold none is hot
+    flat = spark.createDataFrame([(i % 200,) for i in range(4000)], "k int")
+    assert hot_keys(flat, ["k"], 0.01) == []
+    # at most 1/fraction + 1 keys can ever be returned
+    assert len(hot_keys(flat, ["k"], 0.001)) <= 1001
+    # a hot NULL key is never split off, and its rows survive a left join
+    left = spark.createDataFrame([(i, None if i % 2 else i % 7) for i in range(700)], "id int, k int")
+    right = spark.createDataFrame([(k, f"v{k}") for k in range(5)], "rk int, v string")
+    got = many_to_one(left, right, ["k"], ["rk"], "left", broadcast_rows=0)
+    want = left.join(right, left["k"] == right["rk"], "left")
+    assert _sorted(got) == _sorted(want) and got.count() == 700
