@@ -40,3 +40,13 @@ def test_profile_exact_and_approx(spark, lineitem):
               for r in profile.profile_columns(lineitem, COLS, exact=False, rsd=0.02).collect()}
     for c in COLS:
         assert abs(approx[c] - exact[c].distinct_count) <= max(2, 0.1 * exact[c].distinct_count)
+
+
+def test_describe_sources_with_array_column(spark):
+    t = load_tables(spark, SF_SMALL)
+    rows = {r.column_name: r for r in profile.describe_sources(
+        t, ["embeddings"], include_sample_values=True, detect_keys=True).collect()}
+    assert rows["embedding"].data_type == "array<float>"
+    assert rows["embedding"].is_primary_key is False  # nested types are never keys
+    assert 1 <= len(rows["embedding"].sample_values) <= 5
+    assert rows["vec_id"].is_primary_key
