@@ -4,8 +4,11 @@
   on the join key (the shuffle a sort-merge join needs anyway), and a key seen
   twice raises instead of silently inflating sums.
 * Broadcast only behind a size check: the right side is counted with a bounded
-  ``limit(n + 1).count()`` (stops after n + 1 rows); above the bound the join
-  stays a shuffle join and AQE's skew-join split handles hot keys.
+  ``limit(n + 1).count()`` (stops after n + 1 rows) and its estimated width;
+  above the bound the join stays a shuffle join, and hot left keys (more than
+  a set share of the rows, so at most a bounded number of them) are split off
+  into a broadcast join of their few right rows (``skew_split_join``), so no
+  task receives a third of the rows even without AQE's skew-join splitting.
 """
 
 from __future__ import annotations
