@@ -8,7 +8,8 @@
 * otherwise, when all metrics decompose, the fact is first aggregated to
   (period, foreign keys) partial states - a hot foreign key collapses to one
   row per period before any shuffle - then joined to the dimensions and merged.
-  Non-decomposable metrics join the raw rows (AQE splits skewed partitions).
+  Non-decomposable metrics join the raw rows, with hot fact keys split off
+  into a broadcast join of their few dimension rows.
 """
 
 from __future__ import annotations
