@@ -44,9 +44,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed token ids of every text, their number, and whether they decode to the text."""
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    coded = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
-    exact = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return coded.withColumns({"n_tokens": bpe.n_tokens(), "round_trip": exact}).drop("decoded")
+    coded = bpe.encode_verified(docs, path, pattern)
+    exact = F.col("decoded_sha256") == F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    return coded.withColumns({"n_tokens": bpe.n_tokens(), "round_trip": exact}).drop("decoded_sha256")
 
 
 STAGES = [

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import re
 import sys
 from array import array
@@ -31,14 +32,13 @@ _EDGE = re.compile(f"[^{SPACE}](?=[{SPACE}])|[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])
 _RUN = re.compile(f"[{SPACE}]{{65536,}}")
 
 
+_WHOLE = r"(?s).+"  # a pattern that takes its whole input as a single match
+
+
 @functools.lru_cache(maxsize=4)
-def _encodings(ranks_file: bytes, pattern: str) -> tuple[tiktoken.Encoding, tiktoken.Encoding]:
-    """The tokenizer, and one that takes its whole input as a single match."""
+def _encoding(ranks_file: bytes, pattern: str) -> tiktoken.Encoding:
     ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ranks_file.splitlines()) if token}
-    return tuple(
-        tiktoken.Encoding(name, pat_str=p, mergeable_ranks=ranks, special_tokens={})
-        for name, p in (("split", pattern), ("whole", r"(?s).+"))
-    )
+    return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def safe_pieces(text: str, size: int) -> Iterator[tuple[str, bool]]:
@@ -71,12 +71,12 @@ def _cut(text: str, size: int) -> Iterator[str]:
 def encode_text(text: str | None, ranks_file: bytes, pattern: str, piece: int) -> bytes:
     if not text:
         return b""
-    split, whole = _encodings(ranks_file, pattern)
     if len(text) <= piece:
-        ids = split.encode_ordinary(text)
-    else:
-        ids = [i for part, run in safe_pieces(text, piece) for i in (whole if run else split).encode_ordinary(part)]
-    return _little(array("I", ids))
+        return _little(array("I", _encoding(ranks_file, pattern).encode_ordinary(text)))
+    ids = array("I")
+    for part, run in safe_pieces(text, piece):
+        ids.extend(_encoding(ranks_file, _WHOLE if run else pattern).encode_ordinary(part))
+    return _little(ids)
 
 
 def _little(ids: array) -> bytes:
@@ -90,7 +90,7 @@ def decode_ids(packed: bytes | None, ranks_file: bytes, pattern: str) -> bytes:
         return b""
     ids = array("I")
     ids.frombytes(packed)
-    return _encodings(ranks_file, pattern)[0].decode_bytes(ids.tolist())
+    return _encoding(ranks_file, pattern).decode_bytes(ids.tolist())
 
 
 def _map(fn):
@@ -124,6 +124,26 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", o
     return df.withColumn(out_col, _map(lambda b: decode_ids(b, ranks.value, pattern))(F.col(ids_col)))
 
 
+def encode_verified(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids",
+                    hash_col: str = "decoded_sha256", piece: int = 1 << 16) -> DataFrame:
+    """Add ``ids_col`` and ``hash_col``: SHA-256 (hex) of the bytes that those ids decode to.
+
+    Encodes and decodes a text in one pass through one Python worker, and the
+    decoded bytes stay there.
+    """
+    ranks = _ranks(df, ranks_path)
+
+    @F.arrow_udf("struct<ids: binary, hash: string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            ids = pa.array((encode_text(v.as_py(), ranks.value, pattern, piece) for v in batch), pa.binary())
+            hashes = [hashlib.sha256(decode_ids(v.as_py(), ranks.value, pattern)).hexdigest() for v in ids]
+            yield pa.StructArray.from_arrays([ids, pa.array(hashes, pa.string())], ["ids", "hash"])
+
+    coded = df.withColumn("__bpe", run(F.col(text_col)))
+    return coded.withColumns({ids_col: F.col("__bpe.ids"), hash_col: F.col("__bpe.hash")}).drop("__bpe")
+
+
 def n_tokens(ids_col: str = "ids"):
     return (F.octet_length(ids_col) / 4).cast("long")
 
@@ -136,10 +156,5 @@ def unpack_ids(packed: bytes) -> list[int]:
 
 def digests(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_tokens, SHA-256 of the packed ids and of the decoded bytes."""
-    coded = decode(encode(df.select(id_col, text_col), ranks_path, pattern, text_col, "__ids"), ranks_path, pattern, "__ids", "__raw")
-    return coded.select(
-        id_col,
-        n_tokens("__ids").alias("n_tokens"),
-        F.sha2("__ids", 256).alias("ids_sha256"),
-        F.sha2("__raw", 256).alias("decoded_sha256"),
-    )
+    coded = encode_verified(df.select(id_col, text_col), ranks_path, pattern, text_col, "__ids", "decoded_sha256")
+    return coded.select(id_col, n_tokens("__ids").alias("n_tokens"), F.sha2("__ids", 256).alias("ids_sha256"), "decoded_sha256")
