@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from starmart.llm.common import written
+
 _LAST = 2**63 - 1  # stands for a null id
 
 
@@ -33,38 +35,38 @@ def _doc(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
 
 
+def _normal(text: Column) -> Column:
+    """Digits masked, and one space between the tokens of a line (its ends are trimmed per line)."""
+    return F.regexp_replace(F.regexp_replace(text, "[0-9]+", "0"), r"[ \t\x0B\f\r]{2,}|[\t\x0B\f\r]", " ")
+
+
 def line_templates(df: DataFrame, id_col: str, text_col: str, min_tokens: int, min_general: int, depth: int, segments: int) -> DataFrame:
-    """(__doc, __text hash, __at, __key): a row for each template of each line that may be dropped."""
+    """(__doc, __hash of the text, __at, __key): a row for each template of each line that may be dropped."""
     lines = df.where(F.col(text_col).isNotNull()).select(
-        _doc(id_col).alias("__doc"),
-        F.xxhash64(text_col).alias("__hash"),
-        F.posexplode(F.split(F.regexp_replace(text_col, "[0-9]+", "0"), "\n", -1)).alias("__at", "__line"),
-    )
-    tokens = lines.select(
-        "__doc", "__hash", "__at",
-        F.filter(F.split("__line", r"[\x20\x09-\x0D]+"), lambda t: t != "").alias("__tokens"),
-    ).withColumn("__n", F.size("__tokens")).where(F.col("__n") >= min_tokens)
-    rest = F.greatest(F.col("__n") - depth, F.lit(0))
-    leaf = F.xxhash64(F.col("__n"), F.slice("__tokens", 1, depth))
-    bound = [depth + F.floor(rest * s / segments).cast("int") for s in range(segments + 1)]
+        _doc(id_col).alias("__doc"), F.xxhash64(text_col).alias("__hash"),
+        F.posexplode(F.split(_normal(F.col(text_col)), "\n", -1)).alias("__at", "__raw"),
+    ).select("__doc", "__hash", "__at", F.trim("__raw").alias("__line"))
+    spaces = F.octet_length("__line") - F.octet_length(F.replace(F.col("__line"), F.lit(" "), F.lit("")))
+    lines = lines.withColumn("__n", F.when(F.col("__line") == "", 0).otherwise(spaces + 1)).where(F.col("__n") >= min_tokens)
+    n = F.col("__n")
+    leaf = F.xxhash64(n, F.substring_index("__line", " ", depth))
+    cut = [depth + F.floor((n - depth) * s / segments).cast("int") for s in range(segments + 1)]
 
     def template(s: int) -> Column:
-        before = F.slice("__tokens", F.lit(depth + 1), bound[s] - depth)
-        after = F.slice("__tokens", bound[s + 1] + 1, F.greatest(F.col("__n") - bound[s + 1], F.lit(0)))
-        return F.xxhash64("__leaf", F.lit(s), before, F.lit("<*>"), after)
+        before = F.call_function("substring_index", F.col("__line"), F.lit(" "), cut[s])
+        after = F.call_function("substring_index", F.col("__line"), F.lit(" "), cut[s + 1] - n)
+        return F.xxhash64(leaf, F.lit(s), before, F.lit("<*>"), after)
 
-    exact = F.array(F.xxhash64("__leaf", F.lit(-1), "__tokens"))
+    exact = F.array(F.xxhash64(leaf, F.lit(-1), "__line"))
     general = F.array(*[template(s) for s in range(segments)])
-    return tokens.withColumn("__leaf", leaf).select(
-        "__doc", "__hash", "__at",
-        F.explode(F.when(F.col("__n") >= min_general, general).otherwise(exact)).alias("__key"),
-    )
+    return lines.select("__doc", "__hash", "__at", F.explode(F.when(n >= min_general, general).otherwise(exact)).alias("__key"))
 
 
 def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_tokens: int = 3,
                   min_general: int = 12, depth: int = 2, segments: int = 4) -> DataFrame:
     """(__doc, __hash, __drops): for each text with recurring lines the sorted numbers of the lines to drop."""
-    keys = line_templates(df, id_col, text_col, min_tokens, min_general, depth, segments)
+    # written: both the counting and the marking read the parsed lines
+    keys = written(line_templates(df, id_col, text_col, min_tokens, min_general, depth, segments), "line-templates")
     recurring = (
         keys.groupBy("__key").agg(F.min("__doc").alias("__first"), F.max("__doc").alias("__last"))
         .where(F.col("__first") < F.col("__last")).select("__key", "__first")
