@@ -101,15 +101,14 @@ def predict_text(text: str | None, m: LanguageModel) -> tuple[str, float, bool]:
 def _document_frequencies(rows: DataFrame, text_col: str, buckets: int) -> tuple[np.ndarray, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, docs = np.zeros(buckets, np.int64), 0
-        for batch in batches:
-            for v in batch.column(0):
-                if has_letter(t := v.as_py()):
-                    df[gram_counts(t, buckets)[0]] += 1
-                    docs += 1
+        for text, _ in _rows(batches):
+            if has_letter(text):
+                df[gram_counts(text, buckets)[0]] += 1
+                docs += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], docs))], ["bucket", "n"])
 
-    total = rows.select(text_col).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    total = rows.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     df, at = np.zeros(buckets, np.int64), total["bucket"].to_numpy()
     df[at[at >= 0]] = total["n"].to_numpy()[at >= 0]
     return df, int(total["n"].to_numpy()[at < 0].sum())
@@ -172,9 +171,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", buckets
     if not parts:
         return LanguageModel([], np.zeros((0, buckets)), np.zeros(0), idf, min_grams)
     model = LanguageModel(languages, np.vstack(parts), np.full(len(languages), -1.0), idf, min_grams)
-    model.centroids = _means(rows, model)
-    model.limits = _limits(rows, model) * slack
-    return model
+    return _refine(rows, model, slack)
 
 
 def _nearest_of_language(text: str, lang: str, m: LanguageModel, of: dict[str, np.ndarray]):
@@ -185,52 +182,45 @@ def _nearest_of_language(text: str, lang: str, m: LanguageModel, of: dict[str, n
     return own[best], float(cos[best]), at, w, n
 
 
-def _means(rows: DataFrame, m: LanguageModel) -> np.ndarray:
-    """Each centroid moved to the mean of all learning rows of its language nearest to it."""
-    sc = rows.sparkSession.sparkContext
-    shared = sc.broadcast(m)
+def _rows(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[tuple[str, str]]:
+    """(text, language) of each row; only a slice of a batch is held as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, size):
+            part = batch.slice(at, size)
+            yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist())
+
+
+def _refine(rows: DataFrame, m: LanguageModel, slack: float) -> LanguageModel:
+    """One pass over all learning rows: each centroid moves to the mean of the rows of its language nearest to
+    it, and its limit is a share of the smallest cosine that one of them (of enough n-grams) had with it."""
+    shared = rows.sparkSession.sparkContext.broadcast(m)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         of = {x: np.flatnonzero(np.array(m.languages) == x) for x in set(m.languages)}
-        sums = np.zeros_like(m.centroids)
-        for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if lang in of and has_letter(text):
-                    k, _, at, w, _ = _nearest_of_language(text, lang, m, of)
-                    sums[k, at] += w
+        sums, low = np.zeros_like(m.centroids), np.full(len(m.languages), np.inf)
+        for text, lang in _rows(batches):
+            if lang in of and has_letter(text):
+                k, cos, at, w, n = _nearest_of_language(text, lang, m, of)
+                sums[k, at] += w
+                if n >= m.min_grams:
+                    low[k] = min(low[k], cos)
         k, at = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(sums[k, at])], ["k", "at", "w"])
+        kl = np.flatnonzero(np.isfinite(low))
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.concatenate([k, kl]).astype(np.int32)), pa.array(np.concatenate([at, np.full(len(kl), -1)]).astype(np.int32)),
+            pa.array(np.concatenate([sums[k, at], low[kl]]))], ["k", "at", "w"])
 
-    sums = m.centroids * 1e-9
     # a sum of rounded values does not depend on the order in which tasks arrive
     total = rows.mapInArrow(add, "k int, at int, w double").groupBy("k", "at").agg(
-        F.sum(F.round(F.col("w") * 1e6).cast("long")).alias("w")).toPandas()
-    sums[total["k"].to_numpy(), total["at"].to_numpy()] += total["w"].to_numpy() / 1e6
-    return sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-
-
-def _limits(rows: DataFrame, m: LanguageModel) -> np.ndarray:
-    """The smallest cosine that a learning row of at least min_grams n-grams has with its centroid."""
-    shared = rows.sparkSession.sparkContext.broadcast(m)
-
-    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        of = {x: np.flatnonzero(np.array(m.languages) == x) for x in set(m.languages)}
-        low = np.full(len(m.languages), np.inf)
-        for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if lang in of and has_letter(text):
-                    k, cos, _, _, n = _nearest_of_language(text, lang, m, of)
-                    if n >= m.min_grams:
-                        low[k] = min(low[k], cos)
-        k = np.flatnonzero(np.isfinite(low))
-        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(low[k])], ["k", "low"])
-
-    found = rows.mapInArrow(least, "k int, low double").groupBy("k").agg(F.min("low").alias("low")).toPandas()
-    low = np.zeros(len(m.languages))
-    low[found["k"].to_numpy()] = found["low"].to_numpy()
-    return low
+        F.sum(F.round(F.col("w") * 1e6).cast("long")).alias("sum"), F.min("w").alias("low")).toPandas()
+    k, at = total["k"].to_numpy(), total["at"].to_numpy()
+    sums, low = m.centroids * 1e-9, np.zeros(len(m.languages))
+    cell = at >= 0
+    sums[k[cell], at[cell]] += total["sum"].to_numpy()[cell] / 1e6
+    low[k[~cell]] = total["low"].to_numpy()[~cell]
+    centroids = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+    return LanguageModel(m.languages, centroids, low * slack, m.idf, m.min_grams)
 
 
 def identify(df: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
