@@ -9,13 +9,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from starmart.llm import bpe, langid, linededup, mixing, simhash
-from starmart.llm.common import held_out, table
+from starmart.llm import bpe, embed_dedup, html_extract, langid, linededup, lm_score, mixing, quality, simhash, topk, vectors
+from starmart.llm.common import held_out, table, written
+from starmart.llm.labelled_pages import labelled_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = lambda x: F.when(vectors.finite(x), F.floor(x.cast("double") * 64).cast("double"))
+    vecs = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", whole).alias("v"))
+    hits = topk.top_k(vecs, F.col("vec_id") % 20 == 0, k=20, id_col="vec_id", vec_col="v")
+    return hits.select("query_id", "rank", F.col("id").alias("vec_id"), F.col("score").cast("long").alias("score"))
+
+
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vecs = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return embed_dedup.near_duplicates(vecs, "vec_id", "embedding", threshold=0.95)
+
+
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents labelled as good text are the target, all others the background."""
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(good, "doc_id", "left")
+    docs = written(docs.withColumn("target", F.col("target").isNotNull()), "lm-docs")
+    return lm_score.score(docs, lm_score.fit(docs, "target")).drop("text")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
@@ -26,11 +47,24 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score", "accepted")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id"))
+    model = quality.fit(docs, labels)
+    return quality.classify(docs.withColumn("held_out", held_out("doc_id")), model).drop("text")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs, keep_text=False).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    text = html_extract.extract(pages, html_extract.train(labelled_pages())).drop("html")
+    return text.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.drop_recurring_lines(docs)
@@ -48,6 +82,23 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op4_byte_bpe, op5_language_id, op7_mixing, op9_line_dedup, op10_simhash, pipeline)
+    f.__name__: f for f in (op1_topk, op2_embedding_dedup, op3_lm_score, op4_byte_bpe, op5_language_id, op6_quality, op7_mixing,
+                              op8_html_extraction, op9_line_dedup, op10_simhash, pipeline)
+}
+ORACLE_SQL: dict[str, str] = {
+    "op1_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)) AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+        SELECT q.vec_id AS query_id, row_number() OVER w AS rank, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+        FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+        WINDOW w AS (PARTITION BY q.vec_id ORDER BY list_dot_product(q.e, c.e) DESC, c.vec_id)
+        QUALIFY rank <= 20""",
+    "op2_embedding_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+        reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)
+        SELECT e.vec_id, (SELECT count(*) FROM link l WHERE l.a = e.vec_id) AS n_links, min(r.b) AS component_id, e.vec_id = min(r.b) AS kept
+        FROM embeddings e JOIN reach r ON r.a = e.vec_id GROUP BY e.vec_id""",
 }
-ORACLE_SQL: dict[str, str] = {}
