@@ -146,7 +146,7 @@ def near_duplicates(df: DataFrame, id_col: str = "id", vec_col: str = "vector",
     pairs = across.union(sizes.select(F.col("__cell").alias("__one"), F.col("__cell").alias("__other")))
     left = blocks.select(F.col("__cell").alias("__one"), F.col("__part").alias("__i"), F.col("__rows").alias("__left"))
     right = blocks.select(F.col("__cell").alias("__other"), F.col("__part").alias("__j"), F.col("__rows").alias("__right"))
-    units = left.join(pairs, "__one").join(right, "__other").where("__one < __other or __i <= __j")
+    units = left.hint("merge").join(pairs, "__one").hint("merge").join(right, "__other").where("__one < __other or __i <= __j")
     units = units.withColumn("__right", F.when((F.col("__one") < F.col("__other")) | (F.col("__i") < F.col("__j")), F.col("__right")))
     found = written(units.select("__one", "__other", "__left", "__right").mapInArrow(
         lambda b: _compare(b, shared.value, threshold), "a long, b long, n long"), "dedup-links")

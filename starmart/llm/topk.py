@@ -102,25 +102,21 @@ def fit(distinct: DataFrame, sample: int, rows_per_cell: int, rings: int, max_pi
     return PivotIndex(dim, top, pivots, edges, np.zeros(cells), np.zeros(cells), np.zeros(cells, np.int64))
 
 
-def _hits(rows: Iterator[pa.RecordBatch], index: PivotIndex, k: int, bounded: bool) -> Iterator[pa.RecordBatch]:
+def _hits(rows: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterator[pa.RecordBatch]:
     """The k best candidates of each query in each pair of blocks."""
     for batch in rows:
         for at in range(batch.num_rows):
-            cell, vs, qs = (batch.column(c)[at] for c in ("__cell", "__vectors", "__queries"))
+            vs, qs = batch.column("__vectors")[at], batch.column("__queries")[at]
             v, ids = vs.values, vs.values.field("__ids")
-            m = vectors.matrix(v.field("__v"), index.dim)
+            m = vectors.matrix(v.field("__v"), dim)
             v1, v2 = (v.field(c).to_numpy() for c in ("__k1", "__k2"))
             first, flat = ids.offsets.to_numpy() - ids.offsets[0].as_py(), ids.flatten().to_numpy()
             n_ids = np.diff(first)
             q = qs.values
-            qm, floor = vectors.matrix(q.field("__v"), index.dim), q.field("__floor").to_numpy()
+            qm, floor = vectors.matrix(q.field("__v"), dim), q.field("__floor").to_numpy()
             q1, q2 = (q.field(c).to_numpy() for c in ("__k1", "__k2"))
-            if bounded:
-                wanted = np.flatnonzero(index.bounds(qm)[:, cell.as_py()] >= floor)
-            else:
-                wanted = np.arange(len(q))
-            for lo in range(0, len(wanted), _SLICE):
-                w = wanted[lo : lo + _SLICE]
+            for lo in range(0, len(q), _SLICE):
+                w = np.arange(lo, min(lo + _SLICE, len(q)))
                 score = qm[w] @ m.T
                 least = floor[w]
                 if m.shape[0] > k:
@@ -187,35 +183,33 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "id", vec_
             i, j = np.nonzero(take)
             yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(i)) for c in ("__k1", "__k2", "__v")), pa.array(order[i, j].astype(np.int32))], ["__k1", "__k2", "__v", "__cell"])
 
-    def scored(asked: DataFrame, bounded: bool) -> DataFrame:
-        pairs = asked.join(stored, "__cell").select("__cell", "__vectors", "__queries")
-        return pairs.mapInArrow(lambda b: _hits(b, shared.value, k + 1, bounded), _HITS)
+    def scored(asked: DataFrame) -> DataFrame:
+        # a merge join: sizes after compression say little about what a broadcast of blocks would take
+        pairs = asked.hint("merge").join(stored, "__cell").select("__vectors", "__queries")
+        return pairs.mapInArrow(lambda b: _hits(b, shared.value.dim, k + 1), _HITS)
 
     best = Window.partitionBy("k1", "k2").orderBy(F.desc("score"), "id", F.desc("same"))
     start = queries.mapInArrow(first_cells, "__k1 long, __k2 long, __v array<double>, __cell int").withColumn("__floor", F.lit(float("-inf")))
     start = blocks(written(start, "topk-start"), "__queries", "__k1", "__k2", "__v", "__floor")
-    floor = scored(start, False).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(
+    floor = scored(start).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(
         F.when(F.count("*") > k, F.min("score")).otherwise(float("-inf")).alias("__floor"))
     asked = written(queries.join(floor, ["__k1", "__k2"]), "topk-floor")
 
-    # second round: blocks of queries, each with the cells that one of its queries must visit; within a pair of
-    # blocks only the queries whose own bound allows the cell are scored
-    n_blocks = F.lit(max(1, math.ceil(asked.count() / block)))
-    packed = asked.groupBy(F.pmod("__k1", n_blocks).alias("__part")).agg(F.collect_list(F.struct("__k1", "__k2", "__v", "__floor")).alias("__queries"))
-
-    @F.arrow_udf("array<int>")
-    def cells(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        m = shared.value
+    # second round: for each cell the queries whose bound allows it, in blocks
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, fields = shared.value, ("__k1", "__k2", "__v", "__floor")
         for b in batches:
-            out = []
-            for q in b:
-                s = q.values
-                open_ = m.bounds(vectors.matrix(s.field("__v"), m.dim)) >= s.field("__floor").to_numpy()[:, None]
-                out.append(np.flatnonzero(open_.any(axis=0) & (m.count > 0)).astype(np.int32))
-            yield pa.array(out, pa.list_(pa.int32()))
-
-    visits = packed.withColumn("__cells", cells("__queries")).withColumn("__cell", F.explode("__cells")).select("__cell", "__queries")
-    found = scored(visits, True).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
+            for at in range(0, b.num_rows, block):
+                part = b.slice(at, block)
+                queries = pa.StructArray.from_arrays([part.column(c) for c in fields], fields)
+                open_ = m.bounds(vectors.matrix(part.column("__v"), m.dim)) >= part.column("__floor").to_numpy()[:, None]
+                for cell in np.flatnonzero(open_.any(axis=0) & (m.count > 0)):
+                    own = queries.take(pa.array(np.flatnonzero(open_[:, cell])))
+                    yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)], ["__cell", "__queries"])
+
+    asking = asked.select("__k1", "__k2", "__v", "__floor").mapInArrow(
+        visits, "__cell int, __queries array<struct<__k1: bigint, __k2: bigint, __v: array<double>, __floor: double>>")
+    found = scored(asking).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
     lists = found.groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(
         F.sort_array(F.collect_list(F.struct("n", "id", "score", "same"))).alias("__list"))
     lists = written(lists, "topk-lists")
