@@ -10,7 +10,7 @@ The vocabulary is every word with at least a ``word_share`` of all tokens, so it
 has at most 1 / word_share entries whatever the corpus; other words are one unknown
 word.  Bigrams of vocabulary words are kept at a ``pair_share`` of all tokens, which
 bounds them alike; others back off.  All counts cover all documents: tasks combine
-them per Arrow batch, Spark combines them per task and then by shuffle, so what is
+them per some million words, Spark combines them per task and then by shuffle, so what is
 gathered grows with the corpus while the model that is broadcast stays bounded.
 
 p(w | h) = k c(h, w) / c(h) + (1 - k s(h)) p(w), where p(w) = (c(w) + 1) / (n + v),
@@ -25,12 +25,12 @@ columns pass through, and one named like an output is replaced.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,13 +64,65 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _scramble(np.add.reduceat(value, before) + length.astype(np.uint64)), start
 
 
-def _batch_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of a batch, in order, and the row of each."""
-    raw = pc.fill_null(texts.cast(pa.binary()), b"")
-    joined = b"\n".join(raw.to_pylist()) + b"\n"
-    ends = np.cumsum(pc.binary_length(raw).to_numpy().astype(np.int64) + 1)
-    words, start = word_hashes(np.frombuffer(joined, np.uint8))
-    return words, np.searchsorted(ends, start, side="right")
+_PART = 1 << 20    # bytes hashed at once
+_HELD = 1 << 21    # keys counted at once
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def batch_words(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Hashes of the words of a batch in order, the row of each, and how many of the
+    first ones were given before.
+
+    About ``_PART`` bytes at a time: several texts, or a part of a long one, which
+    is cut at white space and begins with the word before the cut.
+    """
+    held: list[bytes] = []
+    rows: list[int] = []
+
+    def flush() -> tuple[np.ndarray, np.ndarray, int]:
+        ends = np.cumsum([len(b) + 1 for b in held])
+        words, start = word_hashes(np.frombuffer(b"\n".join(held) + b"\n", np.uint8))
+        row = np.array(rows)[np.searchsorted(ends, start, side="right")]
+        held.clear()
+        rows.clear()
+        return words, row, 0
+
+    size = 0
+    for i, value in enumerate(texts.cast(pa.binary())):
+        data = value.as_py() or b""
+        if len(data) <= _PART:
+            held.append(data)
+            rows.append(i)
+            size += len(data)
+            if size < _PART:
+                continue
+        if held:
+            yield flush()
+            size = 0
+        if len(data) > _PART:
+            at, last = 0, np.zeros(0, np.uint64)
+            while at < len(data):
+                cut = _SPACE.search(data, at + _PART)
+                end = cut.start() if cut else len(data)
+                words = np.concatenate([last, word_hashes(np.frombuffer(data, np.uint8, end - at, at))[0]])
+                yield words, np.full(len(words), i), len(last)
+                at, last = end, words[-1:]
+    if held:
+        yield flush()
+
+
+def _counts(keyed: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Counts of (keys, target) parts, combined over about ``_HELD`` keys."""
+    keys, targets, n = [], [], 0
+    for key, target in keyed:
+        keys.append(key)
+        targets.append(target)
+        n += len(key)
+        if n >= _HELD:
+            yield _counted(np.concatenate(keys), np.concatenate(targets))
+            keys, targets, n = [], [], 0
+    if n:
+        yield _counted(np.concatenate(keys), np.concatenate(targets))
 
 
 def _counted(keys: np.ndarray, target: np.ndarray) -> pa.RecordBatch:
@@ -146,9 +198,9 @@ def fit(docs: DataFrame, target_col: str, text_col: str = "text", word_share: fl
     rows = docs.select(F.col(text_col).alias("text"), F.coalesce(F.col(target_col), F.lit(False)).alias("target"))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words, row = _batch_words(b.column(0))
-            yield _counted(words, b.column(1).to_numpy(zero_copy_only=False)[row])
+        yield from _counts(
+            (words[skip:], target[row[skip:]])
+            for b in batches for target in [b.column(1).to_numpy(zero_copy_only=False)] for words, row, skip in batch_words(b.column(0)))
 
     counted = written(_summed(rows.mapInArrow(count_words, _COUNTS)), "lm-words")
     tokens = np.array([int(x or 0) for x in counted.agg(F.sum("t"), F.sum("b")).first()], np.float64)
@@ -157,11 +209,14 @@ def fit(docs: DataFrame, target_col: str, text_col: str = "text", word_share: fl
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words, row = _batch_words(b.column(0))
-            second, key = _pairs(_find(shared.value, words), row, len(shared.value))
-            known = key >= 0
-            yield _counted(key[known], b.column(1).to_numpy(zero_copy_only=False)[row[second[known]]])
+        def known_pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for b in batches:
+                target = b.column(1).to_numpy(zero_copy_only=False)
+                for words, row, _ in batch_words(b.column(0)):
+                    second, key = _pairs(_find(shared.value, words), row, len(shared.value))
+                    yield key[key >= 0], target[row[second[key >= 0]]]
+
+        yield from _counts(known_pairs())
 
     pairs, pair_counts = _collect(_summed(rows.mapInArrow(count_pairs, _COUNTS)).where(frequent(pair_share)), np.int64)
     return build(words, counts, tokens, pairs, pair_counts, mix)
@@ -174,11 +229,13 @@ def score(df: DataFrame, model: PairModel, text_col: str = "text") -> DataFrame:
     @F.arrow_udf("struct<n: bigint, t: double, b: double>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            words, row = _batch_words(batch)
-            loss = shared.value.losses(words, row)
-            n = np.bincount(row, minlength=len(batch))
-            mean = [np.bincount(row, x, len(batch)) / np.maximum(n, 1) for x in loss]
-            yield pa.StructArray.from_arrays([pa.array(n.astype(np.int64)), *(pa.array(m, mask=n == 0) for m in mean)], ["n", "t", "b"])
+            n, total = np.zeros(len(batch), np.int64), np.zeros((2, len(batch)))
+            for words, row, skip in batch_words(batch):
+                loss, own = shared.value.losses(words, row)[:, skip:], row[skip:]
+                n += np.bincount(own, minlength=len(batch))
+                total += [np.bincount(own, x, len(batch)) for x in loss]
+            mean = total / np.maximum(n, 1)
+            yield pa.StructArray.from_arrays([pa.array(n), *(pa.array(m, mask=n == 0) for m in mean)], ["n", "t", "b"])
 
     return df.withColumn("__lm", run(F.col(text_col))).withColumns({
         "n_tokens": F.col("__lm.n"), "loss_target": F.col("__lm.t"), "loss_background": F.col("__lm.b"),

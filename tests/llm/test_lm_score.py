@@ -105,3 +105,18 @@ def test_nasty_rows(nasty):
     assert lm_score.score(df.limit(0), empty).count() == 0
     one = lm_score.fit(df.withColumn("target", F.lit(None).cast("boolean")), "target")
     assert lm_score.score(df, one).where("n_tokens > 0 and score is null").count() == 0
+
+
+def test_parts_of_long_texts(monkeypatch):
+    """Words, rows and pairs do not depend on where texts are cut."""
+    import pyarrow as pa
+    texts = pa.array([None, "one Two three", "", " ".join(f"w{i}" for i in range(90)), "x" * 50, "a b\n\tc  d "])
+    whole = list(lm_score.batch_words(texts))
+    assert len(whole) == 1 and whole[0][2] == 0
+    monkeypatch.setattr(lm_score, "_PART", 8)
+    parts = list(lm_score.batch_words(texts))
+    assert len(parts) > 20
+    assert np.concatenate([w[s:] for w, _, s in parts]).tolist() == whole[0][0].tolist()
+    assert np.concatenate([r[s:] for _, r, s in parts]).tolist() == whole[0][1].tolist()
+    pairs = lambda ps: sorted((int(w[i]), int(w[i + 1])) for w, r, _ in ps for i in range(len(w) - 1) if r[i] == r[i + 1])
+    assert pairs(parts) == pairs(whole)
