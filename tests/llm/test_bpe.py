@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from starmart.llm import bpe, queries
 
-from conftest import SMALL
+from .conftest import SMALL
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
 

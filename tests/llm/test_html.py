@@ -9,7 +9,7 @@ from starmart.llm import html_extract as H
 from starmart.llm import queries
 from starmart.llm.labelled_pages import labelled_page, labelled_pages
 
-from conftest import SMALL
+from .conftest import SMALL
 
 
 @pytest.fixture(scope="module")

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from starmart.llm import langid, queries
 from starmart.llm.common import held_out
 
-from conftest import SMALL
+from .conftest import SMALL
 
 
 def test_held_out_accuracy(spark, documents):

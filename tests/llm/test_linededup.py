@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from starmart.llm import linededup, queries
 
-from conftest import SMALL
+from .conftest import SMALL
 
 
 def brute(rows, min_tokens=3, min_general=12, depth=2, segments=4):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from starmart.llm import lm_score, queries
 
-from conftest import SMALL
+from .conftest import SMALL
 
 
 def words_of(text):

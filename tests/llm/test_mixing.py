@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from starmart.llm import mixing, queries
 
-from conftest import SMALL
+from .conftest import SMALL
 
 
 def brute_targets(sizes, weights=(5, 2, 1), most=3):

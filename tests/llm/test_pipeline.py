@@ -1,10 +1,10 @@
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from conftest import SMALL
-from test_linededup import brute
-from test_mixing import brute_targets
-from test_simhash import brute_components, brute_print
+from .conftest import SMALL
+from .test_linededup import brute
+from .test_mixing import brute_targets
+from .test_simhash import brute_components, brute_print
 
 
 def test_stages_against_brute_force(spark, documents):

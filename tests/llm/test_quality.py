@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from starmart.llm import quality, queries
 
-from conftest import SMALL
+from .conftest import SMALL
 
 
 def test_held_out_accuracy(spark):

@@ -8,7 +8,7 @@ import xxhash
 from starmart.llm import queries, simhash
 from starmart.llm.common import connected_components
 
-from conftest import SMALL
+from .conftest import SMALL
 
 
 def brute_print(text):

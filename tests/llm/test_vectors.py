@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from starmart.llm import embed_dedup, queries, topk
 
-from conftest import SMALL
+from .conftest import SMALL
 
 VEC = "vec_id long, v array<double>, rank string, n_links string"
 
