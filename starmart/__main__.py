@@ -34,6 +34,13 @@ def _session() -> SparkSession:
     return builder.getOrCreate()
 
 
+def _show(report) -> None:
+    """A whole report, one line a row (reports have a row per column or check, not per data row)."""
+    print("\t".join(report.columns))
+    for row in report.toLocalIterator():
+        print("\t".join("" if v is None else str(v) for v in row))
+
+
 def main(argv=None) -> int:
     from starmart.operators import checks, discover, profile, star
     from starmart.sinks.publish import publish_mart
@@ -59,10 +66,10 @@ def main(argv=None) -> int:
 
     if a.command == "profile":
         for n in names:
-            profile.profile_columns(tables[n], table_name=n, exact=False).show(1000, truncate=False)
+            _show(profile.profile_columns(tables[n], table_name=n, exact=False))
         return 0
     if a.command == "discover":
-        discover.star_candidates(tables, names=names).where("rank = 1").show(1000, truncate=False)
+        _show(discover.star_candidates(tables, names=names).where("rank = 1"))
         for s in discover.propose_marts(tables, names):
             print(s.to_json())
         return 0
@@ -74,7 +81,7 @@ def main(argv=None) -> int:
         return 0
     if a.command == "check":
         rep = checks.check_report(spec, tables)
-        rep.show(1000, truncate=False)
+        _show(rep)
         return 0 if not checks.failures(rep) else 1
     if a.command == "publish":
         if not a.out:

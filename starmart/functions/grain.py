@@ -27,7 +27,7 @@ _TRUNC_UNIT = {
 def period(col: Column | str, grain: str) -> Column:
     """The first day of the period of ``col`` at ``grain`` (a DateType column)."""
     if grain not in TIME_GRAINS:
-        raise IntentError(f"time grain {grain!r} is not recognised. Valid values: {sorted(TIME_GRAINS)}.")
+        raise IntentError(f"cannot truncate to {grain!r}: the grains are {', '.join(sorted(TIME_GRAINS))}")
     day = (F.col(col) if isinstance(col, str) else col).cast("date")
     if grain == "daily":
         return day

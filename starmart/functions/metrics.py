@@ -66,15 +66,30 @@ def raw_aggregate(metric: Metric) -> Column:
     c = F.col(metric.source_column)
     if metric.approximate:
         return F.hll_sketch_estimate(F.hll_sketch_agg(c, metric.lg_config_k))
+    if agg == "avg":
+        raise ValueError("an average depends on its column's type; see average()")
     return {
         "sum": F.sum,
         "count_distinct": F.count_distinct,
-        "avg": F.avg,
         "min": F.min,
         "max": F.max,
     }[agg](c)
 
 
+def average_total(column: str, schema: T.StructType) -> Column:
+    """The sum an average is made of: exact for integers (their sum may leave
+    BIGINT) and decimals, DOUBLE otherwise."""
+    c = F.col(column)
+    t = column_type(schema, column)
+    return F.sum(c.cast(T.DecimalType(38, 0)) if isinstance(t, T.IntegralType) else c)
+
+
+def ratio(total: Column, n: Column) -> Column:
+    """An average from its sum and count: the same DOUBLE whether both come from
+    rows or from merged partial states."""
+    return total.cast("double") / F.nullif(n, F.lit(0))
+
+
 def conform(col: Column, metric: Metric, schema: T.StructType) -> Column:
     t = target_type(metric, schema)
     return (col.cast(t) if t is not None else col).alias(metric.name)
@@ -82,6 +97,9 @@ def conform(col: Column, metric: Metric, schema: T.StructType) -> Column:
 
 def aggregate(metric: Metric, schema: T.StructType) -> Column:
     """Aggregate column over source rows, typed and aliased."""
+    if metric.aggregation == "avg" and metric.expression is None:
+        c = metric.source_column
+        return conform(ratio(average_total(c, schema), F.count(F.col(c))), metric, schema)
     return conform(raw_aggregate(metric), metric, schema)
 
 
@@ -145,9 +163,9 @@ def decompose(metric: Metric, schema: T.StructType) -> Decomposition:
     if agg == "avg":
         s, n = state_name(metric, "s"), state_name(metric, "n")
         return Decomposition(
-            states=(F.sum(F.col(src)).alias(s), F.count(F.col(src)).alias(n)),
+            states=(average_total(src, schema).alias(s), F.count(F.col(src)).alias(n)),
             merges=(F.sum(s).alias(s), F.sum(n).alias(n)),
-            finish=conform(F.col(s) / F.col(n), metric, schema),
+            finish=conform(ratio(F.col(s), F.col(n)), metric, schema),
         )
     if metric.approximate:
         # a mergeable HLL sketch: states union, no extra key needed
@@ -167,20 +185,43 @@ def decompose(metric: Metric, schema: T.StructType) -> Decomposition:
     )
 
 
+def published_states(metric: Metric, schema: T.StructType) -> list[Column]:
+    """State columns stored beside a published metric that cannot be merged from its
+    value: sum and count of an average, the sketch of an approximate distinct count."""
+    if metric.expression is None and (metric.aggregation == "avg" or metric.approximate):
+        return list(decompose(metric, schema).states)
+    return []
+
+
+def merge_published(metric: Metric, rows, columns) -> list[Column]:
+    """Merge a published metric: from its state columns where it has them (which
+    are merged too), else from its value (:func:`merge_for_published`)."""
+    if rows is not None and metric.expression is None and (metric.aggregation == "avg" or metric.approximate):
+        d = decompose(metric, rows.schema)
+        part = "hll" if metric.approximate else "s"
+        if state_name(metric, part) in columns:
+            if metric.approximate:
+                value = F.hll_sketch_estimate(F.hll_union_agg(state_name(metric, "hll")))
+            else:
+                value = ratio(F.sum(state_name(metric, "s")), F.sum(state_name(metric, "n")))
+            return [conform(value, metric, rows.schema), *d.merges]
+    return [merge_for_published(metric, rows)]
+
+
 def merge_for_published(metric: Metric, rows=None) -> Column:
     """Re-aggregate an already conformed (published) metric column.
 
     sum/count add up, min/max take the extreme; avg and count_distinct raise.
     When ``rows`` (any row-level input of the fact; used for types only, no
     job) shows that the sum expression is DECIMAL(p, s), the published DOUBLE
-    values are merged as DECIMAL(38, s): a DOUBLE converted from a DECIMAL with
-    s digits converts back to the same DECIMAL, so the merge is exact.
+    values are merged as DECIMAL(38, s).  A DOUBLE holds about 15 digits: up to
+    there it converts back to the DECIMAL it came from and the merge is exact.
     """
     agg = metric.aggregation
     if agg in ("avg", "count_distinct") or not metric.is_additive:
         raise NonAdditiveMetricError(
-            f"Metric '{metric.name}' ({agg}) is not additive; recompute it from the source "
-            f"instead of merging published values."
+            f"Metric '{metric.name}' ({agg}) is not additive and was published without states; recompute it "
+            f"from the source, or publish it with them (averages, approximate distinct counts)."
         )
     c = F.col(metric.name)
     if agg == "sum":

@@ -96,14 +96,14 @@ def duplicate_key_rows(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """The rows behind a failed ``unique`` check: every row whose non-null key
     occurs more than once (e.g. a dimension whose attributes conflict).  The
     duplicated keys are found on aggregated keys first, then the rows are
-    semi-joined to them (usually few keys, so AQE broadcasts them)."""
+    semi-joined to them; a key that many rows share is salted."""
     cols = [key] if isinstance(key, str) else list(key)
     nn = None
     for c in cols:
         cond = F.col(c).isNotNull()
         nn = cond if nn is None else nn & cond
     dups = df.where(nn).groupBy(*cols).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1).drop("__n")
-    return df.join(dups, cols, "left_semi")
+    return skew_split_join(df, dups, cols, cols, "left_semi")
 
 
 def _parent_keys(parent: DataFrame, pk: str, alias: str) -> DataFrame:
@@ -205,7 +205,7 @@ def check_report(spec: MartSpec, tables: Mapping[str, DataFrame], built: Mapping
 
     ``built`` supplies already built/published tables by name (otherwise they
     are built here); ``accepted`` supplies accepted-value lists per table and
-    column (otherwise they are derived from the dimension's full domain).
+    column (otherwise they are the full domains of the dimension's sources).
     """
     built = dict(built or {})
     accepted = {k: dict(v) for k, v in (accepted or {}).items()}
@@ -218,7 +218,8 @@ def check_report(spec: MartSpec, tables: Mapping[str, DataFrame], built: Mapping
         if d.name in accepted:
             dom = accepted[d.name]
         else:
-            dom = domains_of(df, [a for a in d.attribute_columns])
+            # from the sources, not from the table under test: a published value that they lack is a violation
+            dom = domains_of(build_dimension(d, tables), [a for a in d.attribute_columns])
         cc = column_checks(df, d.name, not_null=[d.key_column] + strict, accepted=dom)
         parts.append(cc)
         parts.append(unique_violations(df, d.key_column, d.name))

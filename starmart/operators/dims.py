@@ -28,7 +28,7 @@ def dimension_rows(dim: Dimension, tables: Mapping[str, DataFrame], columns: Seq
         right = tables[j.table]
         df = many_to_one(df, right, j.left_on, j.right_on, j.how,
                          what=f"dimension '{dim.name}' arm '{j.table}'", broadcast_rows=broadcast_rows,
-                         split_hot=split_hot)
+                         split_hot=False)  # a dimension's rows; AQE splits an arm that many share
     df = df.select(*wanted)
     return df.distinct() if dim.dedupe else df
 

@@ -3,9 +3,9 @@
 ``foreign_keys`` measures, for each candidate (child column -> parent column),
 how many distinct child values exist, how many of them the parent holds, and
 what share of the parent's values is referenced.  Each column's distinct set is
-computed once however many candidates use it; the match is an equi-join of
-*distinct* values tagged by column, so no value repeats more often than there
-are candidate columns holding it (no hot key, no pair explosion).
+computed once however many candidates use it; per value the columns that hold it are
+gathered (at most as many as there are columns), equal sets are counted, and only
+requested pairs are read off those sets (no hot key, no pair explosion).
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starmart.operators.profile import candidate_keys, key_like_columns, shortlist_keys_many
+from starmart.operators.profile import candidate_keys, key_like_columns, shortlist_keys_many, shortlist_keys_of_width
 
 FK_SCHEMA = ("child_table string, child_column string, parent_table string, parent_column string")
 
@@ -62,7 +62,7 @@ def foreign_keys(tables: Mapping[str, DataFrame],
     Candidates whose types are incompatible get no row.  ``parents_unique``
     (every parent column is a confirmed key) skips de-duplicating parent values.
     """
-    spark = next(iter(tables[c[0]] for c in candidates)).sparkSession
+    spark = next(iter(tables.values())).sparkSession
     by_family: dict[str, list[tuple[str, str, str, str]]] = {}
     for ct, cc, pt, pc in candidates:
         fc, fp = _family(_col_type(tables[ct], cc)), _family(_col_type(tables[pt], pc))
@@ -76,8 +76,15 @@ def foreign_keys(tables: Mapping[str, DataFrame],
         pvals = _tagged_distinct(tables, parents, family, "parent", distinct=not parents_unique)
         csize = cvals.groupBy("child").agg(F.count(F.lit(1)).alias("child_distinct"))
         psize = pvals.groupBy("parent").agg(F.count(F.lit(1)).alias("parent_distinct"))
-        matched = cvals.join(pvals, "v").groupBy("child", "parent").agg(
-            F.count(F.lit(1)).alias("matched_distinct"))
+        # one row per value with the columns that hold it (at most as many as there are columns),
+        # expanded to the requested pairs only
+        holders = cvals.select("v", F.col("child").alias("c"), F.lit(None).cast("string").alias("p")).unionByName(
+            pvals.select("v", F.lit(None).cast("string").alias("c"), F.col("parent").alias("p"))
+        ).groupBy("v").agg(F.array_sort(F.collect_set("c")).alias("cs"), F.array_sort(F.collect_set("p")).alias("ps")).where("size(cs) > 0 and size(ps) > 0")
+        asked = F.array(*[F.struct(F.lit(f"{a}.{b}").alias("child"), F.lit(f"{c}.{d}").alias("parent")) for a, b, c, d in cands])
+        both = F.filter(asked, lambda x: F.array_contains("cs", x["child"]) & F.array_contains("ps", x["parent"]))
+        matched = holders.groupBy("cs", "ps").agg(F.count(F.lit(1)).alias("n")).select("n", F.explode(both).alias("x")).groupBy(
+            F.col("x.child").alias("child"), F.col("x.parent").alias("parent")).agg(F.sum("n").alias("matched_distinct"))
         wanted = spark.createDataFrame(
             [(ct, cc, pt, pc, f"{ct}.{cc}", f"{pt}.{pc}") for ct, cc, pt, pc in cands],
             FK_SCHEMA + ", child string, parent string")
@@ -92,6 +99,9 @@ def foreign_keys(tables: Mapping[str, DataFrame],
             F.coalesce("matched_distinct", F.lit(0)).alias("matched_distinct"),
             F.coalesce("parent_distinct", F.lit(0)).alias("parent_distinct"),
         ))
+    if not results:
+        return spark.createDataFrame([], FK_SCHEMA + ", child_distinct bigint, matched_distinct bigint, "
+                                     "parent_distinct bigint, parent_coverage double, child_coverage double")
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)
@@ -106,13 +116,38 @@ def discover_keys(tables: Mapping[str, DataFrame], names: Sequence[str] | None =
                   pairs: bool = True) -> DataFrame:
     """Exact candidate keys of each table (HyperLogLog shortlist, exact confirm).
 
-    Column pairs are tried only for tables without a single-column key."""
+    Wider column sets are tried only for tables without a smaller key."""
     names = list(names if names is not None else tables)
     short = shortlist_keys_many(tables, names, pairs=pairs)
     candidates = [(t, list(s)) for t in names for s in short[t]]
     return candidate_keys(tables, candidates)
 
 
+def key_columns(tables: Mapping[str, DataFrame], names: Sequence[str] | None = None, max_width: int = 2) -> DataFrame:
+    """``(table_name, key_columns, ordinal, column_name)``: the smallest keys of each
+    table, one row per key column.
+
+    Single columns are confirmed first; a table none of whose columns is a key has
+    its sets of 2, then 3, ... up to ``max_width`` columns searched, so composite keys
+    are found and no key that contains a smaller one is listed.
+    """
+    names = list(names if names is not None else tables)
+    parts, open_ = [], names
+    for width in range(1, max_width + 1):
+        sets = shortlist_keys_of_width(tables, open_, width)
+        candidates = [(t, list(s)) for t in open_ for s in sets[t]]
+        if candidates:
+            keys = candidate_keys(tables, candidates).where("is_key")
+            rows = [(r["table_name"], r["key_columns"]) for r in keys.collect()]  # one row per confirmed set
+            parts += rows
+            done = {t for t, _ in rows}
+            open_ = [t for t in open_ if t not in done]
+    spark = next(iter(tables.values())).sparkSession
+    out = spark.createDataFrame(parts, "table_name string, key_columns string")
+    return out.select("table_name", "key_columns", F.posexplode(F.split("key_columns", ",")).alias("p", "column_name")).select(
+        "table_name", "key_columns", (F.col("p") + 1).alias("ordinal"), "column_name")
+
+
 def fk_candidates(tables: Mapping[str, DataFrame], keys: Sequence[tuple[str, str]],
                   names: Sequence[str] | None = None) -> list[tuple[str, str, str, str]]:
     """Every type-compatible (child column -> single-column parent key) pair.
@@ -133,6 +168,13 @@ def fk_candidates(tables: Mapping[str, DataFrame], keys: Sequence[tuple[str, str
     return out
 
 
+def discover_foreign_keys(tables: Mapping[str, DataFrame], names: Sequence[str] | None = None) -> DataFrame:
+    """:func:`foreign_keys` of every type-compatible column with every confirmed single-column key."""
+    names = list(names if names is not None else tables)
+    keys = [(r["table_name"], r["key_columns"]) for r in discover_keys(tables, names, pairs=False).where("is_key").collect()]
+    return foreign_keys(tables, fk_candidates(tables, keys, names), parents_unique=True)
+
+
 def _suffix(c):
     return F.regexp_extract(c, r"^[^_]*_(.+)$", 1)
 
@@ -153,6 +195,12 @@ def rank_foreign_keys(fks: DataFrame) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w))
 
 
+def accepted_link(min_coverage: float = 0.9):
+    """A child column's best inclusion, if its name or its coverage of the parent
+    speaks for a reference (dense integers include each other by accident)."""
+    return (F.col("rank") == 1) & (F.col("name_match") | (F.col("parent_coverage") >= min_coverage))
+
+
 def star_candidates(tables: Mapping[str, DataFrame], keys: DataFrame | None = None,
                     names: Sequence[str] | None = None) -> DataFrame:
     """Ranked star proposals.
@@ -161,7 +209,8 @@ def star_candidates(tables: Mapping[str, DataFrame], keys: DataFrame | None = No
     non-key column is a fact candidate; each referenced parent is a dimension
     candidate.  Columns: fact_table, fact_key, dimension_table, dimension_key,
     parent_coverage, name_match, rank (1 = best dimension for that key),
-    n_measures (numeric non-key columns that become SUM metrics).
+    n_measures (numeric columns, integers included, that are neither a key nor an
+    accepted link: they become SUM metrics).
     """
     names = list(names if names is not None else tables)
     if keys is None:
@@ -177,16 +226,16 @@ def star_candidates(tables: Mapping[str, DataFrame], keys: DataFrame | None = No
                                          "rank int, n_measures int")
     ranked = rank_foreign_keys(foreign_keys(tables, cands, parents_unique=True))
     own_keys = {(t, k) for t, k in single}
-    measures = []
-    for t in names:
-        n = sum(1 for f in tables[t].schema.fields
-                if isinstance(f.dataType, (T.FloatType, T.DoubleType, T.DecimalType))
-                and (t, f.name) not in own_keys)
-        measures.append((t, n))
     spark = tables[names[0]].sparkSession
-    m = spark.createDataFrame(measures, "child_table string, n_measures int")
+    numeric = [(t, f.name) for t in names for f in tables[t].schema.fields
+               if isinstance(f.dataType, T.NumericType) and (t, f.name) not in own_keys]
+    columns = spark.createDataFrame(numeric, "child_table string, child_column string")
+    links = ranked.where(accepted_link() & (F.col("child_table") != F.col("parent_table"))).select("child_table", "child_column")
+    # metadata frames: a row per column
+    m = columns.join(links, ["child_table", "child_column"], "left_anti").groupBy("child_table").agg(
+        F.count(F.lit(1)).cast("int").alias("n_measures"))
     return (ranked.join(F.broadcast(m), "child_table")
-            .where((F.col("n_measures") > 0) & (F.col("child_table") != F.col("parent_table")))
+            .where(F.col("child_table") != F.col("parent_table"))
             .select(F.col("child_table").alias("fact_table"), F.col("child_column").alias("fact_key"),
                     F.col("parent_table").alias("dimension_table"), F.col("parent_column").alias("dimension_key"),
                     "parent_coverage", "name_match", F.col("rank").cast("int").alias("rank"), "n_measures"))
@@ -208,21 +257,22 @@ def propose_marts(tables: Mapping[str, DataFrame], names: Sequence[str] | None =
 
     names = list(names if names is not None else tables)
     cands = candidates if candidates is not None else star_candidates(tables, names=names)
-    links = [r.asDict() for r in cands.where(
-        (F.col("rank") == 1) & (F.col("name_match") | (F.col("parent_coverage") >= min_coverage))).collect()]
+    links = [r.asDict() for r in cands.where(accepted_link(min_coverage)).collect()]
     by_fact: dict[str, list[dict]] = {}
     for r in links:
         by_fact.setdefault(r["fact_table"], []).append(r)
-    own_keys = {(r["dimension_table"], r["dimension_key"]) for r in links}
+    # a table's own single-column key is no measure
+    keys = {(r["dimension_table"], r["dimension_key"]) for r in links}
+    open_ = [t for t in by_fact]
+    if open_:
+        keys |= {(r["table_name"], r["key_columns"]) for r in discover_keys(tables, open_, pairs=False).where("is_key").collect()}
     specs = []
     for fact_table, fks in by_fact.items():
         fks.sort(key=lambda r: r["fact_key"])
         schema = tables[fact_table].schema
         fk_cols = {r["fact_key"] for r in fks}
         measures = [f.name for f in schema.fields
-                    if isinstance(f.dataType, (T.FloatType, T.DoubleType, T.DecimalType, T.IntegralType))
-                    and f.name not in fk_cols and (fact_table, f.name) not in own_keys
-                    and not isinstance(f.dataType, T.IntegralType)]
+                    if isinstance(f.dataType, T.NumericType) and f.name not in fk_cols and (fact_table, f.name) not in keys]
         metrics = [Metric(f"sum_{c}", "sum", c) for c in measures] + [Metric("row_count", "count")]
         dims, key_map = [], {}
         for r in fks:

@@ -20,7 +20,7 @@ from pyspark.errors import AnalysisException
 
 from starmart.errors import SpecError
 from starmart.functions.grain import PERIOD, period
-from starmart.functions.metrics import aggregate, column_type, decompose, decomposable, raw_aggregate
+from starmart.functions.metrics import aggregate, column_type, decompose, decomposable, published_states
 from starmart.plans.joins import broadcast_bound, fits_broadcast, many_to_one
 from starmart.spec import YEAR_FROM, Fact, MartSpec, validate_fact
 
@@ -44,6 +44,9 @@ def apply_filters(df: DataFrame, filters: Mapping[str, str], time_column: str |
                 df = df.where(col >= F.lit(f"{year:04d}-01-01 00:00:00").cast("timestamp_ntz"))
             elif isinstance(t, T.DateType):
                 df = df.where(col >= F.lit(f"{year:04d}-01-01").cast("date"))
+            elif isinstance(t, T.TimestampType):
+                # midnight in the session's zone, where year(col) would change too
+                df = df.where(col >= F.lit(f"{year:04d}-01-01 00:00:00").cast("timestamp"))
             else:
                 df = df.where(F.year(col) >= year)
         else:
@@ -102,14 +105,14 @@ def _only_primary(metric, primary: DataFrame) -> bool:
     """Does the metric aggregate columns of the primary table only?  Decided by
     Spark's analyzer on the schema (no job)."""
     try:
-        primary.agg(raw_aggregate(metric))
+        primary.agg(aggregate(metric, primary.schema))
         return True
     except AnalysisException:
         return False
 
 
 def _preaggregated(fact: Fact, tables: Mapping[str, DataFrame], spec: MartSpec | None,
-                   broadcast_rows: int | None) -> DataFrame | None:
+                   broadcast_rows: int | None, split_hot: bool = True) -> DataFrame | None:
     """Multi-source fact whose secondary side is too large to broadcast:
     aggregate the primary rows to (primary keys, join keys) partial states
     first - a hot join key becomes one row per group before any shuffle - then
@@ -135,10 +138,10 @@ def _preaggregated(fact: Fact, tables: Mapping[str, DataFrame], spec: MartSpec |
     group += [c for p in parts for c in p.extra_keys if c not in group]
     pre = pre.groupBy(*group).agg(*[s for p in parts for s in p.states])
     for j in fact.joins:
-        # rows are aggregated on the join keys already: no hot key left to split
+        # one row per join key has no hot key; beside other keys a join key may still repeat
         pre = many_to_one(pre, tables[j.table], j.left_on, j.right_on, j.how,
                           what=f"fact '{fact.name}' source '{j.table}'", broadcast_rows=broadcast_rows,
-                          split_hot=False)
+                          split_hot=split_hot and set(group) != set(j.left_on))
     pre = apply_filters(pre, late, fact.time_column)
     if fact.time_grain is not None and not period_early:
         pre = pre.withColumn(PERIOD, period(fact.time_column, fact.time_grain))
@@ -162,8 +165,9 @@ def check_metric_expressions(fact: Fact, rows: DataFrame) -> None:
 
 
 def build_fact(fact: Fact, tables: Mapping[str, DataFrame], spec: MartSpec | None = None,
-               broadcast_rows: int | None = None, split_hot: bool = True) -> DataFrame:
-    """Keys first, then metrics in order.
+               broadcast_rows: int | None = None, split_hot: bool = True, states: bool = False) -> DataFrame:
+    """Keys first, then metrics in order (and with ``states`` the columns that make
+    averages and approximate distinct counts mergeable later).
 
     No keys -> one grand-total row; no metrics -> distinct key combinations.
     NULL keys form their own group and NULL metric results stay NULL (the checks
@@ -173,13 +177,15 @@ def build_fact(fact: Fact, tables: Mapping[str, DataFrame], spec: MartSpec | Non
     if spec is not None:
         validate_fact(fact, tables, spec)
     check_metric_expressions(fact, fact_rows(fact, tables, broadcast_rows=0, split_hot=False))
-    if fact.joins:
-        pre = _preaggregated(fact, tables, spec, broadcast_rows)
+    if fact.joins and not states:
+        pre = _preaggregated(fact, tables, spec, broadcast_rows, split_hot)
         if pre is not None:
             return pre
     rows = fact_rows(fact, tables, broadcast_rows, split_hot=split_hot)
     keys = _key_columns(fact, rows, tables, spec)
     metrics = [aggregate(m, rows.schema) for m in fact.metrics]
+    if states:
+        metrics += [c for m in fact.metrics for c in published_states(m, rows.schema)]
     if not metrics:
         if not keys:
             raise SpecError(f"Fact '{fact.name}' has neither keys nor metrics.")

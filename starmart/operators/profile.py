@@ -1,9 +1,8 @@
 """Profiling: column catalog, row counts, column profiles, samples, candidate keys.
 
-Each profile is one aggregate pass per table (never one statement per column):
-counts and null counts are plain aggregates, distinct counts are exact
-(``count_distinct``) or HyperLogLog (``approx_count_distinct``, no input
-replication) at the caller's choice.
+Counts and samples are one pass per table; exact distinct counts are one
+column-pruned aggregate per column, all in one job, or one HyperLogLog pass at
+the caller's choice.  No input row is repeated per column.
 """
 
 from __future__ import annotations
@@ -53,13 +52,27 @@ def row_counts(tables: Mapping[str, DataFrame], names: Iterable[str]) -> DataFra
 def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, table_name: str | None = None,
                     exact: bool = True, rsd: float = 0.02) -> DataFrame:
     """``(table_name, column_name, row_count, null_count, distinct_count)`` for
-    each column, from a single aggregate pass over ``df``."""
+    each column.
+
+    Exact: one two-stage aggregate per column, each reading its column only (rows
+    per value first, so a value that many rows hold is one row per task; no row
+    is repeated per column).  Otherwise one pass with a sketch per column."""
     columns = list(columns if columns is not None else df.columns)
-    distinct = (lambda c: F.count_distinct(F.col(c))) if exact else (
-        lambda c: F.approx_count_distinct(F.col(c), rsd))
+    if exact:
+        out = None
+        for c in columns:
+            per_value = df.groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+            part = per_value.agg(
+                F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
+                F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
+                F.count("v").alias("distinct_count"),
+            ).select(F.lit(table_name).cast("string").alias("table_name"), F.lit(c).alias("column_name"),
+                     "row_count", "null_count", "distinct_count")
+            out = part if out is None else out.unionByName(part)
+        return out
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, c in enumerate(columns):
-        aggs += [F.count(F.col(c)).alias(f"__nn{i}"), distinct(c).alias(f"__d{i}")]
+        aggs += [F.count(F.col(c)).alias(f"__nn{i}"), F.approx_count_distinct(F.col(c), rsd).alias(f"__d{i}")]
     wide = df.agg(*aggs)
     stacked = F.explode(F.array(*[
         F.struct(
@@ -140,6 +153,8 @@ def candidate_keys(tables: Mapping[str, DataFrame], candidates: Sequence[tuple[s
             .alias("is_key")
         ).select(F.lit(table).alias("table_name"), F.lit(",".join(cols)).alias("key_columns"), "is_key")
         parts.append(part)
+    if not parts:
+        return _spark(tables).createDataFrame([], "table_name string, key_columns string, is_key boolean")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -181,7 +196,7 @@ def _keep(tables, per_table: dict[str, list[tuple[str, ...]]], rsd: float) -> di
     report = parts[0]
     for p in parts[1:]:
         report = report.unionByName(p)
-    slack = max(1.0 - 4 * rsd, 0.0)
+    slack = max(1.0 - SKETCH_ERRORS * rsd, 0.0)
     for r in report.collect():  # one row per column set: a bounded report
         if r["z"] == 0 and r["d"] >= r["n"] * slack:
             out[r["t"]].append(per_table[r["t"]][r["i"]])
@@ -190,25 +205,36 @@ def _keep(tables, per_table: dict[str, list[tuple[str, ...]]], rsd: float) -> di
     return out
 
 
-def shortlist_keys_many(tables: Mapping[str, DataFrame], names: Sequence[str], rsd: float = 0.05,
-                        pairs: bool = True) -> dict[str, list[tuple[str, ...]]]:
+# Relative standard errors below the row count at which a sketch rules a column set
+# out: an estimate this far off does not happen (10 standard errors).
+SKETCH_ERRORS = 10
+
+
+def shortlist_keys_many(tables: Mapping[str, DataFrame], names: Sequence[str], rsd: float = 0.02,
+                        pairs: bool = True, max_width: int = 2) -> dict[str, list[tuple[str, ...]]]:
     """Column sets that *may* be keys, per table, from HyperLogLog passes run
     as one job for all tables (the driver gets one row per column set).
 
-    Single columns first; column pairs only for tables where no single column
-    qualifies.  The sketch only prunes: anything within 4 relative standard
-    errors of the row count stays a candidate, and :func:`candidate_keys`
-    decides exactly.
+    Single columns first; sets of 2, 3, ... up to ``max_width`` columns only for
+    tables where no smaller set qualifies.  The sketch only prunes: anything
+    within ``SKETCH_ERRORS`` relative standard errors of the row count stays a
+    candidate, and :func:`candidate_keys` decides exactly.
     """
-    singles = _keep(tables, {t: [(c,) for c in key_like_columns(tables[t])] for t in names}, rsd)
-    if not pairs:
-        return singles
-    need = {t: list(combinations(key_like_columns(tables[t]), 2)) for t in names if not singles[t]}
-    found = _keep(tables, need, rsd) if need else {}
-    return {t: singles[t] or found.get(t, []) for t in names}
+    found = _keep(tables, {t: [(c,) for c in key_like_columns(tables[t])] for t in names}, rsd)
+    for width in range(2, max_width + 1 if pairs else 2):
+        need = {t: list(combinations(key_like_columns(tables[t]), width)) for t in names if not found[t]}
+        if need:
+            found.update(_keep(tables, need, rsd))
+    return found
+
+
+def shortlist_keys_of_width(tables: Mapping[str, DataFrame], names: Sequence[str], width: int,
+                            rsd: float = 0.02) -> dict[str, list[tuple[str, ...]]]:
+    """The sets of ``width`` columns of each table that may be keys."""
+    return _keep(tables, {t: list(combinations(key_like_columns(tables[t]), width)) for t in names}, rsd)
 
 
-def shortlist_keys(df: DataFrame, rsd: float = 0.05, pairs: bool = True) -> list[tuple[str, ...]]:
+def shortlist_keys(df: DataFrame, rsd: float = 0.02, pairs: bool = True) -> list[tuple[str, ...]]:
     """:func:`shortlist_keys_many` for one DataFrame."""
     return shortlist_keys_many({"t": df}, ["t"], rsd, pairs)["t"]
 

@@ -40,11 +40,12 @@ def _resolve_attributes(by: Sequence[str], fact: Fact, spec: MartSpec, row_colum
     degenerate: list[str] = []
     links = spec.dimensions_of(fact)
     for attr in by:
-        hit = None
-        for key, dim in links:
-            if attr in dim.attribute_columns or attr == dim.key_column:
-                hit = (key, dim)
-                break
+        hits = [(key, dim) for key, dim in links if attr in dim.attribute_columns or attr == dim.key_column]
+        if len({(key, dim.source_table, dim.key_column) for key, dim in hits}) > 1:
+            ways = sorted(f"{dim.name} by {key}" for key, dim in hits)
+            raise IntentError(f"Attribute '{attr}' can be reached in more than one way ({', '.join(ways)}) and "
+                              f"their values may differ. Rename it in one of the dimensions.")
+        hit = hits[0] if hits else None
         if hit is None:
             if attr in row_columns:
                 degenerate.append(attr)
@@ -168,7 +169,8 @@ def star_rollup(
             pre_keys += [k for k in p.extra_keys if k not in pre_keys]
         states = [s for p in parts for s in p.states] or [F.count(F.lit(1)).alias("__rows")]
         pre = rows.groupBy(*pre_keys).agg(*states)
-        joined = _join_sides(pre, sides)
+        # one row per key has no hot key; with a period, other keys or a distinct argument one may repeat
+        joined = _join_sides(pre, sides, split_hot=len(pre_keys) > 1)
         merged = joined.groupBy(*[out_col(a) for a in out_keys]).agg(
             *[m for p in parts for m in p.merges] or [F.count(F.lit(1)).alias("__rows")])
         return merged.select(*out_keys, *[p.finish for p in parts])
@@ -180,7 +182,7 @@ def star_rollup(
 
 def _join_sides(df: DataFrame, sides, split_hot: bool = False) -> DataFrame:
     """Join the dimension sides: broadcast when small; otherwise a shuffle join,
-    with hot fact keys split off into a broadcast join when the rows are raw."""
+    whose hot fact keys are salted when a key may repeat."""
     for fk, key_alias, side, small, _, how in sides:
         if small:
             rhs = F.broadcast(side)

@@ -2,7 +2,59 @@
 
 The texts run on views named after the test tables.  Money sums go through
 DECIMAL and back to DOUBLE so results do not depend on summation order.
-Queries without an entry (ranked proposals) get a row-count check only.
+Queries without an entry (the built proposal) get a row-count check only.
+"""
+
+# Columns of the given tables that can be keys, as (name, type family).
+_COLUMNS = {
+    "region": "r_regionkey:int r_name:str",
+    "nation": "n_nationkey:int n_name:str n_regionkey:int",
+    "customer": "c_custkey:int c_name:str c_nationkey:int c_mktsegment:str",
+    "supplier": "s_suppkey:int s_name:str s_nationkey:int",
+    "part": "p_partkey:int p_name:str p_brand:str p_type:str p_size:int",
+    "orders": "o_orderkey:int o_custkey:int o_orderstatus:str o_orderdate:ts o_orderpriority:str",
+    "lineitem": "l_orderkey:int l_partkey:int l_suppkey:int l_linenumber:int l_returnflag:str l_linestatus:str l_shipdate:ts",
+    "events": "event_id:int ts:ts user_id:int event_type:str props:str",
+    "documents": "doc_id:int text:str lang:str source:str n_chars:int",
+    "embeddings": "vec_id:int label:int",
+    "pages": "page_id:int url:str html:str",
+    "benchmark": "item_id:int text:str",
+    "labels": "doc_id:int quality:int toxic:int",
+    "conversations": "conv_id:int turn:int role:str text:str",
+}
+_COLUMNS = {t: [tuple(c.split(":")) for c in cs.split()] for t, cs in _COLUMNS.items()}
+_STAR = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
+_MEASURES = {"customer": ["c_acctbal"], "supplier": ["s_acctbal"], "part": ["p_retailprice"], "orders": ["o_totalprice"],
+             "lineitem": ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]}
+
+
+def _union_all(parts) -> str:
+    return " UNION ALL ".join(parts)
+
+
+def _key_test(table: str, columns: list[str]) -> str:
+    """A row with is_key for a set of columns."""
+    some_null = " OR ".join(f"{c} IS NULL" for c in columns)
+    return (f"SELECT '{table}' AS t, '{','.join(columns)}' AS k, {len(columns)} AS w, (SELECT COUNT(*) FROM (SELECT DISTINCT {', '.join(columns)} FROM {table}) d) "
+            f"= (SELECT COUNT(*) FROM {table}) AND (SELECT COUNT(*) FROM {table} WHERE {some_null}) = 0 AS is_key")
+
+
+_SINGLE_KEYS = _union_all(_key_test(t, [c]) for t, cs in _COLUMNS.items() for c, _ in cs)
+_PAIR_KEYS = _union_all(_key_test(t, [a, b]) for t, cs in _COLUMNS.items() for i, (a, _) in enumerate(cs) for b, _ in cs[i + 1:])
+_ROW_COUNTS = _union_all(f"SELECT '{t}' AS table_name, COUNT(*) AS row_count FROM {t}" for t in _COLUMNS)
+
+# Links between the star tables, from the distinct values of every column.
+_LINKS = f"""
+vals AS ({_union_all(f"SELECT DISTINCT '{t}' AS t, '{c}' AS c, '{f}' AS f, CAST({c} AS VARCHAR) AS v FROM {t} WHERE {c} IS NOT NULL" for t in _STAR for c, f in _COLUMNS[t])}),
+tests AS ({_union_all(_key_test(t, [c]) for t in _STAR for c, _ in _COLUMNS[t])}),
+sizes AS (SELECT t, c, f, COUNT(*) AS d FROM vals GROUP BY t, c, f),
+parents AS (SELECT s.* FROM sizes s JOIN tests k ON s.t = k.t AND s.c = k.k WHERE k.is_key),
+children AS (SELECT s.* FROM sizes s JOIN tests k ON s.t = k.t AND s.c = k.k WHERE NOT k.is_key),
+met AS (SELECT a.t AS ct, a.c AS cc, b.t AS pt, b.c AS pc, COUNT(*) AS m FROM vals a JOIN vals b ON a.f = b.f AND a.v = b.v
+        WHERE (a.t, a.c) IN (SELECT t, c FROM children) AND (b.t, b.c) IN (SELECT t, c FROM parents) GROUP BY a.t, a.c, b.t, b.c),
+links AS (SELECT c.t AS child_table, c.c AS child_column, p.t AS parent_table, p.c AS parent_column, c.d AS child_distinct,
+                 COALESCE(m.m, 0) AS matched_distinct, p.d AS parent_distinct, CAST(COALESCE(m.m, 0) AS DOUBLE) / p.d AS parent_coverage
+          FROM children c JOIN parents p ON c.f = p.f LEFT JOIN met m ON m.ct = c.t AND m.cc = c.c AND m.pt = p.t AND m.pc = p.c)
 """
 
 ORACLE_SQL: dict[str, str] = {}
@@ -14,28 +66,22 @@ SELECT table_name, CAST(ordinal_position AS INTEGER) AS ordinal, column_name,
 FROM information_schema.columns WHERE table_schema = 'main' AND table_name IN ('customer', 'events', 'orders') ORDER BY table_name, ordinal_position
 """
 
-ORACLE_SQL["catalog_row_counts"] = """
-SELECT 'customer' AS table_name, COUNT(*) AS row_count FROM customer
-UNION ALL SELECT 'orders', COUNT(*) FROM orders
-UNION ALL SELECT 'lineitem', COUNT(*) FROM lineitem
-"""
+ORACLE_SQL["catalog_row_counts"] = _ROW_COUNTS
 
-ORACLE_SQL["profile_columns"] = """
-SELECT 'o_orderkey' AS column_name, COUNT(*) AS row_count, COUNT(*) - COUNT(o_orderkey) AS null_count, COUNT(DISTINCT o_orderkey) AS distinct_count FROM orders
-UNION ALL SELECT 'o_custkey', COUNT(*), COUNT(*) - COUNT(o_custkey), COUNT(DISTINCT o_custkey) FROM orders
-UNION ALL SELECT 'o_orderstatus', COUNT(*), COUNT(*) - COUNT(o_orderstatus), COUNT(DISTINCT o_orderstatus) FROM orders
-UNION ALL SELECT 'o_orderpriority', COUNT(*), COUNT(*) - COUNT(o_orderpriority), COUNT(DISTINCT o_orderpriority) FROM orders
-"""
+ORACLE_SQL["profile_columns"] = _union_all(
+    f"SELECT '{c}' AS column_name, COUNT(*) AS row_count, COUNT(*) - COUNT({c}) AS null_count, COUNT(DISTINCT {c}) AS distinct_count FROM orders"
+    for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"))
 
-ORACLE_SQL["sample_values"] = """
+
+ORACLE_SQL["sample_values"] = f"""
 SELECT column_name, sample_value FROM (
   SELECT column_name, sample_value, ROW_NUMBER() OVER (PARTITION BY column_name ORDER BY sample_value) AS rn FROM (
-    SELECT DISTINCT 'c_mktsegment' AS column_name, c_mktsegment AS sample_value FROM customer WHERE c_mktsegment IS NOT NULL
-    UNION ALL SELECT DISTINCT 'c_nationkey', CAST(c_nationkey AS STRING) FROM customer WHERE c_nationkey IS NOT NULL
-    UNION ALL SELECT DISTINCT 'c_name', c_name FROM customer WHERE c_name IS NOT NULL) a) b
+    {_union_all(f"SELECT DISTINCT '{c}' AS column_name, CAST({c} AS STRING) AS sample_value FROM customer WHERE {c} IS NOT NULL"
+                for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"))}) a) b
 WHERE rn <= 5
 """
 
+
 ORACLE_SQL["candidate_keys"] = """
 SELECT 'orders' AS table_name, 'o_orderkey' AS key_columns, COUNT(*) = COUNT(DISTINCT o_orderkey) AND COUNT(*) = COUNT(o_orderkey) AS is_key FROM orders
 UNION ALL SELECT 'orders', 'o_custkey', COUNT(*) = COUNT(DISTINCT o_custkey) AND COUNT(*) = COUNT(o_custkey) FROM orders
@@ -43,14 +89,48 @@ UNION ALL SELECT 'customer', 'c_custkey', COUNT(*) = COUNT(DISTINCT c_custkey) A
 UNION ALL SELECT 'lineitem', 'l_orderkey,l_linenumber', (SELECT COUNT(*) FROM lineitem) = (SELECT COUNT(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) d)
 """
 
-ORACLE_SQL["foreign_keys"] = """
-SELECT 'o_custkey' AS child_column, 'c_custkey' AS parent_column, COUNT(*) AS child_distinct, COUNT(p.k) AS matched_distinct, CAST(COUNT(p.k) AS DOUBLE) / (SELECT COUNT(DISTINCT c_custkey) FROM customer) AS parent_coverage
-FROM (SELECT DISTINCT o_custkey AS k FROM orders) c LEFT JOIN (SELECT DISTINCT c_custkey AS k FROM customer) p ON c.k = p.k
-UNION ALL
-SELECT 'o_custkey', 'p_partkey', COUNT(*), COUNT(p.k), CAST(COUNT(p.k) AS DOUBLE) / (SELECT COUNT(DISTINCT p_partkey) FROM part)
-FROM (SELECT DISTINCT o_custkey AS k FROM orders) c LEFT JOIN (SELECT DISTINCT p_partkey AS k FROM part) p ON c.k = p.k
+ORACLE_SQL["foreign_keys"] = f"WITH {_LINKS} SELECT * FROM links"
+
+ORACLE_SQL["star_candidates"] = f"""
+WITH {_LINKS},
+named AS (SELECT *, child_column = parent_column OR (regexp_extract(child_column, '^[^_]*_(.+)$', 1) <> ''
+                 AND regexp_extract(child_column, '^[^_]*_(.+)$', 1) = regexp_extract(parent_column, '^[^_]*_(.+)$', 1)) AS name_match
+          FROM links WHERE child_distinct > 0 AND matched_distinct = child_distinct),
+ranked AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY child_table, child_column ORDER BY name_match DESC, parent_coverage DESC,
+                  parent_distinct, parent_table, parent_column) AS INTEGER) AS rank FROM named),
+accepted AS (SELECT child_table, child_column FROM ranked WHERE rank = 1 AND (name_match OR parent_coverage >= 0.9) AND child_table <> parent_table),
+numeric_columns AS ({_union_all(f"SELECT '{t}' AS t, '{c}' AS c" for t in _STAR for c in [*(c for c, f in _COLUMNS[t] if f == "int"), *_MEASURES.get(t, [])])}),
+measures AS (SELECT n.t, CAST(COUNT(*) AS INTEGER) AS n_measures FROM numeric_columns n
+             WHERE (n.t, n.c) NOT IN (SELECT child_table, child_column FROM accepted) AND (n.t, n.c) NOT IN (SELECT t, c FROM parents) GROUP BY n.t)
+SELECT r.child_table AS fact_table, r.child_column AS fact_key, r.parent_table AS dimension_table, r.parent_column AS dimension_key,
+       r.parent_coverage, r.name_match, r.rank, m.n_measures
+FROM ranked r JOIN measures m ON m.t = r.child_table WHERE r.child_table <> r.parent_table
+"""
+
+ORACLE_SQL["key_columns"] = f"""
+WITH singles AS ({_SINGLE_KEYS}), pairs AS ({_PAIR_KEYS}),
+found AS (SELECT * FROM singles WHERE is_key UNION ALL SELECT * FROM pairs WHERE is_key AND t NOT IN (SELECT t FROM singles WHERE is_key))
+SELECT t AS table_name, k AS key_columns, CAST(i AS INTEGER) AS ordinal, string_split(k, ',')[i] AS column_name
+FROM (SELECT t, k, UNNEST(range(1, w + 1)) AS i FROM found) x
+"""
+
+_AVERAGES = """
+SELECT r.r_name, CAST(date_trunc('year', o.o_orderdate) AS DATE) AS period,
+       CAST(SUM(CAST(o.o_totalprice AS DECIMAL(12,2))) AS DOUBLE) / COUNT(o.o_totalprice) AS avg_price,
+       CAST(SUM(CAST(o.o_custkey AS DECIMAL(38,0))) AS DOUBLE) / COUNT(o.o_custkey) AS avg_customer
+FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
+GROUP BY r.r_name, CAST(date_trunc('year', o.o_orderdate) AS DATE)
+"""
+ORACLE_SQL["fact_avg_star"] = _AVERAGES
+ORACLE_SQL["fact_avg_star_large_dims"] = _AVERAGES
+ORACLE_SQL["rollup_published_avg"] = _AVERAGES
+
+ORACLE_SQL["fact_incremental_avg"] = """
+SELECT CAST(date_trunc('day', ts) AS DATE) AS period, event_type, CAST(SUM(CAST(user_id AS DECIMAL(38,0))) AS DOUBLE) / COUNT(user_id) AS avg_user, COUNT(*) AS event_count
+FROM events GROUP BY CAST(date_trunc('day', ts) AS DATE), event_type
 """
 
+
 ORACLE_SQL["dim_customer"] = """
 SELECT c_custkey, c_name, c_mktsegment, c_nationkey FROM customer
 """
@@ -182,6 +262,11 @@ UNION ALL SELECT 'fact_orders', 'total_revenue', 'not_null', COUNT(*), COUNT(*)
 UNION ALL SELECT 'fact_orders', 'order_count', 'not_null', 0, TRUE
 """
 
+ORACLE_SQL["check_report_violations"] = ORACLE_SQL["check_report"].replace(
+    "UNION ALL SELECT 'dim_customer', 'c_mktsegment', 'accepted_values', 0, TRUE",
+    "UNION ALL SELECT 'dim_customer', 'c_mktsegment', 'accepted_values', COUNT(*), COUNT(*) = 0 FROM customer "
+    "WHERE c_mktsegment IS NOT NULL AND c_mktsegment NOT IN ('BUILDING', 'MACHINERY')")
+
 ORACLE_SQL["mart_roundtrip"] = """
 SELECT o_custkey, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total_revenue, COUNT(o_orderkey) AS order_count FROM orders GROUP BY o_custkey
 """
@@ -217,30 +302,26 @@ ORACLE_SQL["fact_multi_source_large_side"] = ORACLE_SQL["fact_multi_source"]
 ORACLE_SQL["check_relationships_large_parent"] = ORACLE_SQL["check_relationships"]
 ORACLE_SQL["check_relationships_orphans_large_parent"] = ORACLE_SQL["check_relationships_orphans"]
 
-ORACLE_SQL["source_catalog"] = """
+ORACLE_SQL["source_catalog"] = f"""
 SELECT c.table_name, CAST(c.ordinal_position AS INTEGER) AS ordinal, c.column_name,
-       CASE c.data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(c.data_type) END AS data_type,
-       c.is_nullable = 'YES' AS is_nullable, k.column_name IS NOT NULL AS is_primary_key, r.row_count
+       CASE c.data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz'
+            WHEN 'FLOAT[]' THEN 'array<float>' ELSE lower(c.data_type) END AS data_type,
+       c.is_nullable = 'YES' AS is_nullable, COALESCE(k.is_key, FALSE) AS is_primary_key, r.row_count
 FROM information_schema.columns c
-LEFT JOIN (SELECT 'customer' AS table_name, COUNT(*) AS row_count FROM customer UNION ALL SELECT 'orders', COUNT(*) FROM orders) r ON r.table_name = c.table_name
-LEFT JOIN (
-  SELECT 'customer' AS table_name, 'c_custkey' AS column_name FROM customer HAVING COUNT(*) = COUNT(DISTINCT c_custkey) AND COUNT(*) = COUNT(c_custkey)
-  UNION ALL SELECT 'customer', 'c_name' FROM customer HAVING COUNT(*) = COUNT(DISTINCT c_name) AND COUNT(*) = COUNT(c_name)
-  UNION ALL SELECT 'customer', 'c_nationkey' FROM customer HAVING COUNT(*) = COUNT(DISTINCT c_nationkey) AND COUNT(*) = COUNT(c_nationkey)
-  UNION ALL SELECT 'customer', 'c_mktsegment' FROM customer HAVING COUNT(*) = COUNT(DISTINCT c_mktsegment) AND COUNT(*) = COUNT(c_mktsegment)
-  UNION ALL SELECT 'orders', 'o_orderkey' FROM orders HAVING COUNT(*) = COUNT(DISTINCT o_orderkey) AND COUNT(*) = COUNT(o_orderkey)
-  UNION ALL SELECT 'orders', 'o_custkey' FROM orders HAVING COUNT(*) = COUNT(DISTINCT o_custkey) AND COUNT(*) = COUNT(o_custkey)
-  UNION ALL SELECT 'orders', 'o_orderstatus' FROM orders HAVING COUNT(*) = COUNT(DISTINCT o_orderstatus) AND COUNT(*) = COUNT(o_orderstatus)
-  UNION ALL SELECT 'orders', 'o_orderdate' FROM orders HAVING COUNT(*) = COUNT(DISTINCT o_orderdate) AND COUNT(*) = COUNT(o_orderdate)
-  UNION ALL SELECT 'orders', 'o_orderpriority' FROM orders HAVING COUNT(*) = COUNT(DISTINCT o_orderpriority) AND COUNT(*) = COUNT(o_orderpriority)
-) k ON k.table_name = c.table_name AND k.column_name = c.column_name
-WHERE c.table_schema = 'main' AND c.table_name IN ('customer', 'orders')
+LEFT JOIN ({_ROW_COUNTS}) r ON r.table_name = c.table_name
+LEFT JOIN ({_SINGLE_KEYS}) k ON k.t = c.table_name AND k.k = c.column_name
+WHERE c.table_schema = 'main' AND c.table_name IN ({', '.join(f"'{t}'" for t in _COLUMNS)})
 """
 
 ORACLE_SQL["fact_incremental_partitioned"] = """
 SELECT CAST(date_trunc('day', ts) AS DATE) AS period, event_type, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total_value, COUNT(*) AS event_count, MIN(ts) AS first_ts, MAX(ts) AS last_ts FROM events GROUP BY CAST(date_trunc('day', ts) AS DATE), event_type
 """
 
+ORACLE_SQL["fact_incremental_null_period"] = """
+SELECT CAST(date_trunc('day', t) AS DATE) AS period, event_type, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total_value, COUNT(*) AS event_count, MIN(t) AS first_ts, MAX(t) AS last_ts
+FROM (SELECT *, CASE WHEN event_id % 7 <> 0 THEN ts END AS t FROM events) e GROUP BY CAST(date_trunc('day', t) AS DATE), event_type
+"""
+
 ORACLE_SQL["catalog_stats_row_counts"] = ORACLE_SQL["catalog_row_counts"]
 
 ORACLE_SQL["catalog_tables"] = """

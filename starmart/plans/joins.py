@@ -3,12 +3,14 @@
 * The "one" side is guarded for uniqueness inside the same job: it is grouped
   on the join key (the shuffle a sort-merge join needs anyway), and a key seen
   twice raises instead of silently inflating sums.
-* Broadcast only behind a size check: the right side is counted with a bounded
-  ``limit(n + 1).count()`` (stops after n + 1 rows) and its estimated width;
-  above the bound the join stays a shuffle join, and hot left keys (more than
-  a set share of the rows, so at most a bounded number of them) are split off
-  into a broadcast join of their few right rows (``skew_split_join``), so no
-  task receives a third of the rows even without AQE's skew-join splitting.
+* Broadcast only behind a size check: the rows of the right side (a plain count,
+  which Parquet answers from its footers) and the bytes of its values, measured
+  for strings instead of guessed.  Above the bounds the join stays a shuffle join.
+* In a shuffle join, hot left keys (more than a set share of the rows, so at most
+  a bounded number of them) and left rows with a NULL key are salted over all
+  partitions, and the few right rows of hot keys are repeated for each salt
+  (``skew_split_join``): one join, each side read once, and no task receives a
+  third of the rows even without AQE's skew-join splitting.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 import weakref
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,9 +30,9 @@ BROADCAST_BYTES_CONF = "spark.starmart.broadcast.maxBytes"
 
 _COUNT_COL = "__starmart_n"
 
-# Bounded row counts already taken, per DataFrame object (held weakly: a query
-# that checks the same table twice counts it once).
-_COUNTS: "weakref.WeakKeyDictionary[DataFrame, dict[int, bool]]" = weakref.WeakKeyDictionary()
+# Sizes already measured, per DataFrame object (held weakly: a query that checks
+# the same table twice measures it once).
+_SIZES: "weakref.WeakKeyDictionary[DataFrame, dict[str, int]]" = weakref.WeakKeyDictionary()
 
 
 def broadcast_bound(spark: SparkSession, override: int | None = None) -> int:
@@ -40,49 +42,49 @@ def broadcast_bound(spark: SparkSession, override: int | None = None) -> int:
     return int(spark.conf.get(BROADCAST_ROWS_CONF, str(DEFAULT_BROADCAST_ROWS)))
 
 
-def _width(t: T.DataType) -> int:
-    """Estimated bytes of one value (strings/binary: Spark's default estimate)."""
-    if isinstance(t, (T.BooleanType, T.ByteType)):
-        return 1
-    if isinstance(t, T.ShortType):
-        return 2
-    if isinstance(t, (T.IntegerType, T.FloatType, T.DateType)):
-        return 4
-    if isinstance(t, (T.LongType, T.DoubleType, T.TimestampType, T.TimestampNTZType)):
-        return 8
-    if isinstance(t, T.DecimalType):
-        return 8 if t.precision <= 18 else 16
-    if isinstance(t, T.StructType):
-        return sum(_width(f.dataType) for f in t.fields)
-    if isinstance(t, (T.ArrayType, T.MapType)):
-        return 100
-    return 20
-
-
-def row_bound_for(df: DataFrame, max_rows: int) -> int:
-    """``max_rows`` tightened by the byte bound and the width of ``df``'s rows."""
-    spark = df.sparkSession
-    max_bytes = int(spark.conf.get(BROADCAST_BYTES_CONF, str(DEFAULT_BROADCAST_BYTES)))
-    width = max(8, sum(_width(f.dataType) for f in df.schema.fields))
-    return min(max_rows, max_bytes // width)
+_FIXED_WIDTH = {T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4, T.DateType: 4}
+
+
+def _measured(df: DataFrame, what: str, expr: Column) -> int:
+    memo = _SIZES.setdefault(df, {})
+    if what not in memo:
+        memo[what] = int(df.agg(expr).first()[0] or 0)
+    return memo[what]
+
+
+def _value_bytes(df: DataFrame) -> Column | None:
+    """Bytes of the values whose width varies (texts, binaries, nested values)."""
+    total = None
+    for f in df.schema.fields:
+        t = f.dataType
+        if isinstance(t, (T.StringType, T.BinaryType)):
+            size = F.octet_length(F.col(f"`{f.name}`"))
+        elif isinstance(t, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+            size = F.octet_length(F.to_json(F.struct(F.col(f"`{f.name}`"))))
+        else:
+            continue
+        size = F.coalesce(size, F.lit(0)).cast("bigint")
+        total = size if total is None else total + size
+    return total
 
 
 def fits_broadcast(df: DataFrame, max_rows: int, upper_bound_of: DataFrame | None = None) -> bool:
     """True when ``df`` has at most ``max_rows`` rows and fits the byte bound.
 
-    The rows are counted with ``limit(n + 1).count()`` on ``upper_bound_of``
-    when given - a relation with at least as many rows as ``df`` (e.g. the
-    source table of a projected dimension; counting it reads no column) - else
-    on ``df`` itself.
+    Rows are counted on ``upper_bound_of`` when given - a relation with at least
+    as many rows as ``df`` (e.g. the source table of a projected dimension) -
+    else on ``df`` itself: a plain count, which each task sums up for itself.
+    Values of varying width are measured only when rows and fixed widths fit.
     """
-    bound = row_bound_for(df, max_rows) if max_rows > 0 else 0
-    if bound <= 0:
+    if max_rows <= 0:
         return False
-    source = upper_bound_of if upper_bound_of is not None else df
-    memo = _COUNTS.setdefault(source, {})
-    if bound not in memo:
-        memo[bound] = source.select().limit(bound + 1).count() <= bound
-    return memo[bound]
+    max_bytes = int(df.sparkSession.conf.get(BROADCAST_BYTES_CONF, str(DEFAULT_BROADCAST_BYTES)))
+    rows = _measured(upper_bound_of if upper_bound_of is not None else df, "rows", F.count(F.lit(1)))
+    fixed = rows * (8 + sum(_FIXED_WIDTH.get(type(f.dataType), 8) for f in df.schema.fields))
+    if rows > max_rows or fixed > max_bytes:
+        return False
+    values = _value_bytes(df)
+    return values is None or fixed + _measured(df, "bytes", F.sum(values)) <= max_bytes
 
 
 def unique_on(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
@@ -124,8 +126,8 @@ def many_to_one(
     """Join each left row to at most one right row.
 
     Small right side: broadcast.  Otherwise a shuffle join whose hot left keys
-    are split off into a broadcast join (``split_hot``; pass ``False`` when the
-    left rows are already aggregated on the join keys)."""
+    are salted (``split_hot``; pass ``False`` when the left side has one row per
+    join key, or for analysis only)."""
     spark = left.sparkSession
     bound = broadcast_bound(spark, broadcast_rows)
     small = fits_broadcast(right, bound)
@@ -148,60 +150,69 @@ DEFAULT_HOT_FRACTION = 0.01
 HOT_FRACTION_CONF = "spark.starmart.skew.hotFraction"
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], fraction: float) -> list[tuple]:
-    """Key values holding more than ``fraction`` of ``df``'s rows.
+def _key_shares(df: DataFrame, keys: Sequence[str], fraction: float) -> tuple[list[tuple], bool]:
+    """Key values holding more than ``fraction`` of ``df``'s rows, and whether
+    rows with a NULL in the key do.
 
-    One aggregation (map-side partial counts, so a hot key is one row per task
-    before the shuffle) plus a row count; at most ``1 / fraction`` keys can
-    qualify, so the list reaching the driver is bounded."""
+    One job: an observed row count beside an aggregation by key whose partial
+    counts make a hot key one row per task before the shuffle.  Fewer than
+    ``1 / fraction`` keys can exceed that share, so the limit (a per-task top-k,
+    then the top-k of those) cuts off no hot key."""
     keys = list(keys)
-    total = df.count()
-    if total == 0:
-        return []
-    limit = int(1 / fraction) + 1
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(_COUNT_COL))
-    hot = counts.where(F.col(_COUNT_COL) > F.lit(total * fraction)).limit(limit).collect()
-    return [tuple(r[k] for k in keys) for r in hot if all(r[k] is not None for k in keys)]
+    seen = Observation()
+    counts = df.observe(seen, F.count(F.lit(1)).alias("rows")).groupBy(*keys).agg(F.count(F.lit(1)).alias(_COUNT_COL))
+    top = counts.orderBy(F.desc(_COUNT_COL)).limit(int(1 / fraction) + 1).collect()
+    least = seen.get["rows"] * fraction if top else 0
+    hot = [tuple(r[k] for k in keys) for r in top if r[_COUNT_COL] > least]
+    return [t for t in hot if None not in t], any(None in t for t in hot)
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], fraction: float) -> list[tuple]:
+    """Non-null key values holding more than ``fraction`` of ``df``'s rows."""
+    return _key_shares(df, keys, fraction)[0]
+
+
+_SALT = "__starmart_salt"
+
+
+def _any_of(df: DataFrame, keys: Sequence[str], values: Sequence[tuple]) -> Column:
+    test = F.lit(False)
+    for row in values:
+        same = F.lit(True)
+        for k, v in zip(keys, row):
+            same = same & (F.col(f"`{k}`") == F.lit(v))
+        test = test | F.coalesce(same, F.lit(False))
+    return test
 
 
 def skew_split_join(left: DataFrame, right: DataFrame, left_on: Sequence[str], right_on: Sequence[str],
                     how: str = "left", fraction: float | None = None) -> DataFrame:
     """Many-to-one equi-join that never sends a hot key's rows to one task.
 
-    ``right`` must be unique on ``right_on``.  Rows of hot left keys (see
-    :func:`hot_keys`) join the matching right rows - at most one per hot key,
-    broadcast - where they are; all other rows take the normal (shuffle) join.
-    Same result as ``left.join(right, ..., how)`` for ``how`` in inner / left /
-    left_semi / left_anti.  Works without AQE's skew-join splitting."""
+    ``right`` must be unique on ``right_on``.  Left rows of hot keys (see
+    :func:`hot_keys`) and, if many, those with a NULL key get a random salt, the
+    right row of each hot key is repeated for each salt, and the salt joins the
+    key.  Same result as ``left.join(right, ..., how)`` for ``how`` in inner /
+    left / left_semi / left_anti (NULL keys match nothing either way).  Works
+    without AQE's skew-join splitting."""
     spark = left.sparkSession
     fraction = fraction or float(spark.conf.get(HOT_FRACTION_CONF, str(DEFAULT_HOT_FRACTION)))
     left_on, right_on = list(left_on), list(right_on)
-    hot = hot_keys(left.select(*left_on), left_on, fraction)
-
-    def cond(lhs, rhs):
-        if left_on == right_on:
-            return left_on  # using-join: one copy of the key columns
-        c = None
-        for lk, rk in zip(left_on, right_on):
-            e = lhs[lk] == rhs[rk]
-            c = e if c is None else c & e
-        return c
-
-    if not hot:
-        return left.join(right, cond(left, right), how)
-    types = [left.schema[k].dataType.simpleString() for k in left_on]
-    hot_df = spark.createDataFrame(hot, ", ".join(f"`__h{i}` {t}" for i, t in enumerate(types)))
-    in_hot_l = None
-    for i, k in enumerate(left_on):
-        e = left[k] == hot_df[f"__h{i}"]
-        in_hot_l = e if in_hot_l is None else in_hot_l & e
-    hot_rows = left.join(F.broadcast(hot_df), in_hot_l, "left_semi")
-    cold_rows = left.join(F.broadcast(hot_df), in_hot_l, "left_anti")
-    in_hot_r = None
-    for i, k in enumerate(right_on):
-        e = right[k] == hot_df[f"__h{i}"]
-        in_hot_r = e if in_hot_r is None else in_hot_r & e
-    right_hot = right.join(F.broadcast(hot_df), in_hot_r, "left_semi")  # at most len(hot) keys' rows
-    hot_part = hot_rows.join(F.broadcast(right_hot), cond(hot_rows, right_hot), how)
-    cold_part = cold_rows.join(right, cond(cold_rows, right), how)
-    return hot_part.unionByName(cold_part)
+    hot, nulls = _key_shares(left.select(*left_on), left_on, fraction)
+    if hot or nulls:
+        salts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # enough to even out over the tasks
+        spread = _any_of(left, left_on, hot)
+        if nulls:
+            for k in left_on:
+                spread = spread | F.col(f"`{k}`").isNull()
+        left = left.withColumn(_SALT, F.when(spread, F.floor(F.rand(17) * salts)).otherwise(0).cast("int"))
+        copies = F.when(_any_of(right, right_on, hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+        right = right.withColumn(_SALT, F.explode(copies))
+        left_on, right_on = left_on + [_SALT], right_on + [_SALT]
+    if left_on == right_on:
+        return left.join(right, left_on, how).drop(_SALT)
+    cond = None
+    for lk, rk in zip(left_on, right_on):
+        e = left[lk] == right[rk]
+        cond = e if cond is None else cond & e
+    return left.join(right, cond, how).drop(_SALT)

@@ -8,6 +8,7 @@ names match the DuckDB oracle in :mod:`starmart.oracle`.
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,13 +22,17 @@ from starmart.plans import tpch_mart as M
 from starmart.session import scratch_path
 from starmart.sinks.catalog import answer_published, publish_to_catalog, rollup_published
 from starmart.sinks.publish import publish_mart, write_table
-from starmart.sources.tables import TEST_TABLES, list_tables, load_tables, register_external_tables
+from starmart.sources.tables import list_tables, load_tables, register_external_tables
 from starmart.spec import Fact, Intent, Join, MartSpec, Metric
 from starmart.streaming.incremental import merge_fact, refresh_fact, refresh_partitioned_fact
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
 
+# The given tables.
+STAR_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
+GIVEN_TABLES = STAR_TABLES + ["events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+
 
 def query(name: str):
     def deco(fn):
@@ -54,12 +59,12 @@ def catalog_columns(spark, sf_dir):
 @query("source_catalog")
 def source_catalog(spark, sf_dir):
     """Per-column source metadata with row counts and discovered keys."""
-    return profile.describe_sources(_tables(spark, sf_dir), ["customer", "orders"], detect_keys=True)
+    return profile.describe_sources(_tables(spark, sf_dir), GIVEN_TABLES, detect_keys=True)
 
 
 @query("catalog_row_counts")
 def catalog_row_counts(spark, sf_dir):
-    return profile.row_counts(_tables(spark, sf_dir), ["customer", "orders", "lineitem"])
+    return profile.row_counts(_tables(spark, sf_dir), GIVEN_TABLES)
 
 
 @query("catalog_tables")
@@ -67,7 +72,7 @@ def catalog_tables(spark, sf_dir):
     """P1: base tables of a catalog database (external tables over the given
     files), sorted; a view in the same database is not listed."""
     db = f"starmart_src_{uuid.uuid4().hex[:8]}"
-    register_external_tables(spark, db, sf_dir, TEST_TABLES, scratch_path(spark, "catalog") + "/" + db)
+    register_external_tables(spark, db, sf_dir, GIVEN_TABLES, scratch_path(spark, "catalog") + "/" + db)
     spark.sql(f"CREATE VIEW `{db}`.`recent_orders` AS SELECT * FROM `{db}`.`orders` WHERE o_orderdate >= '1998-01-01'")
     return list_tables(spark, db)
 
@@ -77,23 +82,20 @@ def catalog_stats_row_counts(spark, sf_dir):
     """P4: row counts read from catalog statistics (external tables over the
     given files; ANALYZE collects the statistics, then no scan is needed)."""
     db = f"starmart_src_{uuid.uuid4().hex[:8]}"
-    names = ["customer", "orders", "lineitem"]
-    register_external_tables(spark, db, sf_dir, names, scratch_path(spark, "catalog") + "/" + db)
-    return profile.stats_row_counts(spark, names, db, analyze=True)
+    register_external_tables(spark, db, sf_dir, GIVEN_TABLES, scratch_path(spark, "catalog") + "/" + db)
+    return profile.stats_row_counts(spark, GIVEN_TABLES, db, analyze=True)
 
 
 @query("profile_columns")
 def profile_columns(spark, sf_dir):
     t = _tables(spark, sf_dir)
-    return profile.profile_columns(
-        t["orders"], ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"], "orders"
-    ).drop("table_name")
+    return profile.profile_columns(t["orders"], table_name="orders").drop("table_name")
 
 
 @query("sample_values")
 def sample_values(spark, sf_dir):
     t = _tables(spark, sf_dir)
-    return profile.sample_values(t["customer"], ["c_mktsegment", "c_nationkey", "c_name"], k=5)
+    return profile.sample_values(t["customer"], t["customer"].columns, k=5)
 
 
 @query("candidate_keys")
@@ -106,24 +108,28 @@ def candidate_keys(spark, sf_dir):
 
 @query("foreign_keys")
 def foreign_keys(spark, sf_dir):
-    fks = discover.foreign_keys(_tables(spark, sf_dir), [
-        ("orders", "o_custkey", "customer", "c_custkey"),
-        ("orders", "o_custkey", "part", "p_partkey"),
-    ])
-    return fks.select("child_column", "parent_column", "child_distinct", "matched_distinct", "parent_coverage")
+    """Every type-compatible column against every discovered key of the star tables."""
+    t = _tables(spark, sf_dir)
+    return discover.discover_foreign_keys(t, STAR_TABLES).drop("child_coverage")
+
+
+@query("key_columns")
+def key_columns(spark, sf_dir):
+    """Smallest keys of all given tables, single or composite, a row per key column."""
+    return discover.key_columns(_tables(spark, sf_dir), GIVEN_TABLES)
 
 
 @query("star_candidates")
 def star_candidates(spark, sf_dir):
     t = _tables(spark, sf_dir)
-    return discover.star_candidates(t, names=["region", "nation", "customer", "supplier", "part", "orders", "lineitem"])
+    return discover.star_candidates(t, names=STAR_TABLES)
 
 
 @query("proposed_fact")
 def proposed_fact(spark, sf_dir):
     """The best discovered proposal, built: the re-aim of a model-made proposal."""
     t = _tables(spark, sf_dir)
-    best = discover.propose_marts(t, ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"])[0]
+    best = discover.propose_marts(t, STAR_TABLES)[0]
     return build_fact(best.facts[0], t, best)
 
 
@@ -179,6 +185,24 @@ def fact_avg(spark, sf_dir):
     return build_fact(f, _tables(spark, sf_dir))
 
 
+def _averages(spark, sf_dir, **kw):
+    """Averages of a DECIMAL and of an integer column through a star join."""
+    t = dict(_tables(spark, sf_dir))
+    t["orders"] = t["orders"].withColumn("price", F.col("o_totalprice").cast("decimal(12,2)"))
+    fact = replace(M.FACT_ORDERS, metrics=(Metric("avg_price", "avg", "price"), Metric("avg_customer", "avg", "o_custkey")))
+    return star_rollup(fact, t, M.SALES_MART, ["r_name"], grain="yearly", **kw)
+
+
+@query("fact_avg_star")
+def fact_avg_star(spark, sf_dir):
+    return _averages(spark, sf_dir)
+
+
+@query("fact_avg_star_large_dims")
+def fact_avg_star_large_dims(spark, sf_dir):
+    return _averages(spark, sf_dir, broadcast_rows=0)
+
+
 @query("fact_min_max")
 def fact_min_max(spark, sf_dir):
     f = _orders_fact("fact_min_max", (
@@ -414,6 +438,13 @@ def check_report(spark, sf_dir):
     return checks.check_report(CUSTOMER_ORDERS, _tables(spark, sf_dir))
 
 
+@query("check_report_violations")
+def check_report_violations(spark, sf_dir):
+    """The same rules with a declared list of segments that the data does not keep to."""
+    return checks.check_report(CUSTOMER_ORDERS, _tables(spark, sf_dir),
+                               accepted={"dim_customer": {"c_mktsegment": ["BUILDING", "MACHINERY"]}})
+
+
 # -- K: sinks ----------------------------------------------------------------------
 
 @query("mart_roundtrip")
@@ -507,4 +538,48 @@ def fact_incremental_partitioned(spark, sf_dir):
     return spark.read.parquet(f"{root}/fact")
 
 
+FACT_EVENTS_AVG = Fact(
+    "fact_events_avg", ("events",), (Metric("avg_user", "avg", "user_id"), Metric("event_count", "count")), ("event_type",),
+    time_column="ts", time_grain="daily",
+)
+
+
+@query("fact_incremental_avg")
+def fact_incremental_avg(spark, sf_dir):
+    """An average kept up to date: its sum and count are stored beside it."""
+    events = _tables(spark, sf_dir)["events"]
+    old = F.col("event_id") % 3 == 0
+    root = scratch_path(spark, "fact_events_avg")
+    first = build_fact(FACT_EVENTS_AVG, {"events": events.where(old)}, states=True)
+    write_table(first, f"{root}/fact", partition_by=["period"])
+    refresh_partitioned_fact(FACT_EVENTS_AVG, f"{root}/fact", {"events": events.where(~old)}, f"{root}/staging")
+    return spark.read.parquet(f"{root}/fact").select("period", "event_type", "avg_user", "event_count")
+
+
+@query("rollup_published_avg")
+def rollup_published_avg(spark, sf_dir):
+    """Averages per region and year from a published monthly fact."""
+    t = dict(_tables(spark, sf_dir))
+    t["orders"] = t["orders"].withColumn("price", F.col("o_totalprice").cast("decimal(12,2)"))
+    fact = replace(M.FACT_ORDERS, metrics=(Metric("avg_price", "avg", "price"), Metric("avg_customer", "avg", "o_custkey")),
+                   time_column="o_orderdate", time_grain="monthly")
+    spec = replace(M.SALES_MART, facts=(fact,))
+    db = f"starmart_avg_{uuid.uuid4().hex[:8]}"
+    publish_to_catalog(spec, t, db, scratch_path(spark, "avg") + "/" + db, buckets=8)
+    return rollup_published(spark, spec, db, fact.name, ["r_name"], grain="yearly", tables=t)
+
+
+@query("fact_incremental_null_period")
+def fact_incremental_null_period(spark, sf_dir):
+    """The same refresh where every seventh event has no time: rows without a
+    period are merged like those of any other."""
+    events = _tables(spark, sf_dir)["events"]
+    events = events.withColumn("ts", F.when(F.col("event_id") % 7 != 0, F.col("ts")))
+    old = F.col("event_id") % 2 == 0
+    root = scratch_path(spark, "fact_events_null")
+    write_table(build_fact(FACT_EVENTS_DAILY, {"events": events.where(old)}), f"{root}/fact", partition_by=["period"])
+    refresh_partitioned_fact(FACT_EVENTS_DAILY, f"{root}/fact", {"events": events.where(~old)}, f"{root}/staging")
+    return spark.read.parquet(f"{root}/fact")
+
+
 __all__ = ["registry", "flagship", "merge_fact"]

@@ -5,7 +5,9 @@ of their first dimension, all with the same bucket count, so a star join of a
 published fact with its dimension is a sort-merge join without a shuffle on
 either side.  Each run writes new tables ``<name>__<run_id>``; after the checks
 pass, a view ``<name>`` is re-pointed to the run (metadata only), so readers
-never see a half-written mart.
+never see a half-written table.  Views move one after the other: a query between
+two moves may join a new fact with an old dimension; the run's physical tables
+(returned by :func:`publish_to_catalog`) are always of one run.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from starmart.errors import CheckFailedError, IntentError, SpecError
 from starmart.functions.grain import PERIOD, period
-from starmart.functions.metrics import merge_for_published
+from starmart.functions.metrics import merge_published
 from starmart.operators.checks import check_report, failures
 from starmart.operators.dims import build_dimension
 from starmart.operators.facts import apply_filters, build_fact, fact_keys, fact_rows
@@ -35,12 +37,18 @@ def ensure_database(spark: SparkSession, database: str, location: str) -> None:
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {_q(database)} LOCATION '{location}'")
 
 
-def _write_bucketed(df: DataFrame, table: str, key: str | None, buckets: int) -> None:
+def _write_bucketed(df: DataFrame, table: str, key: str | None, buckets: int, spread: int = 1) -> None:
+    """Write ``df`` bucketed on ``key``.  The rows of a bucket meet in ``spread`` write
+    tasks, dealt by their other columns, so a key that many rows share (a fact's
+    foreign key) does not end in one task and one file."""
     if key is None:
         df.write.format("parquet").saveAsTable(table)
         return
-    # One file per bucket: rows of a bucket meet in one write task.
-    (df.repartition(buckets, F.col(key)).write.format("parquet")
+    bucket = F.pmod(F.hash(F.col(key)), F.lit(buckets))  # as the writer computes it
+    deal = [bucket]
+    if spread > 1:
+        deal.append(F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(spread)))
+    (df.repartition(buckets * spread, *deal).write.format("parquet")
        .bucketBy(buckets, key).sortBy(key).saveAsTable(table))
 
 
@@ -66,7 +74,7 @@ def publish_to_catalog(spec: MartSpec, tables: Mapping[str, DataFrame], database
         links = spec.dimensions_of(f)
         key = links[0][0] if links else None
         name = f"{_q(database)}.{_q(f.name + '__' + run_id)}"
-        _write_bucketed(build_fact(f, tables, spec), name, key, buckets)
+        _write_bucketed(build_fact(f, tables, spec, states=True), name, key, buckets, spread=8)
         written[f.name] = name
     if analyze:
         for physical in written.values():
@@ -93,8 +101,10 @@ def rollup_published(spark: SparkSession, spec: MartSpec, database: str, fact_na
                      filters: Mapping[str, str] | None = None) -> DataFrame:
     """Answer "metrics by dimension attributes per period" from a published mart.
 
-    Additive metrics only (sum/count/min/max are re-aggregated from the fact;
-    avg and count_distinct raise ``NonAdditiveMetricError``).  Dimensions that
+    sum/count/min/max are re-aggregated from their values, averages and
+    approximate distinct counts from the state columns published beside them
+    (this needs ``tables``); exact distinct counts raise
+    ``NonAdditiveMetricError``.  Dimensions that
     pass the size check are broadcast; larger ones join the fact bucket to
     bucket (no shuffle) when both were published with the same bucket count.
     Each published dimension joins on its own (bucket to bucket).  ``filters``
@@ -104,8 +114,8 @@ def rollup_published(spark: SparkSession, spec: MartSpec, database: str, fact_na
     """
     fact = spec.fact(fact_name)
     rows = fact_rows(fact, tables, split_hot=False) if tables is not None else None
-    merges = [merge_for_published(m, rows) for m in fact.metrics]
     fdf = spark.table(f"{_q(database)}.{_q(fact.name)}")
+    merges = [merge_published(m, rows, fdf.columns)[0] for m in fact.metrics]
     links = spec.dimensions_of(fact)
     bound = broadcast_bound(spark, broadcast_rows)
     keys = fact_keys(fact)

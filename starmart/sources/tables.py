@@ -7,35 +7,33 @@ tables with ``spark.table``.  No data is touched until a job runs.
 
 from __future__ import annotations
 
-import os
 from typing import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
 from starmart.errors import UnknownTableError
 
-# The tables of the driver-generated test data.
-TEST_TABLES = (
-    "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
-    "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
-)
+def parquet_names(spark: SparkSession, root: str) -> list[str]:
+    """Names of the ``<name>.parquet`` files and folders directly under ``root``,
+    listed through the file system that Spark reads ``root`` with."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    entries = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    names = [e.getPath().getName() for e in entries]
+    return sorted(n[: -len(".parquet")] for n in names if n.endswith(".parquet"))
 
 
 class ParquetSource(Mapping[str, DataFrame]):
     """``{name: DataFrame}`` over ``<root>/<name>.parquet`` (file or folder).
 
     DataFrames are created on first access and kept, so repeated lookups share
-    one logical relation (Spark can then reuse its scan/exchange).
+    one logical relation (Spark can then reuse its scan/exchange).  Without
+    ``names`` the folder is listed, in whatever store it is.
     """
 
     def __init__(self, spark: SparkSession, root: str, names: Iterable[str] | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
-        if names is None:
-            names = sorted(
-                f[: -len(".parquet")] for f in os.listdir(self.root) if f.endswith(".parquet")
-            ) if os.path.isdir(self.root) else TEST_TABLES
-        self._names = tuple(names)
+        self._names = tuple(names if names is not None else parquet_names(spark, self.root))
         self._cache: dict[str, DataFrame] = {}
 
     def path(self, name: str) -> str:

@@ -4,8 +4,10 @@ A refresh aggregates only the new source rows with the fact's own definition,
 unions the result with the current fact and re-aggregates additively (sum and
 count add up, min/max take the extreme).  Sums are merged in the exact type of
 their expression (e.g. DECIMAL(38,2) for a money sum) and conformed to DOUBLE
-only at the end, so the merged fact equals a full rebuild.  avg and
-count_distinct cannot be merged this way and raise.
+only at the end, so the merged fact equals a full rebuild.  Averages and
+approximate distinct counts merge from the state columns that
+``build_fact(states=True)`` stores beside them; exact distinct counts, and these
+without states, raise.
 
 Every refresh writes a *new* version folder (never the folder being read); the
 streaming variant names versions by micro-batch id, so a replayed batch
@@ -19,11 +21,12 @@ from __future__ import annotations
 from datetime import datetime, timezone
 from typing import Callable, Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starmart.functions.metrics import merge_for_published
+from starmart.functions.metrics import merge_published
 from starmart.operators.facts import build_fact, fact_keys, fact_rows
 from starmart.sinks.publish import write_table
 from starmart.spec import Fact, MartSpec
@@ -33,18 +36,24 @@ def merge_fact(current: DataFrame, delta: DataFrame, fact: Fact, rows: DataFrame
     """``current`` and ``delta`` are facts of ``fact`` (same columns); ``rows`` is
     any row-level input of the fact (used for types only, no job)."""
     keys = fact_keys(fact)
-    merges = [merge_for_published(m, rows) for m in fact.metrics]
+    merges = [c for m in fact.metrics for c in merge_published(m, rows, delta.columns)]
     both = current.select(*delta.columns).unionByName(delta)
     return both.groupBy(*keys).agg(*merges) if keys else both.agg(*merges)
 
 
+def _delta(fact: Fact, tables: Mapping[str, DataFrame], spec: MartSpec | None, current: DataFrame) -> DataFrame:
+    """The fact of the new rows, with state columns if the current fact has them."""
+    plain = set(fact_keys(fact)) | {m.name for m in fact.metrics}
+    return build_fact(fact, tables, spec, states=not set(current.columns) <= plain)
+
+
 def refresh_fact(fact: Fact, current_path: str, delta_tables: Mapping[str, DataFrame], new_path: str,
                  spec: MartSpec | None = None) -> DataFrame:
     """Merge the fact of ``delta_tables`` into the fact at ``current_path`` and
     write the result to ``new_path`` (a new folder); returns the written table."""
     spark = next(iter(delta_tables.values())).sparkSession
     current = spark.read.parquet(current_path)
-    delta = build_fact(fact, delta_tables, spec)
+    delta = _delta(fact, delta_tables, spec, current)
     merged = merge_fact(current, delta, fact, fact_rows(fact, delta_tables, split_hot=False))
     write_table(merged, new_path)
     return spark.read.parquet(new_path)
@@ -54,16 +63,33 @@ VERSION_LOG = "_versions"
 
 
 def _marker_done(spark: SparkSession, path: str) -> bool:
+    """Whether the stage was completed.  Only a missing marker means no: any
+    other read error is raised, since a complete stage taken for a missing one
+    would merge the delta a second time."""
     try:
         return spark.read.schema("done boolean").json(path).count() > 0
-    except Exception:  # no marker yet
-        return False
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+
+
+def _staged(spark: SparkSession, stage: str, schema: T.StructType) -> DataFrame:
+    """The staged rows; the schema is given because an empty stage has no file."""
+    return spark.read.schema(schema).parquet(f"{stage}/data")
+
 
+def _overwrite_periods(spark: SparkSession, stage: str, fact_path: str, schema: T.StructType) -> None:
+    (_staged(spark, stage, schema).select(*schema.fieldNames()).write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").partitionBy("period").format("parquet").save(fact_path))
 
-def _overwrite_periods(spark: SparkSession, staging_path: str, fact_path: str, columns) -> None:
-    staged = spark.read.parquet(staging_path)
-    (staged.select(*columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("period").format("parquet").save(fact_path))
+
+def _in_periods(df: DataFrame, periods: list) -> DataFrame:
+    """Rows of the given periods, NULL being one of them.  A filter on values of
+    the partition column: only those partitions are read."""
+    dates = [p for p in periods if p is not None]
+    wanted = F.col("period").isin(dates) if dates else F.lit(False)
+    return df.where(wanted | F.col("period").isNull() if None in periods else wanted)
 
 
 def _stage_and_overwrite(spark: SparkSession, fact: Fact, fact_path: str, tables: Mapping[str, DataFrame],
@@ -75,13 +101,12 @@ def _stage_and_overwrite(spark: SparkSession, fact: Fact, fact_path: str, tables
     marker = f"{stage}/_stage_complete"
     current = spark.read.parquet(fact_path)
     if not _marker_done(spark, marker):
-        delta = build_fact(fact, tables, spec)
-        periods = delta.select("period").distinct()  # one row per touched period
-        affected = current.join(F.broadcast(periods), "period", "left_semi")  # partition pruning
-        merged = merge_fact(affected, delta, fact, fact_rows(fact, tables, split_hot=False))
+        delta = _delta(fact, tables, spec, current)
+        periods = [r["period"] for r in delta.select("period").distinct().collect()]  # one value per touched period
+        merged = merge_fact(_in_periods(current, periods), delta, fact, fact_rows(fact, tables, split_hot=False))
         write_table(merged, f"{stage}/data", partition_by=["period"], mode="overwrite")
         spark.createDataFrame([(True,)], "done boolean").coalesce(1).write.mode("overwrite").json(marker)
-    _overwrite_periods(spark, f"{stage}/data", fact_path, current.columns)
+    _overwrite_periods(spark, stage, fact_path, current.schema)
 
 
 def refresh_partitioned_fact(fact: Fact, fact_path: str, delta_tables: Mapping[str, DataFrame], staging_path: str,
@@ -90,31 +115,41 @@ def refresh_partitioned_fact(fact: Fact, fact_path: str, delta_tables: Mapping[s
     rewriting only the periods the new rows touch.
 
     1. the delta is aggregated with the fact's own definition;
-    2. its periods (one row per period: a bounded list) select the affected
-       partitions of the current fact - a semi join on the partition column, so
-       Parquet partition pruning reads only those;
+    2. its periods (one value per period, NULL included: a bounded list) select
+       the affected partitions of the current fact - a filter on the partition
+       column, so only those are read;
     3. the exact merge is written to ``staging_path`` (a new folder, marked
        complete once written);
     4. the staged partitions replace the affected ones with a dynamic partition
        overwrite, which reads the staging folder, never the folder it writes.
     Rerunning with the same ``staging_path`` after a crash repeats only step 4.
-    Returns the rewritten periods.
+    A delta without rows changes nothing.  Returns the rewritten periods, NULL
+    (rows without a time) last.
     """
     if fact.time_grain is None:
         raise ValueError(f"fact '{fact.name}' has no time grain to partition by; use refresh_fact")
     spark = next(iter(delta_tables.values())).sparkSession
     _stage_and_overwrite(spark, fact, fact_path, delta_tables, staging_path.rstrip("/"), spec)
-    return sorted(r["period"] for r in spark.read.parquet(f"{staging_path.rstrip('/')}/data")
-                  .select("period").distinct().collect())
+    staged = _staged(spark, staging_path.rstrip("/"), spark.read.parquet(fact_path).schema)
+    found = [r["period"] for r in staged.select("period").distinct().collect()]
+    return sorted((p for p in found if p is not None)) + [None] * (None in found)
 
 
 def apply_partitioned_batch(batch: DataFrame, epoch_id: int, fact: Fact, source_table: str, fact_path: str,
                             staging_root: str, other_tables: Mapping[str, DataFrame] | None = None,
-                            spec: MartSpec | None = None) -> None:
+                            spec: MartSpec | None = None, query_id: str = "batches") -> None:
     """One micro-batch of :func:`start_partitioned_fact_stream` (idempotent per
-    ``epoch_id``)."""
+    ``query_id`` and ``epoch_id``)."""
     tables = {**dict(other_tables or {}), source_table: batch}
-    _stage_and_overwrite(batch.sparkSession, fact, fact_path, tables, f"{staging_root.rstrip('/')}/{epoch_id}", spec)
+    stage = f"{staging_root.rstrip('/')}/{query_id}/{epoch_id}"
+    _stage_and_overwrite(batch.sparkSession, fact, fact_path, tables, stage, spec)
+
+
+def _query_id(spark: SparkSession, checkpoint_location: str) -> str:
+    """The streaming query's id, kept in its checkpoint: a reset checkpoint counts
+    its batches from 0 again under another id and meets no stage of the old one."""
+    row = spark.read.schema("id string").json(f"{checkpoint_location.rstrip('/')}/metadata").first()
+    return row["id"]
 
 
 def start_partitioned_fact_stream(
@@ -132,7 +167,7 @@ def start_partitioned_fact_stream(
 ):
     """Keep a period-partitioned fact up to date, rewriting only touched periods.
 
-    Micro-batch ``e``: (1) unless ``staging_root/e`` is complete, merge the
+    Micro-batch ``e``: (1) unless ``staging_root/<query id>/e`` is complete, merge the
     batch into the affected periods of the current fact and stage the result
     there, then write a completion marker; (2) overwrite those periods from the
     stage (dynamic partition overwrite).  A replayed batch finds its complete
@@ -145,7 +180,8 @@ def start_partitioned_fact_stream(
     others = dict(other_tables or {})
 
     def merge_batch(batch: DataFrame, epoch_id: int) -> None:
-        apply_partitioned_batch(batch, epoch_id, fact, source_table, fact_path, staging_root, others, spec)
+        query_id = _query_id(batch.sparkSession, checkpoint_location)
+        apply_partitioned_batch(batch, epoch_id, fact, source_table, fact_path, staging_root, others, spec, query_id)
 
     stream = spark.readStream.schema(source_schema).parquet(source_path)
     writer = stream.writeStream.foreachBatch(merge_batch).option("checkpointLocation", checkpoint_location)

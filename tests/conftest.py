@@ -21,8 +21,8 @@ def fixture1(spark):
     """orders / customers profile fixture (FIXTURES.md 1)."""
     import datetime as dt
     orders = spark.createDataFrame(
-        [(1, 101, dt.date(2024, 1, 1), 150.0), (2, 102, dt.date(2024, 1, 2), 200.5), (3, 101, dt.date(2024, 1, 3), 75.0)],
+        [(1, 71, dt.date(2024, 1, 1), 41.5), (2, 72, dt.date(2024, 1, 2), 63.25), (3, 71, dt.date(2024, 1, 3), 18.0)],
         "order_id int, customer_id int, order_date date, total_amount double")
-    customers = spark.createDataFrame([(101, "Alice", "North"), (102, "Bob", "South")],
+    customers = spark.createDataFrame([(71, "Ines", "Coast"), (72, "Teo", "Hills")],
                                       "customer_id int, name string, region string")
     return {"orders": orders, "customers": customers}

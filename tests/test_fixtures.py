@@ -38,7 +38,7 @@ def test_fixture1_profile(spark, fixture1):
     counts = dict((r.table_name, r.row_count) for r in profile.row_counts(fixture1, ["orders", "customers"]).collect())
     assert counts == {"orders": 3, "customers": 2}
     samples = profile.sample_values(fixture1["customers"], ["region"]).collect()
-    assert {r.sample_value for r in samples} == {"North", "South"}
+    assert {r.sample_value for r in samples} == {"Coast", "Hills"}
     keys = profile.candidate_keys(fixture1, [("orders", ["order_id"]), ("customers", ["customer_id"]),
                                              ("orders", ["customer_id"])]).collect()
     assert {(r.table_name, r.key_columns): r.is_key for r in keys} == {
@@ -61,18 +61,18 @@ def test_fixture1_shortlist_keeps_declared_keys(fixture1):
 
 def test_fixture1_facts(spark, fixture1):
     spec = MartSpec("sales", (_fact(),), (DIM_CUSTOMER,))
-    assert _rows(build_fact(_fact(), fixture1, spec)) == [(101, 225.0, 2), (102, 200.5, 1)]
+    assert _rows(build_fact(_fact(), fixture1, spec)) == [(71, 59.5, 2), (72, 63.25, 1)]
     by_region = star_rollup(_fact(), fixture1, spec, ["region"], metrics=["total_revenue"])
-    assert _rows(by_region) == [("North", 225.0), ("South", 200.5)]
+    assert _rows(by_region) == [("Coast", 59.5), ("Hills", 63.25)]
     monthly = build_fact(_fact(dimension_keys=(), time_grain="monthly"), fixture1)
-    assert _rows(monthly) == [(D(2024, 1, 1), 425.5, 3)]
+    assert _rows(monthly) == [(D(2024, 1, 1), 122.75, 3)]
     weekly = build_fact(_fact(dimension_keys=(), time_grain="weekly"), fixture1)
-    assert _rows(weekly) == [(D(2024, 1, 1), 425.5, 3)]
+    assert _rows(weekly) == [(D(2024, 1, 1), 122.75, 3)]
 
 
 def test_fixture1_checks(spark, fixture1):
     dom = checks.domains_of(fixture1["customers"], ["name", "region"])
-    assert dom == {"name": ["Alice", "Bob"], "region": ["North", "South"]}
+    assert dom == {"name": ["Ines", "Teo"], "region": ["Coast", "Hills"]}
     rel = checks.relationship_violations(fixture1["orders"], "customer_id", fixture1["customers"], "customer_id")
     assert rel.first().n_violations == 0
 
@@ -80,7 +80,7 @@ def test_fixture1_checks(spark, fixture1):
 # -- fixture 2: single-table mart, dimension from the orders table ---------------
 
 def _fixture2(spark, extra=()):
-    rows = [(1, 101, 500.0), (2, 102, 750.0), *extra]
+    rows = [(1, 71, 310.0), (2, 72, 295.0), *extra]
     orders = spark.createDataFrame(rows, "order_id int, customer_id int, amount double")
     return {"orders": orders}
 
@@ -99,13 +99,13 @@ def _failed(report):
 def test_fixture2_passes(spark):
     t = _fixture2(spark)
     spec = _spec2()
-    assert _rows(build_fact(spec.facts[0], t, spec)) == [(101, 500.0), (102, 750.0)]
-    assert _rows(build_dimension(spec.dimensions[0], t)) == [(101,), (102,)]
+    assert _rows(build_fact(spec.facts[0], t, spec)) == [(71, 310.0), (72, 295.0)]
+    assert _rows(build_dimension(spec.dimensions[0], t)) == [(71,), (72,)]
     assert _failed(checks.check_report(spec, t)) == {}
 
 
 def test_fixture2_duplicate_dimension_key(spark):
-    t = _fixture2(spark, [(3, 101, 1.0)])
+    t = _fixture2(spark, [(3, 71, 1.0)])
     assert _failed(checks.check_report(_spec2(), t)) == {("dim_customer", "customer_id", "unique"): 1}
     assert _failed(checks.check_report(_spec2(dedupe=True), t)) == {}
 
@@ -115,13 +115,13 @@ def test_publish_refuses_failing_checks(spark):
     good = publish_mart(_spec2(), _fixture2(spark), root)
     assert current_mart(spark, root).run_id == good.run_id
     with pytest.raises(CheckFailedError) as e:
-        publish_mart(_spec2(), _fixture2(spark, [(3, 101, 1.0)]), root, run_id="bad")
+        publish_mart(_spec2(), _fixture2(spark, [(3, 71, 1.0)]), root, run_id="bad")
     assert "unique" in str(e.value)
     saved = spark.read.json(f"{root}/bad/_checks")
     assert saved.where("not passed").count() == 1
     # the earlier run stays published
     assert current_mart(spark, root).run_id == good.run_id
-    assert _rows(current_mart(spark, root).read(spark)["fact_orders"]) == [(101, 500.0), (102, 750.0)]
+    assert _rows(current_mart(spark, root).read(spark)["fact_orders"]) == [(71, 310.0), (72, 295.0)]
 
 
 # -- fixture 3: type conformance ---------------------------------------------------
@@ -196,14 +196,14 @@ def test_check_report_key_never_gets_accepted_values(spark):
 # -- fixture 9: nulls ---------------------------------------------------------------
 
 def test_fixture9_nulls(spark):
-    orders = spark.createDataFrame([(1, 101, 10.0), (2, 101, None), (3, 102, None), (4, None, 5.0), (5, 999, 1.0)],
+    orders = spark.createDataFrame([(1, 71, 10.0), (2, 71, None), (3, 72, None), (4, None, 5.0), (5, 999, 1.0)],
                                    "order_id int, customer_id int, amount double")
-    parents = spark.createDataFrame([(101,), (102,)], "customer_id int")
+    parents = spark.createDataFrame([(71,), (72,)], "customer_id int")
     t = {"orders": orders, "customers": parents}
     fact = Fact("f", ("orders",), (Metric("s", "sum", "amount"), Metric("n", "count", "amount"),
                                    Metric("rows", "count"), Metric("a", "avg", "amount")), ("customer_id",))
     got = {r.customer_id: (r.s, r.n, r.rows, r.a) for r in build_fact(fact, t).collect()}
-    assert got == {101: (10.0, 1, 2, 10.0), 102: (None, 0, 1, None), None: (5.0, 1, 1, 5.0), 999: (1.0, 1, 1, 1.0)}
+    assert got == {71: (10.0, 1, 2, 10.0), 72: (None, 0, 1, None), None: (5.0, 1, 1, 5.0), 999: (1.0, 1, 1, 1.0)}
     spec = MartSpec("m", (fact,), (Dimension("d", "customers", "customer_id"),))
     failed = _failed(checks.check_report(spec, t))
     assert failed == {("f", "customer_id", "not_null"): 1, ("f", "s", "not_null"): 1, ("f", "a", "not_null"): 1,
@@ -232,7 +232,7 @@ def test_relationship_strategies_agree(spark):
 def test_describe_sources_fixture1(spark, fixture1):
     rows = {(r.table_name, r.column_name): r for r in profile.describe_sources(
         fixture1, include_sample_values=True, detect_keys=True).collect()}
-    assert rows[("customers", "region")].sample_values == ["North", "South"]
+    assert rows[("customers", "region")].sample_values == ["Coast", "Hills"]
     assert rows[("customers", "region")].row_count == 2
     assert rows[("orders", "order_id")].is_primary_key
     assert rows[("customers", "customer_id")].is_primary_key
@@ -247,10 +247,10 @@ def test_fixture3_target_schemas(spark):
     """Target types and constraints (FIXTURES.md 3), from analysis only."""
     import datetime as _dt
     from starmart.plans.schema import describe, target_schemas
-    customers = spark.createDataFrame([(101, "Alice", "North")], T.StructType([
+    customers = spark.createDataFrame([(71, "Ines", "Coast")], T.StructType([
         T.StructField("customer_id", T.IntegerType(), False), T.StructField("name", T.StringType(), False),
         T.StructField("region", T.StringType(), True)]))
-    orders = spark.createDataFrame([(1, 101, _dt.date(2024, 1, 1), 150.0)],
+    orders = spark.createDataFrame([(1, 71, _dt.date(2024, 1, 1), 41.5)],
                                    "order_id int, customer_id int, order_date date, total_amount double")
     fact = Fact("fact_orders", ("orders",), (REVENUE, COUNT, Metric("first", "min", "order_date"),
                                              Metric("other", "min", None, expression="MIN(order_id) * 2")),
@@ -272,7 +272,7 @@ def test_fixture3_target_schemas(spark):
 
 
 def test_duplicate_key_rows_show_conflicts(spark):
-    t = _fixture2(spark, [(3, 101, 1.0)])
+    t = _fixture2(spark, [(3, 71, 1.0)])
     dim = Dimension("d", "orders", "customer_id", ("amount",), dedupe=True)
     rows = checks.duplicate_key_rows(build_dimension(dim, t), "customer_id").collect()
-    assert sorted((r.customer_id, r.amount) for r in rows) == [(101, 1.0), (101, 500.0)]
+    assert sorted((r.customer_id, r.amount) for r in rows) == [(71, 1.0), (71, 310.0)]

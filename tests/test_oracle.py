@@ -25,7 +25,7 @@ def con():
 
 def test_every_query_has_an_oracle_or_is_rows_only():
     assert set(ORACLE) <= set(QUERIES) <= set(E.queries())
-    assert set(QUERIES) - set(ORACLE) == {"star_candidates", "proposed_fact"}
+    assert set(QUERIES) - set(ORACLE) == {"proposed_fact"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

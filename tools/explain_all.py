@@ -26,7 +26,7 @@ def summarize(plan: str) -> dict:
         name = m.group(1) or (loc.group(1) if loc else "?")
         scans.append((name.split(".")[-1], pf.group(1) if pf else "", rs.group(1) if rs else ""))
     return {
-        "shuffles": len(re.findall(r"Exchange (?:hash|range|single|round)", final, re.I)),
+        "shuffles": len(re.findall(r"(?<!Broadcast)Exchange (?:hashpartitioning|rangepartitioning|SinglePartition|RoundRobin)", final)),
         "broadcasts": final.count("BroadcastExchange"),
         "bhj": final.count("BroadcastHashJoin"),
         "smj": final.count("SortMergeJoin"),
