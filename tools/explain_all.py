@@ -41,7 +41,7 @@ def summarize(plan: str) -> dict:
 
 def main(argv):
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.1"
-    import __spark_entry__ as E
+    from starmart.queries import registry
     from starmart.session import local_session
     spark = local_session(8, shuffle_partitions=16)
     print("# PLANS\n")
@@ -52,7 +52,7 @@ def main(argv):
     print("| query | shuffles | broadcasts | BHJ | SMJ | hash agg | sort agg | window limit | python | bucketed |")
     print("|---|---|---|---|---|---|---|---|---|---|")
     details = []
-    for name, fn in E.queries().items():
+    for name, fn in registry().items():
         df = fn(spark, sf_dir)
         df.collect()
         s = summarize(df._jdf.queryExecution().executedPlan().toString())
