@@ -32,7 +32,8 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents labelled as good text are the target, all others the background."""
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(good, "doc_id", "left")
+    # labelled ids grow with the documents: a merge join at every size
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").hint("merge").join(good, "doc_id", "left")
     docs = written(docs.withColumn("target", F.col("target").isNotNull()), "lm-docs")
     return lm_score.score(docs, lm_score.fit(docs, "target")).drop("text")
 
