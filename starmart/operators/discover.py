@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from starmart.operators.profile import candidate_keys, key_like_columns, shortlist_keys_many, shortlist_keys_of_width
 
+KEY_SCHEMA = "table_name string, key_columns string, is_key boolean"
 FK_SCHEMA = ("child_table string, child_column string, parent_table string, parent_column string")
 
 
@@ -33,83 +34,66 @@ def _col_type(df: DataFrame, c: str) -> T.DataType:
     return df.schema[c].dataType
 
 
-def _tagged_distinct(tables, cols: Sequence[tuple[str, str]], family: str, tag: str,
-                     distinct: bool = True) -> DataFrame:
-    """Distinct ``(v, tag)`` over the given columns: one scan per table
-    (``distinct=False`` when the columns are known keys: already distinct)."""
+def _meetings(tables: Mapping[str, DataFrame], family: str, ids: Mapping[tuple[str, str], int],
+              pairs: Sequence[tuple[int, int]]) -> DataFrame:
+    """``(a, b, n)``: for each column ``(a, a)`` its distinct values, for each requested
+    pair of columns the distinct values both hold.
+
+    One scan per table and one grouping by value: the columns that hold a value are
+    gathered (at most as many as there are columns, partial sets per task), equal
+    sets are counted, and pairs are read off the sets.
+    """
     by_table: dict[str, list[str]] = {}
-    for t, c in cols:
+    for t, c in ids:
         by_table.setdefault(t, []).append(c)
-    parts = [
-        tables[t].select(F.explode(F.array(*[
-            F.struct(F.col(c).cast(family).alias("v"), F.lit(f"{t}.{c}").alias(tag)) for c in cs
+    rows = None
+    for t, cs in by_table.items():
+        part = tables[t].select(F.explode(F.array(*[
+            F.struct(F.col(c).cast(family).alias("v"), F.lit(ids[t, c]).alias("c")) for c in cs
         ])).alias("x")).select("x.*").where(F.col("v").isNotNull())
-        for t, cs in by_table.items()
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct() if distinct else out
+        rows = part if rows is None else rows.unionByName(part)
+    sets = rows.groupBy("v").agg(F.array_sort(F.collect_set("c")).alias("cs")).groupBy("cs").agg(F.count(F.lit(1)).alias("n"))
+    asked = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
+    both = F.filter(asked, lambda x: F.array_contains("cs", x["a"]) & F.array_contains("cs", x["b"]))
+    alone = F.transform("cs", lambda c: F.struct(c.alias("a"), c.alias("b")))
+    return sets.select("n", F.explode(F.concat(alone, both)).alias("x")).groupBy("x.a", "x.b").agg(F.sum("n").alias("n"))
 
 
-def foreign_keys(tables: Mapping[str, DataFrame],
-                 candidates: Sequence[tuple[str, str, str, str]], parents_unique: bool = False) -> DataFrame:
+def foreign_keys(tables: Mapping[str, DataFrame], candidates: Sequence[tuple[str, str, str, str]]) -> DataFrame:
     """Coverage of each ``(child_table, child_column, parent_table, parent_column)``.
 
     Columns: child_table, child_column, parent_table, parent_column,
     child_distinct, matched_distinct, parent_distinct, parent_coverage
-    (matched / parent distinct), child_coverage (matched / child distinct).
-    Candidates whose types are incompatible get no row.  ``parents_unique``
-    (every parent column is a confirmed key) skips de-duplicating parent values.
+    (matched / parent distinct), child_coverage (matched / child distinct; both
+    null without values).  Candidates whose types are incompatible get no row.
+    One job measures all candidates; what reaches the driver is a count per
+    column and per candidate.
     """
     spark = next(iter(tables.values())).sparkSession
     by_family: dict[str, list[tuple[str, str, str, str]]] = {}
-    for ct, cc, pt, pc in candidates:
+    for ct, cc, pt, pc in dict.fromkeys(map(tuple, candidates)):
         fc, fp = _family(_col_type(tables[ct], cc)), _family(_col_type(tables[pt], pc))
         if fc == fp:
             by_family.setdefault(fc, []).append((ct, cc, pt, pc))
-    results = []
+    ids: dict[tuple[str, str], int] = {}
+    parts = None
     for family, cands in by_family.items():
-        children = list(dict.fromkeys((ct, cc) for ct, cc, _, _ in cands))
-        parents = list(dict.fromkeys((pt, pc) for _, _, pt, pc in cands))
-        cvals = _tagged_distinct(tables, children, family, "child")
-        pvals = _tagged_distinct(tables, parents, family, "parent", distinct=not parents_unique)
-        csize = cvals.groupBy("child").agg(F.count(F.lit(1)).alias("child_distinct"))
-        psize = pvals.groupBy("parent").agg(F.count(F.lit(1)).alias("parent_distinct"))
-        # one row per value with the columns that hold it (at most as many as there are columns),
-        # expanded to the requested pairs only
-        holders = cvals.select("v", F.col("child").alias("c"), F.lit(None).cast("string").alias("p")).unionByName(
-            pvals.select("v", F.lit(None).cast("string").alias("c"), F.col("parent").alias("p"))
-        ).groupBy("v").agg(F.array_sort(F.collect_set("c")).alias("cs"), F.array_sort(F.collect_set("p")).alias("ps")).where("size(cs) > 0 and size(ps) > 0")
-        asked = F.array(*[F.struct(F.lit(f"{a}.{b}").alias("child"), F.lit(f"{c}.{d}").alias("parent")) for a, b, c, d in cands])
-        both = F.filter(asked, lambda x: F.array_contains("cs", x["child"]) & F.array_contains("ps", x["parent"]))
-        matched = holders.groupBy("cs", "ps").agg(F.count(F.lit(1)).alias("n")).select("n", F.explode(both).alias("x")).groupBy(
-            F.col("x.child").alias("child"), F.col("x.parent").alias("parent")).agg(F.sum("n").alias("matched_distinct"))
-        wanted = spark.createDataFrame(
-            [(ct, cc, pt, pc, f"{ct}.{cc}", f"{pt}.{pc}") for ct, cc, pt, pc in cands],
-            FK_SCHEMA + ", child string, parent string")
-        # The candidate list is the caller's parameter list: its size is known.
-        res = (F.broadcast(wanted)
-               .join(csize, "child", "left")
-               .join(psize, "parent", "left")
-               .join(matched, ["child", "parent"], "left"))
-        results.append(res.select(
-            "child_table", "child_column", "parent_table", "parent_column",
-            F.coalesce("child_distinct", F.lit(0)).alias("child_distinct"),
-            F.coalesce("matched_distinct", F.lit(0)).alias("matched_distinct"),
-            F.coalesce("parent_distinct", F.lit(0)).alias("parent_distinct"),
-        ))
-    if not results:
-        return spark.createDataFrame([], FK_SCHEMA + ", child_distinct bigint, matched_distinct bigint, "
-                                     "parent_distinct bigint, parent_coverage double, child_coverage double")
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    return out.select(
-        "*",
-        (F.col("matched_distinct").cast("double") / F.col("parent_distinct")).alias("parent_coverage"),
-        (F.col("matched_distinct").cast("double") / F.col("child_distinct")).alias("child_coverage"),
-    )
+        own = {}
+        for ct, cc, pt, pc in cands:
+            for column in ((ct, cc), (pt, pc)):
+                own[column] = ids.setdefault(column, len(ids))
+        part = _meetings(tables, family, own, [(own[ct, cc], own[pt, pc]) for ct, cc, pt, pc in cands if (ct, cc) != (pt, pc)])
+        parts = part if parts is None else parts.unionByName(part)
+    n = {(r["a"], r["b"]): r["n"] for r in parts.collect()} if parts is not None else {}
+    out = []
+    for cands in by_family.values():
+        for ct, cc, pt, pc in cands:
+            c, p = ids[ct, cc], ids[pt, pc]
+            children, parents, matched = n.get((c, c), 0), n.get((p, p), 0), n.get((c, p), 0)
+            out.append((ct, cc, pt, pc, children, matched, parents,
+                        matched / parents if parents else None, matched / children if children else None))
+    return spark.createDataFrame(out, FK_SCHEMA + ", child_distinct bigint, matched_distinct bigint, "
+                                      "parent_distinct bigint, parent_coverage double, child_coverage double")
 
 
 def discover_keys(tables: Mapping[str, DataFrame], names: Sequence[str] | None = None,
@@ -172,7 +156,7 @@ def discover_foreign_keys(tables: Mapping[str, DataFrame], names: Sequence[str]
     """:func:`foreign_keys` of every type-compatible column with every confirmed single-column key."""
     names = list(names if names is not None else tables)
     keys = [(r["table_name"], r["key_columns"]) for r in discover_keys(tables, names, pairs=False).where("is_key").collect()]
-    return foreign_keys(tables, fk_candidates(tables, keys, names), parents_unique=True)
+    return foreign_keys(tables, fk_candidates(tables, keys, names))
 
 
 def _suffix(c):
@@ -224,7 +208,7 @@ def star_candidates(tables: Mapping[str, DataFrame], keys: DataFrame | None = No
         return spark.createDataFrame([], "fact_table string, fact_key string, dimension_table string, "
                                          "dimension_key string, parent_coverage double, name_match boolean, "
                                          "rank int, n_measures int")
-    ranked = rank_foreign_keys(foreign_keys(tables, cands, parents_unique=True))
+    ranked = rank_foreign_keys(foreign_keys(tables, cands))
     own_keys = {(t, k) for t, k in single}
     spark = tables[names[0]].sparkSession
     numeric = [(t, f.name) for t in names for f in tables[t].schema.fields
@@ -256,23 +240,23 @@ def propose_marts(tables: Mapping[str, DataFrame], names: Sequence[str] | None =
     from starmart.spec import Dimension, Fact, MartSpec, Metric
 
     names = list(names if names is not None else tables)
-    cands = candidates if candidates is not None else star_candidates(tables, names=names)
+    confirmed = [(r["table_name"], r["key_columns"]) for r in discover_keys(tables, names, pairs=False).where("is_key").collect()]
+    if candidates is None:
+        keys = tables[names[0]].sparkSession.createDataFrame([(t, k, True) for t, k in confirmed], KEY_SCHEMA)
+        candidates = star_candidates(tables, keys, names)
+    cands = candidates
     links = [r.asDict() for r in cands.where(accepted_link(min_coverage)).collect()]
     by_fact: dict[str, list[dict]] = {}
     for r in links:
         by_fact.setdefault(r["fact_table"], []).append(r)
-    # a table's own single-column key is no measure
-    keys = {(r["dimension_table"], r["dimension_key"]) for r in links}
-    open_ = [t for t in by_fact]
-    if open_:
-        keys |= {(r["table_name"], r["key_columns"]) for r in discover_keys(tables, open_, pairs=False).where("is_key").collect()}
+    own_keys = set(confirmed)  # a table's own key is no measure
     specs = []
     for fact_table, fks in by_fact.items():
         fks.sort(key=lambda r: r["fact_key"])
         schema = tables[fact_table].schema
         fk_cols = {r["fact_key"] for r in fks}
         measures = [f.name for f in schema.fields
-                    if isinstance(f.dataType, T.NumericType) and f.name not in fk_cols and (fact_table, f.name) not in keys]
+                    if isinstance(f.dataType, T.NumericType) and f.name not in fk_cols and (fact_table, f.name) not in own_keys]
         metrics = [Metric(f"sum_{c}", "sum", c) for c in measures] + [Metric("row_count", "count")]
         dims, key_map = [], {}
         for r in fks:

@@ -109,8 +109,9 @@ def test_partitioned_stream_equals_rebuild_and_replay_is_exact(spark):
     want = _sorted(build_fact(FACT_EVENTS_DAILY, t))
     assert _sorted(spark.read.parquet(f"{root}/fact")) == want
     # a replay of the last batch (as after a crash before its offsets were committed) changes nothing
-    from starmart.streaming.incremental import apply_partitioned_batch
+    from starmart.streaming.incremental import _query_id, apply_partitioned_batch
     last = q.lastProgress["batchId"]
     replayed = spark.read.parquet(f"{src}/part=1")
-    apply_partitioned_batch(replayed, last, FACT_EVENTS_DAILY, "events", f"{root}/fact", f"{root}/staging")
+    apply_partitioned_batch(replayed, last, FACT_EVENTS_DAILY, "events", f"{root}/fact", f"{root}/staging",
+                            query_id=_query_id(spark, ckpt))
     assert _sorted(spark.read.parquet(f"{root}/fact")) == want
