@@ -206,11 +206,11 @@ def _keep(tables, per_table: dict[str, list[tuple[str, ...]]], rsd: float) -> di
 
 
 # Relative standard errors below the row count at which a sketch rules a column set
-# out: an estimate this far off does not happen (10 standard errors).
-SKETCH_ERRORS = 10
+# out: an estimate this far off does not happen.
+SKETCH_ERRORS = 7
 
 
-def shortlist_keys_many(tables: Mapping[str, DataFrame], names: Sequence[str], rsd: float = 0.05,
+def shortlist_keys_many(tables: Mapping[str, DataFrame], names: Sequence[str], rsd: float = 0.03,
                         pairs: bool = True, max_width: int = 2) -> dict[str, list[tuple[str, ...]]]:
     """Column sets that *may* be keys, per table, from HyperLogLog passes run
     as one job for all tables (the driver gets one row per column set).
@@ -229,12 +229,12 @@ def shortlist_keys_many(tables: Mapping[str, DataFrame], names: Sequence[str], r
 
 
 def shortlist_keys_of_width(tables: Mapping[str, DataFrame], names: Sequence[str], width: int,
-                            rsd: float = 0.05) -> dict[str, list[tuple[str, ...]]]:
+                            rsd: float = 0.03) -> dict[str, list[tuple[str, ...]]]:
     """The sets of ``width`` columns of each table that may be keys."""
     return _keep(tables, {t: list(combinations(key_like_columns(tables[t]), width)) for t in names}, rsd)
 
 
-def shortlist_keys(df: DataFrame, rsd: float = 0.05, pairs: bool = True) -> list[tuple[str, ...]]:
+def shortlist_keys(df: DataFrame, rsd: float = 0.03, pairs: bool = True) -> list[tuple[str, ...]]:
     """:func:`shortlist_keys_many` for one DataFrame."""
     return shortlist_keys_many({"t": df}, ["t"], rsd, pairs)["t"]
 

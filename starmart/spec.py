@@ -291,8 +291,7 @@ def validate_intent(intent: Intent) -> None:
     grain = intent.time_granularity
     if grain not in TIME_GRAINS:
         faults.append(f"no such time grain: {grain!r} (choose from {', '.join(sorted(TIME_GRAINS))})")
-    faults += [f"the intent names no {what}" for what, named in
-               (("metrics", intent.required_metrics), ("dimensions", intent.required_dimensions)) if not named]
+    faults += [f"{field} is empty" for field in ("required_metrics", "required_dimensions") if not getattr(intent, field)]
     if faults:
         raise IntentError("; ".join(faults))
 
