@@ -102,4 +102,22 @@ ORACLE_SQL: dict[str, str] = {
         reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)
         SELECT e.vec_id, (SELECT count(*) FROM link l WHERE l.a = e.vec_id) AS n_links, min(r.b) AS component_id, e.vec_id = min(r.b) AS kept
         FROM embeddings e JOIN reach r ON r.a = e.vec_id GROUP BY e.vec_id""",
+    # templates as strings instead of hashes; segment s of a line keeps the tokens before cut(s) and after cut(s + 1)
+    "op9_line_dedup": r"""
+        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS d, text FROM documents),
+        parts AS (SELECT r, d, string_split(text, chr(10)) AS ls FROM docs WHERE text IS NOT NULL),
+        lines AS (SELECT r, d, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS pos FROM parts),
+        tokens AS (SELECT r, d, pos, line, list_filter(string_split_regex(regexp_replace(line, '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS t FROM lines),
+        keys AS (SELECT r, d, pos, 'all' || array_to_string(t, ' ') AS k FROM tokens WHERE len(t) BETWEEN 3 AND 11
+                 UNION ALL
+                 SELECT r, d, pos, len(t) || '/' || s || ' ' || array_to_string(t[1:2 + (len(t) - 2) * s // 4], ' ') || ' <*> '
+                        || array_to_string(t[2 + (len(t) - 2) * (s + 1) // 4 + 1:], ' ')
+                 FROM tokens, (SELECT unnest([0, 1, 2, 3]) AS s) WHERE len(t) >= 12),
+        firsts AS (SELECT k, min(d) AS f FROM keys GROUP BY k HAVING min(d) < max(d)),
+        drops AS (SELECT DISTINCT r, pos FROM keys JOIN firsts USING (k) WHERE d > f),
+        kept AS (SELECT l.r, string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (x.r IS NULL) AS text, count(*) AS n_lines, count(x.r) AS n_dropped
+                 FROM lines l LEFT JOIN drops x ON x.r = l.r AND x.pos = l.pos GROUP BY l.r)
+        SELECT docs.doc_id, CASE WHEN docs.text IS NOT NULL THEN coalesce(kept.text, '') END AS text,
+               coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped
+        FROM docs LEFT JOIN kept ON kept.r = docs.r""",
 }

@@ -78,3 +78,12 @@ def test_line_in_every_document(spark, hot):
     df = spark.range(hot).select(F.col("id").alias("doc_id"), F.concat(F.lit("all rights are reserved\nnumber of "), F.conv(F.hex("id"), 16, 36)).alias("text"))
     out = linededup.drop_recurring_lines(df)
     assert out.where("text like 'all rights%'").count() == 1
+
+
+def test_sql_equals_brute_force():
+    import duckdb
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SMALL}/documents.parquet')")
+    docs = con.execute("SELECT doc_id, text FROM documents").fetchall()
+    got = con.execute(queries.ORACLE_SQL["op9_line_dedup"]).fetchall()
+    assert {r[0]: r[1] for r in got} == {i: t for (i, _), t in brute(docs).items()}
