@@ -101,7 +101,7 @@ def _attribute_features(tag: str, attributes: str) -> tuple[tuple[str, ...], int
             found += [f"name={k}" for k in kinds]
         elif hidden or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) or name == "aria-hidden" and value == "true":
             found.append("hidden")
-        elif name == "data-label":
+        elif name == "data-label" and value in ("0", "1"):  # other values are a page's own
             label = int(value)
     return tuple(dict.fromkeys(found)), label
 

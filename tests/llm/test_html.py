@@ -89,3 +89,11 @@ def test_long_page_and_empty_table(spark, model):
     assert got[1].count("\n") == 20_000 and "home" not in got[1] and got[2] == ""
     out = H.extract(df, model)
     assert out.columns == ["page_id", "url", "html", "text"] and out.count() == 3 and H.extract(df.limit(0), model).count() == 0
+
+
+@pytest.mark.parametrize("value", ['data-label="Price"', 'data-label=""', "data-label=Total", 'data-label="²"', 'data-label="-1"'])
+def test_labels_of_real_pages(model, value):
+    """An attribute of the page's own that is named like the training label changes nothing."""
+    source = "<article><h1>A title of it</h1><p>Prose of some length, with words; and more of it.</p><table><tr><td {}>4.50, or less.</td></tr></table></article>"
+    assert H.extract_texts([source.format(value)], model) == H.extract_texts([source.format("")], model)
+    assert all(x.label is None for x in H.parse(source.format(value)).nodes)
