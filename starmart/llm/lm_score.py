@@ -6,21 +6,25 @@ document's score is its loss per token under the target model minus that under t
 background model: the lower, the more it reads like the target.
 
 Words are runs without ASCII white space, ASCII lower-cased; a word is a 64-bit hash.
-The vocabulary is every word with at least a ``word_share`` of all tokens, so it
-has at most 1 / word_share entries whatever the corpus; other words are one unknown
-word.  Bigrams of vocabulary words are kept at a ``pair_share`` of all tokens, which
-bounds them alike; others back off.  All counts cover all documents: tasks combine
-them per some million words, Spark combines them per task and then by shuffle, so what is
-gathered grows with the corpus while the model that is broadcast stays bounded.
+Every word and every bigram counts, however rare (``word_share`` and ``pair_share`` can
+leave out those below a share of all tokens; by default nothing is).  The model grows
+with the corpus, so it is two Spark tables, of bigrams and of words, and nothing that
+grows is collected: tasks combine bigrams per some million words and Spark by shuffle;
+word counts follow from the bigrams, whose first word is 0 at the start of a text.
+Each bigram's two losses are joined from these tables once, and a document's bigrams,
+combined per document, meet them in a join on the bigram's 64-bit key.  Bigrams of a
+``hot_share`` of all tokens (at most 1 / hot_share of them) are broadcast and summed in
+the task, so no common bigram is a large group of that join.
 
 p(w | h) = k c(h, w) / c(h) + (1 - k s(h)) p(w), where p(w) = (c(w) + 1) / (n + v),
-s(h) is the part of c(h) that the kept bigrams of h make up, and k is ``mix``: the
-chances after each h sum to one.
+s(h) is the part of c(h) that the bigrams of h make up, and k is ``mix``: the chances
+after each h sum to one.
 
 Defined results: null and empty texts have 0 tokens and null losses and score; a
 document is a target if the given column is true (null: not); a model without any
 token gives equal chances to all words.  An empty table gives an empty table.  Other
-columns pass through, and one named like an output is replaced.
+columns pass through, and one named like an output is replaced.  Losses are sums of
+doubles in no fixed order: their last digits can differ between runs.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starmart.llm.common import written
@@ -40,7 +44,8 @@ from starmart.llm.common import written
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint64)
 _IS_SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 _POWERS = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(4095, 0x9E3779B97F4A7C15, np.uint64)]))
-_COUNTS = "key long, t long, b long"
+_COUNTS = "h long, w long, t long, b long"
+_GRAMS = "__uid long, key long, n long, t double, b double"
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
@@ -111,41 +116,70 @@ def batch_words(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]
         yield flush()
 
 
-def _counts(keyed: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Counts of (keys, target) parts, combined over about ``_HELD`` keys."""
-    keys, targets, n = [], [], 0
-    for key, target in keyed:
-        keys.append(key)
-        targets.append(target)
-        n += len(key)
+def _grams(words: np.ndarray, row: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each word's predecessor in its row (0: none), the word and its row."""
+    before = np.zeros_like(words)
+    same = np.flatnonzero(row[1:] == row[:-1])
+    before[same + 1] = words[same]
+    return before[skip:], words[skip:], row[skip:]
+
+
+def _key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return h ^ ((w << np.uint64(31)) | (w >> np.uint64(33)))
+
+
+def _key_column() -> Column:
+    w = F.col("w")
+    return F.col("h").bitwiseXOR(F.shiftleft(w, 31).bitwiseOR(F.shiftrightunsigned(w, 33)))
+
+
+def _counts(grams: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Counts of (first word, second word, target) parts, combined over about ``_HELD`` bigrams."""
+    held, n = [], 0
+    for part in grams:
+        held.append(part)
+        n += len(part[0])
         if n >= _HELD:
-            yield _counted(np.concatenate(keys), np.concatenate(targets))
-            keys, targets, n = [], [], 0
+            yield _counted(*map(np.concatenate, zip(*held)))
+            held, n = [], 0
     if n:
-        yield _counted(np.concatenate(keys), np.concatenate(targets))
+        yield _counted(*map(np.concatenate, zip(*held)))
 
 
-def _counted(keys: np.ndarray, target: np.ndarray) -> pa.RecordBatch:
-    """Distinct keys with their counts in target and in background rows."""
-    order = np.argsort(keys)
-    keys, target = keys[order], target[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    n = np.diff(np.append(first, len(keys)))
-    t = np.add.reduceat(target.astype(np.int64), first) if len(first) else n
-    return pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(t), pa.array(n - t)], ["key", "t", "b"])
+def _starts(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where a new combination begins."""
+    new = np.ones(len(sorted_keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in sorted_keys])
+    return np.flatnonzero(new)
+
+
+def _counted(h: np.ndarray, w: np.ndarray, target: np.ndarray) -> pa.RecordBatch:
+    """Distinct bigrams with their counts in target and in background rows."""
+    order = np.argsort(_key(h, w))
+    h, w, target = h[order], w[order], target[order]
+    first = _starts(h, w)
+    n = np.diff(np.append(first, len(h)))
+    t = np.add.reduceat(target.astype(np.int64), first)
+    return pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(w[first].view(np.int64)), pa.array(t), pa.array(n - t)], ["h", "w", "t", "b"])
 
 
-def _summed(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("key").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+def _pair_counts(rows: DataFrame) -> DataFrame:
+    """(h, w, t, b) parts of the bigrams of (text, target) rows."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def grams() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            for batch in batches:
+                target = batch.column(1).to_numpy(zero_copy_only=False)
+                for part in batch_words(batch.column(0)):
+                    h, w, row = _grams(*part)
+                    yield h, w, target[row]
 
+        yield from _counts(grams())
 
-def _collect(counts: DataFrame, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and their (2, keys) counts; the caller's share bounds the rows."""
-    got = counts.toArrow()
-    key, t, b = (got.column(c).to_numpy().astype(np.int64) for c in ("key", "t", "b"))
-    key = key.view(kind)
-    order = np.argsort(key)
-    return key[order], np.stack([t[order], b[order]]).astype(np.float64)
+    return rows.mapInArrow(count, _COUNTS)
+
+
+def _summed(counts: DataFrame, *keys: str) -> DataFrame:
+    return counts.groupBy(*keys).agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
 
 
 def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -165,7 +199,9 @@ def _pairs(at: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.n
 
 @dataclass
 class PairModel:
-    """Row 0 of each table is the target model, row 1 the background model."""
+    """The model of a vocabulary that fits in memory, as the formula reads.
+
+    Row 0 of each table is the target model, row 1 the background model."""
 
     words: np.ndarray   # sorted hashes of the vocabulary
     chance: np.ndarray  # (2, words + 1): p(w); the last is the unknown word
@@ -193,51 +229,106 @@ def build(words: np.ndarray, counts: np.ndarray, tokens: np.ndarray, pairs: np.n
     return PairModel(words, chance, 1 - mix * kept, pairs, np.hstack([mix * share, np.zeros((2, 1))]))
 
 
-def fit(docs: DataFrame, target_col: str, text_col: str = "text", word_share: float = 2e-6, pair_share: float = 2e-6, mix: float = 0.6) -> PairModel:
+@dataclass
+class CountModel:
+    pairs: DataFrame     # h, w, t, b: every bigram's counts in target and background rows; h is 0 before a text's first word
+    words: DataFrame     # w, t, b, kept_t, kept_b: the vocabulary, and how often a bigram of it follows
+    tokens: np.ndarray   # (2,): of target and background
+    unknown: np.ndarray  # (2,): of them outside the vocabulary
+    size: int            # of the vocabulary
+    pair_least: float
+    mix: float
+
+    def losses(self, pairs: DataFrame) -> DataFrame:
+        """(key, c, t, b): the count of each bigram of ``pairs`` and its loss under both models."""
+        word = self.words.select("w", F.col("t").alias("wt"), F.col("b").alias("wb"))
+        first = self.words.select(F.col("w").alias("hk"), F.col("t").alias("ht"), F.col("b").alias("hb"), "kept_t", "kept_b")
+        # the starts of texts, which have no first word, are dealt by their second
+        rows = pairs.withColumn("hk", F.when(F.col("h") == 0, F.col("w")).otherwise(F.col("h")))
+        rows = rows.join(word, "w", "left").join(first, "hk", "left")
+        known = (F.col("h") != 0) & F.col("ht").isNotNull()
+        kept = known & F.col("wt").isNotNull() & (F.col("t") + F.col("b") >= self.pair_least)
+
+        def loss(m: str, i: int) -> Column:
+            chance = (F.coalesce(F.col(f"w{m}").cast("double"), F.lit(float(self.unknown[i]))) + 1) / (float(self.tokens[i]) + self.size + 1)
+            n = F.greatest(F.col(f"h{m}"), F.lit(1))
+            after = (1 - self.mix * F.col(f"kept_{m}") / n) * chance + F.when(kept, self.mix * F.col(m) / n).otherwise(0.0)
+            return -F.log(F.when(known, after).otherwise(chance))
+
+        return rows.select(_key_column().alias("key"), (F.col("t") + F.col("b")).alias("c"), loss("t", 0).alias("t"), loss("b", 1).alias("b"))
+
+
+def fit(docs: DataFrame, target_col: str, text_col: str = "text", word_share: float = 0.0, pair_share: float = 0.0, mix: float = 0.6) -> CountModel:
     """Both models from ``docs``, counted over all rows."""
     rows = docs.select(F.col(text_col).alias("text"), F.coalesce(F.col(target_col), F.lit(False)).alias("target"))
-
-    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _counts(
-            (words[skip:], target[row[skip:]])
-            for b in batches for target in [b.column(1).to_numpy(zero_copy_only=False)] for words, row, skip in batch_words(b.column(0)))
-
-    counted = written(_summed(rows.mapInArrow(count_words, _COUNTS)), "lm-words")
+    pairs = written(_summed(_pair_counts(rows), "h", "w"), "lm-pairs")
+    counted = written(_summed(pairs, "w"), "lm-words")
     tokens = np.array([int(x or 0) for x in counted.agg(F.sum("t"), F.sum("b")).first()], np.float64)
-    frequent = lambda share: (F.col("t") + F.col("b")) >= max(1.0, share * float(tokens.sum()))
-    words, counts = _collect(counted.where(frequent(word_share)), np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+    word_least, pair_least = (max(1.0, share * float(tokens.sum())) for share in (word_share, pair_share))
+    words = counted.where(F.col("t") + F.col("b") >= word_least)
+    size, *inside = words.agg(F.count("*"), F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    kept = pairs.where((F.col("h") != 0) & (F.col("t") + F.col("b") >= pair_least))
+    if word_least > 1:
+        kept = kept.join(words.select("w"), "w", "left_semi")
+    kept = _summed(kept, "h").select(F.col("h").alias("w"), F.col("t").alias("kept_t"), F.col("b").alias("kept_b"))
+    words = written(words.join(kept, "w", "left").fillna(0, ["kept_t", "kept_b"]), "lm-vocabulary")
+    return CountModel(pairs, words, tokens, tokens - np.array(inside, np.float64), size, pair_least, mix)
 
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def known_pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for b in batches:
-                target = b.column(1).to_numpy(zero_copy_only=False)
-                for words, row, _ in batch_words(b.column(0)):
-                    second, key = _pairs(_find(shared.value, words), row, len(shared.value))
-                    yield key[key >= 0], target[row[second[key >= 0]]]
 
-        yield from _counts(known_pairs())
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` written with a number for each row, by which its losses find it."""
+    return written(df.withColumn("__uid", F.monotonically_increasing_id()), "lm-rows")
 
-    pairs, pair_counts = _collect(_summed(rows.mapInArrow(count_pairs, _COUNTS)).where(frequent(pair_share)), np.int64)
-    return build(words, counts, tokens, pairs, pair_counts, mix)
 
+def score(df: DataFrame, model: CountModel, text_col: str = "text", fitted: bool = False, hot_share: float = 2e-6) -> DataFrame:
+    """Add ``n_tokens``, ``loss_target``, ``loss_background`` (per token) and ``score``, their difference.
 
-def score(df: DataFrame, model: PairModel, text_col: str = "text") -> DataFrame:
-    """Add ``n_tokens``, ``loss_target``, ``loss_background`` (per token) and ``score``, their difference."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    ``fitted``: the model was fitted on these rows, so it has all their bigrams.  Rows from :func:`numbered` are not written again.
+    """
+    df = df if "__uid" in df.columns else numbered(df)
+    pairs = model.pairs
+    if not fitted:
+        new = _pair_counts(df.select(F.col(text_col).alias("text"), F.lit(False).alias("target")))
+        pairs = _summed(pairs.union(new.select("h", "w", F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("b"))), "h", "w")
+    losses = written(model.losses(pairs), "lm-losses")
+    common = F.col("c") >= max(2.0, hot_share * float(model.tokens.sum()))
+    hot = losses.where(common).select("key", "t", "b").toArrow()
+    keys = hot.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    shared = df.sparkSession.sparkContext.broadcast((keys[order], np.stack([np.append(hot.column(m).to_numpy()[order], 0.0) for m in ("t", "b")])))
 
-    @F.arrow_udf("struct<n: bigint, t: double, b: double>")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for the common bigrams of a text, already summed, and one for each other bigram."""
+        known, loss = shared.value
         for batch in batches:
-            n, total = np.zeros(len(batch), np.int64), np.zeros((2, len(batch)))
-            for words, row, skip in batch_words(batch):
-                loss, own = shared.value.losses(words, row)[:, skip:], row[skip:]
-                n += np.bincount(own, minlength=len(batch))
-                total += [np.bincount(own, x, len(batch)) for x in loss]
-            mean = total / np.maximum(n, 1)
-            yield pa.StructArray.from_arrays([pa.array(n), *(pa.array(m, mask=n == 0) for m in mean)], ["n", "t", "b"])
-
-    return df.withColumn("__lm", run(F.col(text_col))).withColumns({
-        "n_tokens": F.col("__lm.n"), "loss_target": F.col("__lm.t"), "loss_background": F.col("__lm.b"),
-        "score": F.col("__lm.t") - F.col("__lm.b"),
-    }).drop("__lm")
+            uid = batch.column(0).to_numpy()
+            for part in batch_words(batch.column(1)):
+                h, w, row = _grams(*part)
+                key = _key(h, w)
+                at = _find(known, key)
+                own, rare = row[at < len(known)], at == len(known)
+                n = np.bincount(own, minlength=len(batch))
+                total = [np.bincount(own, x[at[~rare]], len(batch)) for x in loss]
+                some = np.flatnonzero(n)
+                # sums need no partner: their key only spreads them
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(uid[some]), pa.array(_scramble(uid[some].astype(np.uint64)).view(np.int64)), pa.array(n[some]), *(pa.array(x[some].astype(np.float64)) for x in total)],
+                    ["__uid", "key", "n", "t", "b"])
+                key, row = key[rare], row[rare]
+                order = np.lexsort((key, row))
+                key, row = key[order], row[order]
+                first = _starts(key, row)
+                none = pa.nulls(len(first), pa.float64())
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(uid[row[first]]), pa.array(key[first].view(np.int64)), pa.array(np.diff(np.append(first, len(key)))), none, none],
+                    ["__uid", "key", "n", "t", "b"])
+
+    rare = losses.where(~common).select("key", F.col("t").alias("lt"), F.col("b").alias("lb"))
+    met = df.select("__uid", F.col(text_col)).mapInArrow(grams, _GRAMS).join(rare, "key", "left")
+    lost = F.raise_error(F.lit("a bigram of a text is not in the model: were these the fitted rows?")).cast("double")
+    per_text = met.groupBy("__uid").agg(
+        F.sum("n").alias("__n"), *[F.sum(F.coalesce(m, F.col("n") * F.col(f"l{m}"), lost)).alias(f"__{m}") for m in ("t", "b")])
+    mean = lambda m: F.col(f"__{m}") / F.col("__n")
+    return df.join(per_text, "__uid", "left").withColumns({
+        "n_tokens": F.coalesce("__n", F.lit(0).cast("long")), "loss_target": mean("t"), "loss_background": mean("b"), "score": mean("t") - mean("b"),
+    }).drop("__uid", "__n", "__t", "__b")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from starmart.llm import bpe, embed_dedup, html_extract, langid, linededup, lm_score, mixing, quality, simhash, topk, vectors
-from starmart.llm.common import held_out, table, written
+from starmart.llm.common import held_out, table
 from starmart.llm.labelled_pages import labelled_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,8 +34,8 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
     # labelled ids grow with the documents: a merge join at every size
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").hint("merge").join(good, "doc_id", "left")
-    docs = written(docs.withColumn("target", F.col("target").isNotNull()), "lm-docs")
-    return lm_score.score(docs, lm_score.fit(docs, "target")).drop("text")
+    docs = lm_score.numbered(docs.withColumn("target", F.col("target").isNotNull()))
+    return lm_score.score(docs, lm_score.fit(docs, "target"), fitted=True).drop("text")
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

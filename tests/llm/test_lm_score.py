@@ -120,3 +120,17 @@ def test_parts_of_long_texts(monkeypatch):
     assert np.concatenate([r[s:] for _, r, s in parts]).tolist() == whole[0][1].tolist()
     pairs = lambda ps: sorted((int(w[i]), int(w[i + 1])) for w, r, _ in ps for i in range(len(w) - 1) if r[i] == r[i + 1])
     assert pairs(parts) == pairs(whole)
+
+
+def test_rare_words_and_bigrams_count(spark):
+    """By default nothing is too rare, whatever the number of tokens, with common bigrams broadcast or none."""
+    common = [(i, " ".join(f"w{(i + k * k) % 89}" for k in range(3000)), i % 2 == 0) for i in range(400)]
+    # the same rare words, in another order: only rare bigrams tell these apart
+    docs = common + [(1000, "rare aa bb cc dd", True), (1001, "rare aa bb cc dd", True), (1002, "rare dd cc bb aa", False), (1003, "rare dd cc bb aa", False)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, target boolean").repartition(3)
+    want = brute(docs, 1, 1)
+    model = lm_score.fit(df, "target")
+    for hot_share, fitted in ((2e-6, True), (2e-6, False), (1.0, True)):
+        got = {r["doc_id"]: r for r in lm_score.score(df, model, hot_share=hot_share, fitted=fitted).collect()}
+        assert all(math.isclose(got[i]["score"], t - b, abs_tol=1e-9) and got[i]["n_tokens"] == n for i, (n, t, b) in want.items())
+    assert got[1000]["score"] < -1 < 1 < got[1002]["score"]
