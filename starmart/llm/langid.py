@@ -4,20 +4,25 @@ A text becomes a vector of hashed byte n-grams (orders 1 to 3 over its letters,
 lower-cased, words set apart by one space), weighted by log term frequency times
 inverse document frequency and scaled to unit length.  Every language has
 several centroids, found by spherical k-means, and a text takes the language of
-the centroid with the largest cosine.  A text whose distance (1 - cosine) to its
-centroid is beyond that centroid's limit is rejected.
+the centroid with the largest cosine.  A text whose cosine is below the limit of
+that centroid and of its own length band (powers of two of its n-grams) is rejected.
 
 Fitting: document frequencies count all learning rows; the k-means seeds come
 from a bounded sample (``sample`` rows a language, those with the smallest text
 hash), and one pass over all learning rows then moves each centroid to the mean
-of the rows nearest to it.  The limits come from the same pass: a share
-``slack`` of the smallest cosine that any learning row of ``min_grams`` n-grams
-has with its centroid, so a text is rejected only if it is much farther than every
-text learned from.  Shorter texts, whose cosines are small by nature, are rejected
-only if they share no weighted n-gram with any centroid.
-
-The model holds the centroids (languages x clusters x buckets) and one weight per
-bucket: it does not grow with the rows.
+of the rows nearest to it.  A centroid with less than a ``support`` of its language's rows,
+or a single one, is left out: a mislabelled row makes no centroid.  A last pass
+over all learning rows counts the cosines with the final centroids in
+bins: of each text, and of short pieces of it (in two of the shorter bands, drawn by the
+text's checksum; the middle one of three pieces counts), so short texts have limits
+though few rows are short.  A limit is ``margin`` of the ``quantile`` of its centroid and
+band, at least the second smallest of 20 or more; below 100 cosines it is that of the band over all
+centroids, and an empty band takes the limit of the next shorter one.  So single odd rows do not move
+a limit, and more rows only make it more precise.  Short texts of a foreign language in
+a known script can come near known ones, and some of them pass.
+
+The model holds the centroids (languages x clusters x buckets), their limits and one
+weight per bucket: it does not grow with the rows.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0
 and are rejected; so is every text if there was nothing to learn from.  Equal
@@ -27,6 +32,7 @@ from.  Repeated rows count as often as they occur.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,6 +47,9 @@ UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
 _GRAMS = (1, 2, 3)
 _PART = 1 << 20  # bytes whose n-grams are hashed at once
+_BANDS = 10      # length bands: the last has 2**9 n-grams and more
+_SHORT = 10      # pieces of 1 to 2**9 characters
+_BINS = 1000     # of cosines
 
 # Byte classes: ASCII letters and all bytes of other characters stay, the rest is a space.
 _FOLD = np.array([b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
@@ -50,9 +59,8 @@ _FOLD = np.array([b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)],
 class LanguageModel:
     languages: list[str]     # of each centroid
     centroids: np.ndarray    # (n, buckets), unit length
-    limits: np.ndarray       # smallest cosine accepted, of each centroid
+    limits: np.ndarray       # (n, bands): smallest cosine accepted
     idf: np.ndarray          # (buckets,)
-    min_grams: int
 
 
 def gram_counts(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,11 +99,16 @@ def predict_text(text: str | None, m: LanguageModel) -> tuple[str, float, bool]:
     """(language, cosine, accepted)"""
     if not len(m.languages) or not has_letter(text):
         return UNDETERMINED, 0.0, False
+    best, top, band = _nearest(text, m)
+    return m.languages[best], min(1.0, max(0.0, top)), top > 0 and top >= float(m.limits[best, band])
+
+
+def _nearest(text: str, m: LanguageModel) -> tuple[int, float, int]:
+    """The nearest centroid, its cosine and the text's length band."""
     at, w, n = _vector(text, m.idf)
     cos = m.centroids[:, at] @ w
     best = int(np.argmax(cos))
-    top = float(cos[best])
-    return m.languages[best], min(1.0, max(0.0, top)), top > 0 and (n < m.min_grams or top >= float(m.limits[best]))
+    return best, float(cos[best]), min(n.bit_length() - 1, _BANDS - 1)
 
 
 def _document_frequencies(rows: DataFrame, text_col: str, buckets: int) -> tuple[np.ndarray, int]:
@@ -133,7 +146,7 @@ def _spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 
 
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", buckets: int = 4096, clusters: int = 4,
-        sample: int = 250, min_grams: int = 400, slack: float = 0.6) -> LanguageModel:
+        sample: int = 250, support: float = 0.002, quantile: float = 0.02, margin: float = 0.65) -> LanguageModel:
     """Learn from the rows with a language; ``rows`` should hold learning rows only."""
     rows = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
@@ -169,17 +182,17 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", buckets
         languages += [lang] * len(c)
         parts.append(c)
     if not parts:
-        return LanguageModel([], np.zeros((0, buckets)), np.zeros(0), idf, min_grams)
-    model = LanguageModel(languages, np.vstack(parts), np.full(len(languages), -1.0), idf, min_grams)
-    return _refine(rows, model, slack)
+        return LanguageModel([], np.zeros((0, buckets)), np.zeros((0, _BANDS)), idf)
+    model = LanguageModel(languages, np.vstack(parts), np.zeros((len(languages), _BANDS)), idf)
+    return _limited(rows, _refine(rows, model, support), quantile, margin)
 
 
 def _nearest_of_language(text: str, lang: str, m: LanguageModel, of: dict[str, np.ndarray]):
-    at, w, n = _vector(text, m.idf)
+    at, w, _ = _vector(text, m.idf)
     own = of[lang]
     cos = m.centroids[np.ix_(own, at)] @ w
     best = int(np.argmax(cos))
-    return own[best], float(cos[best]), at, w, n
+    return own[best], at, w
 
 
 def _rows(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[tuple[str, str]]:
@@ -190,37 +203,86 @@ def _rows(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[tuple[
             yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist())
 
 
-def _refine(rows: DataFrame, m: LanguageModel, slack: float) -> LanguageModel:
+def _refine(rows: DataFrame, m: LanguageModel, support: float) -> LanguageModel:
     """One pass over all learning rows: each centroid moves to the mean of the rows of its language nearest to
-    it, and its limit is a share of the smallest cosine that one of them (of enough n-grams) had with it."""
+    it, and goes if they are too few."""
     shared = rows.sparkSession.sparkContext.broadcast(m)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         of = {x: np.flatnonzero(np.array(m.languages) == x) for x in set(m.languages)}
-        sums, low = np.zeros_like(m.centroids), np.full(len(m.languages), np.inf)
+        sums, n = np.zeros_like(m.centroids), np.zeros(len(m.languages))
         for text, lang in _rows(batches):
             if lang in of and has_letter(text):
-                k, cos, at, w, n = _nearest_of_language(text, lang, m, of)
+                k, at, w = _nearest_of_language(text, lang, m, of)
                 sums[k, at] += w
-                if n >= m.min_grams:
-                    low[k] = min(low[k], cos)
+                n[k] += 1
         k, at = np.nonzero(sums)
-        kl = np.flatnonzero(np.isfinite(low))
+        kn = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([
-            pa.array(np.concatenate([k, kl]).astype(np.int32)), pa.array(np.concatenate([at, np.full(len(kl), -1)]).astype(np.int32)),
-            pa.array(np.concatenate([sums[k, at], low[kl]]))], ["k", "at", "w"])
+            pa.array(np.concatenate([k, kn]).astype(np.int32)), pa.array(np.concatenate([at, np.full(len(kn), -1)]).astype(np.int32)),
+            pa.array(np.concatenate([sums[k, at], n[kn]]))], ["k", "at", "w"])
 
     # a sum of rounded values does not depend on the order in which tasks arrive
     total = rows.mapInArrow(add, "k int, at int, w double").groupBy("k", "at").agg(
-        F.sum(F.round(F.col("w") * 1e6).cast("long")).alias("sum"), F.min("w").alias("low")).toPandas()
-    k, at = total["k"].to_numpy(), total["at"].to_numpy()
-    sums, low = m.centroids * 1e-9, np.zeros(len(m.languages))
+        F.sum(F.round(F.col("w") * 1e6).cast("long")).alias("sum")).toPandas()
+    k, at, got = total["k"].to_numpy(), total["at"].to_numpy(), total["sum"].to_numpy() / 1e6
+    sums, n = m.centroids * 1e-9, np.zeros(len(m.languages))
     cell = at >= 0
-    sums[k[cell], at[cell]] += total["sum"].to_numpy()[cell] / 1e6
-    low[k[~cell]] = total["low"].to_numpy()[~cell]
+    sums[k[cell], at[cell]] += got[cell]
+    n[k[~cell]] = got[~cell]
     centroids = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-    return LanguageModel(m.languages, centroids, low * slack, m.idf, m.min_grams)
+    own = np.array(m.languages)
+    rows_of, most = ({x: f(n[own == x]) for x in set(m.languages)} for f in (np.sum, np.max))
+    stay = [j for j, x in enumerate(m.languages) if n[j] >= max(2, support * rows_of[x]) or n[j] == most[x]]
+    return LanguageModel([m.languages[j] for j in stay], centroids[stay], m.limits[stay], m.idf)
+
+
+def _pieces(text: str) -> Iterator[list[str]]:
+    """Three pieces of the text in each of two of the lengths below its own."""
+    lengths = [1 << b for b in range(_SHORT) if 2 << b < len(text)]
+    draw = zlib.crc32(text.encode("utf-8", "replace"))
+    for size in {lengths[draw % len(lengths)], lengths[draw // _SHORT % len(lengths)]} if lengths else ():
+        yield [text[(len(text) - size) * j // 4 :][:size] for j in (1, 2, 3)]
+
+
+def _limited(rows: DataFrame, m: LanguageModel, quantile: float, margin: float) -> LanguageModel:
+    """Limits from the cosines of all learning rows with the centroids, counted in bins by centroid and length band."""
+    shared = rows.sparkSession.sparkContext.broadcast(m)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        n = np.zeros((len(m.languages), _BANDS, _BINS), np.int64)
+
+        def add(near: tuple[int, float, int]) -> None:
+            n[near[0], near[2], min(max(int(near[1] * _BINS), 0), _BINS - 1)] += 1
+
+        for text, _ in _rows(batches):
+            if has_letter(text):
+                add(_nearest(text, m))
+                for pieces in _pieces(text):
+                    near = sorted((_nearest(p, m) for p in pieces if has_letter(p)), key=lambda x: x[1])
+                    if near:
+                        add(near[len(near) // 2])
+        cell = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n.ravel()[cell])], ["cell", "n"])
+
+    total = rows.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    n = np.zeros((len(m.languages), _BANDS, _BINS), np.int64)
+    n.reshape(-1)[total["cell"].to_numpy()] = total["n"].to_numpy()
+
+    def low(bins: np.ndarray) -> float:
+        rows = int(bins.sum())
+        below = max(int(quantile * rows), int(rows >= 20))
+        return margin * int(np.searchsorted(np.cumsum(bins), below, side="right")) / _BINS
+
+    band = [low(n[:, b].sum(axis=0)) if n[:, b].any() else None for b in range(_BANDS)]
+    first = next((x for x in band if x is not None), 0.0)
+    limits = np.zeros((len(m.languages), _BANDS))
+    for b in range(_BANDS):
+        band[b] = band[b] if band[b] is not None else band[b - 1] if b else first
+        limits[:, b] = [low(x[b]) if x[b].sum() >= 100 else band[b] for x in n]
+    return LanguageModel(m.languages, m.centroids, limits, m.idf)
 
 
 def identify(df: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:

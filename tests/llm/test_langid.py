@@ -52,3 +52,25 @@ def test_nasty_rows(nasty):
     assert langid.identify(nasty, empty).where("lang_pred <> 'und' or accepted").count() == 0
     assert langid.identify(nasty.limit(0), model).count() == 0
     assert langid.fit(nasty.withColumn("lang", F.lit(None).cast("string"))).languages == []
+
+
+FOREIGN = {
+    "ru": "Съешь ещё этих мягких французских булок, да выпей чаю. Привет, как дела сегодня? ",
+    "el": "Καλημέρα σας, τι κάνετε σήμερα; Ο καιρός είναι καλός. ",
+    "ja": "漢字仮名交じり文は日本語の表記である。今日は天気がいい。",
+    "fi": "Hyvää päivää, mitä sinulle kuuluu tänään? Sää on kaunis ja aurinko paistaa kirkkaasti taivaalla. ",
+    "pl": "Dzień dobry, jak się masz dzisiaj? Pogoda jest piękna i słońce świeci jasno na niebie. ",
+    "tr": "Günaydın, bugün nasılsın? Hava çok güzel ve güneş gökyüzünde parlıyor. ",
+}
+
+
+def test_short_foreign_texts_and_a_mislabelled_row(spark, documents):
+    """Short texts are rejected too, in other scripts and in Latin script; one wrong learning row changes nothing of it."""
+    learn = documents.where(~held_out("doc_id")).select("text", "lang")
+    wrong = spark.createDataFrame([(FOREIGN["fi"] * 12, "en")], learn.schema)
+    for rows in (learn, learn.union(wrong)):
+        model = langid.fit(rows)
+        accepted = {(k, n): langid.predict_text((t * 10)[:n], model)[2] for k, t in FOREIGN.items() for n in (24, 48, len(t), 400)}
+        assert not any(ok for (k, n), ok in accepted.items() if k in ("ru", "el", "ja") or n >= 48), accepted
+        known = documents.where("length(text) < 133").collect()
+        assert known and all(langid.predict_text(r["text"], model)[2] for r in known)
