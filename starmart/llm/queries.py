@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from starmart.llm import bpe, embed_dedup, html_extract, langid, linededup, lm_score, mixing, quality, simhash, topk, vectors
+from starmart.llm import (
+    bpe, embed_dedup, hard_negatives, html_extract, langid, linededup, lm_score, mixing, periodic_runs, quality, simhash, topk, vectors,
+)
 from starmart.llm.common import held_out, table
 from starmart.llm.labelled_pages import labelled_pages
 
@@ -78,13 +80,49 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.hex16("fingerprint").alias("fingerprint"), "component_id", "kept")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh vector bears the next label, so that near neighbours differ in label."""
+    whole = lambda x: F.when(vectors.finite(x), F.floor(x.cast("double") * 256).cast("double"))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vecs = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", whole).alias("v"), label.alias("label"))
+    mined = hard_negatives.mine(vecs, F.col("vec_id") % 100 == 0, id_col="vec_id", vec_col="v")
+    return mined.withColumns({c: F.col(c).cast("long") for c in ("positive_score", "negative_score")})
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = cycled(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs.find_runs(docs).withColumn("top", periodic_runs.longest())
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+        F.expr("top.length * 1000 div top.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def cycled(docs: DataFrame) -> DataFrame:
+    """A tenth of the texts, picked by the hash h of the id, repeat some of their words to the end:
+    from word a on, every word becomes the one at a plus its distance to a modulo p."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", "[ \\t-\\r]+"), lambda w: w != "")
+    n, g = F.size("__words"), F.floor(h / 10).cast("long")
+    docs = docs.withColumn("__words", F.when(h % 10 == 0, words))
+    docs = docs.withColumn("__words", F.when(n > 0, F.col("__words")))  # also null where there is no word
+    a = F.expr("int(__g % size(__words))")
+    p = F.expr("int(1 + (size(__words) - __a) div (3 + __g % 8))")
+    cycle = F.expr("transform(__words, (w, i) -> if(i < __a, w, __words[__a + (i - __a) % __p]))")
+    docs = docs.withColumn("__g", g).withColumn("__a", a).withColumn("__p", p)
+    text = F.when(F.col("__words").isNotNull(), F.array_join(cycle, " ")).otherwise(F.col("text"))
+    return docs.withColumn("text", text).drop("__words", "__g", "__a", "__p")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (op1_topk, op2_embedding_dedup, op3_lm_score, op4_byte_bpe, op5_language_id, op6_quality, op7_mixing,
-                              op8_html_extraction, op9_line_dedup, op10_simhash, pipeline)
+                              op8_html_extraction, op9_line_dedup, op10_simhash, op11_hard_negatives, op13_periodic_runs, pipeline)
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_topk": """
@@ -120,4 +158,16 @@ ORACLE_SQL: dict[str, str] = {
         SELECT docs.doc_id, CASE WHEN docs.text IS NOT NULL THEN coalesce(kept.text, '') END AS text,
                coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped
         FROM docs LEFT JOIN kept ON kept.r = docs.r""",
+    "op11_hard_negatives": """
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS l,
+                          list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.l = c.l AS same, list_dot_product(a.e, c.e)::BIGINT AS score
+              FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+        p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+        SELECT anchor_id, positive_id, row_number() OVER w AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score
+        WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id)
+        QUALIFY rank <= 5""",
 }
