@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from starmart.llm import (
-    bpe, embed_dedup, hard_negatives, html_extract, langid, linededup, lm_score, mixing, periodic_runs, quality, simhash, topk, vectors,
+    bpe, embed_dedup, hard_negatives, html_extract, langid, linededup, lm_score, mixing, periodic_runs, pii, quality, simhash, topk, vectors,
 )
 from starmart.llm.common import held_out, table
 from starmart.llm.labelled_pages import labelled_pages
@@ -89,6 +89,16 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mined.withColumns({c: F.col(c).cast("long") for c in ("positive_score", "negative_score")})
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and the digest are of base spans; ``spans`` lists all."""
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", *[count(kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = cycled(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = periodic_runs.find_runs(docs).withColumn("top", periodic_runs.longest())
@@ -122,7 +132,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (op1_topk, op2_embedding_dedup, op3_lm_score, op4_byte_bpe, op5_language_id, op6_quality, op7_mixing,
-                              op8_html_extraction, op9_line_dedup, op10_simhash, op11_hard_negatives, op13_periodic_runs, pipeline)
+                              op8_html_extraction, op9_line_dedup, op10_simhash, op11_hard_negatives, op12_pii, op13_periodic_runs, pipeline)
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_topk": """
