@@ -21,6 +21,7 @@ from pyspark.errors import AnalysisException
 from starmart.errors import SpecError
 from starmart.functions.grain import PERIOD, period
 from starmart.functions.metrics import aggregate, column_type, decompose, decomposable, published_states
+from starmart.operators.grains import drill_across, parts, resolves
 from starmart.plans.joins import broadcast_bound, fits_broadcast, many_to_one
 from starmart.spec import YEAR_FROM, Fact, MartSpec, validate_fact
 
@@ -101,16 +102,6 @@ def _key_columns(fact: Fact, rows: DataFrame, tables: Mapping[str, DataFrame], s
     return cols
 
 
-def _only_primary(metric, primary: DataFrame) -> bool:
-    """Does the metric aggregate columns of the primary table only?  Decided by
-    Spark's analyzer on the schema (no job)."""
-    try:
-        primary.agg(aggregate(metric, primary.schema))
-        return True
-    except AnalysisException:
-        return False
-
-
 def _preaggregated(fact: Fact, tables: Mapping[str, DataFrame], spec: MartSpec | None,
                    broadcast_rows: int | None, split_hot: bool = True) -> DataFrame | None:
     """Multi-source fact whose secondary side is too large to broadcast:
@@ -119,13 +110,13 @@ def _preaggregated(fact: Fact, tables: Mapping[str, DataFrame], spec: MartSpec |
     join and merge.  ``None`` when the metrics do not allow it."""
     primary = tables[fact.primary_table]
     here = set(primary.columns)
-    if not fact.metrics or not all(decomposable(m) and _only_primary(m, primary) for m in fact.metrics):
+    if not fact.metrics or not all(decomposable(m) and resolves(m, primary) for m in fact.metrics):
         return None
     bound = broadcast_bound(primary.sparkSession, broadcast_rows)
     if all(fits_broadcast(tables[j.table], bound) for j in fact.joins):
         return None  # broadcast joins stream the rows; nothing to gain
     rows = fact_rows(fact, tables, broadcast_rows, split_hot=False)  # types of the full rows (analysis only)
-    parts = [decompose(m, rows.schema) for m in fact.metrics]
+    split = [decompose(m, rows.schema) for m in fact.metrics]
     early = {k: v for k, v in fact.filters.items()
              if (k == YEAR_FROM and fact.time_column in here) or k in here}
     late = {k: v for k, v in fact.filters.items() if k not in early}
@@ -135,8 +126,8 @@ def _preaggregated(fact: Fact, tables: Mapping[str, DataFrame], spec: MartSpec |
         pre = pre.withColumn(PERIOD, period(fact.time_column, fact.time_grain))
     group = [k for k in fact_keys(fact) if k in pre.columns]
     group += [c for j in fact.joins for c in j.left_on if c in here and c not in group]
-    group += [c for p in parts for c in p.extra_keys if c not in group]
-    pre = pre.groupBy(*group).agg(*[s for p in parts for s in p.states])
+    group += [c for p in split for c in p.extra_keys if c not in group]
+    pre = pre.groupBy(*group).agg(*[s for p in split for s in p.states])
     for j in fact.joins:
         # one row per join key has no hot key; beside other keys a join key may still repeat
         pre = many_to_one(pre, tables[j.table], j.left_on, j.right_on, j.how,
@@ -146,9 +137,9 @@ def _preaggregated(fact: Fact, tables: Mapping[str, DataFrame], spec: MartSpec |
     if fact.time_grain is not None and not period_early:
         pre = pre.withColumn(PERIOD, period(fact.time_column, fact.time_grain))
     keys = _key_columns(fact, rows, tables, spec)
-    merges = [m for p in parts for m in p.merges]
+    merges = [m for p in split for m in p.merges]
     merged = pre.groupBy(*keys).agg(*merges) if keys else pre.agg(*merges)
-    return merged.select(*fact_keys(fact), *[p.finish for p in parts])
+    return merged.select(*fact_keys(fact), *[p.finish for p in split])
 
 
 def check_metric_expressions(fact: Fact, rows: DataFrame) -> None:
@@ -164,6 +155,12 @@ def check_metric_expressions(fact: Fact, rows: DataFrame) -> None:
             ) from None
 
 
+def _keys_typed_alike(results: list[DataFrame], keys: list[str]) -> list[DataFrame]:
+    """The first result's key types for all (a key may come from either side of a join)."""
+    types = {k: results[0].schema[k].dataType for k in keys}
+    return results[:1] + [r.withColumns({k: F.col(k).cast(t) for k, t in types.items() if r.schema[k].dataType != t}) for r in results[1:]]
+
+
 def build_fact(fact: Fact, tables: Mapping[str, DataFrame], spec: MartSpec | None = None,
                broadcast_rows: int | None = None, split_hot: bool = True, states: bool = False) -> DataFrame:
     """Keys first, then metrics in order (and with ``states`` the columns that make
@@ -173,9 +170,14 @@ def build_fact(fact: Fact, tables: Mapping[str, DataFrame], spec: MartSpec | Non
     NULL keys form their own group and NULL metric results stay NULL (the checks
     report both; rows are never dropped).  A multi-source fact whose secondary
     side exceeds the broadcast bound is aggregated before its shuffle join.
+    Metrics of a joined table are aggregated at that table's grain (``grains``).
     """
     if spec is not None:
         validate_fact(fact, tables, spec)
+    grains = parts(fact, tables)
+    if len(grains) > 1 or grains[0].fact is not fact:
+        built = [build_fact(p.fact, p.tables, spec, broadcast_rows, split_hot, states) for p in grains]
+        return drill_across(_keys_typed_alike(built, fact_keys(fact)), fact_keys(fact), fact.metrics)
     check_metric_expressions(fact, fact_rows(fact, tables, broadcast_rows=0, split_hot=False))
     if fact.joins and not states:
         pre = _preaggregated(fact, tables, spec, broadcast_rows, split_hot)
@@ -201,12 +203,19 @@ def build_fact_states(fact: Fact, tables: Mapping[str, DataFrame], broadcast_row
     Sums keep their input type (e.g. DECIMAL), averages keep (sum, count) and a
     count-distinct argument stays a key, so any coarser grain is exact.
     """
+    grains = parts(fact, tables)
+    if len(grains) > 1 or grains[0].fact is not fact:
+        built = _keys_typed_alike([build_fact_states(p.fact, p.tables, broadcast_rows) for p in grains], fact_keys(fact))
+        out = built[0]
+        for b in built[1:]:  # a state that a table does not have is NULL, which adds nothing to a merge
+            out = out.unionByName(b, allowMissingColumns=True)
+        return out
     rows = fact_rows(fact, tables, broadcast_rows)
-    parts = [decompose(m, rows.schema) for m in fact.metrics]
+    split = [decompose(m, rows.schema) for m in fact.metrics]
     keys = fact_keys(fact)
-    for p in parts:
+    for p in split:
         keys += [k for k in p.extra_keys if k not in keys]
-    states = [s for p in parts for s in p.states]
+    states = [s for p in split for s in p.states]
     if not states:
         return rows.select(*keys).distinct()
     return rows.groupBy(*keys).agg(*states) if keys else rows.agg(*states)

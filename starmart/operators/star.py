@@ -25,6 +25,7 @@ from starmart.functions.grain import PERIOD, coarser_or_equal, period
 from starmart.functions.metrics import aggregate, decompose, decomposable, merge_for_published
 from starmart.operators.dims import dimension_rows
 from starmart.operators.facts import apply_filters, fact_rows
+from starmart.operators.grains import drill_across, parts as grain_parts
 from starmart.plans.joins import broadcast_bound, fits_broadcast, skew_split_join, unique_on
 from starmart.spec import YEAR_FROM, Dimension, Fact, Intent, MartSpec, fact_reachable_columns, validate_intent
 
@@ -33,18 +34,38 @@ def fact_row_columns(fact: Fact, tables: Mapping[str, DataFrame]) -> list[str]:
     return fact_reachable_columns(fact, tables)
 
 
-def _resolve_attributes(by: Sequence[str], fact: Fact, spec: MartSpec, row_columns: Sequence[str]):
-    """Map each requested attribute to (fact key, dimension) or to the fact itself."""
+def attribute_column(attr: str) -> str:
+    """The column of a requested attribute, which may be qualified: ``dimension.column``
+    or ``fact_key.column``."""
+    return attr.rsplit(".", 1)[-1]
+
+
+def output_names(by: Sequence[str]) -> dict[str, str]:
+    """Result column of each requested attribute: its column, or with the qualifier in
+    front (``dimension_column``) where another one has the same."""
+    columns = [attribute_column(a) for a in dict.fromkeys(by)]
+    return {a: attribute_column(a) if columns.count(attribute_column(a)) == 1 else a.replace(".", "_") for a in by}
+
+
+def resolve_attributes(by: Sequence[str], fact: Fact, spec: MartSpec, row_columns: Sequence[str]):
+    """Map each requested attribute to (fact key, dimension) or to the fact itself.
+
+    A plain name must be reachable in one way only (dimensions of the same source and
+    key give the same values); a name qualified by a dimension or by a fact key says
+    which way is meant.  Returns arms (fact key, dimension, attributes) and the
+    attributes that are columns of the fact's rows."""
     arms: dict[tuple[str, str], list[str]] = {}
     dims: dict[tuple[str, str], Dimension] = {}
     degenerate: list[str] = []
     links = spec.dimensions_of(fact)
     for attr in by:
-        hits = [(key, dim) for key, dim in links if attr in dim.attribute_columns or attr == dim.key_column]
+        column, qualifier = attribute_column(attr), attr.rpartition(".")[0]
+        hits = [(key, dim) for key, dim in links
+                if (column in dim.attribute_columns or column == dim.key_column) and qualifier in ("", dim.name, key)]
         if len({(key, dim.source_table, dim.key_column) for key, dim in hits}) > 1:
-            ways = sorted(f"{dim.name} by {key}" for key, dim in hits)
-            raise IntentError(f"Attribute '{attr}' can be reached in more than one way ({', '.join(ways)}) and "
-                              f"their values may differ. Rename it in one of the dimensions.")
+            ways = sorted(f"{dim.name}.{column} by {key}" for key, dim in hits)
+            raise IntentError(f"Attribute '{attr}' can be reached in more than one way ({', '.join(ways)}) and their values may differ. "
+                              f"Ask for one of them as dimension.{column} or fact_key.{column}.")
         hit = hits[0] if hits else None
         if hit is None:
             if attr in row_columns:
@@ -119,7 +140,7 @@ def star_rollup(
         for k, v in filters.items():
             if k in own:
                 continue
-            if not any(k in d.attribute_columns for _, d in links):
+            if not any(attribute_column(k) in d.attribute_columns and k.rpartition(".")[0] in ("", d.name, key) for key, d in links):
                 raise IntentError(
                     f"filter '{k}' is neither a column of fact '{fact.name}' nor an attribute of its "
                     f"dimensions {sorted(d.name for _, d in links)}.")
@@ -127,9 +148,17 @@ def star_rollup(
         fact = replace(fact, filters={**fact.filters, **own})
     if not fact.metrics:
         raise IntentError(f"star query on '{fact.name}' needs at least one metric.")
+    asked = list(by) + [k for k in dim_filters if k not in by]
+    if fact.joins:
+        arms, degenerate = resolve_attributes(asked, fact, spec, fact_row_columns(fact, tables))
+        needed = list(dict.fromkeys([fk for fk, _, _ in arms] + degenerate))
+        grains = grain_parts(fact, tables, needed)
+        if len(grains) > 1 or grains[0].fact is not fact:
+            # every metric at the grain of its own table, then the answers by their keys
+            answers = [star_rollup(p.fact, p.tables, spec, by, filters=dim_filters, broadcast_rows=broadcast_rows) for p in grains]
+            return drill_across(answers, ([PERIOD] if fact.time_grain is not None else []) + list(output_names(by).values()), fact.metrics)
     rows = fact_rows(fact, tables, broadcast_rows)
-    arms, degenerate = _resolve_attributes(list(by) + [k for k in dim_filters if k not in by], fact, spec,
-                                           rows.columns)
+    arms, degenerate = resolve_attributes(asked, fact, spec, rows.columns)
     arms = _merge_arms(arms)
     periods = [PERIOD] if fact.time_grain is not None else []
     bound = broadcast_bound(rows.sparkSession, broadcast_rows)
@@ -138,27 +167,29 @@ def star_rollup(
     sides = []
     for i, (fk, dim, attrs) in enumerate(arms):
         key_alias = f"__k{i}"
-        # Attributes named like a column of the fact rows get an internal alias.
-        names = {a: (a if a not in rows.columns else f"__a{i}_{a}") for a in attrs}
-        cols = [dim.key_column] + [a for a in dict.fromkeys(attrs) if a != dim.key_column]
+        # Attributes named like a column of the fact rows or of another side get an internal alias.
+        taken = {*rows.columns, *(n for s in sides for n in s[4].values())}
+        names = {a: (f"__a{i}_{attribute_column(a)}" if attribute_column(a) in taken else attribute_column(a)) for a in attrs}
+        cols = [dim.key_column] + [c for c in dict.fromkeys(map(attribute_column, attrs)) if c != dim.key_column]
         side = dimension_rows(dim, tables, cols, broadcast_rows)
-        here = {a: v for a, v in dim_filters.items() if a in attrs}
+        here = {attribute_column(a): v for a, v in dim_filters.items() if a in attrs}
         side = apply_filters(side, here, None)
         # Bounded by the dimension's source table (its rows bound the dimension's).
         small = fits_broadcast(side, bound, upper_bound_of=tables[dim.source_table])
         side = unique_on(side, [dim.key_column], f"dimension '{dim.name}'")
         side = side.select(F.col(dim.key_column).alias(key_alias),
-                           *[F.col(a).alias(names[a]) for a in cols if a != dim.key_column])
-        if dim.key_column in attrs:
-            names[dim.key_column] = key_alias
+                           *[F.col(c).alias(next(n for a, n in names.items() if attribute_column(a) == c)) for c in cols if c != dim.key_column])
+        names.update({a: key_alias for a in attrs if attribute_column(a) == dim.key_column})
         sides.append((fk, key_alias, side, small, names, "inner" if here else "left"))
 
-    out_keys = periods + list(by)
+    labels = output_names(by)
+    out_keys = periods + [labels[a] for a in by]
+    asked_keys = periods + list(by)
 
     def out_col(attr):
         for _, _, _, _, names, _ in sides:
             if attr in names:
-                return F.col(names[attr]).alias(attr)
+                return F.col(names[attr]).alias(labels[attr])
         return F.col(attr)
 
     all_small = all(s[3] for s in sides)
@@ -171,12 +202,12 @@ def star_rollup(
         pre = rows.groupBy(*pre_keys).agg(*states)
         # one row per key has no hot key; with a period, other keys or a distinct argument one may repeat
         joined = _join_sides(pre, sides, split_hot=len(pre_keys) > 1)
-        merged = joined.groupBy(*[out_col(a) for a in out_keys]).agg(
+        merged = joined.groupBy(*[out_col(a) for a in asked_keys]).agg(
             *[m for p in parts for m in p.merges] or [F.count(F.lit(1)).alias("__rows")])
         return merged.select(*out_keys, *[p.finish for p in parts])
 
     joined = _join_sides(rows, sides, split_hot=True)
-    return joined.groupBy(*[out_col(a) for a in out_keys]).agg(
+    return joined.groupBy(*[out_col(a) for a in asked_keys]).agg(
         *[aggregate(m, rows.schema) for m in fact.metrics])
 
 
@@ -209,7 +240,7 @@ def rollup_states(
     parts = [decompose(m, schema) for m in fact.metrics]
     group = list(keys)
     if grain is not None:
-        _check_grain(fact, grain)
+        check_grain(fact, grain)
         states = states.withColumn(PERIOD, period(PERIOD, grain))
         group = [PERIOD] + group
     merges = [m for p in parts for m in p.merges]
@@ -228,7 +259,7 @@ def rollup_fact(fact_df: DataFrame, fact: Fact, keys: Sequence[str], grain: str
     merges = [merge_for_published(m, rows) for m in fact.metrics]
     group = list(keys)
     if grain is not None:
-        _check_grain(fact, grain)
+        check_grain(fact, grain)
         fact_df = fact_df.withColumn(PERIOD, period(PERIOD, grain))
         group = [PERIOD] + group
     missing = [k for k in keys if k not in fact_df.columns]
@@ -237,7 +268,8 @@ def rollup_fact(fact_df: DataFrame, fact: Fact, keys: Sequence[str], grain: str
     return fact_df.groupBy(*group).agg(*merges) if group else fact_df.agg(*merges)
 
 
-def _check_grain(fact: Fact, grain: str) -> None:
+def check_grain(fact: Fact, grain: str) -> None:
+    """A published period can be summed to ``grain`` only if each one lies inside one of its periods."""
     if fact.time_grain is None:
         raise SpecError(f"Fact '{fact.name}' has no period to roll up.")
     if not coarser_or_equal(fact.time_grain, grain):
@@ -265,19 +297,27 @@ def answer(intent: Intent, spec: MartSpec, tables: Mapping[str, DataFrame], fact
     """Answer "metrics by dimension attributes per period" for an intent.
 
     The fact is the one named, or the single fact holding every required metric.
+    Metrics that no single fact holds are asked of the one fact that has each, and the
+    answers meet by the attributes (which those facts must share) and the period.
     """
     validate_intent(intent)
+
+    def of(fact: Fact, metrics: Sequence[str]) -> DataFrame:
+        return star_rollup(fact, tables, spec, intent.required_dimensions, grain=intent.time_granularity,
+                           filters=intent.filters, metrics=metrics, broadcast_rows=broadcast_rows)
+
     if fact_name is not None:
-        fact = spec.fact(fact_name)
-    else:
-        hits = [f for f in spec.facts
-                if all(any(m.name == r for m in f.metrics) for r in intent.required_metrics)]
-        if len(hits) != 1:
-            raise IntentError(
-                f"metrics {list(intent.required_metrics)} must all belong to exactly one fact; "
-                f"found {[f.name for f in hits]}."
-            )
-        fact = hits[0]
-    return star_rollup(fact, tables, spec, intent.required_dimensions, grain=intent.time_granularity,
-                       filters=intent.filters, metrics=intent.required_metrics,
-                       broadcast_rows=broadcast_rows)
+        return of(spec.fact(fact_name), intent.required_metrics)
+    holding = {r: [f for f in spec.facts if any(m.name == r for m in f.metrics)] for r in intent.required_metrics}
+    all_ = [f for f in spec.facts if all(f in fs for fs in holding.values())]
+    if len(all_) == 1:
+        return of(all_[0], intent.required_metrics)
+    unclear = {r: [f.name for f in fs] for r, fs in holding.items() if len(fs) != 1}
+    if unclear:
+        raise IntentError(f"metrics must belong to exactly one fact, or the fact be named; found {unclear}.")
+    by_fact: dict[str, list[str]] = {}
+    for r, (f,) in holding.items():
+        by_fact.setdefault(f.name, []).append(r)
+    answers = [of(spec.fact(name), metrics) for name, metrics in by_fact.items()]
+    metrics = [holding[r][0].metric(r) for r in intent.required_metrics]
+    return drill_across(answers, [PERIOD, *output_names(intent.required_dimensions).values()], metrics)

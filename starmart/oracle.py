@@ -340,3 +340,45 @@ SELECT l.l_orderkey, l.l_linenumber, l.l_partkey FROM lineitem l
 JOIN (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL GROUP BY l_orderkey, l_linenumber HAVING COUNT(*) > 1) d
 ON l.l_orderkey = d.l_orderkey AND l.l_linenumber = d.l_linenumber
 """
+
+_TWO_GRAINS_LINES = """SELECT o.o_custkey, CAST(date_trunc('year', o.o_orderdate) AS DATE) AS period,
+         CAST(SUM(CAST(l.l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity, COUNT(*) AS line_count
+  FROM lineitem l LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey GROUP BY 1, 2"""
+ORACLE_SQL["fact_two_grains"] = ORACLE_SQL["fact_two_grains_large_side"] = f"""
+WITH a AS ({_TWO_GRAINS_LINES}),
+b AS (SELECT o_custkey, CAST(date_trunc('year', o_orderdate) AS DATE) AS period, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total_revenue,
+             COUNT(o_orderkey) AS order_count, CAST(SUM(CAST(o_custkey AS DECIMAL(38,0))) AS DOUBLE) / COUNT(o_custkey) AS avg_customer, MIN(o_totalprice) AS cheapest_order
+      FROM orders GROUP BY 1, 2)
+SELECT COALESCE(a.period, b.period) AS period, COALESCE(a.o_custkey, b.o_custkey) AS o_custkey, a.quantity, COALESCE(a.line_count, 0) AS line_count,
+       b.total_revenue, COALESCE(b.order_count, 0) AS order_count, b.avg_customer, b.cheapest_order
+FROM a FULL OUTER JOIN b ON a.period IS NOT DISTINCT FROM b.period AND a.o_custkey IS NOT DISTINCT FROM b.o_custkey
+"""
+
+ORACLE_SQL["fact_order_lines"] = """
+WITH a AS (SELECT l_orderkey, CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity, COUNT(*) AS line_count FROM lineitem GROUP BY 1),
+b AS (SELECT o_orderkey, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total_revenue, COUNT(o_orderkey) AS order_count FROM orders GROUP BY 1)
+SELECT COALESCE(l_orderkey, o_orderkey) AS l_orderkey, quantity, COALESCE(line_count, 0) AS line_count, total_revenue, COALESCE(order_count, 0) AS order_count
+FROM a FULL OUTER JOIN b ON l_orderkey = o_orderkey
+"""
+
+ORACLE_SQL["star_two_grains"] = """
+WITH geo AS (SELECT c_custkey, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey),
+o AS (SELECT * FROM orders LEFT JOIN geo ON o_custkey = c_custkey WHERE o_orderstatus = 'F'),
+a AS (SELECT CAST(date_trunc('year', o_orderdate) AS DATE) AS period, r_name, CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity, COUNT(*) AS line_count
+      FROM lineitem JOIN o ON l_orderkey = o_orderkey GROUP BY 1, 2),
+b AS (SELECT CAST(date_trunc('year', o_orderdate) AS DATE) AS period, r_name, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total_revenue, COUNT(o_orderkey) AS order_count
+      FROM o GROUP BY 1, 2)
+SELECT COALESCE(a.period, b.period) AS period, COALESCE(a.r_name, b.r_name) AS r_name, quantity, COALESCE(line_count, 0) AS line_count, total_revenue, COALESCE(order_count, 0) AS order_count
+FROM a FULL OUTER JOIN b ON a.period IS NOT DISTINCT FROM b.period AND a.r_name IS NOT DISTINCT FROM b.r_name
+"""
+
+ORACLE_SQL["intent_across_facts"] = """
+WITH c AS (SELECT c_custkey, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE'),
+o AS (SELECT * FROM orders JOIN c ON o_custkey = c_custkey),
+a AS (SELECT CAST(date_trunc('quarter', o_orderdate) AS DATE) AS period, c_mktsegment, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total_revenue, COUNT(o_orderkey) AS order_count
+      FROM o GROUP BY 1, 2),
+b AS (SELECT CAST(date_trunc('quarter', o_orderdate) AS DATE) AS period, c_mktsegment, CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity
+      FROM lineitem JOIN o ON l_orderkey = o_orderkey GROUP BY 1, 2)
+SELECT COALESCE(a.period, b.period) AS period, COALESCE(a.c_mktsegment, b.c_mktsegment) AS c_mktsegment, total_revenue, quantity, COALESCE(order_count, 0) AS order_count
+FROM a FULL OUTER JOIN b ON a.period IS NOT DISTINCT FROM b.period AND a.c_mktsegment IS NOT DISTINCT FROM b.c_mktsegment
+"""

@@ -257,6 +257,56 @@ def fact_multi_source_large_side(spark, sf_dir):
     return build_fact(FACT_MULTI_SOURCE, _tables(spark, sf_dir), broadcast_rows=0)
 
 
+FACT_TWO_GRAINS = Fact(
+    "fact_two_grains", ("lineitem", "orders"),
+    (
+        Metric("quantity", "sum", "l_quantity", expression="SUM(CAST(l_quantity AS DECIMAL(18,2)))", additive=True),
+        Metric("line_count", "count"),
+        M.REVENUE, M.ORDER_COUNT, Metric("avg_customer", "avg", "o_custkey"),
+        Metric("cheapest_order", "min", "o_totalprice"),
+    ),
+    ("o_custkey",), joins=(Join("orders", "l_orderkey", "o_orderkey"),), key_map={"o_custkey": ("dim_customer", "dim_customer_geo")},
+    time_column="o_orderdate", time_grain="yearly",
+)
+
+
+@query("fact_two_grains")
+def fact_two_grains(spark, sf_dir):
+    """J1 with metrics of two grains: quantities per line item, revenue per order; an
+    order counts once however many lines it has."""
+    return build_fact(FACT_TWO_GRAINS, _tables(spark, sf_dir))
+
+
+@query("fact_two_grains_large_side")
+def fact_two_grains_large_side(spark, sf_dir):
+    return build_fact(FACT_TWO_GRAINS, _tables(spark, sf_dir), broadcast_rows=0)
+
+
+@query("fact_order_lines")
+def fact_order_lines(spark, sf_dir):
+    """Per order, keyed on the line items' side of the join: the order's own price beside its lines."""
+    fact = replace(FACT_TWO_GRAINS, dimension_keys=("l_orderkey",), key_map={}, time_grain=None, time_column=None)
+    return build_fact(fact, _tables(spark, sf_dir)).drop("avg_customer", "cheapest_order")
+
+
+@query("star_two_grains")
+def star_two_grains(spark, sf_dir):
+    """The same metrics by region of the customer and year, finished orders only."""
+    spec = replace(M.SALES_MART, facts=(FACT_TWO_GRAINS,))
+    return star_rollup(FACT_TWO_GRAINS, _tables(spark, sf_dir), spec, ["r_name"], filters={"o_orderstatus": "F"},
+                       metrics=["quantity", "line_count", "total_revenue", "order_count"])
+
+
+@query("intent_across_facts")
+def intent_across_facts(spark, sf_dir):
+    """An intent whose metrics no single fact holds: orders and line items drilled
+    across by market segment and quarter."""
+    lines = replace(FACT_TWO_GRAINS, name="fact_lines", metrics=FACT_TWO_GRAINS.metrics[:2])
+    spec = replace(M.SALES_MART, facts=(M.FACT_ORDERS, lines))
+    intent = Intent(("total_revenue", "quantity", "order_count"), ("c_mktsegment",), {"r_name": "EUROPE"}, "quarterly")
+    return answer(intent, spec, _tables(spark, sf_dir))
+
+
 # -- Q: filters, T: grains --------------------------------------------------------
 
 ORDER_COUNT_ALL = Metric("order_count", "count")
@@ -563,7 +613,7 @@ def rollup_published_avg(spark, sf_dir):
     t["orders"] = t["orders"].withColumn("price", F.col("o_totalprice").cast("decimal(12,2)"))
     fact = replace(M.FACT_ORDERS, metrics=(Metric("avg_price", "avg", "price"), Metric("avg_customer", "avg", "o_custkey")),
                    time_column="o_orderdate", time_grain="monthly")
-    spec = replace(M.SALES_MART, facts=(fact,))
+    spec = replace(M.SALES_MART, facts=(fact,), dimensions=(M.DIM_CUSTOMER, M.DIM_CUSTOMER_GEO))
     db = f"starmart_avg_{uuid.uuid4().hex[:8]}"
     publish_to_catalog(spec, t, db, scratch_path(spark, "avg") + "/" + db, buckets=8)
     return rollup_published(spark, spec, db, fact.name, ["r_name"], grain="yearly", tables=t)

@@ -19,12 +19,13 @@ from typing import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starmart.errors import CheckFailedError, IntentError, SpecError
+from starmart.errors import CheckFailedError, IntentError
 from starmart.functions.grain import PERIOD, period
 from starmart.functions.metrics import merge_published
 from starmart.operators.checks import check_report, failures
 from starmart.operators.dims import build_dimension
 from starmart.operators.facts import apply_filters, build_fact, fact_keys, fact_rows
+from starmart.operators.star import attribute_column, check_grain, output_names, resolve_attributes
 from starmart.plans.joins import broadcast_bound, fits_broadcast, unique_on
 from starmart.spec import YEAR_FROM, Intent, MartSpec, validate_intent, validate_spec
 
@@ -33,6 +34,15 @@ def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+# View property: the key column whose uniqueness the checks of this run have proven.
+UNIQUE = "starmart.unique"
+
+
+def _proven_unique(spark: SparkSession, view: str, key: str) -> bool:
+    row = spark.sql(f"SHOW TBLPROPERTIES {view} ('{UNIQUE}')").first()
+    return row is not None and row["value"] == key
+
+
 def ensure_database(spark: SparkSession, database: str, location: str) -> None:
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {_q(database)} LOCATION '{location}'")
 
@@ -90,7 +100,9 @@ def publish_to_catalog(spec: MartSpec, tables: Mapping[str, DataFrame], database
     views = {}
     for logical, physical in written.items():
         view = f"{_q(database)}.{_q(logical)}"
-        spark.sql(f"CREATE OR REPLACE VIEW {view} AS SELECT * FROM {physical}")
+        key = next((d.key_column for d in spec.dimensions if d.name == logical), None)
+        proven = f" TBLPROPERTIES ('{UNIQUE}' = '{key}')" if check and key is not None else ""
+        spark.sql(f"CREATE OR REPLACE VIEW {view}{proven} AS SELECT * FROM {physical}")
         views[view] = physical
     return views
 
@@ -130,32 +142,25 @@ def rollup_published(spark: SparkSession, spec: MartSpec, database: str, fact_na
     dim_filters = {k: v for k, v in filters.items() if k not in fact_filters}
     group = []
     if grain is not None:
-        if PERIOD not in fdf.columns:
-            raise SpecError(f"Fact '{fact.name}' has no period to roll up.")
+        check_grain(fact, grain)
         fdf = fdf.withColumn(PERIOD, period(PERIOD, grain))
         group.append(F.col(PERIOD))
     # One side per published dimension: each joins bucket to bucket (merging
     # dimensions here would replace the bucketed key by a derived one).
-    sides: dict[str, tuple[str, object, list[str]]] = {}
-    for attr in list(by) + [k for k in dim_filters if k not in by]:
-        hit = next(((k, d) for k, d in links if attr in d.attribute_columns), None)
-        if hit is None:
-            if attr in keys:
-                continue
-            raise SpecError(f"'{attr}' is neither a key of '{fact.name}' nor an attribute of its dimensions.")
-        fk, dim = hit
-        sides.setdefault(dim.name, (fk, dim, []))[2].append(attr)
-    for i, (dname, (fk, dim, attrs)) in enumerate(sides.items()):
-        key_alias = f"__k{i}"
-        frame = spark.table(f"{_q(database)}.{_q(dname)}").select(dim.key_column, *dict.fromkeys(attrs))
-        here = {a: v for a, v in dim_filters.items() if a in attrs}
-        frame = apply_filters(frame, here, None)
+    arms, _ = resolve_attributes(list(by) + [k for k in dim_filters if k not in by], fact, spec, keys)
+    labels, column = output_names(by), {}
+    for i, (fk, dim, attrs) in enumerate(arms):
+        view = f"{_q(database)}.{_q(dim.name)}"
+        here = {attribute_column(a): v for a, v in dim_filters.items() if a in attrs}
+        frame = apply_filters(spark.table(view), here, None)
+        column.update({a: f"__a{i}_{attribute_column(a)}" for a in attrs})
+        frame = frame.select(F.col(dim.key_column).alias(f"__k{i}"), *[F.col(c).alias(f"__a{i}_{c}") for c in dict.fromkeys(map(attribute_column, attrs))])
         small = fits_broadcast(frame, bound)
-        frame = unique_on(frame, [dim.key_column], f"dimension '{dname}'")
-        frame = frame.withColumnRenamed(dim.key_column, key_alias)
+        if not _proven_unique(spark, view, dim.key_column):
+            frame = unique_on(frame, [f"__k{i}"], f"dimension '{dim.name}'")
         frame = F.broadcast(frame) if small else frame
-        fdf = fdf.join(frame, fdf[fk] == frame[key_alias], "inner" if here else "left")
-    group += [F.col(a) for a in by]
+        fdf = fdf.join(frame, fdf[fk] == frame[f"__k{i}"], "inner" if here else "left")
+    group += [F.col(column.get(a, a)).alias(labels[a]) for a in by]
     return fdf.groupBy(*group).agg(*merges)
 
 

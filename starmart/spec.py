@@ -53,6 +53,8 @@ class Metric:
     # count_distinct only: estimate with a mergeable HLL sketch of 2**lg_config_k buckets
     approximate: bool = False
     lg_config_k: int = 12
+    # the source table at whose grain the metric is aggregated, if its columns do not tell
+    table: str | None = None
 
     def __post_init__(self):
         if self.approximate and (self.aggregation != "count_distinct" or self.expression is not None):

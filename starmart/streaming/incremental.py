@@ -26,8 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from starmart.errors import SpecError
 from starmart.functions.metrics import merge_published
 from starmart.operators.facts import build_fact, fact_keys, fact_rows
+from starmart.operators.grains import home_of
 from starmart.sinks.publish import write_table
 from starmart.spec import Fact, MartSpec
 
@@ -42,7 +44,14 @@ def merge_fact(current: DataFrame, delta: DataFrame, fact: Fact, rows: DataFrame
 
 
 def _delta(fact: Fact, tables: Mapping[str, DataFrame], spec: MartSpec | None, current: DataFrame) -> DataFrame:
-    """The fact of the new rows, with state columns if the current fact has them."""
+    """The fact of the new rows, with state columns if the current fact has them.
+
+    New rows are those of the primary table; a metric of another table would be
+    counted again from all of that table's rows, so it is refused."""
+    away = [m.name for m in fact.metrics if home_of(m, fact, tables) != fact.primary_table]
+    if away:
+        raise SpecError(f"Fact '{fact.name}' cannot be refreshed from new rows of '{fact.primary_table}': metrics {away} are of joined tables. "
+                        f"Keep them in a fact of their own.")
     plain = set(fact_keys(fact)) | {m.name for m in fact.metrics}
     return build_fact(fact, tables, spec, states=not set(current.columns) <= plain)
 
@@ -239,11 +248,11 @@ def start_fact_stream(
         tables = {**others, source_table: batch}
         out = version_path(mart_root, epoch_id)
         prev = version_path(mart_root, epoch_id - 1) if epoch_id > 0 else base_path
-        delta = build_fact(fact, tables, spec)
         if prev is None:
-            merged = delta
+            merged = build_fact(fact, tables, spec, states=True)
         else:
-            merged = merge_fact(batch.sparkSession.read.parquet(prev), delta, fact, fact_rows(fact, tables, split_hot=False))
+            current = batch.sparkSession.read.parquet(prev)
+            merged = merge_fact(current, _delta(fact, tables, spec, current), fact, fact_rows(fact, tables, split_hot=False))
         write_table(merged, out, mode="overwrite")
         log_version(batch.sparkSession, mart_root, epoch_id)
         if on_version is not None:
