@@ -85,7 +85,7 @@ def fact_keys(fact: Fact) -> list[str]:
     return ([PERIOD] if fact.time_grain is not None else []) + list(fact.dimension_keys)
 
 
-def _key_columns(fact: Fact, rows: DataFrame, tables: Mapping[str, DataFrame], spec: MartSpec | None):
+def key_columns(fact: Fact, rows: DataFrame, tables: Mapping[str, DataFrame], spec: MartSpec | None):
     """Key columns, each cast to the type of the dimension key it references."""
     key_type: dict[str, T.DataType] = {}
     if spec is not None:
@@ -136,7 +136,7 @@ def _preaggregated(fact: Fact, tables: Mapping[str, DataFrame], spec: MartSpec |
     pre = apply_filters(pre, late, fact.time_column)
     if fact.time_grain is not None and not period_early:
         pre = pre.withColumn(PERIOD, period(fact.time_column, fact.time_grain))
-    keys = _key_columns(fact, rows, tables, spec)
+    keys = key_columns(fact, rows, tables, spec)
     merges = [m for p in split for m in p.merges]
     merged = pre.groupBy(*keys).agg(*merges) if keys else pre.agg(*merges)
     return merged.select(*fact_keys(fact), *[p.finish for p in split])
@@ -184,7 +184,7 @@ def build_fact(fact: Fact, tables: Mapping[str, DataFrame], spec: MartSpec | Non
         if pre is not None:
             return pre
     rows = fact_rows(fact, tables, broadcast_rows, split_hot=split_hot)
-    keys = _key_columns(fact, rows, tables, spec)
+    keys = key_columns(fact, rows, tables, spec)
     metrics = [aggregate(m, rows.schema) for m in fact.metrics]
     if states:
         metrics += [c for m in fact.metrics for c in published_states(m, rows.schema)]

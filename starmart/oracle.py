@@ -382,3 +382,19 @@ b AS (SELECT CAST(date_trunc('quarter', o_orderdate) AS DATE) AS period, c_mktse
 SELECT COALESCE(a.period, b.period) AS period, COALESCE(a.c_mktsegment, b.c_mktsegment) AS c_mktsegment, total_revenue, quantity, COALESCE(order_count, 0) AS order_count
 FROM a FULL OUTER JOIN b ON a.period IS NOT DISTINCT FROM b.period AND a.c_mktsegment IS NOT DISTINCT FROM b.c_mktsegment
 """
+
+_GEO = "SELECT c_custkey, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey"
+ORACLE_SQL["rollup_published_distinct"] = f"""
+WITH geo AS ({_GEO}),
+a AS (SELECT CAST(date_trunc('year', o_orderdate) AS DATE) AS period, r_name, COUNT(DISTINCT l_partkey) AS distinct_parts, COUNT(*) AS line_count
+      FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN geo ON o_custkey = c_custkey GROUP BY 1, 2),
+b AS (SELECT CAST(date_trunc('year', o_orderdate) AS DATE) AS period, r_name, COUNT(DISTINCT o_orderpriority) AS distinct_priorities, COUNT(DISTINCT o_orderkey) AS distinct_orders
+      FROM orders LEFT JOIN geo ON o_custkey = c_custkey GROUP BY 1, 2)
+SELECT COALESCE(a.period, b.period) AS period, COALESCE(a.r_name, b.r_name) AS r_name, COALESCE(distinct_parts, 0) AS distinct_parts, COALESCE(line_count, 0) AS line_count,
+       COALESCE(distinct_priorities, 0) AS distinct_priorities, COALESCE(distinct_orders, 0) AS distinct_orders
+FROM a FULL OUTER JOIN b ON a.period IS NOT DISTINCT FROM b.period AND a.r_name IS NOT DISTINCT FROM b.r_name
+"""
+
+ORACLE_SQL["fact_incremental_distinct"] = """
+SELECT event_type, COUNT(DISTINCT user_id) AS distinct_users, COUNT(DISTINCT props) AS distinct_props, COUNT(*) AS event_count FROM events GROUP BY event_type
+"""

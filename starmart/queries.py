@@ -24,7 +24,7 @@ from starmart.sinks.catalog import answer_published, publish_to_catalog, rollup_
 from starmart.sinks.publish import publish_mart, write_table
 from starmart.sources.tables import list_tables, load_tables, register_external_tables
 from starmart.spec import Fact, Intent, Join, MartSpec, Metric
-from starmart.streaming.incremental import merge_fact, refresh_fact, refresh_partitioned_fact
+from starmart.streaming.incremental import merge_fact, refresh_fact, refresh_partitioned_fact, write_fact
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -619,6 +619,43 @@ def rollup_published_avg(spark, sf_dir):
     return rollup_published(spark, spec, db, fact.name, ["r_name"], grain="yearly", tables=t)
 
 
+FACT_DISTINCT = Fact(
+    "fact_distinct", ("lineitem", "orders"),
+    (Metric("distinct_parts", "count_distinct", "l_partkey"), Metric("line_count", "count"),
+     Metric("distinct_priorities", "count_distinct", "o_orderpriority"), Metric("distinct_orders", "count_distinct", "o_orderkey")),
+    ("o_custkey",), joins=(Join("orders", "l_orderkey", "o_orderkey"),), key_map={"o_custkey": "dim_customer_geo"},
+    time_column="o_orderdate", time_grain="monthly",
+)
+
+
+@query("rollup_published_distinct")
+def rollup_published_distinct(spark, sf_dir):
+    """Exact distinct parts, priorities and orders per region and year, from the sets
+    published beside a monthly fact."""
+    t = _tables(spark, sf_dir)
+    spec = MartSpec("distinct", (FACT_DISTINCT,), (M.DIM_CUSTOMER_GEO,))
+    db = f"starmart_distinct_{uuid.uuid4().hex[:8]}"
+    publish_to_catalog(spec, t, db, scratch_path(spark, "distinct") + "/" + db, buckets=8)
+    return rollup_published(spark, spec, db, FACT_DISTINCT.name, ["r_name"], grain="yearly", tables=t)
+
+
+FACT_EVENTS_DISTINCT = Fact(
+    "fact_events_distinct", ("events",),
+    (Metric("distinct_users", "count_distinct", "user_id"), Metric("distinct_props", "count_distinct", "props"), Metric("event_count", "count")), ("event_type",),
+)
+
+
+@query("fact_incremental_distinct")
+def fact_incremental_distinct(spark, sf_dir):
+    """Exact distinct counts kept up to date over two refreshes: users are numbers, the
+    texts of props get ids that grow with them."""
+    events = _tables(spark, sf_dir)["events"]
+    root, third = scratch_path(spark, "fact_events_distinct"), F.col("event_id") % 3
+    write_fact(FACT_EVENTS_DISTINCT, {"events": events.where(third == 0)}, f"{root}/a")
+    refresh_fact(FACT_EVENTS_DISTINCT, f"{root}/a", {"events": events.where(third == 1)}, f"{root}/b")
+    return refresh_fact(FACT_EVENTS_DISTINCT, f"{root}/b", {"events": events.where(third == 2)}, f"{root}/c")
+
+
 @query("fact_incremental_null_period")
 def fact_incremental_null_period(spark, sf_dir):
     """The same refresh where every seventh event has no time: rows without a

@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 from starmart.errors import CheckFailedError, IntentError
 from starmart.functions.grain import PERIOD, period
 from starmart.functions.metrics import merge_published
+from starmart.operators import distinct
 from starmart.operators.checks import check_report, failures
 from starmart.operators.dims import build_dimension
 from starmart.operators.facts import apply_filters, build_fact, fact_keys, fact_rows
+from starmart.operators.grains import drill_across
 from starmart.operators.star import attribute_column, check_grain, output_names, resolve_attributes
 from starmart.plans.joins import broadcast_bound, fits_broadcast, unique_on
 from starmart.spec import YEAR_FROM, Intent, MartSpec, validate_intent, validate_spec
@@ -62,6 +64,11 @@ def _write_bucketed(df: DataFrame, table: str, key: str | None, buckets: int, sp
        .bucketBy(buckets, key).sortBy(key).saveAsTable(table))
 
 
+def sets_name(fact: str, metric: str) -> str:
+    """The published table of the sets behind an exact distinct count."""
+    return f"{fact}__{metric}__sets"
+
+
 def publish_to_catalog(spec: MartSpec, tables: Mapping[str, DataFrame], database: str, location: str,
                        buckets: int = 64, run_id: str | None = None, check: bool = True,
                        analyze: bool = True) -> dict[str, str]:
@@ -86,11 +93,17 @@ def publish_to_catalog(spec: MartSpec, tables: Mapping[str, DataFrame], database
         name = f"{_q(database)}.{_q(f.name + '__' + run_id)}"
         _write_bucketed(build_fact(f, tables, spec, states=True), name, key, buckets, spread=8)
         written[f.name] = name
+        for m in distinct.set_metrics(f):
+            sets, _ = distinct.metric_sets(f, m, tables, spec)
+            logical = sets_name(f.name, m.name)
+            written[logical] = f"{_q(database)}.{_q(logical + '__' + run_id)}"
+            _write_bucketed(sets, written[logical], key, buckets, spread=8)
     if analyze:
         for physical in written.values():
             spark.sql(f"ANALYZE TABLE {physical} COMPUTE STATISTICS")
     if check:
-        report = check_report(spec, tables, built={k: spark.table(v) for k, v in written.items()})
+        named = {d.name for d in spec.dimensions} | {f.name for f in spec.facts}
+        report = check_report(spec, tables, built={k: spark.table(v) for k, v in written.items() if k in named})
         checks_table = f"{_q(database)}.{_q('checks__' + run_id)}"
         report.coalesce(1).write.format("parquet").saveAsTable(checks_table)  # the run's evidence
         bad = failures(spark.table(checks_table))
@@ -115,8 +128,8 @@ def rollup_published(spark: SparkSession, spec: MartSpec, database: str, fact_na
 
     sum/count/min/max are re-aggregated from their values, averages and
     approximate distinct counts from the state columns published beside them
-    (this needs ``tables``); exact distinct counts raise
-    ``NonAdditiveMetricError``.  Dimensions that
+    (this needs ``tables``), exact distinct counts of a column from the sets
+    published beside the fact (``distinct``).  Dimensions that
     pass the size check are broadcast; larger ones join the fact bucket to
     bucket (no shuffle) when both were published with the same bucket count.
     Each published dimension joins on its own (bucket to bucket).  ``filters``
@@ -126,29 +139,23 @@ def rollup_published(spark: SparkSession, spec: MartSpec, database: str, fact_na
     """
     fact = spec.fact(fact_name)
     rows = fact_rows(fact, tables, split_hot=False) if tables is not None else None
-    fdf = spark.table(f"{_q(database)}.{_q(fact.name)}")
-    merges = [merge_published(m, rows, fdf.columns)[0] for m in fact.metrics]
     links = spec.dimensions_of(fact)
     bound = broadcast_bound(spark, broadcast_rows)
     keys = fact_keys(fact)
     filters = dict(filters or {})
     fact_filters = {k: v for k, v in filters.items() if k in keys}
     if YEAR_FROM in filters:
-        if PERIOD not in fdf.columns or fact.time_grain == "weekly":
+        if PERIOD not in keys or fact.time_grain == "weekly":
             raise IntentError(f"'{YEAR_FROM}' needs a published period that starts every year "
                               f"(fact '{fact.name}' grain: {fact.time_grain}).")
         fact_filters[YEAR_FROM] = filters[YEAR_FROM]
-    fdf = apply_filters(fdf, fact_filters, PERIOD if YEAR_FROM in fact_filters else None)
     dim_filters = {k: v for k, v in filters.items() if k not in fact_filters}
-    group = []
     if grain is not None:
         check_grain(fact, grain)
-        fdf = fdf.withColumn(PERIOD, period(PERIOD, grain))
-        group.append(F.col(PERIOD))
     # One side per published dimension: each joins bucket to bucket (merging
     # dimensions here would replace the bucketed key by a derived one).
     arms, _ = resolve_attributes(list(by) + [k for k in dim_filters if k not in by], fact, spec, keys)
-    labels, column = output_names(by), {}
+    labels, column, sides = output_names(by), {}, []
     for i, (fk, dim, attrs) in enumerate(arms):
         view = f"{_q(database)}.{_q(dim.name)}"
         here = {attribute_column(a): v for a, v in dim_filters.items() if a in attrs}
@@ -158,10 +165,29 @@ def rollup_published(spark: SparkSession, spec: MartSpec, database: str, fact_na
         small = fits_broadcast(frame, bound)
         if not _proven_unique(spark, view, dim.key_column):
             frame = unique_on(frame, [f"__k{i}"], f"dimension '{dim.name}'")
-        frame = F.broadcast(frame) if small else frame
-        fdf = fdf.join(frame, fdf[fk] == frame[f"__k{i}"], "inner" if here else "left")
-    group += [F.col(column.get(a, a)).alias(labels[a]) for a in by]
-    return fdf.groupBy(*group).agg(*merges)
+        sides.append((fk, f"__k{i}", F.broadcast(frame) if small else frame, "inner" if here else "left"))
+
+    def placed(name: str) -> DataFrame:
+        """A published table of the fact's keys, with the result's keys in their place."""
+        df = spark.table(f"{_q(database)}.{_q(name)}")
+        others = [c for c in df.columns if c not in keys]
+        df = apply_filters(df, fact_filters, PERIOD if YEAR_FROM in fact_filters else None)
+        if grain is not None:
+            df = df.withColumn(PERIOD, period(PERIOD, grain))
+        for fk, key_alias, frame, how in sides:
+            df = df.join(frame, df[fk] == frame[key_alias], how)
+        return df.select(*([PERIOD] if grain is not None else []), *[F.col(column.get(a, a)).alias(labels[a]) for a in by], *others)
+
+    group = ([PERIOD] if grain is not None else []) + [labels[a] for a in by]
+    kept = [m for m in distinct.set_metrics(fact) if spark.catalog.tableExists(f"{_q(database)}.{_q(sets_name(fact.name, m.name))}")]
+    plain = [m for m in fact.metrics if m not in kept]
+    answers = []
+    if plain:
+        main = placed(fact.name)
+        answers.append(main.groupBy(*group).agg(*[merge_published(m, rows, main.columns)[0] for m in plain]))
+    for m in kept:
+        answers.append(distinct.count_sets(distinct.merge_sets(placed(sets_name(fact.name, m.name)), group), group, m.name))
+    return answers[0] if len(answers) == 1 else drill_across(answers, group, fact.metrics)
 
 
 def answer_published(spark: SparkSession, intent: Intent, spec: MartSpec, database: str, fact_name: str,

@@ -6,8 +6,8 @@ count add up, min/max take the extreme).  Sums are merged in the exact type of
 their expression (e.g. DECIMAL(38,2) for a money sum) and conformed to DOUBLE
 only at the end, so the merged fact equals a full rebuild.  Averages and
 approximate distinct counts merge from the state columns that
-``build_fact(states=True)`` stores beside them; exact distinct counts, and these
-without states, raise.
+``build_fact(states=True)`` stores beside them, exact distinct counts of a column
+from the sets that :func:`write_fact` stores beside the fact; without these they raise.
 
 Every refresh writes a *new* version folder (never the folder being read); the
 streaming variant names versions by micro-batch id, so a replayed batch
@@ -18,6 +18,7 @@ take the latest logged version (``read_current``).
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime, timezone
 from typing import Callable, Mapping
 
@@ -28,10 +29,11 @@ from pyspark.sql import types as T
 
 from starmart.errors import SpecError
 from starmart.functions.metrics import merge_published
+from starmart.operators import distinct
 from starmart.operators.facts import build_fact, fact_keys, fact_rows
-from starmart.operators.grains import home_of
+from starmart.operators.grains import drill_across, home_of
 from starmart.sinks.publish import write_table
-from starmart.spec import Fact, MartSpec
+from starmart.spec import Fact, MartSpec, Metric
 
 
 def merge_fact(current: DataFrame, delta: DataFrame, fact: Fact, rows: DataFrame) -> DataFrame:
@@ -56,18 +58,63 @@ def _delta(fact: Fact, tables: Mapping[str, DataFrame], spec: MartSpec | None, c
     return build_fact(fact, tables, spec, states=not set(current.columns) <= plain)
 
 
+def sets_path(fact_path: str, metric: Metric, ids: bool = False) -> str:
+    """Where the sets behind an exact distinct count (or the ids of its values) lie, beside the fact."""
+    return f"{fact_path.rstrip('/')}__{metric.name}__{'ids' if ids else 'sets'}"
+
+
+def write_fact(fact: Fact, tables: Mapping[str, DataFrame], path: str, spec: MartSpec | None = None, mode: str = "error") -> DataFrame:
+    """A first version that refreshes can merge into: the fact with its state columns at
+    ``path``, and the sets of its exact distinct counts beside it."""
+    spark = next(iter(tables.values())).sparkSession
+    for m in distinct.set_metrics(fact):
+        sets, ids = distinct.metric_sets(fact, m, tables, spec)
+        write_table(sets, sets_path(path, m), mode=mode)
+        if ids is not None:
+            write_table(ids, sets_path(path, m, ids=True), mode=mode)
+    write_table(build_fact(fact, tables, spec, states=True), path, mode=mode)
+    return spark.read.parquet(path)
+
+
 def refresh_fact(fact: Fact, current_path: str, delta_tables: Mapping[str, DataFrame], new_path: str,
-                 spec: MartSpec | None = None) -> DataFrame:
+                 spec: MartSpec | None = None, mode: str = "error") -> DataFrame:
     """Merge the fact of ``delta_tables`` into the fact at ``current_path`` and
-    write the result to ``new_path`` (a new folder); returns the written table."""
+    write the result to ``new_path`` (a new folder); returns the written table.
+
+    Exact distinct counts merge through the sets that :func:`write_fact` or an earlier
+    refresh left beside the fact: the new rows' sets are joined to them, written beside
+    the new version, and counted."""
     spark = next(iter(delta_tables.values())).sparkSession
     current = spark.read.parquet(current_path)
-    delta = _delta(fact, delta_tables, spec, current)
-    merged = merge_fact(current, delta, fact, fact_rows(fact, delta_tables, split_hot=False))
-    write_table(merged, new_path)
+    counted = [m for m in distinct.set_metrics(fact) if _exists(spark, sets_path(current_path, m))]
+    plain = replace(fact, metrics=tuple(m for m in fact.metrics if m not in counted))
+    keys = fact_keys(fact)
+    delta = _delta(plain, delta_tables, spec, current.drop(*[m.name for m in counted]))
+    results = [merge_fact(current, delta, plain, fact_rows(fact, delta_tables, split_hot=False))]
+    for m in counted:
+        old_ids = sets_path(current_path, m, ids=True)
+        known = spark.read.parquet(old_ids) if _exists(spark, old_ids) else None
+        sets, ids = distinct.metric_sets(fact, m, delta_tables, spec, known)
+        both = spark.read.parquet(sets_path(current_path, m)).unionByName(sets)
+        write_table(distinct.merge_sets(both, keys), sets_path(new_path, m), mode=mode)
+        if ids is not None:
+            write_table(ids, sets_path(new_path, m, ids=True), mode=mode)
+        results.append(distinct.count_sets(spark.read.parquet(sets_path(new_path, m)), keys, m.name))
+    merged = results[0] if len(results) == 1 else drill_across(results, keys, fact.metrics)
+    write_table(merged, new_path, mode=mode)
     return spark.read.parquet(new_path)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path)
+        return True
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+
+
 VERSION_LOG = "_versions"
 
 
@@ -249,11 +296,9 @@ def start_fact_stream(
         out = version_path(mart_root, epoch_id)
         prev = version_path(mart_root, epoch_id - 1) if epoch_id > 0 else base_path
         if prev is None:
-            merged = build_fact(fact, tables, spec, states=True)
+            write_fact(fact, tables, out, spec, mode="overwrite")
         else:
-            current = batch.sparkSession.read.parquet(prev)
-            merged = merge_fact(current, _delta(fact, tables, spec, current), fact, fact_rows(fact, tables, split_hot=False))
-        write_table(merged, out, mode="overwrite")
+            refresh_fact(fact, prev, tables, out, spec, mode="overwrite")
         log_version(batch.sparkSession, mart_root, epoch_id)
         if on_version is not None:
             on_version(epoch_id, out)
