@@ -2,10 +2,8 @@
 
 ``foreign_keys`` measures, for each candidate (child column -> parent column),
 how many distinct child values exist, how many of them the parent holds, and
-what share of the parent's values is referenced.  Each column's distinct set is
-computed once however many candidates use it; per value the columns that hold it are
-gathered (at most as many as there are columns), equal sets are counted, and only
-requested pairs are read off those sets (no hot key, no pair explosion).
+what share of the parent's values is referenced.  Star proposals need inclusions only,
+which samples refute before anything is measured (``dependencies``).
 """
 
 from __future__ import annotations
@@ -16,49 +14,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starmart.operators.profile import candidate_keys, key_like_columns, shortlist_keys_many, shortlist_keys_of_width
+from starmart.operators.dependencies import Columns, Found, included, meetings, minimal_keys
+from starmart.operators.profile import candidate_keys, key_like_columns, key_tests, shortlist_keys_many, shortlist_keys_of_width, value_family
 
 KEY_SCHEMA = "table_name string, key_columns string, is_key boolean"
 FK_SCHEMA = ("child_table string, child_column string, parent_table string, parent_column string")
 
 
-def _family(t: T.DataType) -> str:
-    if isinstance(t, T.IntegralType):
-        return "bigint"
-    if isinstance(t, T.DecimalType):
-        return "decimal(38,0)" if t.scale == 0 else t.simpleString()
-    return t.simpleString()
-
-
 def _col_type(df: DataFrame, c: str) -> T.DataType:
     return df.schema[c].dataType
 
 
-def _meetings(tables: Mapping[str, DataFrame], family: str, ids: Mapping[tuple[str, str], int],
-              pairs: Sequence[tuple[int, int]]) -> DataFrame:
-    """``(a, b, n)``: for each column ``(a, a)`` its distinct values, for each requested
-    pair of columns the distinct values both hold.
-
-    One scan per table and one grouping by value: the columns that hold a value are
-    gathered (at most as many as there are columns, partial sets per task), equal
-    sets are counted, and pairs are read off the sets.
-    """
-    by_table: dict[str, list[str]] = {}
-    for t, c in ids:
-        by_table.setdefault(t, []).append(c)
-    rows = None
-    for t, cs in by_table.items():
-        part = tables[t].select(F.explode(F.array(*[
-            F.struct(F.col(c).cast(family).alias("v"), F.lit(ids[t, c]).alias("c")) for c in cs
-        ])).alias("x")).select("x.*").where(F.col("v").isNotNull())
-        rows = part if rows is None else rows.unionByName(part)
-    sets = rows.groupBy("v").agg(F.array_sort(F.collect_set("c")).alias("cs")).groupBy("cs").agg(F.count(F.lit(1)).alias("n"))
-    asked = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
-    both = F.filter(asked, lambda x: F.array_contains("cs", x["a"]) & F.array_contains("cs", x["b"]))
-    alone = F.transform("cs", lambda c: F.struct(c.alias("a"), c.alias("b")))
-    return sets.select("n", F.explode(F.concat(alone, both)).alias("x")).groupBy("x.a", "x.b").agg(F.sum("n").alias("n"))
-
-
 def foreign_keys(tables: Mapping[str, DataFrame], candidates: Sequence[tuple[str, str, str, str]]) -> DataFrame:
     """Coverage of each ``(child_table, child_column, parent_table, parent_column)``.
 
@@ -70,28 +36,14 @@ def foreign_keys(tables: Mapping[str, DataFrame], candidates: Sequence[tuple[str
     column and per candidate.
     """
     spark = next(iter(tables.values())).sparkSession
-    by_family: dict[str, list[tuple[str, str, str, str]]] = {}
-    for ct, cc, pt, pc in dict.fromkeys(map(tuple, candidates)):
-        fc, fp = _family(_col_type(tables[ct], cc)), _family(_col_type(tables[pt], pc))
-        if fc == fp:
-            by_family.setdefault(fc, []).append((ct, cc, pt, pc))
-    ids: dict[tuple[str, str], int] = {}
-    parts = None
-    for family, cands in by_family.items():
-        own = {}
-        for ct, cc, pt, pc in cands:
-            for column in ((ct, cc), (pt, pc)):
-                own[column] = ids.setdefault(column, len(ids))
-        part = _meetings(tables, family, own, [(own[ct, cc], own[pt, pc]) for ct, cc, pt, pc in cands if (ct, cc) != (pt, pc)])
-        parts = part if parts is None else parts.unionByName(part)
-    n = {(r["a"], r["b"]): r["n"] for r in parts.collect()} if parts is not None else {}
+    pairs = [(Columns(ct, (cc,)), Columns(pt, (pc,))) for ct, cc, pt, pc in dict.fromkeys(map(tuple, candidates))
+             if value_family(_col_type(tables[ct], cc)) == value_family(_col_type(tables[pt], pc))]
+    n = meetings(tables, pairs)
     out = []
-    for cands in by_family.values():
-        for ct, cc, pt, pc in cands:
-            c, p = ids[ct, cc], ids[pt, pc]
-            children, parents, matched = n.get((c, c), 0), n.get((p, p), 0), n.get((c, p), 0)
-            out.append((ct, cc, pt, pc, children, matched, parents,
-                        matched / parents if parents else None, matched / children if children else None))
+    for c, p in pairs:
+        children, parents, matched = n.get((c, c), 0), n.get((p, p), 0), n.get((c, p), 0)
+        out.append((c.table, c.names[0], p.table, p.names[0], children, matched, parents,
+                    matched / parents if parents else None, matched / children if children else None))
     return spark.createDataFrame(out, FK_SCHEMA + ", child_distinct bigint, matched_distinct bigint, "
                                       "parent_distinct bigint, parent_coverage double, child_coverage double")
 
@@ -116,22 +68,38 @@ def key_columns(tables: Mapping[str, DataFrame], names: Sequence[str] | None = N
     are found and no key that contains a smaller one is listed.
     """
     names = list(names if names is not None else tables)
-    parts, open_ = [], names
+    found, open_ = [], names
     for width in range(1, max_width + 1):
         sets = shortlist_keys_of_width(tables, open_, width)
-        candidates = [(t, list(s)) for t in open_ for s in sets[t]]
-        if candidates:
-            keys = candidate_keys(tables, candidates).where("is_key")
-            rows = [(r["table_name"], r["key_columns"]) for r in keys.collect()]  # one row per confirmed set
-            parts += rows
-            done = {t for t, _ in rows}
-            open_ = [t for t in open_ if t not in done]
-    spark = next(iter(tables.values())).sparkSession
-    out = spark.createDataFrame(parts, "table_name string, key_columns string")
-    return out.select("table_name", "key_columns", F.posexplode(F.split("key_columns", ",")).alias("p", "column_name")).select(
+        candidates = [Columns(t, s) for t in open_ for s in sets[t]]
+        keys = [c for c, is_key in zip(candidates, key_tests(tables, candidates)) if is_key]
+        found += keys
+        open_ = [t for t in open_ if t not in {c.table for c in keys}]
+    return _key_rows(next(iter(tables.values())).sparkSession, found)
+
+
+def minimal_key_columns(tables: Mapping[str, DataFrame], names: Sequence[str] | None = None, max_width: int = 3) -> DataFrame:
+    """As :func:`key_columns`, but every minimal key up to ``max_width`` columns, beside smaller ones too."""
+    return _key_rows(next(iter(tables.values())).sparkSession, minimal_keys(tables, names, max_width))
+
+
+def _key_rows(spark, keys: Sequence[Columns]) -> DataFrame:
+    rows = [(c.table, ",".join(c.names), list(c.names)) for c in keys]
+    out = spark.createDataFrame(rows, "table_name string, key_columns string, names array<string>")
+    return out.select("table_name", "key_columns", F.posexplode("names").alias("p", "column_name")).select(
         "table_name", "key_columns", (F.col("p") + 1).alias("ordinal"), "column_name")
 
 
+LINK_SCHEMA = ("child_table string, child_columns string, parent_table string, parent_columns string, child_distinct bigint, "
+               "parent_distinct bigint, parent_coverage double, one_to_one boolean")
+
+
+def link_rows(spark, found: Found) -> DataFrame:
+    """Inclusions as rows; the columns of a set are comma-joined."""
+    return spark.createDataFrame([(i.child.table, ",".join(i.child.names), i.parent.table, ",".join(i.parent.names), i.child_distinct,
+                                   i.parent_distinct, i.parent_coverage, i.one_to_one) for i in found.inclusions], LINK_SCHEMA)
+
+
 def fk_candidates(tables: Mapping[str, DataFrame], keys: Sequence[tuple[str, str]],
                   names: Sequence[str] | None = None) -> list[tuple[str, str, str, str]]:
     """Every type-compatible (child column -> single-column parent key) pair.
@@ -142,12 +110,12 @@ def fk_candidates(tables: Mapping[str, DataFrame], keys: Sequence[tuple[str, str
     own = set(keys)
     out = []
     for pt, pc in keys:
-        pfam = _family(_col_type(tables[pt], pc))
+        pfam = value_family(_col_type(tables[pt], pc))
         for ct in names:
             for cc in key_like_columns(tables[ct]):
                 if (ct, cc) in own:
                     continue
-                if _family(_col_type(tables[ct], cc)) == pfam:
+                if value_family(_col_type(tables[ct], cc)) == pfam:
                     out.append((ct, cc, pt, pc))
     return out
 
@@ -155,8 +123,11 @@ def fk_candidates(tables: Mapping[str, DataFrame], keys: Sequence[tuple[str, str
 def discover_foreign_keys(tables: Mapping[str, DataFrame], names: Sequence[str] | None = None) -> DataFrame:
     """:func:`foreign_keys` of every type-compatible column with every confirmed single-column key."""
     names = list(names if names is not None else tables)
-    keys = [(r["table_name"], r["key_columns"]) for r in discover_keys(tables, names, pairs=False).where("is_key").collect()]
-    return foreign_keys(tables, fk_candidates(tables, keys, names))
+    return foreign_keys(tables, fk_candidates(tables, _single_keys(tables, names), names))
+
+
+def _single_keys(tables: Mapping[str, DataFrame], names: Sequence[str]) -> list[tuple[str, str]]:
+    return [(c.table, c.names[0]) for c in minimal_keys(tables, names, max_width=1)]
 
 
 def _suffix(c):
@@ -199,16 +170,20 @@ def star_candidates(tables: Mapping[str, DataFrame], keys: DataFrame | None = No
     names = list(names if names is not None else tables)
     if keys is None:
         # Parents of a star are single-column keys: no pair search needed here.
-        keys = discover_keys(tables, names, pairs=False)
-    key_rows = [(r["table_name"], r["key_columns"]) for r in keys.where("is_key").collect()]
-    single = [(t, k) for t, k in key_rows if "," not in k]
+        single = _single_keys(tables, names)
+    else:
+        single = [(r["table_name"], r["key_columns"]) for r in keys.where("is_key").collect() if r["key_columns"] in tables[r["table_name"]].columns]
     cands = fk_candidates(tables, single, names)
     if not cands:
         spark = tables[names[0]].sparkSession
         return spark.createDataFrame([], "fact_table string, fact_key string, dimension_table string, "
                                          "dimension_key string, parent_coverage double, name_match boolean, "
                                          "rank int, n_measures int")
-    ranked = rank_foreign_keys(foreign_keys(tables, cands))
+    # only inclusions are ranked, so what samples refute need not be measured
+    found = included(tables, [(Columns(ct, (cc,)), Columns(pt, (pc,))) for ct, cc, pt, pc in cands])
+    ranked = rank_foreign_keys(tables[names[0]].sparkSession.createDataFrame(
+        [(*i.child[:1], *i.child.names, *i.parent[:1], *i.parent.names, i.child_distinct, i.child_distinct, i.parent_distinct, i.parent_coverage)
+         for i in found.inclusions], FK_SCHEMA + ", child_distinct bigint, matched_distinct bigint, parent_distinct bigint, parent_coverage double"))
     own_keys = {(t, k) for t, k in single}
     spark = tables[names[0]].sparkSession
     numeric = [(t, f.name) for t in names for f in tables[t].schema.fields
@@ -240,7 +215,7 @@ def propose_marts(tables: Mapping[str, DataFrame], names: Sequence[str] | None =
     from starmart.spec import Dimension, Fact, MartSpec, Metric
 
     names = list(names if names is not None else tables)
-    confirmed = [(r["table_name"], r["key_columns"]) for r in discover_keys(tables, names, pairs=False).where("is_key").collect()]
+    confirmed = _single_keys(tables, names)
     if candidates is None:
         keys = tables[names[0]].sparkSession.createDataFrame([(t, k, True) for t, k in confirmed], KEY_SCHEMA)
         candidates = star_candidates(tables, keys, names)

@@ -7,11 +7,12 @@ the caller's choice.  No input row is repeated per column.
 
 from __future__ import annotations
 
+import math
 import re
 from itertools import combinations
-from typing import Iterable, Mapping, Sequence
+from typing import Iterable, Mapping, NamedTuple, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,7 +62,7 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, table_n
     if exact:
         out = None
         for c in columns:
-            per_value = df.groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+            per_value = df.groupBy(compact(F.col(c), df.schema[c].dataType.simpleString()).alias("v")).agg(F.count(F.lit(1)).alias("n"))
             part = per_value.agg(
                 F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
                 F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
@@ -130,35 +131,74 @@ def sample_values(df: DataFrame, columns: Sequence[str], k: int = 5, table_name:
     return out
 
 
+# Texts beyond this many bytes are compared by their SHA-256.
+LONG_VALUE = 32
+
+
+def value_family(t: T.DataType) -> str:
+    """The type in which values of different columns are compared."""
+    if isinstance(t, T.IntegralType):
+        return "bigint"
+    if isinstance(t, T.DecimalType):
+        return "decimal(38,0)" if t.scale == 0 else t.simpleString()
+    return t.simpleString()
+
+
+def compact(value: Column, family: str) -> Column:
+    """``value`` to group by: a long text or binary as its SHA-256 behind a byte that no
+    UTF-8 text has, so whole texts are never shuffled; others as they are."""
+    if not family.startswith(("string", "binary", "varchar", "char")):
+        return value
+    raw = value.cast("binary")
+    return F.when(F.octet_length(value) > LONG_VALUE, F.concat(F.lit(bytearray(b"\xff")), F.unhex(F.sha2(raw, 256)))).otherwise(raw)
+
+
+def _key_report(tables: Mapping[str, DataFrame], sets: Sequence[tuple[str, Sequence[str]]]) -> DataFrame | None:
+    """``(i, is_key)`` of each set whose table has rows.
+
+    Sets of the same types share one grouping by (set, value), so its exchanges do not
+    grow in number with the sets; it is map-side combined, so a value held by a third of
+    the rows collapses before the shuffle."""
+    by_type: dict[tuple[str, ...], DataFrame] = {}
+    for i, (table, columns) in enumerate(sets):
+        df = tables[table]
+        families = tuple(value_family(df.schema[c].dataType) for c in columns)
+        some_null = F.lit(False)
+        for c in columns:
+            some_null = some_null | F.col(f"`{c}`").isNull()
+        values = [compact(F.col(f"`{c}`").cast(f), f).alias(f"v{n}") for n, (c, f) in enumerate(zip(columns, families))]
+        rows = df.select(F.lit(i).alias("i"), some_null.alias("some_null"), *values)
+        by_type[families] = by_type[families].unionByName(rows) if families in by_type else rows
+    out = None
+    for rows in by_type.values():
+        per_value = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+        part = per_value.groupBy("i").agg(((F.max("n") <= 1) & ~F.max("some_null")).alias("is_key"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def key_tests(tables: Mapping[str, DataFrame], sets: Sequence[tuple[str, Sequence[str]]]) -> list[bool]:
+    """Exact key test of each ``(table, columns)``, in one job; a table without rows has every key."""
+    report = _key_report(tables, sets)
+    found = {r["i"]: r["is_key"] for r in report.collect()} if report is not None else {}
+    return [found.get(i, True) for i in range(len(sets))]
+
+
 def candidate_keys(tables: Mapping[str, DataFrame], candidates: Sequence[tuple[str, Sequence[str]]]) -> DataFrame:
     """Exact key test for each ``(table, columns)``.
 
     A column set is a key iff no row has a null in it and no value combination
     occurs twice.  ``(table_name, key_columns, is_key)``; ``key_columns`` is
-    the comma-joined list.  Grouping is map-side combined, so a value held by a
-    third of the rows collapses before the shuffle.
+    the comma-joined list.
     """
-    parts = []
-    for table, cols in candidates:
-        cols = [cols] if isinstance(cols, str) else list(cols)
-        df = tables[table]
-        any_null = None
-        for c in cols:
-            cond = F.col(c).isNull()
-            any_null = cond if any_null is None else any_null | cond
-        groups = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n")).select(
-            F.col("__n"), any_null.alias("__null"))
-        part = groups.agg(
-            ((F.coalesce(F.max("__n"), F.lit(0)) <= 1) & ~F.coalesce(F.max("__null"), F.lit(False)))
-            .alias("is_key")
-        ).select(F.lit(table).alias("table_name"), F.lit(",".join(cols)).alias("key_columns"), "is_key")
-        parts.append(part)
-    if not parts:
-        return _spark(tables).createDataFrame([], "table_name string, key_columns string, is_key boolean")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    sets = [(t, [cols] if isinstance(cols, str) else list(cols)) for t, cols in candidates]
+    spark = _spark(tables)
+    names = spark.createDataFrame([(i, t, ",".join(cols)) for i, (t, cols) in enumerate(sets)], "i int, table_name string, key_columns string")
+    report = _key_report(tables, sets)
+    if report is None:
+        return names.select("table_name", "key_columns", F.lit(True).alias("is_key"))
+    # a row per candidate on both sides
+    return names.join(F.broadcast(report), "i", "left").select("table_name", "key_columns", F.coalesce("is_key", F.lit(True)).alias("is_key"))
 
 
 _KEY_TYPES = (T.IntegralType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType, T.DecimalType)
@@ -169,37 +209,54 @@ def key_like_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, _KEY_TYPES)]
 
 
+def _lg_registers(rsd: float) -> int:
+    """Registers (as a power of two) of a sketch with this relative standard error."""
+    return max(4, min(21, math.ceil(2 * math.log2(1.04 / rsd))))
+
+
 def _hll_report(df: DataFrame, table: str, sets: list[tuple[str, ...]], rsd: float) -> DataFrame:
-    """One aggregate pass over ``df``: rows, and per column set its HLL distinct
-    estimate and the number of rows with a NULL in it, as long-format rows."""
+    """One aggregate pass over ``df``: rows, and per column set a sketched number of
+    distinct values and the number of rows with a NULL in it, as long-format rows.
+
+    A sketch is one binary value (not a field per register), so a pass over many column
+    sets stays a small aggregate; a set goes in as one 64-bit hash of its values."""
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, cols in enumerate(sets):
-        # A column set is sketched through one 64-bit hash of its values.
-        value = F.col(cols[0]) if len(cols) == 1 else F.xxhash64(*cols)
-        nn = None
-        for c in cols:
-            cond = F.col(c).isNotNull()
-            nn = cond if nn is None else nn & cond
-        aggs += [F.approx_count_distinct(value, rsd).alias(f"__d{i}"), F.count_if(~nn).alias(f"__z{i}")]
+        quoted = [f"`{c}`" for c in cols]
+        whole = F.lit(True)
+        for c in quoted:
+            whole = whole & F.col(c).isNotNull()
+        aggs += [F.hll_sketch_agg(F.when(whole, F.xxhash64(*quoted)), _lg_registers(rsd)).alias(f"__d{i}"), F.count_if(~whole).alias(f"__z{i}")]
     return df.agg(*aggs).select(F.explode(F.array(*[
         F.struct(F.lit(table).alias("t"), F.lit(i).alias("i"), F.col("__rows").alias("n"),
-                 F.col(f"__d{i}").alias("d"), F.col(f"__z{i}").alias("z"))
+                 F.coalesce(F.hll_sketch_estimate(f"__d{i}"), F.lit(0)).alias("d"), F.col(f"__z{i}").alias("z"))
         for i in range(len(sets))
     ])).alias("x")).select("x.*")
 
 
+class SetStats(NamedTuple):
+    rows: int
+    distinct: int  # estimate
+    nulls: int     # rows with a NULL in one of the columns
+
+
+def sketch_sets(tables: Mapping[str, DataFrame], per_table: Mapping[str, Sequence[tuple[str, ...]]],
+                rsd: float) -> dict[tuple[str, tuple[str, ...]], SetStats]:
+    """Rows, distinct values (sketched) and NULLs of column sets: one job, one pass per table."""
+    report = None
+    for t, sets in per_table.items():
+        if sets:
+            part = _hll_report(tables[t], t, list(sets), rsd)
+            report = part if report is None else report.unionByName(part)
+    return {(r["t"], tuple(per_table[r["t"]][r["i"]])): SetStats(r["n"], r["d"], r["z"]) for r in (report.collect() if report is not None else [])}
+
+
 def _keep(tables, per_table: dict[str, list[tuple[str, ...]]], rsd: float) -> dict[str, list[tuple[str, ...]]]:
-    parts = [_hll_report(tables[t], t, sets, rsd) for t, sets in per_table.items() if sets]
     out: dict[str, list[tuple[str, ...]]] = {t: [] for t in per_table}
-    if not parts:
-        return out
-    report = parts[0]
-    for p in parts[1:]:
-        report = report.unionByName(p)
     slack = max(1.0 - SKETCH_ERRORS * rsd, 0.0)
-    for r in report.collect():  # one row per column set: a bounded report
-        if r["z"] == 0 and r["d"] >= r["n"] * slack:
-            out[r["t"]].append(per_table[r["t"]][r["i"]])
+    for (t, s), seen in sketch_sets(tables, per_table, rsd).items():
+        if seen.nulls == 0 and seen.distinct >= seen.rows * slack:
+            out[t].append(s)
     for t in out:
         out[t].sort(key=per_table[t].index)
     return out

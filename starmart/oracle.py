@@ -398,3 +398,66 @@ FROM a FULL OUTER JOIN b ON a.period IS NOT DISTINCT FROM b.period AND a.r_name
 ORACLE_SQL["fact_incremental_distinct"] = """
 SELECT event_type, COUNT(DISTINCT user_id) AS distinct_users, COUNT(DISTINCT props) AS distinct_props, COUNT(*) AS event_count FROM events GROUP BY event_type
 """
+
+_TRIPLE_KEYS = _union_all(_key_test(t, [cs[i][0], cs[j][0], cs[k][0]]) for t, cs in _COLUMNS.items()
+                          for i in range(len(cs)) for j in range(i + 1, len(cs)) for k in range(j + 1, len(cs)))
+ORACLE_SQL["minimal_keys"] = f"""
+WITH tests AS ({_SINGLE_KEYS} UNION ALL {_PAIR_KEYS} UNION ALL {_TRIPLE_KEYS}), keys AS (SELECT t, k, w, string_split(k, ',') AS cs FROM tests WHERE is_key),
+found AS (SELECT * FROM keys a WHERE NOT EXISTS (SELECT 1 FROM keys b WHERE a.t = b.t AND b.w < a.w AND list_has_all(a.cs, b.cs)))
+SELECT t AS table_name, k AS key_columns, CAST(i AS INTEGER) AS ordinal, cs[i] AS column_name FROM (SELECT t, k, cs, UNNEST(range(1, w + 1)) AS i FROM found) x
+"""
+
+ORACLE_SQL["inclusions"] = f"""
+WITH vals AS ({_union_all(f"SELECT DISTINCT '{t}' AS t, '{c}' AS c, '{f}' AS f, CAST({c} AS VARCHAR) AS v FROM {t} WHERE {c} IS NOT NULL" for t, cs in _COLUMNS.items() for c, f in cs)}),
+tests AS ({_SINGLE_KEYS}), sizes AS (SELECT t, c, f, COUNT(*) AS d FROM vals GROUP BY t, c, f),
+cols AS (SELECT s.*, k.is_key FROM sizes s JOIN tests k ON s.t = k.t AND s.c = k.k),
+met AS (SELECT a.t AS ct, a.c AS cc, b.t AS pt, b.c AS pc, COUNT(*) AS m FROM vals a JOIN vals b ON a.f = b.f AND a.v = b.v
+        WHERE (b.t, b.c) IN (SELECT t, c FROM cols WHERE is_key) AND NOT (a.t = b.t AND a.c = b.c) GROUP BY a.t, a.c, b.t, b.c)
+SELECT c.t AS child_table, c.c AS child_columns, p.t AS parent_table, p.c AS parent_columns, c.d AS child_distinct, p.d AS parent_distinct,
+       CAST(c.d AS DOUBLE) / p.d AS parent_coverage, c.is_key AS one_to_one
+FROM met JOIN cols c ON c.t = ct AND c.c = cc AND c.d = m JOIN cols p ON p.t = pt AND p.c = pc
+"""
+
+# Tables that the search for two-column links is shown, one of them derived.
+_SHOWN = {
+    "lineitem": "l_orderkey:int l_partkey:int l_suppkey:int l_linenumber:int l_returnflag:str", "partsupp": "ps_partkey:int ps_suppkey:int",
+    "part": "p_partkey:int p_name:str p_brand:str p_type:str p_size:int", "conversations": "conv_id:int turn:int",
+}
+_SHOWN = {t: [tuple(c.split(":")) for c in cs.split()] for t, cs in _SHOWN.items()}
+
+
+def _pair_link(child: str, c: tuple, parent: str, p: tuple) -> str:
+    """The row of a link between two columns each, if it is one."""
+    ct, pt = (t if t != "partsupp" else "offers" for t in (child, parent))
+    (a, b), (x, y) = c, p
+    minimal = " AND ".join(f"NOT (SELECT is_key FROM ({_key_test(pt, [k])}) s)" for k in p)
+    children = f"SELECT DISTINCT {a} AS a, {b} AS b FROM {ct} WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
+    return (f"SELECT '{child}' AS child_table, '{a},{b}' AS child_columns, '{parent}' AS parent_table, '{x},{y}' AS parent_columns, "
+            f"(SELECT COUNT(*) FROM ({children}) d) AS child_distinct, (SELECT COUNT(*) FROM (SELECT DISTINCT {x}, {y} FROM {pt}) d) AS parent_distinct, "
+            f"(SELECT is_key FROM ({_key_test(ct, [a, b])}) s) AS one_to_one "
+            f"WHERE (SELECT is_key FROM ({_key_test(pt, [x, y])}) s) AND {minimal} AND NOT EXISTS (({children}) EXCEPT (SELECT {x}, {y} FROM {pt}))")
+
+
+_PAIR_LINKS = _union_all(
+    _pair_link(ct, (a[0], b[0]), pt, (x[0], y[0]))
+    for pt, ps in _SHOWN.items() for i, x in enumerate(ps) for y in ps[i + 1:]
+    for ct, cs in _SHOWN.items() for a in cs for b in cs
+    if a != b and (a[1], b[1]) == (x[1], y[1]) and (ct, a, b) != (pt, x, y))
+ORACLE_SQL["composite_foreign_keys"] = f"""
+WITH offers AS (SELECT DISTINCT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey FROM lineitem), links AS ({_PAIR_LINKS})
+SELECT *, CAST(child_distinct AS DOUBLE) / parent_distinct AS parent_coverage FROM links WHERE child_distinct > 0
+"""
+
+_WIDE = """SELECT o_orderkey, o_custkey, c_name, c_mktsegment, c_nationkey, n_name, n_regionkey, r_name, o_orderstatus, o_orderpriority
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey"""
+_WIDE_COLUMNS = _WIDE.split("FROM")[0].replace("SELECT", "").replace(" ", "").strip().split(",")
+
+
+def _determines(x: str, a: str) -> str:
+    count = lambda cs: f"(SELECT COUNT(*) FROM (SELECT DISTINCT {cs} FROM wide) d)"
+    return (f"SELECT '{x}' AS determinant, '{a}' AS dependent WHERE {count(x)} = {count(f'{x}, {a}')} AND {count(x)} < (SELECT COUNT(*) FROM wide) "
+            f"AND {count(a)} > 1 AND {count(x)} > 1")
+
+
+ORACLE_SQL["functional_dependencies"] = f"WITH wide AS ({_WIDE}) " + _union_all(_determines(x, a) for x in _WIDE_COLUMNS for a in _WIDE_COLUMNS if a != x)
+ORACLE_SQL["dim_hidden_customer"] = f"SELECT DISTINCT o_custkey, c_name, c_mktsegment, c_nationkey, n_name, n_regionkey, r_name FROM ({_WIDE}) w"

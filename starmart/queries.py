@@ -14,9 +14,9 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starmart.operators import checks, dates, discover, profile
+from starmart.operators import checks, dates, dependencies, discover, profile
 from starmart.operators.dims import build_dimension
-from starmart.operators.facts import build_fact, build_fact_states
+from starmart.operators.facts import build_fact, build_fact_states, fact_rows
 from starmart.operators.star import answer, rollup_states, star_rollup
 from starmart.plans import tpch_mart as M
 from starmart.session import scratch_path
@@ -119,6 +119,55 @@ def key_columns(spark, sf_dir):
     return discover.key_columns(_tables(spark, sf_dir), GIVEN_TABLES)
 
 
+@query("minimal_keys")
+def minimal_keys(spark, sf_dir):
+    """Every minimal key of up to three columns of all given tables, a row per key column."""
+    return discover.minimal_key_columns(_tables(spark, sf_dir), GIVEN_TABLES)
+
+
+@query("inclusions")
+def inclusions(spark, sf_dir):
+    """Every column of the given tables whose values all lie in a key, one-to-one links included."""
+    return discover.link_rows(spark, dependencies.inclusions(_tables(spark, sf_dir), GIVEN_TABLES))
+
+
+@query("composite_foreign_keys")
+def composite_foreign_keys(spark, sf_dir):
+    """Links to two-column keys: the given line items beside a table of parts and their
+    suppliers derived from them, and one of suppliers, parts and return flags."""
+    t = _tables(spark, sf_dir)
+    offers = t["lineitem"].select(F.col("l_partkey").alias("ps_partkey"), F.col("l_suppkey").alias("ps_suppkey")).distinct()
+    shown = {"lineitem": t["lineitem"].select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag"), "partsupp": offers, "part": t["part"],
+             "conversations": t["conversations"].select("conv_id", "turn")}
+    return discover.link_rows(spark, dependencies.composite_inclusions(shown))
+
+
+WIDE_COLUMNS = ("o_orderkey", "o_custkey", "c_name", "c_mktsegment", "c_nationkey", "n_name", "n_regionkey", "r_name", "o_orderstatus", "o_orderpriority")
+
+
+def _wide_orders(spark, sf_dir):
+    """Orders with the attributes of their customers in every row, as a source without dimensions has them."""
+    t = _tables(spark, sf_dir)
+    fact = Fact("wide", ("orders",), (Metric("n", "count"),), joins=(
+        Join("customer", "o_custkey", "c_custkey"), Join("nation", "c_nationkey", "n_nationkey"), Join("region", "n_regionkey", "r_regionkey")))
+    return fact_rows(fact, t).select(*WIDE_COLUMNS)
+
+
+@query("functional_dependencies")
+def functional_dependencies(spark, sf_dir):
+    """Which columns of the wide orders determine which others."""
+    found = dependencies.functional_dependencies(_wide_orders(spark, sf_dir))
+    return spark.createDataFrame(found, "determinant string, dependent string")
+
+
+@query("dim_hidden_customer")
+def dim_hidden_customer(spark, sf_dir):
+    """The customer dimension, proposed from the wide orders' dependencies and built from them."""
+    wide = _wide_orders(spark, sf_dir)
+    dims = {d.key_column: d for d in dependencies.propose_dimensions(wide, "wide")}
+    return build_dimension(dims["o_custkey"], {"wide": wide})
+
+
 @query("star_candidates")
 def star_candidates(spark, sf_dir):
     t = _tables(spark, sf_dir)
