@@ -16,6 +16,9 @@ combined per document, meet them in a join on the bigram's 64-bit key.  Bigrams
 ``hot_share`` of all tokens (at most 1 / hot_share of them) are broadcast and summed in
 the task, so no common bigram is a large group of that join.
 
+:func:`score_corpus` scores a corpus by models of itself in a single exchange; :func:`fit`
+and :func:`score` keep a model's counts as tables to score other rows.  The latter's chances:
+
 p(w | h) = k c(h, w) / c(h) + (1 - k s(h)) p(w), where p(w) = (c(w) + 1) / (n + v),
 s(h) is the part of c(h) that the bigrams of h make up, and k is ``mix``: the chances
 after each h sum to one.
@@ -35,10 +38,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starmart.llm.common import written
+from starmart.plans.joins import skew_split_join
 
 # Bytes: ASCII letters lower-cased; the white space that separates words.
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint64)
@@ -332,3 +337,188 @@ def score(df: DataFrame, model: CountModel, text_col: str = "text", fitted: bool
     return df.join(per_text, "__uid", "left").withColumns({
         "n_tokens": F.coalesce("__n", F.lit(0).cast("long")), "loss_target": mean("t"), "loss_background": mean("b"), "score": mean("t") - mean("b"),
     }).drop("__uid", "__n", "__t", "__b")
+
+
+# -- a corpus scored by the models of itself ------------------------------------
+
+_ENTRY = np.dtype([("h", "<u8"), ("w", "<u8"), ("text", "<u4"), ("t", "<u4"), ("b", "<u4")])
+_BUCKET = 1 << 22   # bigrams that a task scores at once
+_COMMON = 1 << 20   # a first word of more bigrams is dealt by the second
+
+
+def _runs(*sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the runs of equal keys, and the run of each row."""
+    first = _starts(*sorted_keys)
+    return first, np.repeat(np.arange(len(first)), np.diff(np.append(first, len(sorted_keys[0]))))
+
+
+def _history_counts(rows: DataFrame) -> DataFrame:
+    """(w, t, b): each word of the vocabulary (and 0, the start of a text) and how often
+    bigrams begin with it in target and background rows."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            key, t, b = map(np.concatenate, zip(*held))
+            held.clear()
+            order = np.argsort(key)
+            key = key[order]
+            first = _starts(key)
+            return pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), *(pa.array(np.add.reduceat(x[order], first)) for x in (t, b))], ["w", "t", "b"])
+
+        for batch in batches:
+            target = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            for part in batch_words(batch.column(0)):
+                h, w, row = _grams(*part)
+                if len(w):
+                    own, none = target[row], np.zeros(len(w), np.int64)
+                    held.append((np.concatenate([h, w]), np.concatenate([own, none]), np.concatenate([1 - own, none])))
+                    size += len(w)
+                    if size >= _HELD:
+                        yield flush()
+                        size = 0
+        if held:
+            yield flush()
+
+    return _summed(rows.mapInArrow(count, "w long, t long, b long"), "w")
+
+
+def _entries(rows: DataFrame, buckets: int, common: Broadcast) -> DataFrame:
+    """(bucket, texts, entries): distinct bigrams of texts, packed.  All bigrams with the same
+    first word go to one bucket, but for the common first words, which the second deals."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = common.value[0]
+        held: list[np.ndarray] = []
+        texts: list[np.ndarray] = []
+        size = n_texts = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows_, texts_ = np.concatenate(held), np.concatenate(texts)
+            held.clear()
+            texts.clear()
+            by_first = _scramble(rows_["h"])
+            by_both = _scramble(_key(rows_["h"], rows_["w"]))
+            bucket = np.where(_find(known, rows_["h"]) < len(known), by_both, by_first) % np.uint64(buckets)
+            order = np.lexsort((rows_["text"], rows_["w"], rows_["h"], bucket))
+            rows_, bucket = rows_[order], bucket[order]
+            first = _starts(bucket, rows_["h"], rows_["w"], rows_["text"])
+            merged = rows_[first]
+            for m in ("t", "b"):
+                merged[m] = np.add.reduceat(rows_[m], first)
+            cuts = _starts(bucket[first])
+            for lo, hi in zip(cuts, np.append(cuts[1:], len(first))):
+                part = merged[lo:hi]
+                own, at = np.unique(part["text"], return_inverse=True)
+                part["text"] = at
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(bucket[first[lo]])], pa.int32()), pa.array([texts_[own].tobytes()], pa.binary()),
+                     pa.array([b"".join(part[f].tobytes() for f in _ENTRY.names)], pa.binary())], ["bucket", "texts", "entries"])
+
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy() for i in (0, 1)], axis=1)
+            target = batch.column(3).to_numpy(zero_copy_only=False)
+            texts.append(keys)
+            for part in batch_words(batch.column(2)):
+                h, w, row = _grams(*part)
+                new = np.zeros(len(w), _ENTRY)
+                new["h"], new["w"], new["text"] = h, w, n_texts + row
+                new["t"], new["b"] = target[row], ~target[row]
+                held.append(new)
+                size += len(w)
+                if size >= _HELD:
+                    yield from flush()
+                    size, n_texts = 0, 0
+                    texts.append(keys)
+            n_texts += len(keys)
+            if not held:
+                texts.clear()
+                n_texts = 0
+        if held:
+            yield from flush()
+
+    return rows.mapInArrow(pack, "bucket int, texts binary, entries binary")
+
+
+def _scored(batches: Iterator[pa.RecordBatch], common: Broadcast, size: int, mix: float) -> Iterator[pa.RecordBatch]:
+    """(k1, k2, n, t, b): per text of a bucket its bigrams and their losses, from a bucket's rows in a row."""
+    known, counts = common.value
+
+    def score(held: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        texts = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x, _ in held])
+        begins = np.cumsum([0, *(len(x) // 16 for x, _ in held)])
+        parts = []
+        for at, (_, packed) in zip(begins, held):
+            n = len(packed) // _ENTRY.itemsize
+            part, lo = np.empty(n, _ENTRY), 0
+            for f in _ENTRY.names:
+                width = _ENTRY[f].itemsize * n
+                part[f] = np.frombuffer(packed, _ENTRY[f], n, lo)
+                lo += width
+            part["text"] += np.uint32(at)
+            parts.append(part)
+        rows = np.concatenate(parts)
+        del parts
+        rows = rows[np.lexsort((rows["w"], rows["h"]))]
+        first, of = _runs(rows["h"])
+        pair, of_pair = _runs(rows["h"], rows["w"])
+        at = _find(known, rows["h"][first])
+        loss = []
+        for i, m in enumerate(("t", "b")):
+            n = rows[m].astype(np.int64)
+            after = np.where(at < len(known), np.append(counts[i], 0)[at], np.add.reduceat(n, first))[of]
+            chance = np.where(after > 0, mix * np.add.reduceat(n, pair)[of_pair] / np.maximum(after, 1) + (1 - mix) / size, 1 / size)
+            loss.append(-np.log(chance))
+        n = (rows["t"] + rows["b"]).astype(np.int64)
+        own, place = np.unique(texts, axis=0, return_inverse=True)
+        place = place.reshape(-1)[rows["text"]]
+        sums = [np.bincount(place, n * x, len(own)) for x in loss]
+        return pa.RecordBatch.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(np.bincount(place, n, len(own)).astype(np.int64)), *map(pa.array, sums)],
+                                          ["k1", "k2", "n", "t", "b"])
+
+    held, bucket = [], None
+    for batch in batches:
+        for b, texts, entries in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and b != bucket:
+                yield score(held)
+                held = []
+            bucket = b
+            held.append((texts, entries))
+    if held:
+        yield score(held)
+
+
+def score_corpus(df: DataFrame, target_col: str, text_col: str = "text", mix: float = 0.6, least_buckets: int = 16) -> DataFrame:
+    """Add ``n_tokens``, ``loss_target``, ``loss_background`` and ``score`` as :func:`score`
+    does, under models of these rows themselves: counting and scoring in one exchange.
+
+    p(w | h) = k c(h, w) / c(h) + (1 - k) / v: the models back off to the shared
+    vocabulary of v words (one more for the unknown), so a bigram's loss needs only what
+    lies under its first word.  A first pass counts the first words; then the distinct
+    bigrams of the texts, packed, are dealt by first word into buckets of some four million,
+    where all counts and losses follow from sorted rows.  First words of over a million
+    bigrams (and a millionth of all) are dealt by second word, their c(h) broadcast.  Texts
+    are known by a 128-bit hash, so no text is written or shuffled and equal texts share
+    their losses.
+    """
+    target = F.coalesce(F.col(target_col), F.lit(False))
+    keys = {"__t1": F.xxhash64(F.lit(1), F.coalesce(F.col(text_col), F.lit(""))), "__t2": F.xxhash64(F.lit(2), F.coalesce(F.col(text_col), F.lit("")))}
+    words = written(_history_counts(df.select(F.col(text_col).alias("text"), target.alias("target"))), "lm-words")
+    size, total = words.agg(F.count_if(F.col("w") != 0) + 1, F.coalesce(F.sum(F.col("t") + F.col("b")), F.lit(0))).first()
+    hot = words.where(F.col("t") + F.col("b") > max(_COMMON, total // 1_000_000)).toArrow()  # at most a million words
+    known = hot.column("w").to_numpy().view(np.uint64)
+    order = np.argsort(known)
+    common = df.sparkSession.sparkContext.broadcast((known[order], [hot.column(m).to_numpy()[order] for m in ("t", "b")]))
+    buckets = max(least_buckets, -(-total // _BUCKET))
+    rows = df.select(*[c.alias(k) for k, c in keys.items()], F.col(text_col).alias("text"), target.alias("target"))
+    dealt = _entries(rows, buckets, common).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    sums = dealt.mapInArrow(lambda b: _scored(b, common, size, mix), "k1 long, k2 long, n long, t double, b double")
+    sums = sums.groupBy(F.col("k1").alias("__t1"), F.col("k2").alias("__t2")).agg(*[F.sum(c).alias(f"__{c}") for c in "ntb"])
+    # equal texts were summed up together: each has its share of the tokens
+    slim = df.withColumns(keys).drop(text_col)
+    copies = slim.groupBy("__t1", "__t2").agg(F.count(F.lit(1)).alias("__copies"))
+    per_text = written(copies.join(sums, ["__t1", "__t2"]), "lm-sums")
+    mean = lambda m: F.col(f"__{m}") / F.col("__n")
+    return skew_split_join(slim, per_text, ["__t1", "__t2"], ["__t1", "__t2"]).withColumns({
+        "n_tokens": F.coalesce((F.col("__n") / F.col("__copies")).cast("long"), F.lit(0).cast("long")), "loss_target": mean("t"), "loss_background": mean("b"),
+        "score": mean("t") - mean("b")}).drop("__t1", "__t2", "__n", "__t", "__b", "__copies")

@@ -36,8 +36,7 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
     # labelled ids grow with the documents: a merge join at every size
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").hint("merge").join(good, "doc_id", "left")
-    docs = lm_score.numbered(docs.withColumn("target", F.col("target").isNotNull()))
-    return lm_score.score(docs, lm_score.fit(docs, "target"), fitted=True).drop("text")
+    return lm_score.score_corpus(docs.withColumn("target", F.col("target").isNotNull()), "target")
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

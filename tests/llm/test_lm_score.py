@@ -134,3 +134,62 @@ def test_rare_words_and_bigrams_count(spark):
         got = {r["doc_id"]: r for r in lm_score.score(df, model, hot_share=hot_share, fitted=fitted).collect()}
         assert all(math.isclose(got[i]["score"], t - b, abs_tol=1e-9) and got[i]["n_tokens"] == n for i, (n, t, b) in want.items())
     assert got[1000]["score"] < -1 < 1 < got[1002]["score"]
+
+
+def brute_corpus(docs, mix=0.6):
+    """[(tokens, target loss, background loss)] of (text, target) under the corpus's own models."""
+    pairs, firsts, vocabulary = (Counter(), Counter()), (Counter(), Counter()), set()
+    for text, target in docs:
+        w = words_of(text)
+        vocabulary |= set(w)
+        pairs[not target].update(zip([None, *w], w))
+        firsts[not target].update([None, *w][: len(w)])
+    v = len(vocabulary) + 1
+    out = []
+    for text, _ in docs:
+        w, loss = words_of(text), [0.0, 0.0]
+        for m in (0, 1):
+            for h, x in zip([None, *w], w):
+                loss[m] -= math.log(mix * pairs[m][h, x] / firsts[m][h] + (1 - mix) / v if firsts[m][h] else 1 / v)
+        out.append((len(w), *[x / len(w) if w else None for x in loss]))
+    return out
+
+
+def same_losses(got, want):
+    assert len(got) == len(want)
+    for r, (n, t, b) in zip(got, want):
+        assert r["n_tokens"] == n
+        if n:
+            assert all(math.isclose(r[c], x, rel_tol=1e-9, abs_tol=1e-9) for c, x in (("loss_target", t), ("loss_background", b), ("score", t - b)))
+        else:
+            assert r["loss_target"] is None and r["loss_background"] is None and r["score"] is None
+
+
+@pytest.mark.parametrize("sizes", [dict(), dict(_COMMON=20, _HELD=500, _BUCKET=1000), dict(_HELD=7, _PART=64)])
+def test_corpus_against_brute_force(spark, documents, monkeypatch, sizes):
+    """Also with common first words dealt by the second, texts cut anywhere and many buckets; a text in many copies."""
+    for name, value in sizes.items():
+        monkeypatch.setattr(lm_score, name, value)
+    docs = [(r["text"], r["doc_id"] % 3 == 0) for r in documents.where("doc_id < 80").collect()] + [(None, True), (" \n", False), ("", None)]
+    docs += [("the same text again and again", i % 5 == 0) for i in range(40)]
+    df = spark.createDataFrame([(i, *d) for i, d in enumerate(docs)], "i long, text string, target boolean").repartition(4)
+    got = lm_score.score_corpus(df, "target").orderBy("i").collect()
+    assert got[0].asDict().keys() == {"i", "target", "n_tokens", "loss_target", "loss_background", "score"}
+    same_losses(got, brute_corpus([(t, bool(y)) for t, y in docs]))
+
+
+def test_query_against_brute_force(spark, documents):
+    good = {r["doc_id"] for r in spark.read.parquet(f"{SMALL}/labels.parquet").where("quality = 1").collect()}
+    docs = sorted((r["doc_id"], r["text"]) for r in documents.collect())
+    got = queries.op3_lm_score(spark, SMALL).orderBy("doc_id").collect()
+    assert [r["doc_id"] for r in got] == [i for i, _ in docs] and [r["target"] for r in got] == [i in good for i, _ in docs]
+    same_losses(got, brute_corpus([(t, i in good) for i, t in docs]))
+
+
+def test_corpus_of_nasty_rows(nasty):
+    df = nasty.withColumn("target", F.when(F.col("doc_id") > 3, True))
+    out = lm_score.score_corpus(df, "target")
+    assert dict(out.dtypes)["score"] == "double" and out.columns.count("score") == 1 and out.count() == nasty.count()
+    assert out.where("n_tokens = 0 and score is not null").count() == 0 and out.where("n_tokens > 0 and score is null").count() == 0
+    assert lm_score.score_corpus(df.limit(0), "target").count() == 0
+    assert lm_score.score_corpus(df.where("text is null or text = ''"), "target").where("n_tokens <> 0").count() == 0
