@@ -26,7 +26,7 @@ from starmart.functions.grain import PERIOD
 from starmart.operators.dims import build_dimension
 from starmart.operators.facts import build_fact, fact_keys
 from starmart.plans.joins import broadcast_bound, fits_broadcast, skew_split_join
-from starmart.spec import MartSpec
+from starmart.spec import Fact, MartSpec
 
 REPORT_SCHEMA = "table_name string, column_name string, check_name string, n_violations bigint, passed boolean"
 
@@ -236,6 +236,36 @@ def check_report(spec: MartSpec, tables: Mapping[str, DataFrame], built: Mapping
     return _union(parts, next(iter(tables.values())).sparkSession if tables else None)
 
 
+def refresh_report(fact: Fact, spec: MartSpec, delta: DataFrame, current: DataFrame, dims: Mapping[str, DataFrame],
+                   broadcast_rows: int | None = None) -> DataFrame:
+    """The fact's part of :func:`check_report` after ``delta`` is merged into ``current``,
+    from the touched groups alone.
+
+    ``current`` has passed, so a violation can only be in a group of the delta: a key
+    that is NULL or that no dimension row has, or a metric that is NULL in the delta and
+    in the group it merges into.  Only the delta's keys meet the dimensions, and only its
+    groups with a NULL metric meet the current fact."""
+    keys, names = fact_keys(fact), [m.name for m in fact.metrics]
+    parts = [c for c in [column_checks(delta, fact.name, not_null=keys)] if c is not None]
+    if names:
+        some_null = F.lit(False)
+        for n in names:
+            some_null = some_null | F.col(n).isNull()
+        open_ = delta.where(some_null).select(*keys, *[F.col(n).isNull().alias(f"__null_{n}") for n in names])
+        if keys:
+            known = current.select(*[F.col(k).alias(f"__c{i}") for i, k in enumerate(keys)], *names)
+            same = F.lit(True)
+            for i, k in enumerate(keys):
+                same = same & F.col(k).eqNullSafe(F.col(f"__c{i}"))
+            met = open_.join(known, same, "left")  # one row per group on both sides
+        else:
+            met = open_.crossJoin(F.broadcast(current.select(*names)))  # a single row each
+        parts.append(column_checks(met.select(*[F.when(~F.col(f"__null_{n}") | F.col(n).isNotNull(), 1).alias(n) for n in names]), fact.name, not_null=names))
+    for key, d in spec.dimensions_of(fact):
+        parts.append(relationship_violations(delta, key, dims[d.name], d.key_column, fact.name, broadcast_rows=broadcast_rows))
+    return _union(parts, delta.sparkSession)
+
+
 def failures(report: DataFrame) -> list[dict]:
     """Failed checks to the driver (bounded by the number of checks)."""
     return [r.asDict() for r in report.where(~F.col("passed")).collect()]
@@ -244,5 +274,5 @@ def failures(report: DataFrame) -> list[dict]:
 __all__ = [
     "REPORT_SCHEMA", "MAX_ACCEPTED_VALUES", "column_checks", "not_null_counts", "accepted_values_counts",
     "unique_violations", "relationship_violations", "orphan_rows", "accepted_domains", "domains_of",
-    "check_report", "failures", "PERIOD",
+    "check_report", "refresh_report", "failures", "PERIOD",
 ]

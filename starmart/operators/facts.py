@@ -183,7 +183,11 @@ def build_fact(fact: Fact, tables: Mapping[str, DataFrame], spec: MartSpec | Non
         pre = _preaggregated(fact, tables, spec, broadcast_rows, split_hot)
         if pre is not None:
             return pre
-    rows = fact_rows(fact, tables, broadcast_rows, split_hot=split_hot)
+    return aggregate_rows(fact, fact_rows(fact, tables, broadcast_rows, split_hot=split_hot), tables, spec, states)
+
+
+def aggregate_rows(fact: Fact, rows: DataFrame, tables: Mapping[str, DataFrame], spec: MartSpec | None = None, states: bool = False) -> DataFrame:
+    """The fact of some of its rows (:func:`fact_rows`)."""
     keys = key_columns(fact, rows, tables, spec)
     metrics = [aggregate(m, rows.schema) for m in fact.metrics]
     if states:

@@ -461,3 +461,22 @@ def _determines(x: str, a: str) -> str:
 
 ORACLE_SQL["functional_dependencies"] = f"WITH wide AS ({_WIDE}) " + _union_all(_determines(x, a) for x in _WIDE_COLUMNS for a in _WIDE_COLUMNS if a != x)
 ORACLE_SQL["dim_hidden_customer"] = f"SELECT DISTINCT o_custkey, c_name, c_mktsegment, c_nationkey, n_name, n_regionkey, r_name FROM ({_WIDE}) w"
+
+ORACLE_SQL["fact_corrected"] = """
+WITH e AS (SELECT *, event_id % 3 = 0 OR EXTRACT(day FROM ts) = 7 AS gone FROM events),
+rest AS (SELECT event_id, ts, user_id, event_type, value FROM e WHERE NOT gone UNION ALL SELECT event_id, ts, user_id, 'corrected', value FROM e WHERE gone AND event_id % 2 = 0)
+SELECT CAST(date_trunc('day', ts) AS DATE) AS period, event_type, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total_value, COUNT(*) AS event_count,
+       MIN(ts) AS first_ts, MAX(ts) AS last_ts, CAST(SUM(CAST(user_id AS DECIMAL(38,0))) AS DOUBLE) / COUNT(user_id) AS avg_user, COUNT(DISTINCT user_id) AS distinct_users
+FROM rest GROUP BY 1, 2
+"""
+
+ORACLE_SQL["check_refresh"] = """
+WITH o AS (SELECT CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 50 = 0 THEN o_orderkey + 100000000 WHEN o_orderkey % 3 = 0 AND o_orderkey % 77 = 0 THEN NULL ELSE o_custkey END AS o_custkey,
+                  CASE WHEN o_orderkey % 3 <> 0 OR o_orderkey % 5 <> 0 THEN o_totalprice END AS o_totalprice, o_orderkey FROM orders),
+f AS (SELECT o_custkey, SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS total_revenue, COUNT(o_orderkey) AS order_count FROM o GROUP BY o_custkey),
+r AS (SELECT 'o_custkey' AS column_name, 'not_null' AS check_name, (SELECT COUNT(*) FROM f WHERE o_custkey IS NULL) AS n_violations
+      UNION ALL SELECT 'total_revenue', 'not_null', (SELECT COUNT(*) FROM f WHERE total_revenue IS NULL)
+      UNION ALL SELECT 'order_count', 'not_null', (SELECT COUNT(*) FROM f WHERE order_count IS NULL)
+      UNION ALL SELECT 'o_custkey', 'relationships', (SELECT COUNT(*) FROM f WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer)))
+SELECT 'fact_orders' AS table_name, column_name, check_name, n_violations, n_violations = 0 AS passed FROM r
+"""

@@ -24,6 +24,7 @@ from starmart.sinks.catalog import answer_published, publish_to_catalog, rollup_
 from starmart.sinks.publish import publish_mart, write_table
 from starmart.sources.tables import list_tables, load_tables, register_external_tables
 from starmart.spec import Fact, Intent, Join, MartSpec, Metric
+from starmart.streaming.corrections import correct_fact, write_correctable_fact
 from starmart.streaming.incremental import merge_fact, refresh_fact, refresh_partitioned_fact, write_fact
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -705,6 +706,39 @@ def fact_incremental_distinct(spark, sf_dir):
     return refresh_fact(FACT_EVENTS_DISTINCT, f"{root}/b", {"events": events.where(third == 2)}, f"{root}/c")
 
 
+FACT_EVENTS_CORRECTED = replace(FACT_EVENTS_DAILY, name="fact_events_corrected", metrics=(
+    *FACT_EVENTS_DAILY.metrics, Metric("avg_user", "avg", "user_id"), Metric("distinct_users", "count_distinct", "user_id")))
+
+
+@query("fact_corrected")
+def fact_corrected(spark, sf_dir):
+    """A third of the events is taken back (with it whole days and the extremes of
+    others), some of it comes in again under another type."""
+    events = _tables(spark, sf_dir)["events"]
+    gone = (F.col("event_id") % 3 == 0) | (F.dayofmonth("ts") == 7)
+    moved = events.where(gone & (F.col("event_id") % 2 == 0)).withColumn("event_type", F.lit("corrected"))
+    root = scratch_path(spark, "fact_events_corrected")
+    write_correctable_fact(FACT_EVENTS_CORRECTED, {"events": events}, f"{root}/a")
+    after = {"events": events.where(~gone).unionByName(moved)}
+    out = correct_fact(FACT_EVENTS_CORRECTED, f"{root}/a", {"events": moved}, {"events": events.where(gone)}, after, f"{root}/b")
+    return out.select("period", "event_type", *[m.name for m in FACT_EVENTS_CORRECTED.metrics])
+
+
+@query("check_refresh")
+def check_refresh(spark, sf_dir):
+    """The checks of a refresh whose orders partly lack a customer or a price, made on
+    the touched groups alone: the verdicts of the full report on the merged fact."""
+    t = _tables(spark, sf_dir)
+    key, old = F.col("o_orderkey"), F.col("o_orderkey") % 3 != 0
+    orders = t["orders"].withColumn("o_custkey", F.when(~old & (key % 50 == 0), key + 100_000_000).when(~old & (key % 77 == 0), None).otherwise(F.col("o_custkey")))
+    orders = orders.withColumn("o_totalprice", F.when(old | (key % 5 != 0), F.col("o_totalprice")))
+    spec, dims = CUSTOMER_ORDERS, {"dim_customer": build_dimension(M.DIM_CUSTOMER, t)}
+    fact = spec.facts[0]
+    current = write_fact(fact, {**t, "orders": orders.where(old)}, scratch_path(spark, "fact_orders_checked"), spec)
+    delta = build_fact(fact, {**t, "orders": orders.where(~old)}, spec)
+    return checks.refresh_report(fact, spec, delta, current, dims)
+
+
 @query("fact_incremental_null_period")
 def fact_incremental_null_period(spark, sf_dir):
     """The same refresh where every seventh event has no time: rows without a

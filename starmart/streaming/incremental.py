@@ -27,11 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starmart.errors import SpecError
+from starmart.errors import CheckFailedError, SpecError
 from starmart.functions.metrics import merge_published
 from starmart.operators import distinct
+from starmart.operators.checks import failures, refresh_report
 from starmart.operators.facts import build_fact, fact_keys, fact_rows
 from starmart.operators.grains import drill_across, home_of
+from starmart.session import written
 from starmart.sinks.publish import write_table
 from starmart.spec import Fact, MartSpec, Metric
 
@@ -77,10 +79,14 @@ def write_fact(fact: Fact, tables: Mapping[str, DataFrame], path: str, spec: Mar
 
 
 def refresh_fact(fact: Fact, current_path: str, delta_tables: Mapping[str, DataFrame], new_path: str,
-                 spec: MartSpec | None = None, mode: str = "error") -> DataFrame:
+                 spec: MartSpec | None = None, mode: str = "error", dims: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """Merge the fact of ``delta_tables`` into the fact at ``current_path`` and
     write the result to ``new_path`` (a new folder); returns the written table.
 
+    With ``dims`` (the published dimensions by name, and ``spec``) the new rows are
+    checked first: a refresh that would break a rule of the mart raises
+    ``CheckFailedError`` and writes nothing.
+
     Exact distinct counts merge through the sets that :func:`write_fact` or an earlier
     refresh left beside the fact: the new rows' sets are joined to them, written beside
     the new version, and counted."""
@@ -90,6 +96,9 @@ def refresh_fact(fact: Fact, current_path: str, delta_tables: Mapping[str, DataF
     plain = replace(fact, metrics=tuple(m for m in fact.metrics if m not in counted))
     keys = fact_keys(fact)
     delta = _delta(plain, delta_tables, spec, current.drop(*[m.name for m in counted]))
+    if dims is not None:
+        delta = written(delta, "delta")
+        check_refresh(plain, spec, delta, current, dims)
     results = [merge_fact(current, delta, plain, fact_rows(fact, delta_tables, split_hot=False))]
     for m in counted:
         old_ids = sets_path(current_path, m, ids=True)
@@ -105,6 +114,12 @@ def refresh_fact(fact: Fact, current_path: str, delta_tables: Mapping[str, DataF
     return spark.read.parquet(new_path)
 
 
+def check_refresh(fact: Fact, spec: MartSpec, delta: DataFrame, current: DataFrame, dims: Mapping[str, DataFrame]) -> None:
+    bad = failures(refresh_report(fact, spec, delta, current, dims))
+    if bad:
+        raise CheckFailedError(f"fact '{fact.name}': {len(bad)} check(s) fail on the new rows; the current version stays.", bad)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.parquet(path)
@@ -149,7 +164,7 @@ def _in_periods(df: DataFrame, periods: list) -> DataFrame:
 
 
 def _stage_and_overwrite(spark: SparkSession, fact: Fact, fact_path: str, tables: Mapping[str, DataFrame],
-                         stage: str, spec: MartSpec | None) -> None:
+                         stage: str, spec: MartSpec | None, dims: Mapping[str, DataFrame] | None = None) -> None:
     """Merge ``tables``' rows into the affected periods of the fact, staged in
     ``stage`` with a completion marker, then overwrite those periods.  When the
     stage is already complete (a rerun after a crash) only the overwrite is
@@ -157,7 +172,9 @@ def _stage_and_overwrite(spark: SparkSession, fact: Fact, fact_path: str, tables
     marker = f"{stage}/_stage_complete"
     current = spark.read.parquet(fact_path)
     if not _marker_done(spark, marker):
-        delta = _delta(fact, tables, spec, current)
+        delta = written(_delta(fact, tables, spec, current), "delta")
+        if dims is not None:
+            check_refresh(fact, spec, delta, current, dims)
         periods = [r["period"] for r in delta.select("period").distinct().collect()]  # one value per touched period
         merged = merge_fact(_in_periods(current, periods), delta, fact, fact_rows(fact, tables, split_hot=False))
         write_table(merged, f"{stage}/data", partition_by=["period"], mode="overwrite")
@@ -166,7 +183,7 @@ def _stage_and_overwrite(spark: SparkSession, fact: Fact, fact_path: str, tables
 
 
 def refresh_partitioned_fact(fact: Fact, fact_path: str, delta_tables: Mapping[str, DataFrame], staging_path: str,
-                             spec: MartSpec | None = None) -> list:
+                             spec: MartSpec | None = None, dims: Mapping[str, DataFrame] | None = None) -> list:
     """Merge new rows into a fact published partitioned by ``period``,
     rewriting only the periods the new rows touch.
 
@@ -179,13 +196,14 @@ def refresh_partitioned_fact(fact: Fact, fact_path: str, delta_tables: Mapping[s
     4. the staged partitions replace the affected ones with a dynamic partition
        overwrite, which reads the staging folder, never the folder it writes.
     Rerunning with the same ``staging_path`` after a crash repeats only step 4.
-    A delta without rows changes nothing.  Returns the rewritten periods, NULL
+    A delta without rows changes nothing, nor does one that fails the checks (``dims``,
+    as in :func:`refresh_fact`).  Returns the rewritten periods, NULL
     (rows without a time) last.
     """
     if fact.time_grain is None:
         raise ValueError(f"fact '{fact.name}' has no time grain to partition by; use refresh_fact")
     spark = next(iter(delta_tables.values())).sparkSession
-    _stage_and_overwrite(spark, fact, fact_path, delta_tables, staging_path.rstrip("/"), spec)
+    _stage_and_overwrite(spark, fact, fact_path, delta_tables, staging_path.rstrip("/"), spec, dims)
     staged = _staged(spark, staging_path.rstrip("/"), spark.read.parquet(fact_path).schema)
     found = [r["period"] for r in staged.select("period").distinct().collect()]
     return sorted((p for p in found if p is not None)) + [None] * (None in found)
