@@ -6,6 +6,10 @@ table; an operator that adds a column replaces one of the same name.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +28,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def squeezed(df: DataFrame, text_col: str) -> DataFrame:
+    """``df`` with ``text_col`` as Zstandard frames, to be moved or written in a third of the space."""
+    @F.arrow_udf("binary")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            yield pa.array([None if v is None else press.compress(v) for v in (x.as_py() for x in batch.cast(pa.binary()))], pa.binary())
+
+    return df.withColumn(text_col, run(F.col(text_col)))
+
+
+def unsqueezed(df: DataFrame, text_col: str) -> DataFrame:
+    """The texts of :func:`squeezed` again."""
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        press = zstandard.ZstdDecompressor()
+        for batch in batches:
+            yield pa.array([None if v is None else press.decompress(v) for v in (x.as_py() for x in batch)], pa.binary()).view(pa.string())
+
+    return df.withColumn(text_col, run(F.col(text_col)))
+
+
 def held_out(id_col: str) -> "F.Column":
     """True for the quarter of the ids that no model learns from."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))

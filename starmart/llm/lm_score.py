@@ -341,8 +341,9 @@ def score(df: DataFrame, model: CountModel, text_col: str = "text", fitted: bool
 
 # -- a corpus scored by the models of itself ------------------------------------
 
-_ENTRY = np.dtype([("h", "<u8"), ("w", "<u8"), ("text", "<u4"), ("t", "<u4"), ("b", "<u4")])
-_BUCKET = 1 << 22   # bigrams that a task scores at once
+_ENTRY = np.dtype([("h", "<u8"), ("w", "<u8"), ("text", "<u4"), ("n", "<u4")])
+_TEXT = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("target", "?")])
+_BUCKET = 1 << 21   # bigrams that a task scores at once
 _COMMON = 1 << 20   # a first word of more bigrams is dealt by the second
 
 
@@ -384,6 +385,38 @@ def _history_counts(rows: DataFrame) -> DataFrame:
     return _summed(rows.mapInArrow(count, "w long, t long, b long"), "w")
 
 
+def _pack(rows: np.ndarray) -> bytes:
+    """Entries sorted by first word: each first word once, 48 bits of a second word (they only
+    tell apart the words after one first word), the text, and a count of 255 at most."""
+    first = _starts(rows["h"])
+    wide = np.uint16 if rows["text"].max(initial=0) < 1 << 16 else np.uint32
+    after = rows["w"].copy().view(np.uint8).reshape(-1, 8)[:, 2:]
+    head = np.array([len(rows), len(first), np.dtype(wide).itemsize], np.uint32)
+    return b"".join(x.tobytes() for x in (
+        head, rows["h"][first], np.diff(np.append(first, len(rows))).astype(np.uint32), after, rows["text"].astype(wide), rows["n"].astype(np.uint8)))
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    n, n_first, wide = np.frombuffer(data, np.uint32, 3).tolist()
+    at = 12
+
+    def take(dtype: type, count: int) -> np.ndarray:
+        nonlocal at
+        out = np.frombuffer(data, dtype, count, at)
+        at += out.nbytes
+        return out
+
+    rows = np.zeros(n, _ENTRY)
+    first = take(np.uint64, n_first)
+    rows["h"] = np.repeat(first, take(np.uint32, n_first))
+    after = np.zeros((n, 8), np.uint8)
+    after[:, 2:] = take(np.uint8, 6 * n).reshape(-1, 6)
+    rows["w"] = after.view(np.uint64).reshape(-1)
+    rows["text"] = take(np.uint16 if wide == 2 else np.uint32, n)
+    rows["n"] = take(np.uint8, n)
+    return rows
+
+
 def _entries(rows: DataFrame, buckets: int, common: Broadcast) -> DataFrame:
     """(bucket, texts, entries): distinct bigrams of texts, packed.  All bigrams with the same
     first word go to one bucket, but for the common first words, which the second deals."""
@@ -403,27 +436,28 @@ def _entries(rows: DataFrame, buckets: int, common: Broadcast) -> DataFrame:
             order = np.lexsort((rows_["text"], rows_["w"], rows_["h"], bucket))
             rows_, bucket = rows_[order], bucket[order]
             first = _starts(bucket, rows_["h"], rows_["w"], rows_["text"])
-            merged = rows_[first]
-            for m in ("t", "b"):
-                merged[m] = np.add.reduceat(rows_[m], first)
-            cuts = _starts(bucket[first])
-            for lo, hi in zip(cuts, np.append(cuts[1:], len(first))):
+            merged, bucket = rows_[first], bucket[first]
+            n = np.add.reduceat(rows_["n"].astype(np.int64), first)
+            del rows_
+            times = (n + 254) // 255  # more than 255: several entries
+            merged, bucket = np.repeat(merged, times), np.repeat(bucket, times)
+            merged["n"] = 255
+            merged["n"][np.cumsum(times) - 1] = n - 255 * (times - 1)
+            cuts = _starts(bucket)
+            for lo, hi in zip(cuts, np.append(cuts[1:], len(bucket))):
                 part = merged[lo:hi]
-                own, at = np.unique(part["text"], return_inverse=True)
-                part["text"] = at
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(bucket[first[lo]])], pa.int32()), pa.array([texts_[own].tobytes()], pa.binary()),
-                     pa.array([b"".join(part[f].tobytes() for f in _ENTRY.names)], pa.binary())], ["bucket", "texts", "entries"])
+                own, part["text"] = np.unique(part["text"], return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array([int(bucket[lo])], pa.int32()), pa.array([texts_[own].tobytes()], pa.binary()), pa.array([_pack(part)], pa.binary())],
+                                                 ["bucket", "texts", "entries"])
 
         for batch in batches:
-            keys = np.stack([batch.column(i).to_numpy() for i in (0, 1)], axis=1)
-            target = batch.column(3).to_numpy(zero_copy_only=False)
+            keys = np.zeros(len(batch), _TEXT)
+            keys["k1"], keys["k2"], keys["target"] = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
             texts.append(keys)
             for part in batch_words(batch.column(2)):
                 h, w, row = _grams(*part)
                 new = np.zeros(len(w), _ENTRY)
-                new["h"], new["w"], new["text"] = h, w, n_texts + row
-                new["t"], new["b"] = target[row], ~target[row]
+                new["h"], new["w"], new["text"], new["n"] = h, w, n_texts + row, 1
                 held.append(new)
                 size += len(w)
                 if size >= _HELD:
@@ -445,35 +479,30 @@ def _scored(batches: Iterator[pa.RecordBatch], common: Broadcast, size: int, mix
     known, counts = common.value
 
     def score(held: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-        texts = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x, _ in held])
-        begins = np.cumsum([0, *(len(x) // 16 for x, _ in held)])
+        texts = np.concatenate([np.frombuffer(x, _TEXT) for x, _ in held])
+        begins = np.cumsum([0, *(len(x) // _TEXT.itemsize for x, _ in held)])
         parts = []
         for at, (_, packed) in zip(begins, held):
-            n = len(packed) // _ENTRY.itemsize
-            part, lo = np.empty(n, _ENTRY), 0
-            for f in _ENTRY.names:
-                width = _ENTRY[f].itemsize * n
-                part[f] = np.frombuffer(packed, _ENTRY[f], n, lo)
-                lo += width
-            part["text"] += np.uint32(at)
-            parts.append(part)
+            parts.append(_unpack(packed))
+            parts[-1]["text"] += np.uint32(at)
         rows = np.concatenate(parts)
         del parts
         rows = rows[np.lexsort((rows["w"], rows["h"]))]
         first, of = _runs(rows["h"])
         pair, of_pair = _runs(rows["h"], rows["w"])
         at = _find(known, rows["h"][first])
-        loss = []
-        for i, m in enumerate(("t", "b")):
-            n = rows[m].astype(np.int64)
-            after = np.where(at < len(known), np.append(counts[i], 0)[at], np.add.reduceat(n, first))[of]
-            chance = np.where(after > 0, mix * np.add.reduceat(n, pair)[of_pair] / np.maximum(after, 1) + (1 - mix) / size, 1 / size)
-            loss.append(-np.log(chance))
-        n = (rows["t"] + rows["b"]).astype(np.int64)
-        own, place = np.unique(texts, axis=0, return_inverse=True)
-        place = place.reshape(-1)[rows["text"]]
-        sums = [np.bincount(place, n * x, len(own)) for x in loss]
-        return pa.RecordBatch.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(np.bincount(place, n, len(own)).astype(np.int64)), *map(pa.array, sums)],
+        n, text = rows["n"].astype(np.int64), rows["text"]
+        del rows
+        own, place = np.unique(texts[["k1", "k2"]], return_inverse=True)
+        place = place.reshape(-1)[text]
+        target = texts["target"][text]
+        sums = []
+        for i, mine in enumerate((target, ~target)):
+            c = n * mine
+            after = np.where(at < len(known), np.append(counts[i], 0)[at], np.add.reduceat(c, first))[of]
+            chance = np.where(after > 0, mix * np.add.reduceat(c, pair)[of_pair] / np.maximum(after, 1) + (1 - mix) / size, 1 / size)
+            sums.append(np.bincount(place, n * -np.log(chance), len(own)))
+        return pa.RecordBatch.from_arrays([pa.array(own["k1"].copy()), pa.array(own["k2"].copy()), pa.array(np.bincount(place, n, len(own)).astype(np.int64)), *map(pa.array, sums)],
                                           ["k1", "k2", "n", "t", "b"])
 
     held, bucket = [], None
@@ -495,7 +524,7 @@ def score_corpus(df: DataFrame, target_col: str, text_col: str = "text", mix: fl
     p(w | h) = k c(h, w) / c(h) + (1 - k) / v: the models back off to the shared
     vocabulary of v words (one more for the unknown), so a bigram's loss needs only what
     lies under its first word.  A first pass counts the first words; then the distinct
-    bigrams of the texts, packed, are dealt by first word into buckets of some four million,
+    bigrams of the texts, packed, are dealt by first word into buckets of some two million,
     where all counts and losses follow from sorted rows.  First words of over a million
     bigrams (and a millionth of all) are dealt by second word, their c(h) broadcast.  Texts
     are known by a 128-bit hash, so no text is written or shuffled and equal texts share
@@ -503,12 +532,15 @@ def score_corpus(df: DataFrame, target_col: str, text_col: str = "text", mix: fl
     """
     target = F.coalesce(F.col(target_col), F.lit(False))
     keys = {"__t1": F.xxhash64(F.lit(1), F.coalesce(F.col(text_col), F.lit(""))), "__t2": F.xxhash64(F.lit(2), F.coalesce(F.col(text_col), F.lit("")))}
-    words = written(_history_counts(df.select(F.col(text_col).alias("text"), target.alias("target"))), "lm-words")
-    size, total = words.agg(F.count_if(F.col("w") != 0) + 1, F.coalesce(F.sum(F.col("t") + F.col("b")), F.lit(0))).first()
-    hot = words.where(F.col("t") + F.col("b") > max(_COMMON, total // 1_000_000)).toArrow()  # at most a million words
-    known = hot.column("w").to_numpy().view(np.uint64)
-    order = np.argsort(known)
-    common = df.sparkSession.sparkContext.broadcast((known[order], [hot.column(m).to_numpy()[order] for m in ("t", "b")]))
+    words = _history_counts(df.select(F.col(text_col).alias("text"), target.alias("target")))
+    n = F.col("t") + F.col("b")
+    # one pass: the least count of a common word follows from the bytes of the texts, which bound their words
+    most = df.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0] // 2 + 1
+    size, total, hot = words.agg(F.count_if(F.col("w") != 0) + 1, F.coalesce(F.sum(n), F.lit(0)),
+                                 F.collect_list(F.when(n > max(_COMMON, most // 1_000_000), F.struct("w", "t", "b")))).first()  # at most a million words
+    hot = np.array([tuple(x) for x in hot], np.int64).reshape(-1, 3)
+    hot = hot[np.argsort(hot[:, 0].view(np.uint64))] if len(hot) else hot
+    common = df.sparkSession.sparkContext.broadcast((hot[:, 0].copy().view(np.uint64), [hot[:, 1].copy(), hot[:, 2].copy()]))
     buckets = max(least_buckets, -(-total // _BUCKET))
     rows = df.select(*[c.alias(k) for k, c in keys.items()], F.col(text_col).alias("text"), target.alias("target"))
     dealt = _entries(rows, buckets, common).repartition(buckets, "bucket").sortWithinPartitions("bucket")

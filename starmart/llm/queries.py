@@ -12,7 +12,7 @@ import corpus_pipeline
 from starmart.llm import (
     bpe, embed_dedup, hard_negatives, html_extract, langid, linededup, lm_score, mixing, periodic_runs, pii, quality, simhash, topk, vectors,
 )
-from starmart.llm.common import held_out, table
+from starmart.llm.common import held_out, squeezed, table, unsqueezed, written
 from starmart.llm.labelled_pages import labelled_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,9 +34,10 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents labelled as good text are the target, all others the background."""
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
-    # labelled ids grow with the documents: a merge join at every size
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").hint("merge").join(good, "doc_id", "left")
-    return lm_score.score_corpus(docs.withColumn("target", F.col("target").isNotNull()), "target")
+    # labelled ids grow with the documents: a merge join at every size, made once, of texts in a third of their space
+    docs = squeezed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").hint("merge").join(good, "doc_id", "left")
+    docs = unsqueezed(written(docs.withColumn("target", F.col("target").isNotNull()), "lm-documents"), "text")
+    return lm_score.score_corpus(docs, "target")
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -193,3 +193,10 @@ def test_corpus_of_nasty_rows(nasty):
     assert out.where("n_tokens = 0 and score is not null").count() == 0 and out.where("n_tokens > 0 and score is null").count() == 0
     assert lm_score.score_corpus(df.limit(0), "target").count() == 0
     assert lm_score.score_corpus(df.where("text is null or text = ''"), "target").where("n_tokens <> 0").count() == 0
+
+
+def test_squeezed_texts_come_back(spark, nasty):
+    from starmart.llm.common import squeezed, unsqueezed
+    small = squeezed(nasty, "text")
+    assert dict(small.dtypes)["text"] == "binary" and small.agg(F.sum(F.octet_length("text"))).first()[0] < nasty.agg(F.sum(F.octet_length("text"))).first()[0] / 20
+    assert sorted(map(str, unsqueezed(small, "text").collect())) == sorted(map(str, nasty.collect()))
