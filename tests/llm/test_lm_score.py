@@ -198,5 +198,5 @@ def test_corpus_of_nasty_rows(nasty):
 def test_squeezed_texts_come_back(spark, nasty):
     from starmart.llm.common import squeezed, unsqueezed
     small = squeezed(nasty, "text")
-    assert dict(small.dtypes)["text"] == "binary" and small.agg(F.sum(F.octet_length("text"))).first()[0] < nasty.agg(F.sum(F.octet_length("text"))).first()[0] / 20
+    assert dict(small.dtypes)["text"] == "binary" and small.agg(F.sum(F.octet_length("text"))).first()[0] < nasty.agg(F.sum(F.octet_length("text"))).first()[0] / 10
     assert sorted(map(str, unsqueezed(small, "text").collect())) == sorted(map(str, nasty.collect()))
