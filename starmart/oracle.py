@@ -2,7 +2,6 @@
 
 The texts run on views named after the test tables.  Money sums go through
 DECIMAL and back to DOUBLE so results do not depend on summation order.
-Queries without an entry (the built proposal) get a row-count check only.
 """
 
 # Columns of the given tables that can be keys, as (name, type family).
@@ -480,3 +479,9 @@ r AS (SELECT 'o_custkey' AS column_name, 'not_null' AS check_name, (SELECT COUNT
       UNION ALL SELECT 'o_custkey', 'relationships', (SELECT COUNT(*) FROM f WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer)))
 SELECT 'fact_orders' AS table_name, column_name, check_name, n_violations, n_violations = 0 AS passed FROM r
 """
+
+ORACLE_SQL["proposed_fact"] = f"""
+SELECT l_orderkey, l_partkey, l_suppkey, CAST(SUM(l_linenumber) AS DOUBLE) AS sum_l_linenumber,
+       {", ".join(f"CAST(SUM(CAST({c} AS DECIMAL(18,2))) AS DOUBLE) AS sum_{c}" for c in _MEASURES["lineitem"])}, COUNT(*) AS row_count
+FROM lineitem GROUP BY l_orderkey, l_partkey, l_suppkey
+"""

@@ -177,8 +177,12 @@ def star_candidates(spark, sf_dir):
 
 @query("proposed_fact")
 def proposed_fact(spark, sf_dir):
-    """The best discovered proposal, built: the re-aim of a model-made proposal."""
-    t = _tables(spark, sf_dir)
+    """The best discovered proposal, built: the re-aim of a model-made proposal.  Money
+    columns are read as DECIMAL, so the proposed plain sums are exact."""
+    t = dict(_tables(spark, sf_dir))
+    for name in STAR_TABLES:
+        money = [f.name for f in t[name].schema.fields if f.dataType.typeName() == "double"]
+        t[name] = t[name].withColumns({c: F.col(c).cast("decimal(18,2)") for c in money})
     best = discover.propose_marts(t, STAR_TABLES)[0]
     return build_fact(best.facts[0], t, best)
 

@@ -23,17 +23,14 @@ def con():
     return duck(SF_SMALL)
 
 
-def test_every_query_has_an_oracle_or_is_rows_only():
-    assert set(ORACLE) <= set(QUERIES) <= set(E.queries())
-    assert set(QUERIES) - set(ORACLE) == {"proposed_fact"}
+def test_every_query_has_an_oracle():
+    assert set(ORACLE) == set(QUERIES) <= set(E.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
     r = compare(spark, con, name, QUERIES[name], ORACLE.get(name), SF_SMALL)
-    assert r["status"] in ("ok", "rows-only"), r
-    if r["status"] == "rows-only":
-        assert r["spark_rows"] > 0
+    assert r["status"] == "ok", r
 
 
 def test_entry_smoke(spark):
