@@ -344,6 +344,7 @@ def score(df: DataFrame, model: CountModel, text_col: str = "text", fitted: bool
 _ENTRY = np.dtype([("h", "<u8"), ("w", "<u8"), ("text", "<u4"), ("n", "<u4")])
 _TEXT = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("target", "?")])
 _BUCKET = 1 << 21   # bigrams that a task scores at once
+_CHUNK = 1 << 20    # bigrams packed at once
 _COMMON = 1 << 20   # a first word of more bigrams is dealt by the second
 
 
@@ -385,15 +386,25 @@ def _history_counts(rows: DataFrame) -> DataFrame:
     return _summed(rows.mapInArrow(count, "w long, t long, b long"), "w")
 
 
+def _split(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts as parts of 255 at most: how many parts each has, and the parts."""
+    times = (n + 254) // 255
+    parts = np.full(times.sum(), 255, np.int64)
+    parts[np.cumsum(times) - 1] = n - 255 * (times - 1)
+    return times, parts
+
+
 def _pack(rows: np.ndarray) -> bytes:
-    """Entries sorted by first word: each first word once, 48 bits of a second word (they only
-    tell apart the words after one first word), the text, and a count of 255 at most."""
+    """Entries sorted by first word: a first word (56 bits) and how many entries follow, 48
+    bits of a second word (they only tell apart the words after one first word), the text,
+    and a count; counts are of 255 at most."""
     first = _starts(rows["h"])
+    times, after = _split(np.diff(np.append(first, len(rows))))
     wide = np.uint16 if rows["text"].max(initial=0) < 1 << 16 else np.uint32
-    after = rows["w"].copy().view(np.uint8).reshape(-1, 8)[:, 2:]
-    head = np.array([len(rows), len(first), np.dtype(wide).itemsize], np.uint32)
+    high = lambda x, n: x.copy().view(np.uint8).reshape(-1, 8)[:, 8 - n :]
+    head = np.array([len(rows), len(after), np.dtype(wide).itemsize], np.uint32)
     return b"".join(x.tobytes() for x in (
-        head, rows["h"][first], np.diff(np.append(first, len(rows))).astype(np.uint32), after, rows["text"].astype(wide), rows["n"].astype(np.uint8)))
+        head, high(np.repeat(rows["h"][first], times), 7), after.astype(np.uint8), high(rows["w"], 6), rows["text"].astype(wide), rows["n"].astype(np.uint8)))
 
 
 def _unpack(data: bytes) -> np.ndarray:
@@ -406,12 +417,15 @@ def _unpack(data: bytes) -> np.ndarray:
         at += out.nbytes
         return out
 
+    def words(bytes_: int, count: int) -> np.ndarray:
+        out = np.zeros((count, 8), np.uint8)
+        out[:, 8 - bytes_ :] = take(np.uint8, bytes_ * count).reshape(-1, bytes_)
+        return out.view(np.uint64).reshape(-1)
+
     rows = np.zeros(n, _ENTRY)
-    first = take(np.uint64, n_first)
-    rows["h"] = np.repeat(first, take(np.uint32, n_first))
-    after = np.zeros((n, 8), np.uint8)
-    after[:, 2:] = take(np.uint8, 6 * n).reshape(-1, 6)
-    rows["w"] = after.view(np.uint64).reshape(-1)
+    first = words(7, n_first)
+    rows["h"] = np.repeat(first, take(np.uint8, n_first))
+    rows["w"] = words(6, n)
     rows["text"] = take(np.uint16 if wide == 2 else np.uint32, n)
     rows["n"] = take(np.uint8, n)
     return rows
@@ -435,14 +449,14 @@ def _entries(rows: DataFrame, buckets: int, common: Broadcast) -> DataFrame:
             bucket = np.where(_find(known, rows_["h"]) < len(known), by_both, by_first) % np.uint64(buckets)
             order = np.lexsort((rows_["text"], rows_["w"], rows_["h"], bucket))
             rows_, bucket = rows_[order], bucket[order]
+            del order, by_first, by_both
             first = _starts(bucket, rows_["h"], rows_["w"], rows_["text"])
             merged, bucket = rows_[first], bucket[first]
             n = np.add.reduceat(rows_["n"].astype(np.int64), first)
             del rows_
-            times = (n + 254) // 255  # more than 255: several entries
+            times, n = _split(n)
             merged, bucket = np.repeat(merged, times), np.repeat(bucket, times)
-            merged["n"] = 255
-            merged["n"][np.cumsum(times) - 1] = n - 255 * (times - 1)
+            merged["n"] = n
             cuts = _starts(bucket)
             for lo, hi in zip(cuts, np.append(cuts[1:], len(bucket))):
                 part = merged[lo:hi]
@@ -460,7 +474,7 @@ def _entries(rows: DataFrame, buckets: int, common: Broadcast) -> DataFrame:
                 new["h"], new["w"], new["text"], new["n"] = h, w, n_texts + row, 1
                 held.append(new)
                 size += len(w)
-                if size >= _HELD:
+                if size >= _CHUNK:
                     yield from flush()
                     size, n_texts = 0, 0
                     texts.append(keys)
@@ -477,6 +491,7 @@ def _entries(rows: DataFrame, buckets: int, common: Broadcast) -> DataFrame:
 def _scored(batches: Iterator[pa.RecordBatch], common: Broadcast, size: int, mix: float) -> Iterator[pa.RecordBatch]:
     """(k1, k2, n, t, b): per text of a bucket its bigrams and their losses, from a bucket's rows in a row."""
     known, counts = common.value
+    known = known >> np.uint64(8) << np.uint64(8)  # first words come in 56 bits
 
     def score(held: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
         texts = np.concatenate([np.frombuffer(x, _TEXT) for x, _ in held])

@@ -165,13 +165,13 @@ def same_losses(got, want):
             assert r["loss_target"] is None and r["loss_background"] is None and r["score"] is None
 
 
-@pytest.mark.parametrize("sizes", [dict(), dict(_COMMON=20, _HELD=500, _BUCKET=1000), dict(_HELD=7, _PART=64)])
+@pytest.mark.parametrize("sizes", [dict(), dict(_COMMON=20, _CHUNK=500, _HELD=300, _BUCKET=1000), dict(_CHUNK=7, _HELD=7, _PART=64)])
 def test_corpus_against_brute_force(spark, documents, monkeypatch, sizes):
     """Also with common first words dealt by the second, texts cut anywhere and many buckets; a text in many copies."""
     for name, value in sizes.items():
         monkeypatch.setattr(lm_score, name, value)
     docs = [(r["text"], r["doc_id"] % 3 == 0) for r in documents.where("doc_id < 80").collect()] + [(None, True), (" \n", False), ("", None)]
-    docs += [("the same text again and again", i % 5 == 0) for i in range(40)]
+    docs += [("the same text again and again", i % 5 == 0) for i in range(40)] + [("many " * 700 + " ".join(f"many x{i}" for i in range(600)), True)]
     df = spark.createDataFrame([(i, *d) for i, d in enumerate(docs)], "i long, text string, target boolean").repartition(4)
     got = lm_score.score_corpus(df, "target").orderBy("i").collect()
     assert got[0].asDict().keys() == {"i", "target", "n_tokens", "loss_target", "loss_background", "score"}
