@@ -485,3 +485,12 @@ SELECT l_orderkey, l_partkey, l_suppkey, CAST(SUM(l_linenumber) AS DOUBLE) AS su
        {", ".join(f"CAST(SUM(CAST({c} AS DECIMAL(18,2))) AS DOUBLE) AS sum_{c}" for c in _MEASURES["lineitem"])}, COUNT(*) AS row_count
 FROM lineitem GROUP BY l_orderkey, l_partkey, l_suppkey
 """
+
+_REVENUE_BY = "CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS value"
+ORACLE_SQL["intent_navigated"] = f"""
+WITH o AS (SELECT *, CAST(date_trunc('year', o_orderdate) AS DATE) AS y FROM orders LEFT JOIN ({_GEO}) g ON o_custkey = c_custkey)
+SELECT 'by_priority_yearly' AS fact, y AS period, o_orderpriority AS label, {_REVENUE_BY} FROM o GROUP BY 2, 3
+UNION ALL SELECT 'by_customer_yearly', y, r_name, {_REVENUE_BY} FROM o WHERE y >= DATE '1995-01-01' GROUP BY 2, 3
+UNION ALL SELECT 'finished_yearly', y, r_name, {_REVENUE_BY} FROM o WHERE o_orderstatus = 'F' GROUP BY 2, 3
+UNION ALL SELECT 'by_customer_daily', CAST(date_trunc('quarter', o_orderdate) AS DATE), r_name, CAST(COUNT(DISTINCT o_orderpriority) AS DOUBLE) FROM o GROUP BY 2, 3
+"""

@@ -20,7 +20,7 @@ from starmart.operators.facts import build_fact, build_fact_states, fact_rows
 from starmart.operators.star import answer, rollup_states, star_rollup
 from starmart.plans import tpch_mart as M
 from starmart.session import scratch_path
-from starmart.sinks.catalog import answer_published, publish_to_catalog, rollup_published
+from starmart.sinks.catalog import answer_from_mart, answer_published, facts_for, publish_to_catalog, rollup_published
 from starmart.sinks.publish import publish_mart, write_table
 from starmart.sources.tables import list_tables, load_tables, register_external_tables
 from starmart.spec import Fact, Intent, Join, MartSpec, Metric
@@ -605,6 +605,43 @@ def intent_published(spark, sf_dir):
     return answer_published(spark, intent, SEGMENT_GEO_MART, db, "fact_orders_monthly", tables=t)
 
 
+NAVIGATED_MART = MartSpec(
+    "navigated",
+    facts=(
+        Fact("by_customer_daily", ("orders",), (M.REVENUE, M.ORDER_COUNT, Metric("priorities", "count_distinct", "o_orderpriority")), ("o_custkey", "o_orderpriority"),
+             key_map={"o_custkey": ("dim_customer", "dim_customer_geo")}, time_column="o_orderdate", time_grain="daily"),
+        Fact("by_customer_yearly", ("orders",), (M.REVENUE, M.ORDER_COUNT), ("o_custkey",), key_map={"o_custkey": ("dim_customer", "dim_customer_geo")},
+             time_column="o_orderdate", time_grain="yearly"),
+        Fact("by_priority_yearly", ("orders",), (M.REVENUE,), ("o_orderpriority",), time_column="o_orderdate", time_grain="yearly"),
+        Fact("finished_yearly", ("orders",), (M.REVENUE, M.ORDER_COUNT), ("o_custkey",), key_map={"o_custkey": ("dim_customer", "dim_customer_geo")},
+             time_column="o_orderdate", time_grain="yearly", filters={"o_orderstatus": "F"}),
+    ),
+    dimensions=(M.DIM_CUSTOMER, M.DIM_CUSTOMER_GEO),
+)
+
+
+@query("intent_navigated")
+def intent_navigated(spark, sf_dir):
+    """Intents answered from whichever published fact is the smallest that can: revenue
+    by priority, by region, by region of finished orders, and distinct priorities by quarter."""
+    t = _tables(spark, sf_dir)
+    db = f"starmart_nav_{uuid.uuid4().hex[:8]}"
+    publish_to_catalog(NAVIGATED_MART, t, db, f"{scratch_path(spark, 'warehouse')}/{db}", buckets=4, check=False)
+    asked = [
+        (Intent(("total_revenue",), ("o_orderpriority",), time_granularity="yearly"), "by_priority_yearly"),
+        (Intent(("total_revenue",), ("r_name",), {"year_from": "1995"}, "yearly"), "by_customer_yearly"),
+        (Intent(("total_revenue",), ("r_name",), {"o_orderstatus": "F"}, "yearly"), "finished_yearly"),
+        (Intent(("priorities",), ("r_name",), time_granularity="quarterly"), "by_customer_daily"),
+    ]
+    out = None
+    for intent, _ in asked:
+        fact = facts_for(spark, intent, NAVIGATED_MART, db)[0]
+        part = answer_from_mart(spark, intent, NAVIGATED_MART, db, t)
+        part = part.select(F.lit(fact).alias("fact"), "period", F.col(intent.required_dimensions[0]).alias("label"), F.col(intent.required_metrics[0]).cast("double").alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 INCREMENTAL_SPLIT = "2024-01-16"
 
 

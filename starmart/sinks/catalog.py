@@ -19,17 +19,18 @@ from typing import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starmart.errors import CheckFailedError, IntentError
+from starmart.errors import CheckFailedError, IntentError, NonAdditiveMetricError, SpecError
 from starmart.functions.grain import PERIOD, period
-from starmart.functions.metrics import merge_published
+from starmart.functions.metrics import merge_published, state_name
 from starmart.operators import distinct
 from starmart.operators.checks import check_report, failures
 from starmart.operators.dims import build_dimension
 from starmart.operators.facts import apply_filters, build_fact, fact_keys, fact_rows
 from starmart.operators.grains import drill_across
-from starmart.operators.star import attribute_column, check_grain, output_names, resolve_attributes
+from starmart.operators.profile import stats_row_counts
+from starmart.operators.star import answer, attribute_column, check_grain, output_names, resolve_attributes
 from starmart.plans.joins import broadcast_bound, fits_broadcast, unique_on
-from starmart.spec import YEAR_FROM, Intent, MartSpec, validate_intent, validate_spec
+from starmart.spec import YEAR_FROM, Fact, Intent, MartSpec, Metric, validate_intent, validate_spec
 
 
 def _q(name: str) -> str:
@@ -38,11 +39,16 @@ def _q(name: str) -> str:
 
 # View property: the key column whose uniqueness the checks of this run have proven.
 UNIQUE = "starmart.unique"
+# View property: the rows of the published table, from its statistics.
+ROWS = "starmart.rows"
+
+
+def _property(spark: SparkSession, view: str, name: str) -> str | None:
+    return {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {view}").collect()}.get(name)
 
 
 def _proven_unique(spark: SparkSession, view: str, key: str) -> bool:
-    row = spark.sql(f"SHOW TBLPROPERTIES {view} ('{UNIQUE}')").first()
-    return row is not None and row["value"] == key
+    return _property(spark, view, UNIQUE) == key
 
 
 def ensure_database(spark: SparkSession, database: str, location: str) -> None:
@@ -110,12 +116,14 @@ def publish_to_catalog(spec: MartSpec, tables: Mapping[str, DataFrame], database
         if bad:
             raise CheckFailedError(f"mart '{spec.mart_name}' run {run_id}: {len(bad)} check(s) failed; "
                                    f"views not moved.", bad)
+    rows = {r["table_name"]: r["row_count"] for r in stats_row_counts(spark, [f"{n}__{run_id}" for n in written], database).collect()} if analyze else {}
     views = {}
     for logical, physical in written.items():
         view = f"{_q(database)}.{_q(logical)}"
         key = next((d.key_column for d in spec.dimensions if d.name == logical), None)
-        proven = f" TBLPROPERTIES ('{UNIQUE}' = '{key}')" if check and key is not None else ""
-        spark.sql(f"CREATE OR REPLACE VIEW {view}{proven} AS SELECT * FROM {physical}")
+        known = {UNIQUE: key if check else None, ROWS: rows.get(f"{logical}__{run_id}")}
+        known = ", ".join(f"'{k}' = '{v}'" for k, v in known.items() if v is not None)
+        spark.sql(f"CREATE OR REPLACE VIEW {view}{f' TBLPROPERTIES ({known})' if known else ''} AS SELECT * FROM {physical}")
         views[view] = physical
     return views
 
@@ -202,3 +210,66 @@ def answer_published(spark: SparkSession, intent: Intent, spec: MartSpec, databa
     return rollup_published(spark, spec, database, fact_name, intent.required_dimensions,
                             grain=intent.time_granularity, broadcast_rows=broadcast_rows, tables=tables,
                             filters=intent.filters)
+
+
+# -- choosing the fact ---------------------------------------------------------
+
+def _mergeable(spark: SparkSession, fact: Fact, metrics: Sequence[Metric], database: str) -> bool:
+    columns = spark.table(f"{_q(database)}.{_q(fact.name)}").columns
+    for m in metrics:
+        if m in distinct.set_metrics(fact):
+            if not spark.catalog.tableExists(f"{_q(database)}.{_q(sets_name(fact.name, m.name))}"):
+                return False
+        elif m.aggregation == "avg" or m.approximate:
+            if m.expression is not None or state_name(m, "hll" if m.approximate else "s") not in columns:
+                return False
+        elif not m.is_additive:
+            return False
+    return True
+
+
+def facts_for(spark: SparkSession, intent: Intent, spec: MartSpec, database: str) -> list[str]:
+    """Published facts that can answer ``intent`` exactly, the smallest first.
+
+    A fact can if it has every metric in a form that merges, holds the rows the intent
+    asks for (its own fixed filters are among the intent's), has periods that lie inside
+    the intent's, and reaches every attribute and every remaining filter by its keys.
+    Facts that define a metric of the same name differently are ambiguous.  Sizes are the
+    rows counted when a fact was published; nothing is read."""
+    validate_intent(intent)
+    defined: dict[str, set[Metric]] = {}
+    for f in spec.facts:
+        for m in f.metrics:
+            defined.setdefault(m.name, set()).add(replace(m, description=""))
+    unclear = sorted(r for r in intent.required_metrics if len(defined.get(r, ())) > 1)
+    if unclear:
+        raise IntentError(f"Metrics {unclear} are defined differently in several facts; name the fact.")
+    fitting = []
+    for f in spec.facts:
+        left = {k: v for k, v in intent.filters.items() if k not in f.filters}
+        if any(intent.filters.get(k) != v for k, v in f.filters.items()) or not all(any(m.name == r for m in f.metrics) for r in intent.required_metrics):
+            continue
+        if not spark.catalog.tableExists(f"{_q(database)}.{_q(f.name)}") or not _mergeable(spark, f, [f.metric(r) for r in intent.required_metrics], database):
+            continue
+        if YEAR_FROM in left and (f.time_grain in (None, "weekly")):
+            continue
+        try:
+            check_grain(f, intent.time_granularity)
+            resolve_attributes([*intent.required_dimensions, *(k for k in left if k != YEAR_FROM)], f, spec, fact_keys(f))
+        except (IntentError, SpecError, NonAdditiveMetricError):
+            continue
+        rows = _property(spark, f"{_q(database)}.{_q(f.name)}", ROWS)
+        fitting.append((float("inf") if rows is None else int(rows), f.name))
+    return [name for _, name in sorted(fitting)]
+
+
+def answer_from_mart(spark: SparkSession, intent: Intent, spec: MartSpec, database: str, tables: Mapping[str, DataFrame],
+                     broadcast_rows: int | None = None) -> DataFrame:
+    """``intent`` from the smallest published fact that can answer it, else from the sources;
+    the plan of the result names what is read."""
+    names = facts_for(spark, intent, spec, database)
+    if not names:
+        return answer(intent, spec, tables, broadcast_rows=broadcast_rows)
+    own = spec.fact(names[0]).filters
+    rest = replace(intent, filters={k: v for k, v in intent.filters.items() if k not in own})
+    return answer_published(spark, rest, spec, database, names[0], tables=tables, broadcast_rows=broadcast_rows)

@@ -157,3 +157,31 @@ def test_an_average_on_a_stream(spark, tmp_path):
         start_fact_stream(spark, fact, "ticks", src, spark.createDataFrame([], schema).schema, f"{tmp_path}/mart", f"{tmp_path}/cp").awaitTermination()
         want = build_fact(fact, {"ticks": spark.createDataFrame(seen, schema)})
         assert rows(read_current(spark, f"{tmp_path}/mart").select("k", "mean", "n")) == rows(want)
+
+
+def test_the_smallest_fact_that_can_answer(spark, shop, tmp_path):
+    """One intent from three facts and from the sources, with equal results; the plan names the fact."""
+    from starmart.sinks.catalog import answer_from_mart, facts_for
+    revenue, n = Metric("revenue", "sum", "price"), Metric("n", "count")
+    facts = tuple(Fact(name, ("orders",), ms, keys, key_map={"customer_id": "dim_customer"} if "customer_id" in keys else {}, time_column="day", time_grain=grain, filters=filters)
+                  for name, ms, keys, grain, filters in (
+                      ("wide_daily", (revenue, n, Metric("customers", "count_distinct", "customer_id")), ("customer_id", "status", "order_id"), "daily", {}),
+                      ("monthly", (revenue, n), ("customer_id", "status"), "monthly", {}), ("yearly", (revenue,), ("customer_id",), "yearly", {}), ("weekly", (revenue,), ("customer_id",), "weekly", {}),
+                      ("finished", (revenue, n), ("customer_id",), "monthly", {"status": "F"})))
+    spec = replace(MART, facts=facts)
+    publish_to_catalog(spec, shop, "nav_mart", f"{tmp_path}/nav_mart", buckets=1, check=False)
+    choose = lambda i: facts_for(spark, i, spec, "nav_mart")
+    yearly = Intent(("revenue",), ("area",), time_granularity="yearly")
+    assert choose(yearly)[0] == "yearly" and set(choose(yearly)) == {"yearly", "monthly", "wide_daily"}
+    assert choose(replace(yearly, time_granularity="weekly")) == ["weekly", "wide_daily"]
+    assert choose(replace(yearly, required_dimensions=("status",))) == ["monthly", "wide_daily"]
+    assert choose(replace(yearly, filters={"status": "F"})) == ["finished", "monthly", "wide_daily"]
+    assert choose(Intent(("customers",), ("status",), time_granularity="yearly")) == ["wide_daily"]
+    assert choose(Intent(("revenue",), ("product_id",), time_granularity="yearly")) == []
+    for intent in (yearly, replace(yearly, filters={"status": "F"}), replace(yearly, filters={"year_from": "2024"})):
+        got = answer_from_mart(spark, intent, spec, "nav_mart", shop)
+        assert choose(intent)[0] in got._jdf.queryExecution().toString()
+        want = answer(intent, replace(spec, facts=facts[:1]), shop, fact_name="wide_daily")
+        assert rows(got) == rows(want) and got.count()
+    with pytest.raises(IntentError, match="defined differently"):
+        facts_for(spark, yearly, replace(spec, facts=(*facts, replace(facts[0], name="x", metrics=(Metric("revenue", "max", "price"),)))), "nav_mart")
