@@ -489,7 +489,7 @@ def _entries(rows: DataFrame, buckets: int, common: Broadcast) -> DataFrame:
 
 
 def _scored(batches: Iterator[pa.RecordBatch], common: Broadcast, size: int, mix: float) -> Iterator[pa.RecordBatch]:
-    """(k1, k2, n, t, b): per text of a bucket its bigrams and their losses, from a bucket's rows in a row."""
+    """(k1, k2, n, t, b): per text of a bucket its bigrams and their losses; the rows are a bucket's."""
     known, counts = common.value
     known = known >> np.uint64(8) << np.uint64(8)  # first words come in 56 bits
 
@@ -497,8 +497,8 @@ def _scored(batches: Iterator[pa.RecordBatch], common: Broadcast, size: int, mix
         texts = np.concatenate([np.frombuffer(x, _TEXT) for x, _ in held])
         begins = np.cumsum([0, *(len(x) // _TEXT.itemsize for x, _ in held)])
         parts = []
-        for at, (_, packed) in zip(begins, held):
-            parts.append(_unpack(packed))
+        for at in begins[:-1]:
+            parts.append(_unpack(held.pop(0)[1]))
             parts[-1]["text"] += np.uint32(at)
         rows = np.concatenate(parts)
         del parts
@@ -520,14 +520,7 @@ def _scored(batches: Iterator[pa.RecordBatch], common: Broadcast, size: int, mix
         return pa.RecordBatch.from_arrays([pa.array(own["k1"].copy()), pa.array(own["k2"].copy()), pa.array(np.bincount(place, n, len(own)).astype(np.int64)), *map(pa.array, sums)],
                                           ["k1", "k2", "n", "t", "b"])
 
-    held, bucket = [], None
-    for batch in batches:
-        for b, texts, entries in zip(*(c.to_pylist() for c in batch.columns)):
-            if held and b != bucket:
-                yield score(held)
-                held = []
-            bucket = b
-            held.append((texts, entries))
+    held = [(texts.as_py(), entries.as_py()) for batch in batches for texts, entries in zip(*batch.columns[1:])]
     if held:
         yield score(held)
 
@@ -558,7 +551,7 @@ def score_corpus(df: DataFrame, target_col: str, text_col: str = "text", mix: fl
     common = df.sparkSession.sparkContext.broadcast((hot[:, 0].copy().view(np.uint64), [hot[:, 1].copy(), hot[:, 2].copy()]))
     buckets = max(least_buckets, -(-total // _BUCKET))
     rows = df.select(*[c.alias(k) for k, c in keys.items()], F.col(text_col).alias("text"), target.alias("target"))
-    dealt = _entries(rows, buckets, common).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = _entries(rows, buckets, common).repartitionById(buckets, "bucket")  # a bucket a task
     sums = dealt.mapInArrow(lambda b: _scored(b, common, size, mix), "k1 long, k2 long, n long, t double, b double")
     sums = sums.groupBy(F.col("k1").alias("__t1"), F.col("k2").alias("__t2")).agg(*[F.sum(c).alias(f"__{c}") for c in "ntb"])
     # equal texts were summed up together: each has its share of the tokens
