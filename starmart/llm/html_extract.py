@@ -11,8 +11,16 @@ the difference between observed features and those expected under the marginals
 of nodes and edges.
 
 Text: character references are decoded, white space inside a block becomes one
-space, blocks are trimmed and joined by ``\\n`` in page order.  Scripts, styles and
-the like are no text.  Inline elements do not split a block, block elements do.
+space, blocks are trimmed and joined by ``\\n`` in page order.  Scripts, styles,
+templates and fields of forms are no text; formulas, drawings, buttons and what stands
+in for an unsupported element are, if their nodes are content.  Inline elements do
+not split a block, block elements do.
+
+A tag ends at the first ``>`` outside a quoted value, or at the first one at all if
+a quote is never closed.  A head ends with ``</head>``, or at a tag or text that
+cannot stand in it.  Time is linear in the length of a page, however broken: no
+quote is scanned twice in vain, and an end tag finds its start tag by the positions
+kept for each name.
 
 Defined results: a null or empty page, and one without content, gives an empty text;
 broken markup is closed as far as needed (an end tag closes up to its start tag, or
@@ -35,17 +43,20 @@ from pyspark.sql import functions as F
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style noscript template head title textarea select iframe object svg math canvas audio video button datalist map".split())
-RAW = frozenset("script style textarea title iframe noscript".split())
+SKIPPED = frozenset("script style template head title textarea select iframe datalist".split())
+RAW = frozenset("script style textarea title iframe".split())
+IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
+FOREIGN = ("svg", "math")  # where a tag that ends in "/>" has no end tag
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img input".split())
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img input"
+    " math mi mn mo ms mtext mrow msub msup msubsup mfrac msqrt mroot munder mover munderover semantics svg g text tspan".split())
 # An opening tag of the key closes an open element of the value, looking no higher than the scope.
 CLOSES = {
     **{t: ("p",) for t in "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split()},
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
     "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "thead", "tbody"), "option": ("option",), "body": ("head",),
 }
-SCOPE = frozenset("html body table td th ul ol dl div section article main aside nav header footer form blockquote figure".split())
+SCOPE = frozenset("html body table td th ul ol dl div section article main aside nav header footer form blockquote figure button object svg".split())
 LIST_SCOPE = {"li": frozenset(("ul", "ol", "menu")), "dt": frozenset(("dl",)), "dd": frozenset(("dl",)), "tr": frozenset(("table",)),
               "td": frozenset(("tr", "table")), "th": frozenset(("tr", "table")), "tbody": frozenset(("table",)), "tfoot": frozenset(("table",))}
 
@@ -65,8 +76,11 @@ STEMS = {
 }
 _STEM = {w: kind for kind, words in STEMS.items() for w in words.split()}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(\bhidden\b)")
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)", re.S)
+_TAG_PART = re.compile(r">|=\s*+([\"'])")
+_ATTR = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++))|(\bhidden\b)")
+_ZEROS = re.compile(r"&#0+(?=[0-9])")
+_NO_CHAR = re.compile(r"&#[1-9][0-9]{7,};?")
 _NAME = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
@@ -91,7 +105,6 @@ class Page:
     blocks: list[tuple[int, str]] = field(default_factory=list)  # (node, text) in page order
 
 
-@functools.lru_cache(maxsize=1 << 16)
 def _attribute_features(tag: str, attributes: str) -> tuple[tuple[str, ...], int | None]:
     found, label = [f"tag={tag}"], None
     for name, a, b, c, hidden in _ATTR.findall(attributes):
@@ -106,18 +119,63 @@ def _attribute_features(tag: str, attributes: str) -> tuple[tuple[str, ...], int
     return tuple(dict.fromkeys(found)), label
 
 
+_common_features = functools.lru_cache(maxsize=1 << 14)(_attribute_features)
+
+
+def _decode(text: str) -> str:
+    """Character references decoded; a number beyond all characters is the replacement character."""
+    if "&#" in text:
+        text = _NO_CHAR.sub("\ufffd", _ZEROS.sub("&#", text))
+    return html.unescape(text)
+
+
+class _TagEnds:
+    """Where tags end.  Quotes from which the page's end was reached are kept, so none is followed twice."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.last, self.dead = text, text.rfind(">"), set()
+        self.quotes = {q: text.rfind(q) for q in "\"'"}
+
+    def after(self, at: int) -> int:
+        """The position of the ``>`` that ends a tag whose attributes begin at ``at``; -1 if there is none."""
+        if at > self.last:
+            return -1
+        opened, i = [], at
+        while (m := _TAG_PART.search(self.text, i)) is not None:
+            if not m[1]:
+                return m.start()
+            opened.append(m.end())
+            if m.end() in self.dead or self.quotes[m[1]] < m.end():
+                break
+            i = self.text.find(m[1], m.end()) + 1
+        self.dead.update(opened)
+        return self.text.find(">", at)
+
+
 def parse(source: str | None) -> Page:
     """The tree of a page's grouping elements, and its text blocks."""
     page = Page([Node(-1, "root", ["tag=root"])])
     stack: list[tuple[str, int]] = [("root", 0)]  # open elements and their nodes (inline ones have their parent's)
     parts: list[str] = []
+    open_at: dict[str, list[int]] = {}  # places in the stack, by tag
+    blocks_at: list[int] = [0]  # and those of its block elements
     links = skipped = 0
     text = source or ""
+    ends_of = _TagEnds(text)
     at = 0
 
+    def top(tags) -> int:
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
+
+    def push(tag: str, node: int) -> None:
+        open_at.setdefault(tag, []).append(len(stack))
+        if tag not in INLINE:
+            blocks_at.append(len(stack))
+        stack.append((tag, node))
+
     def flush() -> None:
         if parts:
-            block = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
+            block = _SPACE.sub(" ", _decode("".join(parts))).strip()
             parts.clear()
             if block:
                 node = page.nodes[stack[-1][1]]
@@ -126,6 +184,8 @@ def parse(source: str | None) -> Page:
                 page.blocks.append((stack[-1][1], block))
 
     def add(piece: str) -> None:
+        if stack[-1][0] == "head" and piece.strip():
+            pop(len(stack) - 1)
         if piece and not skipped:
             parts.append(piece)
             if links:
@@ -133,62 +193,70 @@ def parse(source: str | None) -> Page:
 
     def pop(to: int) -> None:
         nonlocal links, skipped
-        for tag, _ in stack[to:]:
+        if blocks_at[-1] >= to:
+            flush()
+        while len(stack) > to:
+            tag, _ = stack.pop()
+            open_at[tag].pop()
             links -= tag == "a"
             skipped -= tag in SKIPPED
-        if any(tag not in INLINE for tag, _ in stack[to:]):
-            flush()
-        del stack[to:]
+        while blocks_at[-1] >= to:
+            blocks_at.pop()
 
     while (m := _TOKEN.search(text, at)) is not None:
-        add(text[at : m.start()])
-        at = m.end()
         tag = (m[2] or "").lower()
+        end = ends_of.after(m.end()) if tag else m.end() - 1
+        if end < 0:  # no tag ends from here on: the rest is text
+            break
+        add(text[at : m.start()])
+        at = end + 1
         if not tag:
             continue
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break  # a stray end of an inline element does not close blocks
+            k = top((tag,))
+            if k and (tag not in INLINE or k > blocks_at[-1]):  # a stray end of an inline element does not close blocks
+                pop(k)
             if tag == "p" and not skipped:
                 flush()
             continue
+        if tag not in IN_HEAD and (k := top(("head",))) > top(("template",)):
+            pop(k)
         if tag in VOID:
             if tag in ("br", "wbr", "img", "input"):
                 add(" " if tag != "wbr" else "")
             else:
                 flush()
             continue
+        closed = text[end - 1] == "/"
+        if closed and top(FOREIGN):
+            continue
         if tag in CLOSES:
             ends, scope = CLOSES[tag], LIST_SCOPE.get(tag, SCOPE)
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in ends:
-                    pop(k)
-                    if tag not in ("tbody", "tfoot", "tr"):
-                        break
-                elif stack[k][0] in scope:
+            while (k := top(ends)) > top(scope):
+                pop(k)
+                if tag not in ("tbody", "tfoot", "tr"):
                     break
         if tag in SKIPPED:
             skipped += 1
-            stack.append((tag, stack[-1][1]))
+            push(tag, stack[-1][1])
             if tag in RAW:
-                end = _RAW_END[tag].search(text, at)
-                at = end.start() if end else len(text)
+                stop = _RAW_END[tag].search(text, at)
+                at = stop.start() if stop else len(text)
             continue
-        if m[3].endswith("/") and tag not in INLINE and tag in ("svg", "path"):
+        if closed and tag in FOREIGN:
             continue
+        if tag == "text":  # labels of a drawing stand apart
+            add(" ")
         node = stack[-1][1]
         if tag not in INLINE:
             flush()
             if not skipped:
-                features, label = _attribute_features(tag, m[3])
+                attributes = text[m.end() : end]
+                features, label = (_common_features if len(attributes) < 512 else _attribute_features)(tag, attributes)
                 page.nodes.append(Node(node, tag, list(features), label=label))
                 node = len(page.nodes) - 1
         links += tag == "a"
-        stack.append((tag, node))
+        push(tag, node)
     add(text[at:])
     pop(1)
     flush()
@@ -260,8 +328,7 @@ class Forest:
         """Sum-product: P(label) of each node, P(parent's label, label) of each edge."""
         n = len(self.parent)
         up, message = self.score.copy(), np.zeros((n, 2))
-        deepest = int(self.depth.max(initial=0))
-        levels = [np.flatnonzero(self.depth == d) for d in range(deepest + 1)]
+        levels = np.split(np.argsort(self.depth, kind="stable"), np.cumsum(np.bincount(self.depth))[:-1])
         for at in reversed(levels[1:]):  # children tell their parents
             joint = self.pair[at] + up[at][:, None, :]
             message[at] = np.logaddexp(joint[:, :, 0], joint[:, :, 1])

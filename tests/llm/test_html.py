@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -97,3 +98,46 @@ def test_labels_of_real_pages(model, value):
     source = "<article><h1>A title of it</h1><p>Prose of some length, with words; and more of it.</p><table><tr><td {}>4.50, or less.</td></tr></table></article>"
     assert H.extract_texts([source.format(value)], model) == H.extract_texts([source.format("")], model)
     assert all(x.label is None for x in H.parse(source.format(value)).nodes)
+
+
+PROSE = "Prose of some length, with words in it; and more of them, to be read by someone."
+
+
+@pytest.mark.parametrize("head", ["<head><title>T</title>", "<head><meta charset=utf-8><link rel=x><style>p{}</style><script>1</script>", "<head><noscript><link rel=x></noscript>", "<head>"])
+def test_head_without_an_end(model, head):
+    """A head that the page leaves open ends where its content does."""
+    assert H.extract_texts([f'<html>{head}<div class="article"><h1>A title</h1><p>{PROSE}</p></div>'], model) == [f"A title\n{PROSE}"]
+    assert [t for _, t in H.parse(f"<html>{head} plain text<p>and more").blocks] == ["plain text", "and more"]
+
+
+@pytest.mark.parametrize("inner", [
+    "The sum <math><mi>a</mi><mo>+</mo><mi>b</mi></math> is small, as said.",
+    "<noscript>A picture of the hills, seen from the east.</noscript>",
+    "<object data=x>A film of the hills, with sound.</object>",
+    "<canvas>A chart of the rainfall, by month and year.</canvas>",
+    "<video src=x>A film of the hills, with sound.</video>",
+    "<svg viewBox='0 0 1 1'><title>no</title><path d='x'/><circle r=1 /><text>The hills, drawn by hand.</text></svg>",
+])
+def test_text_that_stands_in(model, inner):
+    source = f'<article><h1>A title of it</h1><p>{PROSE}</p><div>{inner}</div><p>{PROSE}</p></article>'
+    want = re.sub(r"<[^>]*>", "", re.sub(r"<title>.*?</title>", "", inner))
+    assert H.extract_texts([source], model) == [f"A title of it\n{PROSE}\n{want}\n{PROSE}"]
+
+
+def test_ends_of_tags():
+    blocks = lambda source: [t for _, t in H.parse(source).blocks]
+    assert blocks('<p title="a > b" x=\'c > "d\'>one<p q=a"b>two<p "odd>three') == ["one", "two", "three"]
+    assert blocks('<p title="never closed>one<p>two') == ["one", "two"]
+    assert blocks("a <b and c") == ["a <b and c"]
+    assert blocks("<b>x<div>y</b>z</div>") == ["x", "yz"]
+    assert blocks("&#0000000065;&#65;&#x41;&#99999999999;&#" + "9" * 6000 + ";&#" + "0" * 6000 + "65;") == ["AAA\ufffd\ufffdA"]
+
+
+@pytest.mark.parametrize("source", [
+    '<a "' * 250_000, '<a ="><a "' * 100_000, '<a x="' * 160_000 + '>"', "<a x='\">" * 120_000, "<a " + "b" * 1_000_000 + ">x", "<p " + "b='" * 300_000 + ">",
+    "<a" * 500_000, "<!" * 500_000, "<b>" * 100_000 + "<p>x" * 100_000, "<div><b>" * 30_000 + "</i></u></b>" * 60_000, "<div>" * 100_000 + "</p></nav>" * 100_000, "<li>" * 200_000,
+], ids=range(12))
+def test_time_of_broken_pages_is_linear(model, source):
+    start = time.process_time()
+    H.extract_texts([source], model)
+    assert time.process_time() - start < 25
