@@ -156,11 +156,15 @@ ORACLE_SQL: dict[str, str] = {
         parts AS (SELECT r, d, string_split(text, chr(10)) AS ls FROM docs WHERE text IS NOT NULL),
         lines AS (SELECT r, d, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS pos FROM parts),
         tokens AS (SELECT r, d, pos, line, list_filter(string_split_regex(regexp_replace(line, '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS t FROM lines),
-        keys AS (SELECT r, d, pos, 'all' || array_to_string(t, ' ') AS k FROM tokens WHERE len(t) BETWEEN 3 AND 11
+        parted AS (SELECT r, d, pos, len(t) AS n, array_to_string(t[1:2], ' ') AS h,
+                          list_transform([0, 1, 2, 3], lambda s: array_to_string(t[2 + (len(t) - 2) * s // 4 + 1 : 2 + (len(t) - 2) * (s + 1) // 4], ' ')) AS g
+                   FROM tokens WHERE len(t) >= 5),
+        keys AS (SELECT r, d, pos, 'all' || array_to_string(t, ' ') AS k FROM tokens WHERE len(t) BETWEEN 3 AND 4
                  UNION ALL
-                 SELECT r, d, pos, len(t) || '/' || s || ' ' || array_to_string(t[1:2 + (len(t) - 2) * s // 4], ' ') || ' <*> '
-                        || array_to_string(t[2 + (len(t) - 2) * (s + 1) // 4 + 1:], ' ')
-                 FROM tokens, (SELECT unnest([0, 1, 2, 3]) AS s) WHERE len(t) >= 12),
+                 SELECT r, d, pos, n || '/' || a || b || ' ' || h || ' '
+                        || array_to_string(list_transform([0, 1, 2, 3], lambda s: CASE WHEN s IN (a, b) THEN '<*>' ELSE g[s + 1] END), ' ')
+                 FROM parted, (SELECT unnest([0, 1, 2, 3]) AS a), (SELECT unnest([0, 1, 2, 3]) AS b)
+                 WHERE n < 12 AND a = b OR n >= 12 AND a < b),
         firsts AS (SELECT k, min(d) AS f FROM keys GROUP BY k HAVING min(d) < max(d)),
         drops AS (SELECT DISTINCT r, pos FROM keys JOIN firsts USING (k) WHERE d > f),
         kept AS (SELECT l.r, string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (x.r IS NULL) AS text, count(*) AS n_lines, count(x.r) AS n_dropped

@@ -1,3 +1,4 @@
+import itertools
 import re
 
 import pytest
@@ -8,7 +9,7 @@ from starmart.llm import linededup, queries
 from .conftest import SMALL
 
 
-def brute(rows, min_tokens=3, min_general=12, depth=2, segments=4):
+def brute(rows, min_tokens=3, min_general=5, min_two=12, depth=2, segments=4):
     """{(id, text): kept text} by comparing templates in plain Python; a null id is last."""
     last = 2**63 - 1
 
@@ -19,7 +20,8 @@ def brute(rows, min_tokens=3, min_general=12, depth=2, segments=4):
         if len(t) < min_general:
             return [(len(t), tuple(t))]
         cut = [depth + (len(t) - depth) * s // segments for s in range(segments + 1)]
-        return [(len(t), s, tuple(t[: cut[s]]), tuple(t[cut[s + 1] :])) for s in range(segments)]
+        fields = itertools.combinations(range(segments), 2 if len(t) >= min_two else 1)
+        return [(len(t), f, tuple(t[:depth]), *(tuple(t[cut[s] : cut[s + 1]]) for s in range(segments) if s not in f)) for f in fields]
 
     first = {}
     for i, text in rows:
@@ -49,9 +51,43 @@ def test_variable_fields(spark):
     assert got == {1: rows[0][1], 2: "own line of two", 3: "short\nshort", 4: "short"}
 
 
+def test_variable_words_of_short_and_long_lines(spark):
+    short, long = "Posted by {} in sports today", "on {} the {} was {} by the team of the house and its {} friends at noon"
+    rows = [
+        (1, short.format("alice")), (2, short.format("bob")), (3, "Posted by carol in politics today"),
+        (4, "Report " + long.format("monday", "match", "won", "old")), (5, "Report " + long.format("sunday", "match", "lost", "old")),
+        (6, "Report " + long.format("friday", "game", "drawn", "new")),
+        (7, "Back to top now"), (8, "Back to bottom now"),
+    ]
+    got = {r["doc_id"]: r["text"] for r in linededup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**dict(rows), 2: "", 5: ""}
+    assert got == {i: t for (i, _), t in brute(rows).items()}
+
+
+@pytest.mark.parametrize("kind", ["string", "int", "decimal(9,2)", "date"])
+def test_ids_of_any_type(spark, kind):
+    values = ["2020-01-01", "2020-01-02", None] if kind == "date" else ["b1", "b2", None] if kind == "string" else ["1", "2", None]
+    df = spark.createDataFrame([(v, "the same line here") for v in values], "doc_id string, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    got = [r["text"] for r in linededup.drop_recurring_lines(df).orderBy(F.asc_nulls_last("doc_id")).collect()]
+    assert got == ["the same line here", "", ""]
+
+
+def test_hot_line_is_not_dealt_to_one_task(spark):
+    """Rows of a line in a third of all documents are marked where they are read."""
+    df = spark.range(9000).select(F.col("id").alias("doc_id"), F.concat(F.when(F.col("id") % 3 == 0, "all rights are reserved\n").otherwise(""), F.lit("w x "), F.translate(F.hex("id"), "0123456789", "ghijklmnop"), F.lit(" z")).alias("text"))
+    plan = linededup.dropped_lines(df)
+    joins = [x for x in plan._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert len(joins) == 3 and sum("broadcast" in x for x in joins) >= 2
+    assert plan.count() == 2999
+
+
+# No two share a word: lines that differ in one word are of one template.
+OWN = ["red stone", "old river", "wide field", "cold wind", "long road", "high wall", "deep well", "dark wood"]
+
+
 def test_shared_passage_and_copies(spark):
     passage = " ".join(f"p{i}x" for i in range(60))
-    rows = [(i, f"a text of its own number {'abcdefgh'[i]} here\n{passage}\nand its end is {'abcdefgh'[i]}") for i in range(8)] + [(20, "alone in this world"), (21, "alone in this world")]
+    rows = [(i, f"{OWN[i]} own number of it here\n{passage}\nand its end {OWN[i]}") for i in range(8)] + [(20, "alone in this world"), (21, "alone in this world")]
     got = {r["doc_id"]: r["text"] for r in linededup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert passage in got[0] and all(passage not in got[i] and "own number" in got[i] and "its end" in got[i] for i in range(1, 8))
     assert (got[20], got[21]) == ("alone in this world", "")
