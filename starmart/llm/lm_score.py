@@ -32,13 +32,14 @@ doubles in no fixed order: their last digits can differ between runs.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -342,7 +343,7 @@ def score(df: DataFrame, model: CountModel, text_col: str = "text", fitted: bool
 # -- a corpus scored by the models of itself ------------------------------------
 
 _ENTRY = np.dtype([("h", "<u8"), ("w", "<u8"), ("text", "<u4"), ("n", "<u4")])
-_TEXT = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("target", "?")])
+_TEXT = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("n", "<i8")])
 _BUCKET = 1 << 21   # bigrams that a task scores at once
 _CHUNK = 1 << 20    # bigrams packed at once
 _COMMON = 1 << 20   # a first word of more bigrams is dealt by the second
@@ -431,19 +432,50 @@ def _unpack(data: bytes) -> np.ndarray:
     return rows
 
 
+def _pack_sums(text: np.ndarray, *losses: np.ndarray) -> bytes:
+    """Losses of texts of a chunk, by their numbers there."""
+    wide = np.uint16 if text.max(initial=0) < 1 << 16 else np.uint32
+    return b"".join(x.tobytes() for x in (np.array([len(text), np.dtype(wide).itemsize], np.uint32), text.astype(wide), *losses))
+
+
+def _unpack_sums(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, wide = np.frombuffer(data, np.uint32, 2).tolist()
+    at = 8 + n * wide
+    return np.frombuffer(data, np.uint16 if wide == 2 else np.uint32, n, 8), np.frombuffer(data, np.float64, n, at), np.frombuffer(data, np.float64, n, at + 8 * n)
+
+
 def _entries(rows: DataFrame, buckets: int, common: Broadcast) -> DataFrame:
-    """(bucket, texts, entries): distinct bigrams of texts, packed.  All bigrams with the same
-    first word go to one bucket, but for the common first words, which the second deals."""
+    """(bucket, chunk, mark, texts, entries): distinct bigrams of the texts of a chunk, packed.
+    All bigrams with the same first word go to one bucket, but for the common first words,
+    which the second deals.  A chunk's texts are numbered; their keys and tokens are one row of
+    their own.  A chunk is known by its place and by a hash of its texts."""
+    names = ["bucket", "chunk", "mark", "texts", "entries"]
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = common.value[0]
         held: list[np.ndarray] = []
         texts: list[np.ndarray] = []
         size = n_texts = 0
+        chunk = TaskContext.get().partitionId() << 32
+
+        def row(bucket: int, mark: int, texts_: bytes | None, entries: bytes | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([
+                pa.array([bucket], pa.int32()), pa.array([chunk], pa.int64()), pa.array([mark], pa.int64()), pa.array([texts_], pa.binary()), pa.array([entries], pa.binary())], names)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows_, texts_ = np.concatenate(held), np.concatenate(texts)
+            nonlocal chunk
+            rows_, keys = np.concatenate(held), np.concatenate(texts)
             held.clear()
             texts.clear()
+            first, of = _runs(rows_["text"])  # in order
+            keys = keys[rows_["text"][first]]
+            own = np.zeros(len(keys), _TEXT)
+            own["k1"], own["k2"], own["n"] = keys["k1"], keys["k2"], np.diff(np.append(first, len(rows_)))
+            data = own.tobytes()
+            mark = int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+            yield row(mark % buckets, mark, data, None)
+            rows_["text"] = 2 * of + keys["target"][of]  # the lowest bit: of a target
+            del first, of
             by_first = _scramble(rows_["h"])
             by_both = _scramble(_key(rows_["h"], rows_["w"]))
             bucket = np.where(_find(known, rows_["h"]) < len(known), by_both, by_first) % np.uint64(buckets)
@@ -452,26 +484,24 @@ def _entries(rows: DataFrame, buckets: int, common: Broadcast) -> DataFrame:
             del order, by_first, by_both
             first = _starts(bucket, rows_["h"], rows_["w"], rows_["text"])
             merged, bucket = rows_[first], bucket[first]
-            n = np.add.reduceat(rows_["n"].astype(np.int64), first)
+            n = np.diff(np.append(first, len(rows_)))
             del rows_
             times, n = _split(n)
             merged, bucket = np.repeat(merged, times), np.repeat(bucket, times)
             merged["n"] = n
             cuts = _starts(bucket)
             for lo, hi in zip(cuts, np.append(cuts[1:], len(bucket))):
-                part = merged[lo:hi]
-                own, part["text"] = np.unique(part["text"], return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array([int(bucket[lo])], pa.int32()), pa.array([texts_[own].tobytes()], pa.binary()), pa.array([_pack(part)], pa.binary())],
-                                                 ["bucket", "texts", "entries"])
+                yield row(int(bucket[lo]), mark, None, _pack(merged[lo:hi]))
+            chunk += 1
 
         for batch in batches:
-            keys = np.zeros(len(batch), _TEXT)
+            keys = np.zeros(len(batch), [("k1", "<i8"), ("k2", "<i8"), ("target", "?")])
             keys["k1"], keys["k2"], keys["target"] = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
             texts.append(keys)
             for part in batch_words(batch.column(2)):
-                h, w, row = _grams(*part)
+                h, w, at = _grams(*part)
                 new = np.zeros(len(w), _ENTRY)
-                new["h"], new["w"], new["text"], new["n"] = h, w, n_texts + row, 1
+                new["h"], new["w"], new["text"] = h, w, n_texts + at
                 held.append(new)
                 size += len(w)
                 if size >= _CHUNK:
@@ -479,27 +509,33 @@ def _entries(rows: DataFrame, buckets: int, common: Broadcast) -> DataFrame:
                     size, n_texts = 0, 0
                     texts.append(keys)
             n_texts += len(keys)
-            if not held:
+            if not size:
+                held.clear()
                 texts.clear()
                 n_texts = 0
-        if held:
+        if size:
             yield from flush()
 
-    return rows.mapInArrow(pack, "bucket int, texts binary, entries binary")
+    return rows.mapInArrow(pack, "bucket int, chunk long, mark long, texts binary, entries binary")
 
 
 def _scored(batches: Iterator[pa.RecordBatch], common: Broadcast, size: int, mix: float) -> Iterator[pa.RecordBatch]:
-    """(k1, k2, n, t, b): per text of a bucket its bigrams and their losses; the rows are a bucket's."""
+    """(chunk, mark, texts, sums): per chunk the losses that its texts have in a bucket; the
+    rows are a bucket's, those with a chunk's texts pass."""
     known, counts = common.value
     known = known >> np.uint64(8) << np.uint64(8)  # first words come in 56 bits
-
-    def score(held: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-        texts = np.concatenate([np.frombuffer(x, _TEXT) for x, _ in held])
-        begins = np.cumsum([0, *(len(x) // _TEXT.itemsize for x, _ in held)])
-        parts = []
-        for at in begins[:-1]:
-            parts.append(_unpack(held.pop(0)[1]))
-            parts[-1]["text"] += np.uint32(at)
+    names = ["chunk", "mark", "texts", "sums"]
+
+    def score(held: list[bytes]) -> list[bytes]:
+        parts, owns = [], []
+        begin = 0
+        while held:
+            part = _unpack(held.pop())
+            own, place = np.unique(part["text"], return_inverse=True)
+            part["text"] = begin + place.reshape(-1)
+            begin += len(own)
+            parts.append(part)
+            owns.append(own)
         rows = np.concatenate(parts)
         del parts
         rows = rows[np.lexsort((rows["w"], rows["h"]))]
@@ -508,21 +544,42 @@ def _scored(batches: Iterator[pa.RecordBatch], common: Broadcast, size: int, mix
         at = _find(known, rows["h"][first])
         n, text = rows["n"].astype(np.int64), rows["text"]
         del rows
-        own, place = np.unique(texts[["k1", "k2"]], return_inverse=True)
-        place = place.reshape(-1)[text]
-        target = texts["target"][text]
+        target = (np.concatenate(owns) & 1).astype(bool)[text]
         sums = []
         for i, mine in enumerate((target, ~target)):
             c = n * mine
             after = np.where(at < len(known), np.append(counts[i], 0)[at], np.add.reduceat(c, first))[of]
             chance = np.where(after > 0, mix * np.add.reduceat(c, pair)[of_pair] / np.maximum(after, 1) + (1 - mix) / size, 1 / size)
-            sums.append(np.bincount(place, n * -np.log(chance), len(own)))
-        return pa.RecordBatch.from_arrays([pa.array(own["k1"].copy()), pa.array(own["k2"].copy()), pa.array(np.bincount(place, n, len(own)).astype(np.int64)), *map(pa.array, sums)],
-                                          ["k1", "k2", "n", "t", "b"])
+            sums.append(np.bincount(text, n * -np.log(chance), begin))
+        ends = np.cumsum([len(own) for own in owns])
+        return [_pack_sums(own >> 1, *(x[end - len(own) : end] for x in sums)) for own, end in zip(owns, ends)][::-1]
 
-    held = [(texts.as_py(), entries.as_py()) for batch in batches for texts, entries in zip(*batch.columns[1:])]
+    chunks: list[tuple[int, int]] = []
+    held: list[bytes] = []
+    for batch in batches:
+        for chunk, mark, texts, entries in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
+            if entries is None:
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([mark], pa.int64()), pa.array([texts], pa.binary()), pa.nulls(1, pa.binary())], names)
+            else:
+                chunks.append((chunk, mark))
+                held.append(entries)
     if held:
-        yield score(held)
+        for (chunk, mark), sums in zip(chunks, score(held)):
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([mark], pa.int64()), pa.nulls(1, pa.binary()), pa.array([sums], pa.binary())], names)
+
+
+def _chunk_losses(rows: pa.Table) -> pa.Table:
+    """(k1, k2, n, t, b) of the texts of a chunk, from its texts and their losses in the buckets."""
+    texts = rows["texts"].drop_null().to_pylist()
+    if len(texts) != 1:
+        raise RuntimeError("A task that ran again gave other texts: the rows to score must be a scan or a written table.")
+    own = np.frombuffer(texts[0], _TEXT)
+    t, b = np.zeros(len(own)), np.zeros(len(own))
+    for data in rows["sums"].drop_null():
+        at, *losses = _unpack_sums(data.as_py())
+        t[at] += losses[0]
+        b[at] += losses[1]
+    return pa.table({"k1": own["k1"].copy(), "k2": own["k2"].copy(), "n": own["n"].copy(), "t": t, "b": b})
 
 
 def score_corpus(df: DataFrame, target_col: str, text_col: str = "text", mix: float = 0.6, least_buckets: int = 16) -> DataFrame:
@@ -535,8 +592,11 @@ def score_corpus(df: DataFrame, target_col: str, text_col: str = "text", mix: fl
     bigrams of the texts, packed, are dealt by first word into buckets of some two million,
     where all counts and losses follow from sorted rows.  First words of over a million
     bigrams (and a millionth of all) are dealt by second word, their c(h) broadcast.  Texts
-    are known by a 128-bit hash, so no text is written or shuffled and equal texts share
-    their losses.
+    are numbered within chunks of a million bigrams: a bucket gives, for each chunk, numbers
+    and losses, which meet the chunk's texts in a second exchange.  Texts are known by a
+    128-bit hash, so none is written or shuffled and equal texts share their losses.  ``df``
+    must give the same rows when a task runs again (a scan, a written table): a chunk whose
+    texts changed fails the job.
     """
     target = F.coalesce(F.col(target_col), F.lit(False))
     keys = {"__t1": F.xxhash64(F.lit(1), F.coalesce(F.col(text_col), F.lit(""))), "__t2": F.xxhash64(F.lit(2), F.coalesce(F.col(text_col), F.lit("")))}
@@ -552,7 +612,8 @@ def score_corpus(df: DataFrame, target_col: str, text_col: str = "text", mix: fl
     buckets = max(least_buckets, -(-total // _BUCKET))
     rows = df.select(*[c.alias(k) for k, c in keys.items()], F.col(text_col).alias("text"), target.alias("target"))
     dealt = _entries(rows, buckets, common).repartitionById(buckets, "bucket")  # a bucket a task
-    sums = dealt.mapInArrow(lambda b: _scored(b, common, size, mix), "k1 long, k2 long, n long, t double, b double")
+    sums = dealt.mapInArrow(lambda b: _scored(b, common, size, mix), "chunk long, mark long, texts binary, sums binary")
+    sums = sums.groupBy("chunk", "mark").applyInArrow(_chunk_losses, "k1 long, k2 long, n long, t double, b double")
     sums = sums.groupBy(F.col("k1").alias("__t1"), F.col("k2").alias("__t2")).agg(*[F.sum(c).alias(f"__{c}") for c in "ntb"])
     # equal texts were summed up together: each has its share of the tokens
     slim = df.withColumns(keys).drop(text_col)

@@ -14,6 +14,7 @@ from starmart.llm import (
 )
 from starmart.llm.common import held_out, squeezed, table, unsqueezed, written
 from starmart.llm.labelled_pages import labelled_pages
+from starmart.plans.joins import broadcast_bound, fits_broadcast
 
 Query = Callable[[SparkSession, str], DataFrame]
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -34,8 +35,11 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents labelled as good text are the target, all others the background."""
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
-    # labelled ids grow with the documents: a merge join at every size, made once, of texts in a third of their space
-    docs = squeezed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").hint("merge").join(good, "doc_id", "left")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    if fits_broadcast(good, broadcast_bound(spark)):  # no text moves
+        return lm_score.score_corpus(docs.join(F.broadcast(good), "doc_id", "left").withColumn("target", F.col("target").isNotNull()), "target")
+    # more labelled ids than that: a merge join, made once, of texts in a third of their space
+    docs = squeezed(docs, "text").hint("merge").join(good, "doc_id", "left")
     docs = unsqueezed(written(docs.withColumn("target", F.col("target").isNotNull()), "lm-documents"), "text")
     return lm_score.score_corpus(docs, "target")
 

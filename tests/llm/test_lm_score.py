@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,6 +187,30 @@ def test_query_against_brute_force(spark, documents):
     same_losses(got, brute_corpus([(t, i in good) for i, t in docs]))
 
 
+def test_query_with_more_labels_than_a_broadcast_holds(spark):
+    want = queries.op3_lm_score(spark, SMALL).orderBy("doc_id").collect()
+    spark.conf.set("spark.starmart.broadcast.maxRows", "0")
+    try:
+        got = queries.op3_lm_score(spark, SMALL).orderBy("doc_id").collect()
+    finally:
+        spark.conf.unset("spark.starmart.broadcast.maxRows")
+    assert [r["target"] for r in got] == [r["target"] for r in want]
+    same_losses(got, [(r["n_tokens"], r["loss_target"], r["loss_background"]) for r in want])
+
+
+def test_a_chunk_that_changed_fails(spark):
+    """A task that ran again with other rows has left losses without their texts, or two sets of texts."""
+    texts = np.zeros(2, lm_score._TEXT)
+    texts["k1"], texts["n"] = [5, 6], [3, 4]
+    sums = [lm_score._pack_sums(np.array([0, 1], np.uint32), np.array([1.0, 2.0]), np.array([3.0, 4.0])), lm_score._pack_sums(np.array([1], np.uint32), np.array([0.5]), np.array([0.25]))]
+    rows = lambda keys: pa.table({"texts": pa.array([*keys, None, None], pa.binary()), "sums": pa.array([None] * len(keys) + sums, pa.binary())})
+    out = lm_score._chunk_losses(rows([texts.tobytes()])).to_pydict()
+    assert out == {"k1": [5, 6], "k2": [0, 0], "n": [3, 4], "t": [1.0, 2.5], "b": [3.0, 4.25]}
+    for keys in ([], [texts.tobytes()] * 2):
+        with pytest.raises(RuntimeError, match="ran again"):
+            lm_score._chunk_losses(rows(keys))
+
+
 def test_corpus_of_nasty_rows(nasty):
     df = nasty.withColumn("target", F.when(F.col("doc_id") > 3, True))
     out = lm_score.score_corpus(df, "target")
