@@ -58,6 +58,14 @@ def apply_filters(df: DataFrame, filters: Mapping[str, str], time_column: str |
     return df
 
 
+def read_columns(fact: Fact, df: DataFrame) -> list[str]:
+    """Columns of ``df`` that the rows of ``fact`` are made from (any that an expression
+    names, perhaps some more)."""
+    named = {*fact.dimension_keys, *fact.filters, fact.time_column, *(c for j in fact.joins for c in j.left_on), *(m.source_column for m in fact.metrics)}
+    expressions = [m.expression.lower() for m in fact.metrics if m.expression]
+    return [c for c in df.columns if c in named or any(c.lower() in e for e in expressions)]
+
+
 def fact_rows(fact: Fact, tables: Mapping[str, DataFrame], broadcast_rows: int | None = None,
               split_hot: bool = True) -> DataFrame:
     """Filtered, joined source rows of ``fact``, with ``period`` if it has a grain.
@@ -74,7 +82,7 @@ def fact_rows(fact: Fact, tables: Mapping[str, DataFrame], broadcast_rows: int |
     for j in fact.joins:
         df = many_to_one(df, tables[j.table], j.left_on, j.right_on, j.how,
                          what=f"fact '{fact.name}' source '{j.table}'", broadcast_rows=broadcast_rows,
-                         split_hot=split_hot)
+                         split_hot=split_hot, salt_by=read_columns(fact, df))
     df = apply_filters(df, late, fact.time_column)
     if fact.time_grain is not None:
         df = df.withColumn(PERIOD, period(fact.time_column, fact.time_grain))

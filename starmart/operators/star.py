@@ -24,7 +24,7 @@ from starmart.errors import IntentError, NonAdditiveMetricError, SpecError
 from starmart.functions.grain import PERIOD, coarser_or_equal, period
 from starmart.functions.metrics import aggregate, decompose, decomposable, merge_for_published
 from starmart.operators.dims import dimension_rows
-from starmart.operators.facts import apply_filters, fact_rows
+from starmart.operators.facts import apply_filters, fact_rows, read_columns
 from starmart.operators.grains import drill_across, parts as grain_parts
 from starmart.plans.joins import broadcast_bound, fits_broadcast, skew_split_join, unique_on
 from starmart.spec import YEAR_FROM, Dimension, Fact, Intent, MartSpec, fact_reachable_columns, validate_intent
@@ -206,12 +206,13 @@ def star_rollup(
             *[m for p in parts for m in p.merges] or [F.count(F.lit(1)).alias("__rows")])
         return merged.select(*out_keys, *[p.finish for p in parts])
 
-    joined = _join_sides(rows, sides, split_hot=True)
+    salt_by = list(dict.fromkeys([*periods, *degenerate, *(s[0] for s in sides), *read_columns(fact, rows)]))
+    joined = _join_sides(rows, sides, split_hot=True, salt_by=salt_by)
     return joined.groupBy(*[out_col(a) for a in asked_keys]).agg(
         *[aggregate(m, rows.schema) for m in fact.metrics])
 
 
-def _join_sides(df: DataFrame, sides, split_hot: bool = False) -> DataFrame:
+def _join_sides(df: DataFrame, sides, split_hot: bool = False, salt_by: Sequence[str] | None = None) -> DataFrame:
     """Join the dimension sides: broadcast when small; otherwise a shuffle join,
     whose hot fact keys are salted when a key may repeat."""
     for fk, key_alias, side, small, _, how in sides:
@@ -219,7 +220,7 @@ def _join_sides(df: DataFrame, sides, split_hot: bool = False) -> DataFrame:
             rhs = F.broadcast(side)
             df = df.join(rhs, df[fk] == rhs[key_alias], how)
         elif split_hot:
-            df = skew_split_join(df, side, [fk], [key_alias], how)
+            df = skew_split_join(df, side, [fk], [key_alias], how, salt_by=salt_by)
         else:
             df = df.join(side, df[fk] == side[key_alias], how)
     return df

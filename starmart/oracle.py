@@ -289,6 +289,13 @@ FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey LEFT JOIN nation
 GROUP BY r.r_name, CAST(date_trunc('quarter', o.o_orderdate) AS DATE)
 """
 
+ORACLE_SQL["mart_republished"] = """
+SELECT run, r.r_name, CAST(date_trunc('year', o.o_orderdate) AS DATE) AS period, CAST(SUM(CAST(o.o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total_revenue, COUNT(o.o_orderkey) AS order_count
+FROM (VALUES ('early', DATE '1996-01-01'), ('current', NULL)) AS v(run, ends) JOIN orders o ON v.ends IS NULL OR o.o_orderdate < v.ends
+LEFT JOIN customer c ON o.o_custkey = c.c_custkey LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
+GROUP BY run, r.r_name, CAST(date_trunc('year', o.o_orderdate) AS DATE)
+"""
+
 ORACLE_SQL["intent_region_filter"] = """
 SELECT c.c_mktsegment, CAST(date_trunc('year', o.o_orderdate) AS DATE) AS period, CAST(SUM(CAST(o.o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total_revenue, COUNT(o.o_orderkey) AS order_count
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey

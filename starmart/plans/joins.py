@@ -122,6 +122,7 @@ def many_to_one(
     broadcast_rows: int | None = None,
     guard: bool = True,
     split_hot: bool = True,
+    salt_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Join each left row to at most one right row.
 
@@ -135,7 +136,7 @@ def many_to_one(
     if small:
         rhs = F.broadcast(rhs)
     elif split_hot:
-        return skew_split_join(left, rhs, left_on, right_on, how)
+        return skew_split_join(left, rhs, left_on, right_on, how, salt_by=salt_by)
     if list(left_on) == list(right_on):
         return left.join(rhs, list(left_on), how)
     cond: Column | None = None
@@ -185,14 +186,29 @@ def _any_of(df: DataFrame, keys: Sequence[str], values: Sequence[tuple]) -> Colu
     return test
 
 
+def _has_hash(t: T.DataType) -> bool:
+    if isinstance(t, T.ArrayType):
+        return _has_hash(t.elementType)
+    if isinstance(t, T.StructType):
+        return all(_has_hash(f.dataType) for f in t.fields)
+    return not isinstance(t, (T.MapType, T.VariantType))
+
+
+def _row_hash(df: DataFrame, columns: Sequence[str] | None) -> Column:
+    names = [f.name for f in df.schema.fields if (columns is None or f.name in columns) and _has_hash(f.dataType)]
+    return F.xxhash64(*[F.col("`" + n.replace("`", "``") + "`") for n in names])
+
+
 def skew_split_join(left: DataFrame, right: DataFrame, left_on: Sequence[str], right_on: Sequence[str],
-                    how: str = "left", fraction: float | None = None) -> DataFrame:
+                    how: str = "left", fraction: float | None = None, salt_by: Sequence[str] | None = None) -> DataFrame:
     """Many-to-one equi-join that never sends a hot key's rows to one task.
 
     ``right`` must be unique on ``right_on``.  Left rows of hot keys (see
-    :func:`hot_keys`) and, if many, those with a NULL key get a random salt, the
+    :func:`hot_keys`) and, if many, those with a NULL key get a salt, the
     right row of each hot key is repeated for each salt, and the salt joins the
-    key.  Same result as ``left.join(right, ..., how)`` for ``how`` in inner /
+    key.  A row's salt is a hash of its values in ``salt_by`` (default: all
+    columns), so a task that runs again in another order deals its rows as
+    before; rows equal in all of them share a salt.  Same result as ``left.join(right, ..., how)`` for ``how`` in inner /
     left / left_semi / left_anti (NULL keys match nothing either way).  Works
     without AQE's skew-join splitting."""
     spark = left.sparkSession
@@ -205,7 +221,7 @@ def skew_split_join(left: DataFrame, right: DataFrame, left_on: Sequence[str], r
         if nulls:
             for k in left_on:
                 spread = spread | F.col(f"`{k}`").isNull()
-        left = left.withColumn(_SALT, F.when(spread, F.floor(F.rand(17) * salts)).otherwise(0).cast("int"))
+        left = left.withColumn(_SALT, F.when(spread, F.pmod(_row_hash(left, salt_by), F.lit(salts))).otherwise(0).cast("int"))
         copies = F.when(_any_of(right, right_on, hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
         right = right.withColumn(_SALT, F.explode(copies))
         left_on, right_on = left_on + [_SALT], right_on + [_SALT]

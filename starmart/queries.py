@@ -583,6 +583,21 @@ def mart_catalog_rollup(spark, sf_dir):
     return rollup_published(spark, GEO_MART, db, "fact_orders_monthly", ["r_name"], grain="quarterly", tables=t)
 
 
+@query("mart_republished")
+def mart_republished(spark, sf_dir):
+    """Publish the orders before 1996, then all orders: the mart moves to the second run at
+    once; the first stays readable by its run."""
+    t = dict(_tables(spark, sf_dir))
+    db = f"starmart_geo_{uuid.uuid4().hex[:8]}"
+    location = f"{scratch_path(spark, 'warehouse')}/{db}"
+    early = {**t, "orders": t["orders"].where("o_orderdate < DATE '1996-01-01'")}
+    for run, tables in (("early", early), ("whole", t)):
+        publish_to_catalog(GEO_MART, tables, db, location, buckets=4, run_id=run)
+    runs = [rollup_published(spark, GEO_MART, db, "fact_orders_monthly", ["r_name"], grain="yearly", tables=t, run_id=run)
+            .withColumn("run", F.lit(run or "current")) for run in ("early", None)]
+    return runs[0].unionByName(runs[1])
+
+
 SEGMENT_GEO_MART = MartSpec(
     "segment_geo",
     facts=(Fact("fact_orders_monthly", ("orders",), (M.REVENUE, M.ORDER_COUNT), ("o_custkey",),
