@@ -76,20 +76,31 @@ def distinct_sets(rows: DataFrame, keys: Sequence[str], number: Column) -> DataF
     is no value, and a group without values has no row."""
     pairs = rows.select(*keys, number.alias("__number")).where(F.col("__number").isNotNull()).select(
         *keys, F.bitmap_bucket_number("__number").alias("bucket"), F.bitmap_bit_position("__number").cast("smallint").alias("position")).distinct()
-    return merge_sets(pairs.select(*keys, "bucket", F.array("position").alias("positions"), F.lit(None).cast("binary").alias("bits")), keys)
+    return _set_rows(pairs.withColumn("bits", F.lit(None).cast("binary")), [*keys, "bucket"])
 
 
 def merge_sets(sets: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The union of the sets of each group of ``keys``: one row per group and bucket."""
     group = [*keys, "bucket"]
-    rows = sets.select(*group, F.explode_outer("positions").alias("position"), "bits")
-    met = rows.groupBy(*group).agg(F.collect_set("position").alias("positions"), F.bitmap_construct_agg(F.col("position").cast("bigint")).alias("few"),
-                                   F.bitmap_or_agg("bits").alias("many"), F.count("bits").alias("n_bits"))
+    pairs = sets.select(*group, F.explode("positions").alias("position")).distinct()
+    bitmaps = sets.where(F.col("bits").isNotNull()).groupBy(*group).agg(F.bitmap_or_agg("bits").alias("bits"))
+    return _set_rows(pairs.unionByName(bitmaps, allowMissingColumns=True), group)
+
+
+def _set_rows(parts: DataFrame, group: Sequence[str]) -> DataFrame:
+    """The row of each group from its ``position`` rows, all different, and at most one of ``bits``.
+
+    A bitmap takes 4 KB however few bits are set, so only groups that end as one are
+    given one; the positions of the others travel as what they are."""
+    met = parts.groupBy(*group).agg(F.collect_list("position").alias("positions"), F.collect_list("bits").alias("bits"))
+    small = (F.size("bits") == 0) & (F.size("positions") <= FEW)
+    few = met.where(small).select(*group, F.array_sort("positions").alias("positions"), F.lit(None).cast("binary").alias("bits"))
     # a group's rows are together already: this grouping moves nothing
-    both = met.select(*group, "positions", "n_bits", F.explode(F.array("few", "many")).alias("bits")).groupBy(*group).agg(
-        F.first("positions").alias("positions"), F.first("n_bits").alias("n_bits"), F.bitmap_or_agg("bits").alias("bits"))
-    small = (F.col("n_bits") == 0) & (F.size("positions") <= FEW)
-    return both.select(*group, F.when(small, F.array_sort("positions")).alias("positions"), F.when(~small, F.col("bits")).alias("bits"))
+    set_bits = met.where(~small).select(*group, F.explode("positions").alias("position")).groupBy(*group).agg(
+        F.bitmap_construct_agg(F.col("position").cast("bigint")).alias("bits"))
+    had_bits = met.where(~small).select(*group, F.explode("bits").alias("bits"))
+    many = set_bits.unionByName(had_bits).groupBy(*group).agg(F.bitmap_or_agg("bits").alias("bits"))
+    return few.unionByName(many.select(*group, F.lit(None).cast("array<smallint>").alias("positions"), "bits"))
 
 
 def count_sets(sets: DataFrame, keys: Sequence[str], name: str) -> DataFrame:

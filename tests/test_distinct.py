@@ -47,6 +47,30 @@ def test_merging_halves_gives_the_whole(numbers):
     assert rows(distinct.count_sets(distinct.merge_sets(both, ["g"]), ["g"], "d")) == rows(distinct.count_sets(distinct.distinct_sets(numbers, ["g"], F.col("n")), ["g"], "d"))
 
 
+def _moved(df):
+    """Bytes that the exchanges of ``df`` were given, once it has run."""
+    df.collect()
+    total, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        if kind == "ShuffleExchangeExec":
+            total += node.metrics().get("dataSize").get().value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def test_a_few_numbers_move_as_such(spark):
+    rows = spark.range(4_000).select((F.col("id") % 2_000).alias("g"), (F.col("id") * 1_000_003).alias("n"))
+    sets = distinct.distinct_sets(rows, ["g"], F.col("n"))
+    assert 0 < _moved(sets) < 4_000 * 500  # not 4 KB a group
+    assert distinct.count_sets(sets, ["g"], "d").where("d = 2").count() == 2_000
+
+
 def test_empty_sets(numbers):
     none = distinct.distinct_sets(numbers.limit(0), ["g"], F.col("n"))
     assert distinct.count_sets(none, ["g"], "d").count() == 0 and distinct.count_sets(none, [], "d").first()[0] == 0
