@@ -122,3 +122,17 @@ def test_without_sets_a_distinct_count_does_not_merge(spark, tmp_path):
     write_table(build_fact(FACT, tables), f"{tmp_path}/0")
     with pytest.raises(NonAdditiveMetricError):
         refresh_fact(FACT, f"{tmp_path}/0", tables, f"{tmp_path}/1")
+
+
+def test_merging_few_numbers_moves_them_as_such(spark):
+    """Many small sets of one group, spread over tasks, beside a bitmap and a missing key."""
+    many = spark.range(6_000).select((F.col("id") % 50).alias("k"), F.lit("a").alias("g"), (F.pmod(F.col("id"), F.lit(3_000)) * 40_009).alias("n"))
+    dense = spark.range(2_000).select(F.lit(7).cast("long").alias("k"), F.lit("a").alias("g"), F.col("id").alias("n"))
+    lone = spark.createDataFrame([(7, None, 40_009), (8, None, 3), (9, None, 3)], "k long, g string, n long")
+    numbers = many.unionByName(dense).unionByName(lone)
+    fine = distinct.distinct_sets(numbers, ["k", "g"], F.col("n")).repartition(12, "k").cache()
+    assert fine.where("bits is not null").count() == 1
+    merged = distinct.merge_sets(fine, ["g"])
+    assert 0 < _moved(merged) < 6_000 * 300  # not 4 KB a bucket and task
+    assert rows(distinct.count_sets(merged, ["g"], "d")) == rows(numbers.groupBy("g").agg(F.count_distinct("n").alias("d")))
+    assert merged.where("bits is not null").count() == 1 and merged.groupBy("g", "bucket").count().where("count > 1").count() == 0
