@@ -143,7 +143,8 @@ def minimal_keys(tables: Mapping[str, DataFrame], names: Sequence[str] | None =
     multiply to fewer values than there are rows cannot be keys, nor can any set of a
     table whose rows repeat as a whole (a non-key of all columns); the others are
     sketched in one pass per table and the few that come near the row count are tested
-    exactly.  Estimates rule out at ``SKETCH_ERRORS`` standard errors only."""
+    exactly, those of large tables after a look at whole groups of a hashed share.
+    Estimates rule out at ``SKETCH_ERRORS`` standard errors only."""
     names = list(names if names is not None else tables)
     low, high = max(1 - SKETCH_ERRORS * rsd, 0.0), 1 + SKETCH_ERRORS * rsd
     first = {t: [(c,) for c in key_like_columns(tables[t])] for t in names}
@@ -164,7 +165,7 @@ def minimal_keys(tables: Mapping[str, DataFrame], names: Sequence[str] | None =
         new = {t: [s for s in ss if (t, s) not in seen] for t, ss in sets.items()}
         seen.update(sketch_sets(tables, {t: ss for t, ss in new.items() if ss}, rsd))
         near = [Columns(t, s) for t, ss in sets.items() for s in ss if seen[t, s].distinct >= seen[t, s].rows * low]
-        for c, is_key in zip(near, key_tests(tables, near)):
+        for c, is_key in zip(near, key_tests(tables, near, [seen[c.table, c.names].rows for c in near])):
             if is_key:
                 keys[c.table].append(c.names)
     return [Columns(t, k) for t in names for k in keys[t]]

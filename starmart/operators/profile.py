@@ -177,11 +177,26 @@ def _key_report(tables: Mapping[str, DataFrame], sets: Sequence[tuple[str, Seque
     return out
 
 
-def key_tests(tables: Mapping[str, DataFrame], sets: Sequence[tuple[str, Sequence[str]]]) -> list[bool]:
-    """Exact key test of each ``(table, columns)``, in one job; a table without rows has every key."""
-    report = _key_report(tables, sets)
-    found = {r["i"]: r["is_key"] for r in report.collect()} if report is not None else {}
-    return [found.get(i, True) for i in range(len(sets))]
+# Values of a set that are looked at before it is tested on all of a large table.
+FIRST_VALUES = 1 << 19
+
+
+def key_tests(tables: Mapping[str, DataFrame], sets: Sequence[tuple[str, Sequence[str]]], rows: Sequence[int] | None = None) -> list[bool]:
+    """Exact key test of each ``(table, columns)``, in one job; a table without rows has every key.
+
+    With ``rows``, those of each set's table, a job before it looks at some ``FIRST_VALUES`` hashed
+    values of each set of a large table.  All rows of a value are looked at or none, so one
+    that occurs twice refutes the set for certain; whatever is left is tested on all rows."""
+    left = list(range(len(sets)))
+    large = [i for i in left if rows is not None and rows[i] > 4 * FIRST_VALUES]
+    if large:
+        below = {i: F.lit(-(1 << 63) + int((1 << 64) * FIRST_VALUES / rows[i])) for i in large}
+        some = {str(i): tables[sets[i][0]].where(F.xxhash64(*[f"`{c}`" for c in sets[i][1]]) < below[i]) for i in large}
+        refuted = {i for i, is_key in zip(large, key_tests(some, [(str(i), sets[i][1]) for i in large])) if not is_key}
+        left = [i for i in left if i not in refuted]
+    report = _key_report(tables, [sets[i] for i in left])
+    found = {left[r["i"]]: r["is_key"] for r in report.collect()} if report is not None else {}
+    return [i in left and found.get(i, True) for i in range(len(sets))]
 
 
 def candidate_keys(tables: Mapping[str, DataFrame], candidates: Sequence[tuple[str, Sequence[str]]]) -> DataFrame:
@@ -220,16 +235,18 @@ def _hll_report(df: DataFrame, table: str, sets: list[tuple[str, ...]], rsd: flo
 
     A sketch is one binary value (not a field per register), so a pass over many column
     sets stays a small aggregate; a set goes in as one 64-bit hash of its values."""
-    aggs = [F.count(F.lit(1)).alias("__rows")]
+    hashes, aggs = [], [F.count(F.lit(1)).alias("__rows")]
     for i, cols in enumerate(sets):
         quoted = [f"`{c}`" for c in cols]
         whole = F.lit(True)
         for c in quoted:
             whole = whole & F.col(c).isNotNull()
-        aggs += [F.hll_sketch_agg(F.when(whole, F.xxhash64(*quoted)), _lg_registers(rsd)).alias(f"__d{i}"), F.count_if(~whole).alias(f"__z{i}")]
-    return df.agg(*aggs).select(F.explode(F.array(*[
+        # hashed in a projection of its own, which is compiled; a sketch's own argument is not
+        hashes.append(F.when(whole, F.xxhash64(*quoted)).alias(f"__h{i}"))
+        aggs += [F.hll_sketch_agg(f"__h{i}", _lg_registers(rsd)).alias(f"__d{i}"), F.count(f"__h{i}").alias(f"__v{i}")]
+    return df.select(*hashes).agg(*aggs).select(F.explode(F.array(*[
         F.struct(F.lit(table).alias("t"), F.lit(i).alias("i"), F.col("__rows").alias("n"),
-                 F.coalesce(F.hll_sketch_estimate(f"__d{i}"), F.lit(0)).alias("d"), F.col(f"__z{i}").alias("z"))
+                 F.coalesce(F.hll_sketch_estimate(f"__d{i}"), F.lit(0)).alias("d"), (F.col("__rows") - F.col(f"__v{i}")).alias("z"))
         for i in range(len(sets))
     ])).alias("x")).select("x.*")
 

@@ -43,6 +43,18 @@ def test_minimal_keys(random_tables):
     assert ("t3b", "t3c") in [c.names for c in got] and ("t3a",) in [c.names for c in got]  # beside the smaller key
 
 
+def test_a_value_seen_twice_refutes_a_key_before_all_rows_are_grouped(spark, monkeypatch):
+    monkeypatch.setattr(profile, "FIRST_VALUES", 200, raising=False)
+    tested, report = [], profile._key_report
+    monkeypatch.setattr(profile, "_key_report", lambda tables, sets: tested.extend((t, tuple(s)) for t, s in sets) or report(tables, sets))
+    rng = np.random.default_rng(5)
+    rows = [(i // 4, i % 4, int(p), i if i != 5999 else 0) for i, p in enumerate(rng.integers(0, 20, 6000))]
+    got = D.minimal_keys({"t": spark.createDataFrame(rows, "o int, l int, p int, almost int")})
+    assert sorted(c.names for c in got) == sorted(tuple("olp"[i] if i < 3 else "almost" for i in k) for k in brute_keys(rows, 4))
+    whole = [s for t, s in tested if t == "t"]
+    assert ("o", "l") in whole and ("o", "p") not in whole  # the latter repeats often
+
+
 def test_inclusions_and_refutation(random_tables):
     data, frames = random_tables
     found = D.inclusions(frames, k=8)
