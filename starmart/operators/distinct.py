@@ -23,13 +23,14 @@ from pyspark.sql import types as T
 
 from starmart.operators.facts import fact_keys, fact_rows, key_columns
 from starmart.operators.grains import parts
-from starmart.plans.joins import skew_split_join
-from starmart.session import written
+from starmart.plans.joins import row_count, skew_split_join
+from starmart.session import ROWS_PER_TASK, dealt, written
 from starmart.spec import Fact, MartSpec, Metric
 
 FEW = 512  # positions: 1 KB as shorts
 SET_COLUMNS = ("bucket", "positions", "bits")
 _IDS_PER_BUCKET = 100_000
+_SLICES = 64  # of a bucket, by the position's last bits: at most 512 positions in each
 
 
 def own_number(column: str, t: T.DataType) -> Column | None:
@@ -71,28 +72,43 @@ def value_ids(values: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return out if known is None else known.select("value", "id").unionByName(out)
 
 
-def distinct_sets(rows: DataFrame, keys: Sequence[str], number: Column) -> DataFrame:
+def _different(rows: DataFrame) -> int:
+    """About how many different rows there are: what a grouping by all columns holds."""
+    return rows.agg(F.approx_count_distinct(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))).first()[0]
+
+
+def distinct_sets(rows: DataFrame, keys: Sequence[str], number: Column, most: int | None = None) -> DataFrame:
     """Keys, ``bucket``, ``positions``, ``bits``: the sets of ``number`` per group; NULL
-    is no value, and a group without values has no row."""
+    is no value, and a group without values has no row.  ``most``: a bound on the rows, if known."""
     pairs = rows.select(*keys, number.alias("__number")).where(F.col("__number").isNotNull()).select(
-        *keys, F.bitmap_bucket_number("__number").alias("bucket"), F.bitmap_bit_position("__number").cast("smallint").alias("position")).distinct()
-    return _set_rows(pairs.withColumn("bits", F.lit(None).cast("binary")), [*keys, "bucket"])
+        *keys, F.bitmap_bucket_number("__number").alias("bucket"), F.bitmap_bit_position("__number").cast("smallint").alias("position"))
+    return _set_rows(pairs, None, [*keys, "bucket"], most)
 
 
 def merge_sets(sets: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The union of the sets of each group of ``keys``: one row per group and bucket."""
     group = [*keys, "bucket"]
-    pairs = sets.select(*group, F.explode("positions").alias("position")).distinct()
+    pairs = sets.select(*group, F.explode("positions").alias("position"))
     bitmaps = sets.where(F.col("bits").isNotNull()).groupBy(*group).agg(F.bitmap_or_agg("bits").alias("bits"))
-    return _set_rows(pairs.unionByName(bitmaps, allowMissingColumns=True), group)
+    return _set_rows(pairs, bitmaps, group)
 
 
-def _set_rows(parts: DataFrame, group: Sequence[str]) -> DataFrame:
-    """The row of each group from its ``position`` rows, all different, and at most one of ``bits``.
+def _set_rows(pairs: DataFrame, bitmaps: DataFrame | None, group: Sequence[str], most: int | None = None) -> DataFrame:
+    """The row of each group from its ``position`` rows and at most one of ``bits``.
 
     A bitmap takes 4 KB however few bits are set, so only groups that end as one are
-    given one; the positions of the others travel as what they are."""
-    met = parts.groupBy(*group).agg(F.collect_list("position").alias("positions"), F.collect_list("bits").alias("bits"))
+    given one; the positions of the others travel as what they are.  Many different
+    positions are dealt by group and slice into small tasks before anything is grouped:
+    a task that reads a large file (or bucket) would else hold all of its positions."""
+    n = 0 if most is not None and most <= ROWS_PER_TASK else _different(pairs)
+    if n <= ROWS_PER_TASK:
+        parts, listed = pairs.distinct(), F.collect_list("position")
+    else:
+        by = [*group, "__slice"]
+        different = dealt(pairs.withColumn("__slice", F.pmod(F.col("position").cast("int"), F.lit(_SLICES))), n, *by).distinct()
+        parts, listed = different.groupBy(*by).agg(F.collect_list("position").alias("slice")).drop("__slice"), F.flatten(F.collect_list("slice"))
+    parts = parts.withColumn("bits", F.lit(None).cast("binary")) if bitmaps is None else parts.unionByName(bitmaps, allowMissingColumns=True)
+    met = dealt(parts, n, *group).groupBy(*group).agg(listed.alias("positions"), F.collect_list("bits").alias("bits"))
     small = (F.size("bits") == 0) & (F.size("positions") <= FEW)
     few = met.where(small).select(*group, F.array_sort("positions").alias("positions"), F.lit(None).cast("binary").alias("bits"))
     # a group's rows are together already: this grouping moves nothing
@@ -126,9 +142,12 @@ def metric_sets(fact: Fact, metric: Metric, tables: Mapping[str, DataFrame], spe
     keys = fact_keys(fact)
     typed = key_columns(part.fact, rows, part.tables, spec)
     number = own_number(metric.source_column, rows.schema[metric.source_column].dataType)
+    most = row_count(part.tables[part.fact.primary_table])  # joins are many-to-one
     if number is not None:
-        return distinct_sets(rows.select(*typed, number.alias("__n")), keys, F.col("__n")), None
+        return distinct_sets(rows.select(*typed, number.alias("__n")), keys, F.col("__n"), most), None
     # few rows per group and value: a value that many rows share is met once per group
-    pairs = rows.select(*typed, F.col(metric.source_column).alias("value")).distinct()
+    pairs = rows.select(*typed, F.col(metric.source_column).alias("value"))
+    n = 0 if most <= ROWS_PER_TASK else _different(pairs)
+    pairs = dealt(pairs, n, *pairs.columns).distinct()
     ids = written(value_ids(pairs.select("value"), known), "distinct-ids")
-    return distinct_sets(skew_split_join(pairs, ids, ["value"], ["value"], "inner"), keys, F.col("id")), ids
+    return distinct_sets(skew_split_join(pairs, ids, ["value"], ["value"], "inner"), keys, F.col("id"), most), ids

@@ -22,7 +22,8 @@ from starmart.errors import SpecError
 from starmart.functions.grain import PERIOD, period
 from starmart.functions.metrics import aggregate, column_type, decompose, decomposable, published_states
 from starmart.operators.grains import drill_across, parts, resolves
-from starmart.plans.joins import broadcast_bound, fits_broadcast, many_to_one
+from starmart.plans.joins import _row_hash, broadcast_bound, fits_broadcast, many_to_one, row_count
+from starmart.session import ROWS_PER_TASK, dealt
 from starmart.spec import YEAR_FROM, Fact, MartSpec, validate_fact
 
 
@@ -199,6 +200,7 @@ def aggregate_rows(fact: Fact, rows: DataFrame, tables: Mapping[str, DataFrame],
     keys = key_columns(fact, rows, tables, spec)
     metrics = [aggregate(m, rows.schema) for m in fact.metrics]
     if states:
+        rows = _dealt_rows(fact, rows, tables)
         metrics += [c for m in fact.metrics for c in published_states(m, rows.schema)]
     if not metrics:
         if not keys:
@@ -209,6 +211,17 @@ def aggregate_rows(fact: Fact, rows: DataFrame, tables: Mapping[str, DataFrame],
     return rows.groupBy(*keys).agg(*metrics)
 
 
+def _dealt_rows(fact: Fact, rows: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """``rows`` in small tasks if they form many groups and no join's exchange has dealt them:
+    a task that reads a large file would else hold all groups of it."""
+    if fact.joins or row_count(tables[fact.primary_table]) <= ROWS_PER_TASK:
+        return rows
+    counted = [m.source_column for m in fact.metrics if m.aggregation == "count_distinct" and m.expression is None and not m.approximate]
+    group = F.struct(*[F.col(f"`{c}`") for c in dict.fromkeys([*fact_keys(fact), *counted])])
+    groups = rows.agg(F.approx_count_distinct(group)).first()[0] if fact_keys(fact) or counted else 0
+    return rows if groups <= ROWS_PER_TASK else dealt(rows, row_count(tables[fact.primary_table]), _row_hash(rows, read_columns(fact, rows)))
+
+
 def build_fact_states(fact: Fact, tables: Mapping[str, DataFrame], broadcast_rows: int | None = None) -> DataFrame:
     """The fact as exact partial states (for rolling up to coarser grains).
 

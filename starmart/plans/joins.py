@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from starmart.session import dealt
+
 # Default bounds on what is broadcast to every executor (overridable per session).
 DEFAULT_BROADCAST_ROWS = 4_000_000
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024  # measured: beyond ~100 MB the pre-aggregated shuffle plan wins
@@ -52,6 +54,11 @@ def _measured(df: DataFrame, what: str, expr: Column) -> int:
     return memo[what]
 
 
+def row_count(df: DataFrame) -> int:
+    """The rows of ``df``, counted once."""
+    return _measured(df, "rows", F.count(F.lit(1)))
+
+
 def _value_bytes(df: DataFrame) -> Column | None:
     """Bytes of the values whose width varies (texts, binaries, nested values)."""
     total = None
@@ -99,7 +106,8 @@ def unique_on(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
     for k in keys:
         c = F.col(k).isNotNull()
         cond = c if cond is None else cond & c
-    grouped = df.where(cond).groupBy(*keys).agg(
+    rows = _SIZES.get(df, {}).get("rows", 0)  # as the size check counted them
+    grouped = dealt(df.where(cond), rows, *keys).groupBy(*keys).agg(
         *[F.first(c).alias(c) for c in others], F.count(F.lit(1)).alias(_COUNT_COL)
     )
     guard = F.when(
@@ -149,21 +157,27 @@ def many_to_one(
 # Share of the left rows above which a single key is "hot".
 DEFAULT_HOT_FRACTION = 0.01
 HOT_FRACTION_CONF = "spark.starmart.skew.hotFraction"
+_HASHES = 1 << 16
 
 
 def _key_shares(df: DataFrame, keys: Sequence[str], fraction: float) -> tuple[list[tuple], bool]:
     """Key values holding more than ``fraction`` of ``df``'s rows, and whether
     rows with a NULL in the key do.
 
-    One job: an observed row count beside an aggregation by key whose partial
-    counts make a hot key one row per task before the shuffle.  Fewer than
-    ``1 / fraction`` keys can exceed that share, so the limit (a per-task top-k,
-    then the top-k of those) cuts off no hot key."""
-    keys = list(keys)
-    seen = Observation()
-    counts = df.observe(seen, F.count(F.lit(1)).alias("rows")).groupBy(*keys).agg(F.count(F.lit(1)).alias(_COUNT_COL))
-    top = counts.orderBy(F.desc(_COUNT_COL)).limit(int(1 / fraction) + 1).collect()
+    Rows are first counted per hash of the key: a hot key makes its hash hot, and a task
+    holds a bounded number of hashes, however many keys there are.  Only the keys of
+    hot hashes, mostly none, are then counted themselves.  Fewer than ``1 / fraction`` keys
+    or hashes can exceed that share, so the limits (a per-task top-k, then the top-k of
+    those) cut off no hot key."""
+    keys, most = list(keys), int(1 / fraction) + 1
+    seen, n = Observation(), F.count(F.lit(1)).alias(_COUNT_COL)
+    dealt_to = F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), F.lit(_HASHES))
+    top = df.observe(seen, F.count(F.lit(1)).alias("rows")).groupBy(dealt_to.alias("__hash")).agg(n).orderBy(F.desc(_COUNT_COL)).limit(most).collect()
     least = seen.get["rows"] * fraction if top else 0
+    crowded = [r["__hash"] for r in top if r[_COUNT_COL] > least]
+    if not crowded:
+        return [], False
+    top = df.where(dealt_to.isin(crowded)).groupBy(*keys).agg(n).orderBy(F.desc(_COUNT_COL)).limit(most).collect()
     hot = [tuple(r[k] for k in keys) for r in top if r[_COUNT_COL] > least]
     return [t for t in hot if None not in t], any(None in t for t in hot)
 

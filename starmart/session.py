@@ -11,8 +11,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
+from typing import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "starmart") -> SparkSession:
@@ -36,6 +38,45 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+# Rows that a task groups or sorts at most, about; some 100 to 300 MB of memory.
+ROWS_PER_TASK = 1_000_000
+# Bytes up to which AQE may merge the partitions of an exchange of many rows; some ROWS_PER_TASK rows of a few columns.
+_MERGED_BYTES = 16 * 1024 * 1024
+_PARTITIONS, _MERGED = "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Partitions that give a task at most some ``ROWS_PER_TASK`` of ``rows`` rows; never
+    fewer than the session's."""
+    return max(int(spark.conf.get(_PARTITIONS)), -(-rows // ROWS_PER_TASK))
+
+
+def dealt(df: DataFrame, rows: int, *by: str | Column) -> DataFrame:
+    """``df`` of about ``rows`` rows dealt by ``by`` into small tasks, unless a task can take them all.
+
+    What is grouped by ``by`` next is grouped where it is: no task first groups all that it
+    read, however large the files are."""
+    return df if rows <= ROWS_PER_TASK else df.repartition(tasks_for(df.sparkSession, rows), *by)
+
+
+@contextmanager
+def exchanges_for(spark: SparkSession, rows: int) -> Iterator[int]:
+    """Jobs run inside have enough partitions for exchanges of ``rows`` rows; yields how
+    many tasks the rows fill."""
+    filled = -(-rows // ROWS_PER_TASK)
+    if filled <= 1:
+        yield filled
+        return
+    before = {k: spark.conf.get(k, None) for k in (_PARTITIONS, _MERGED)}
+    try:
+        spark.conf.set(_PARTITIONS, tasks_for(spark, rows))
+        spark.conf.set(_MERGED, f"{_MERGED_BYTES}b")
+        yield filled
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and intermediate tables.
 

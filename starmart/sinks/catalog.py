@@ -35,7 +35,8 @@ from starmart.operators.facts import apply_filters, build_fact, fact_keys, fact_
 from starmart.operators.grains import drill_across
 from starmart.operators.profile import stats_row_counts
 from starmart.operators.star import answer, attribute_column, check_grain, output_names, resolve_attributes
-from starmart.plans.joins import broadcast_bound, fits_broadcast, unique_on
+from starmart.plans.joins import broadcast_bound, fits_broadcast, row_count, unique_on
+from starmart.session import exchanges_for
 from starmart.spec import YEAR_FROM, Fact, Intent, MartSpec, Metric, validate_intent, validate_spec
 
 
@@ -152,13 +153,15 @@ def publish_to_catalog(spec: MartSpec, tables: Mapping[str, DataFrame], database
         links = spec.dimensions_of(f)
         key = links[0][0] if links else None
         name = _physical(database, f.name, run_id)
-        _write_bucketed(build_fact(f, tables, spec, states=True), name, key, buckets, spread=8)
-        written[f.name] = name
-        for m in distinct.set_metrics(f):
-            sets, _ = distinct.metric_sets(f, m, tables, spec)
-            logical = sets_name(f.name, m.name)
-            written[logical] = _physical(database, logical, run_id)
-            _write_bucketed(sets, written[logical], key, buckets, spread=8)
+        with exchanges_for(spark, max(row_count(tables[t]) for t in f.source_tables)) as filled:
+            spread = max(8, -(-filled // buckets))
+            _write_bucketed(build_fact(f, tables, spec, states=True), name, key, buckets, spread)
+            written[f.name] = name
+            for m in distinct.set_metrics(f):
+                sets, _ = distinct.metric_sets(f, m, tables, spec)
+                logical = sets_name(f.name, m.name)
+                written[logical] = _physical(database, logical, run_id)
+                _write_bucketed(sets, written[logical], key, buckets, spread)
     if analyze:
         for physical in written.values():
             spark.sql(f"ANALYZE TABLE {physical} COMPUTE STATISTICS")

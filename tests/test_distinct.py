@@ -136,3 +136,89 @@ def test_merging_few_numbers_moves_them_as_such(spark):
     assert 0 < _moved(merged) < 6_000 * 300  # not 4 KB a bucket and task
     assert rows(distinct.count_sets(merged, ["g"], "d")) == rows(numbers.groupBy("g").agg(F.count_distinct("n").alias("d")))
     assert merged.where("bits is not null").count() == 1 and merged.groupBy("g", "bucket").count().where("count > 1").count() == 0
+
+
+@pytest.fixture
+def small_tasks(monkeypatch):
+    """Tasks of 500 rows, so that a few thousand rows are many."""
+    from starmart import session
+    from starmart.operators import facts
+
+    for module in (session, distinct, facts):
+        monkeypatch.setattr(module, "ROWS_PER_TASK", 500)
+
+
+def _read_side(df):
+    """The plan below the last exchange that deals out what was read (bitmaps are merged by sorting)."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+    return plan[plan.rindex("REPARTITION_BY_NUM"):]
+
+
+def test_a_task_does_not_group_all_that_it_read(numbers, small_tasks):
+    """A task reads a whole file or bucket: what it holds must not grow with that."""
+    read = numbers.coalesce(1)
+    want = rows(numbers.groupBy("g").agg(F.count_distinct("n").alias("d")).where("d > 0"))
+    sets = distinct.distinct_sets(read, ["g"], F.col("n"))
+    assert "HashAggregate" not in _read_side(sets) and rows(distinct.count_sets(sets, ["g"], "d")) == want
+    assert sets.groupBy("g", "bucket").count().where("count > 1").count() == 0
+    fine = distinct.distinct_sets(read.withColumn("k", F.pmod("n", F.lit(900))), ["k", "g"], F.col("n")).repartition(8, "k").localCheckpoint().coalesce(1)
+    merged = distinct.merge_sets(fine, ["g"])
+    assert "HashAggregate" not in _read_side(merged.where("positions is not null")) and rows(distinct.count_sets(merged, ["g"], "d")) == want
+    bitmaps = distinct.merge_sets(sets.unionByName(fine.drop("k")), ["g"])  # beside the few, sets that were bitmaps
+    assert rows(distinct.count_sets(bitmaps, ["g"], "d")) == want
+
+
+def test_few_values_are_still_combined_where_they_are_read(spark, small_tasks):
+    read = spark.range(5_000, numPartitions=1).select(F.lit("a").alias("g"), (F.col("id") % 5).alias("n"))
+    sets = distinct.distinct_sets(read, ["g"], F.col("n"))
+    assert "REPARTITION_BY_NUM" not in sets._jdf.queryExecution().executedPlan().toString()
+    assert rows(distinct.count_sets(sets, ["g"], "d")) == [("a", 5)]
+
+
+def test_the_right_side_of_a_join_is_grouped_in_small_tasks(spark, small_tasks):
+    from starmart.plans.joins import row_count, unique_on
+
+    right = spark.range(3_000, numPartitions=1).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    row_count(right)  # as the size check does
+    unique = unique_on(right, ["k"], "t")
+    assert "HashAggregate" not in _read_side(unique) and unique.agg(F.sum("v")).first()[0] == 2_999 * 3_000
+    twice = right.unionByName(right.limit(1))
+    row_count(twice)
+    with pytest.raises(Exception, match="not unique"):
+        unique_on(twice, ["k"], "t").collect()
+
+
+def test_hot_keys_are_counted_by_hash_first(spark):
+    """Many keys make a bounded number of groups; only a hot hash's keys are counted."""
+    from starmart.plans.joins import _key_shares
+
+    left = spark.range(150_000, numPartitions=1).select(F.when(F.col("id") % 10 == 0, F.lit(-1)).when(F.col("id") % 10 == 1, None).otherwise(F.col("id")).alias("k"))
+    assert _key_shares(left, ["k"], 0.05) == ([(-1,)], True)
+    assert _key_shares(left.where("k >= 0"), ["k"], 0.05) == ([], False)
+
+
+def test_published_in_small_tasks_counts_the_same(spark, small_tasks, tmp_path):
+    """A fact of two tables with hot, missing and orphan keys, texts and numbers."""
+    from starmart.sinks.catalog import publish_to_catalog, rollup_published
+    from starmart.spec import Dimension, Join, MartSpec
+
+    orders = spark.range(4_000, numPartitions=1).select(F.col("id").alias("o"), F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 11 == 0, None).otherwise(F.col("id") % 700).alias("c"),
+                                                        F.concat(F.lit("p"), F.col("id") % 5).alias("prio"))
+    lines = spark.range(9_000, numPartitions=1).select((F.col("id") % 4_100).alias("lo"), (F.col("id") % 1_777 * 40_009).alias("part"))
+    tables = {"orders": orders, "lines": lines, "cust": spark.range(700).select(F.col("id").alias("ck"), (F.col("id") % 4).cast("string").alias("seg"))}
+    fact = Fact("f", ("lines", "orders"), (Metric("parts", "count_distinct", "part"), Metric("n", "count"), Metric("prios", "count_distinct", "prio"), Metric("orders", "count_distinct", "o")),
+                ("c",), joins=(Join("orders", "lo", "o"),), key_map={"c": "dim_cust"})
+    spec = MartSpec("small", (fact,), (Dimension("dim_cust", "cust", "ck", ("seg",)),))
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.starmart.broadcast.maxRows", "1000")  # orders are joined by a shuffle
+    try:
+        publish_to_catalog(spec, tables, "small_tasks", f"{tmp_path}/db", buckets=4, check=False)
+        got = rows(rollup_published(spark, spec, "small_tasks", "f", ["seg"], tables=tables).select("seg", "parts", "n", "prios", "orders"))
+    finally:
+        spark.conf.unset("spark.starmart.broadcast.maxRows")
+    assert {k: spark.conf.get(k, None) for k in before} == before
+    seg = tables["cust"].withColumnRenamed("ck", "c")
+    a = lines.join(orders, lines["lo"] == orders["o"], "left").join(seg, "c", "left").groupBy("seg").agg(F.count_distinct("part").alias("parts"), F.count("*").alias("n"))
+    b = orders.join(seg, "c", "left").groupBy("seg").agg(F.count_distinct("prio").alias("prios"), F.count_distinct("o").alias("orders"))
+    assert got == rows(a.join(b, a["seg"].eqNullSafe(b["seg"])).select(a["seg"], "parts", "n", "prios", "orders"))
