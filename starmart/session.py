@@ -40,15 +40,22 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 # Rows that a task groups or sorts at most, about; some 100 to 300 MB of memory.
 ROWS_PER_TASK = 1_000_000
+# Up to so many partitions (Spark's default for it) a task that writes to an exchange puts each
+# row into its partition's file; beyond, it first holds what it read, a whole row group.
+_UNHELD_PARTITIONS = 200
 # Bytes up to which AQE may merge the partitions of an exchange of many rows; some ROWS_PER_TASK rows of a few columns.
 _MERGED_BYTES = 16 * 1024 * 1024
 _PARTITIONS, _MERGED = "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 
 
 def tasks_for(spark: SparkSession, rows: int) -> int:
-    """Partitions that give a task at most some ``ROWS_PER_TASK`` of ``rows`` rows; never
-    fewer than the session's."""
-    return max(int(spark.conf.get(_PARTITIONS)), -(-rows // ROWS_PER_TASK))
+    """Partitions that give a task at most some ``ROWS_PER_TASK`` of ``rows`` rows, or three
+    times as many where the exchange's writers would else hold their rows; never fewer than
+    the session's."""
+    tasks = -(-rows // ROWS_PER_TASK)
+    if tasks > _UNHELD_PARTITIONS:
+        tasks = max(_UNHELD_PARTITIONS, -(-tasks // 3))
+    return max(int(spark.conf.get(_PARTITIONS)), tasks)
 
 
 def dealt(df: DataFrame, rows: int, *by: str | Column) -> DataFrame:

@@ -222,3 +222,10 @@ def test_published_in_small_tasks_counts_the_same(spark, small_tasks, tmp_path):
     a = lines.join(orders, lines["lo"] == orders["o"], "left").join(seg, "c", "left").groupBy("seg").agg(F.count_distinct("part").alias("parts"), F.count("*").alias("n"))
     b = orders.join(seg, "c", "left").groupBy("seg").agg(F.count_distinct("prio").alias("prios"), F.count_distinct("o").alias("orders"))
     assert got == rows(a.join(b, a["seg"].eqNullSafe(b["seg"])).select(a["seg"], "parts", "n", "prios", "orders"))
+
+
+def test_tasks_grow_with_the_rows(spark):
+    from starmart.session import tasks_for
+
+    own = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [tasks_for(spark, n * 1_000_000) for n in (0, 1, 150, 216, 600, 1_200)] == [own, own, max(own, 150), max(own, 200), max(own, 200), max(own, 400)]
